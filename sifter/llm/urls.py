@@ -76,7 +76,7 @@ def build_level(keys: DataFrame, n: int, rate: float, salt: int) -> Level:
     if size > MAX_WORDS:
         raise ValueError(f"{n} keys need {size} words, more than MAX_WORDS; list fewer keys for one cascade")
     at = keys.select(F.explode(F.array(*level.places(F.col("key")))).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("bits"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("bits"))
     level.words = [0] * size
     for r in words.collect():
         level.words[r.word] = r.bits
