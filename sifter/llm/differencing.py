@@ -20,10 +20,11 @@ def difference(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros((0, w), np.int64), np.zeros(k, np.int64)
     sums: list[np.ndarray | None] = []
     order: list[np.ndarray] = []
+    as_is = np.arange(k)
     for row in vectors:
         wide = np.zeros(k, np.int64)
         wide[:w] = row
-        by = np.argsort(-wide, kind="stable")
+        by = as_is if w == 1 else np.argsort(-wide, kind="stable")
         sums.append(wide[by])
         order.append(by)
     parts: list[tuple[int, int] | None] = [None] * n

@@ -40,29 +40,26 @@ def covered_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text
 
 
 def drop_repeated_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with line_n_lines, line_n_removed and line_kept, the text without the lines that later occurrences cover.
+    """(row, n_lines, n_removed, kept): for each row of docs, as a struct, its text without lines that later occurrences cover.
 
-    One row for each row of docs, all columns unchanged. A null text has no lines and keeps null; kept lines stay in
+    A struct, so that no column of docs can clash. A null text has no lines and keeps null; kept lines stay in
     order, joined by a line feed; a text whose every line is covered becomes empty.
     """
     gone = covered_lines(docs, window, id_col, text_col)
     size = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
-    small = gone.select(F.col("row_key").alias("line_row_key"), F.col("gone").alias("line_gone"))
-    small = F.broadcast(small) if size <= BROADCAST_LINES else small
-    lines = F.split(F.col(text_col).cast("string"), "\n", -1)
-    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("line_gone"))
+    gone = F.broadcast(gone) if size <= BROADCAST_LINES else gone
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), _key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("body"))
+    lines = F.split("body", "\n", -1)
+    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     kept = F.array_join(F.transform(stays, lambda k: F.element_at(lines, k + 1)), "\n")
-    joined = docs.join(small, _key(id_col, text_col) == F.col("line_row_key"), "left")
-    return joined.withColumns({
-        "line_n_lines": F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
-        "line_n_removed": F.when(F.col("line_gone").isNull(), F.lit(0)).otherwise(F.size("line_gone")).cast("long"),
-        "line_kept": F.when(F.col("line_gone").isNull(), F.col(text_col).cast("string")).otherwise(kept),
-    }).drop("line_row_key", "line_gone")
+    removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long")
+    n_lines = F.when(F.col("body").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    return keyed.join(gone, F.col("key") == F.col("row_key"), "left").select("row", n_lines.alias("n_lines"), removed.alias("n_removed"), F.when(F.col("gone").isNull(), F.col("body")).otherwise(kept).alias("kept"))
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return got.select("doc_id", F.col("line_n_lines").alias("n_lines"), F.col("line_n_removed").alias("n_removed"), F.sha2("line_kept", 256).alias("kept_sha256"))
+    return got.select("row.doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 OP2_SQL = """

@@ -15,7 +15,9 @@ from sifter.llm.common import id_text, rows, table
 from sifter.llm.differencing import difference
 
 #: Remainders packed together, distinct chunks whose ids are remembered, bytes of ids sent at once.
-GROUP, REMEMBERED, FLUSH = 2048, 1 << 18, 8 << 20
+GROUP, REMEMBERED, FLUSH = 1024, 1 << 19, 8 << 20
+#: Of every CUT_EVERY remainders one is cut into halves, quarters and so on, down to LEAST_CUT: small parts even out the windows.
+CUT_EVERY, LEAST_CUT = 4, 64
 #: Fixed values of the public 50k byte-level vocabulary.
 END, END_ID, STOP_ID = "<|endoftext|>", 50256, 1
 _DOUBT = re.compile(r" (?!\S)")
@@ -93,12 +95,21 @@ def windows(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     return best
 
 
+def cuts(n: int, small: bool) -> list[tuple[int, int]]:
+    """(start, length) of the parts of a remainder of n ids: the whole, or halves of what is left while that is over LEAST_CUT."""
+    out, at = [], 0
+    while small and n - at > LEAST_CUT:
+        out.append((at, (n - at + 1) // 2))
+        at += out[-1][1]
+    return [*out, (at, n - at)]
+
+
 def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """Pieces of token streams laid gapless into sequences of at most capacity ids.
 
     A document's stream is its ids, then STOP_ID; a null text counts as empty. Each full stretch of capacity ids
-    is a sequence; the remainders of up to GROUP documents of a partition are divided by differencing into windows
-    of near-equal sums. Every id lies in one piece. Columns: doc_id, start, length, ids (little-endian
+    is a sequence; the remainders of up to GROUP documents of a partition, some of them cut, are divided by differencing
+    into windows of near-equal sums. Every id lies in one piece. Columns: doc_id, start, length, ids (little-endian
     unsigned 32-bit), doc_tokens, sequence_id (unique, not gapless), offset. Repeated and null ids are rows of their own.
     There is no shuffle: a lost task is packed again from the same rows.
     """
@@ -120,9 +131,10 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
 
         def close() -> None:
             nonlocal number
-            bins, k = windows(np.array([len(x[2]) // 4 for x in rest], np.int64), capacity)
+            parts = [(doc_id, start + at, ids[4 * at : 4 * (at + n)], total) for k, (doc_id, start, ids, total) in enumerate(rest) for at, n in cuts(len(ids) // 4, k % CUT_EVERY == 0)]
+            bins, k = windows(np.array([len(x[2]) // 4 for x in parts], np.int64), capacity)
             offset = [0] * k
-            for (doc_id, start, ids, total), b in zip(rest, bins.tolist(), strict=True):
+            for (doc_id, start, ids, total), b in zip(parts, bins.tolist(), strict=True):
                 out.append((doc_id, start, len(ids) // 4, ids, total, number + b, offset[b]))
                 offset[b] += len(ids) // 4
             number += k
