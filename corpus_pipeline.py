@@ -1,13 +1,92 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""Corpus pipeline over documents: quality, line dedup, near-dedup, decontamination, packing.
+
+Each stage works on all rows its predecessor kept, written as Parquet and read again. All but the last return the
+columns of documents; n_chars follows the text where a stage changes it.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sifter.llm.common import durable, table
+from sifter.llm.decontaminate import contamination
+from sifter.llm.lines import drop_repeated_lines
+from sifter.llm.packing import pack
+from sifter.llm.quality import quality_scores, train
+from sifter.llm.simhash import near_duplicates
+
+#: Near-duplicates: shingles of five words, similarity 0.8, judged from fingerprints of 4 x 64 bits.
+SHINGLE, SIMILARITY, WIDTH = 5, 0.8, 4
+#: Bits that differ, on average, at that similarity: a Jaccard index j means a cosine of 2j / (1 + j).
+RADIUS = math.floor(64 * WIDTH * math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line classifier scores 0.3 or more; null and empty texts score as one empty line."""
+    return quality_scores(docs, train(docs, table(spark, sf_dir, "labels")), keep=True)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines of later occurrences of three-line windows; those that nothing is left of go.
+
+    A text without such lines is left as it is, null and empty ones too.
+    """
+    got = drop_repeated_lines(docs).where((F.col("n_removed") == 0) | (F.trim("kept") != ""))
+    new = {"text": F.col("kept"), "n_chars": F.length("kept")}
+    cut = F.col("n_removed") > 0
+    own = {x.name: F.col("row")[x.name] for x in docs.schema}
+    return got.select(*(F.when(cut, new[x.name].cast(x.dataType)).otherwise(own[x.name]).alias(x.name) if x.name in new else own[x.name].alias(x.name) for x in docs.schema))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component: the one of its smallest doc_id.
+
+    Rows of one doc_id stay or go together; a row with a null doc_id stays only if its component has null ids alone.
+    """
+    found = near_duplicates(docs, SHINGLE, RADIUS, width=WIDTH)
+    gone = durable(found.where("component_id is not null and (doc_id is null or doc_id <> component_id)").select("doc_id").distinct(), "gone")
+    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is covered by tiles to 0.8 or more."""
+    hit = durable(contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "hit")
+    return docs.join(hit, docs.doc_id.eqNullSafe(hit.doc_id), "left_anti")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents in sequences of at most 2048 tokens."""
+    got = pack(docs)
+    return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("line_dedup", lines),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("packing", packing),
+]
+#: SQL can't express a trained classifier, fingerprint components or tilings.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = durable(docs, f"stage-{name}")
+    return docs
 
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"pipeline": run}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
