@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sifter.llm.common import byte_words, durable, id_text, ints, mixed, rows, table, window_hashes
 
 #: Windows that a task holds at once, and that a bucket is meant to hold.
-FLUSH, BUCKET = 1 << 21, 1 << 21
+FLUSH, BUCKET = 3 << 19, 1 << 21
 #: Bytes of run lists up to which they are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 NAMES = "doc_id long, at binary, name binary"
