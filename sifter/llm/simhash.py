@@ -84,14 +84,17 @@ def compare(a: np.ndarray, b: np.ndarray | None, radius: int) -> np.ndarray:
     """Classes of the rows of a (followed by those of b) joined by a pair a-b, or a-a without b, at most radius bits apart.
 
     a and b: (rows, words) in order of their population counts. A pair of tiles is passed over when their
-    counts differ by more than radius, as each differing bit changes a count by one. Words after the first are only
-    compared for pairs that the words before leave within radius.
+    counts differ by more than radius, as each differing bit changes a count by one. Words after the first half are
+    only compared for pairs that the half leaves within radius.
     """
     same, b = b is None, a if b is None else b
     base = 0 if same else len(a)
     label = np.arange(len(a) + (0 if same else len(b)))
     ca, cb = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (a, b))
-    first_a, first_b = np.ascontiguousarray(a[:, 0]), np.ascontiguousarray(b[:, 0])
+    width = a.shape[1]
+    # A partial sum over the radius settles a pair: half of the words do for nearly all.
+    head = (width + 1) // 2
+    cols_a, cols_b = ([np.ascontiguousarray(x[:, k]) for k in range(head)] for x in (a, b))
     for p in range(0, len(a), TILE_ROWS):
         q = min(p + TILE_ROWS, len(a))
         for s in range(p if same else 0, len(b), TILE_ROWS):
@@ -100,13 +103,19 @@ def compare(a: np.ndarray, b: np.ndarray | None, radius: int) -> np.ndarray:
                 break
             if ca[p] - cb[t - 1] > radius:
                 continue
-            for lo in range(p, q, 128):
-                near = np.bitwise_count(first_a[lo : lo + 128, None] ^ first_b[None, s:t]) <= radius
-                i, j = np.divmod(np.flatnonzero(near), t - s)
+            for lo in range(p, q, 64):
+                hi = min(lo + 64, q)
+                apart = np.bitwise_count(cols_a[0][lo:hi, None] ^ cols_b[0][None, s:t])
+                for k in range(1, head):
+                    apart += np.bitwise_count(cols_a[k][lo:hi, None] ^ cols_b[k][None, s:t])
+                near = np.flatnonzero(apart <= radius)
+                if not len(near):
+                    continue
+                i, j = np.divmod(near, t - s)
                 i, j = i + lo, j + s
                 if same:
                     i, j = i[i < j], j[i < j]
-                if a.shape[1] > 1 and len(i):
+                if head < width and len(i):
                     ok = np.bitwise_count(a[i] ^ b[j]).sum(1, dtype=np.int64) <= radius
                     i, j = i[ok], j[ok]
                 if len(i):
