@@ -197,7 +197,7 @@ class Engine:
 
     def investigate(self, source: str, *, modules: list[str] | None = None, **options) -> Result:
         df, meta = load(self.spark, source, self.settings.engine.max_rows, **options)
-        return self._investigate(df, profile(df, name_of(source), meta["source"], source_type(source), **meta), modules, self.settings.engine.fail_fast)
+        return self._investigate(df, profile(df, name_of(source), meta.pop("source"), source_type(source), **meta), modules, self.settings.engine.fail_fast)
 
     def investigate_dataframe(self, df: DataFrame, *, name: str = "dataframe", modules: list[str] | None = None, **metadata) -> Result:
         """A DataFrame in memory of Spark: no row cap, no fail_fast."""

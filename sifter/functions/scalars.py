@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 #: Severities by urgency, with their weights.
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 WEIGHTS = {"critical": 1.0, "high": 0.8, "medium": 0.5, "low": 0.2, "info": 0.0}
-NUMBER = r"^\s*[+-]?((\d+(_\d+)*)?\.?(\d+(_\d+)*)?([eE][+-]?\d+)?|inf|infinity|nan)\s*$"
+NUMBER = r"^[+-]?((\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|inf|infinity|nan)$"
 DATE = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}"
 
 
@@ -53,8 +53,7 @@ def finite(value: Column) -> Column:
 
 def is_number_text(value: Column) -> Column:
     """Whether text parses as a number; a guard is needed as a cast also takes forms such as '1d'."""
-    text = F.lower(F.trim(value))
-    return text.rlike(NUMBER) & text.rlike(r"\d|inf|nan")
+    return F.lower(F.trim(value)).rlike(NUMBER)
 
 
 def value_type(value: Column) -> Column:

@@ -25,6 +25,11 @@ def double(name: str) -> Column:
     return F.col(f"`{name}`").cast("double")
 
 
+def bounded(r: Column) -> Column:
+    """r within [-1, 1]; null stays null, which greatest() and least() alone pass over."""
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+
+
 def pearson(df: DataFrame, columns: list[str], min_rows: int = 30) -> DataFrame:
     """(a, b, n, r) of each pair of columns over the rows that have both; r is null below min_rows or for a constant side.
 
@@ -42,7 +47,7 @@ def pearson(df: DataFrame, columns: list[str], min_rows: int = 30) -> DataFrame:
         x, y = F.when(both, double(a)), F.when(both, double(b))
         cells += [F.count(x).alias(f"n{k}"), F.covar_pop(x, y).alias(f"c{k}"), F.stddev_pop(x).alias(f"x{k}"), F.stddev_pop(y).alias(f"y{k}")]
     one = df.agg(*cells)
-    r = lambda k: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.col(f"c{k}"), F.col(f"x{k}") * F.col(f"y{k}"))))
+    r = lambda k: bounded(F.try_divide(F.col(f"c{k}"), F.col(f"x{k}") * F.col(f"y{k}")))
     return one.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n{k}").alias("n"), F.when(F.col(f"n{k}") >= min_rows, r(k)).alias("r")) for k, (a, b) in enumerate(pairs)))))
 
 
@@ -66,7 +71,7 @@ def _gram(df: DataFrame, columns: list[str], min_rows: int) -> DataFrame:
     r = F.try_divide(n * sxy - sx * sy, F.sqrt(F.greatest(F.lit(0.0), n * sxx - sx * sx)) * F.sqrt(F.greatest(F.lit(0.0), n * syy - sy * sy)))
     names = spark.createDataFrame([(k, c) for k, c in enumerate(columns)], "k int, name string")
     a, b = (names.select(F.col("k").alias(i), F.col("name").alias(c)) for i, c in (("i", "a"), ("j", "b")))
-    return got.join(a, "i").join(b, "j").select("a", "b", n.cast("bigint").alias("n"), F.when(n >= min_rows, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
+    return got.join(a, "i").join(b, "j").select("a", "b", n.cast("bigint").alias("n"), F.when(n >= min_rows, bounded(r)).alias("r"))
 
 
 def spearman(df: DataFrame, columns: list[str], min_rows: int = 30) -> DataFrame:
@@ -92,7 +97,7 @@ def spearman(df: DataFrame, columns: list[str], min_rows: int = 30) -> DataFrame
     n = F.col("n").cast("double")
     r = F.try_divide(n * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt(F.greatest(F.lit(0.0), n * F.col("sxx") - F.col("sx") ** 2)) * F.sqrt(F.greatest(F.lit(0.0), n * F.col("syy") - F.col("sy") ** 2)))
     names = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "pair int, a string, b string")
-    return names.join(s, "pair", "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") >= min_rows, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
+    return names.join(s, "pair", "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") >= min_rows, bounded(r)).alias("r"))
 
 
 def beta_inc(a: float, b: float, x: float) -> float:

@@ -38,7 +38,7 @@ _PAIR = f"""WITH {_F}, p AS (SELECT a.k AS left_k, b.k AS right_k, a.fam AS fa,
   t AS (SELECT *, 0.35 * col + 0.15 * meta + 0.10 + 0.30 * fam AS structural, 0.75 * num + 0.15 * sev + 0.10 * con AS statistical, 0.40 * fam + 0.60 * tk AS semantic FROM s)"""
 
 
-@query("finding_similarity", _PAIR + " SELECT left_k, right_k, round((0.40 * structural + 0.35 * statistical + 0.25 * semantic) * CASE WHEN fa <> fb AND sc = 0 THEN 0.15 ELSE 1.0 END, 3) AS weight FROM t WHERE st > 0 OR ca = cb OR sc > 0")
+@query("finding_similarity", _PAIR + " SELECT left_k, right_k, round(round_even((0.40 * structural + 0.35 * statistical + 0.25 * semantic) * CASE WHEN fa <> fb AND sc = 0 THEN 0.15 ELSE 1.0 END, 4), 3) AS weight FROM t WHERE st > 0 OR ca = cb OR sc > 0")
 def similar(spark, d):
     """Scores of candidate pairs; here all but a few pairs share a bucket."""
     f = example_findings(spark, d)
