@@ -16,10 +16,10 @@ from sifter.llm.common import byte_words, durable, id_text, ints, mixed, rows, t
 FLUSH, BUCKET = 3 << 19, 1 << 21
 #: Bytes of run lists up to which they are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
-NAMES = "doc_id long, at binary, name binary"
+NAMES = "doc_id long, key long, at binary, name binary"
 MOVED = "bucket int, batch long, ids binary, counts binary, steps binary, name binary"
 SHARED = "batch long, ids binary, counts binary, places binary, later binary"
-RUNS = "doc_id long, first binary, last binary, later_first binary, later_last binary"
+RUNS = "doc_id long, key long, first binary, last binary, later_first binary, later_last binary"
 
 _pack = lambda x: zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
 _unpack = lambda blob, kind: np.frombuffer(zstandard.decompress(blob), kind)
@@ -40,23 +40,23 @@ def _spread(first: bytes, last: bytes) -> np.ndarray:
     return np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-def _send(named: Iterator[tuple[int, np.ndarray]], batch: int, buckets: int) -> Iterator[dict]:
+def _send(named: list[tuple[int, int, np.ndarray]], batch: int, buckets: int) -> Iterator[dict]:
     """Rows for the buckets from the window names of some documents, held together.
 
     Of the names that several of these documents share, only those of the least doc_id are sent on; the others'
     places are known to be later ones here and now. So a name costs each batch one document's
     windows, however many documents hold it.
     """
-    docs = sorted(named, key=lambda x: x[0])
-    ids, counts = np.array([x[0] for x in docs], np.int64), np.array([len(x[1]) for x in docs], np.int64)
-    name, owner = np.concatenate([x[1] for x in docs]), np.repeat(np.arange(len(docs)), counts)
+    docs = sorted(named, key=lambda x: x[:2])
+    ids, keys, counts = (np.array(x, np.int64) for x in zip(*((d, k, len(n)) for d, k, n in docs), strict=True))
+    name, owner = np.concatenate([x[2] for x in docs]), np.repeat(np.arange(len(docs)), counts)
     _, first, inverse = np.unique(name, return_index=True, return_inverse=True)
-    own = owner[first][inverse] == owner
+    own = ids[owner[first]][inverse] == ids[owner]
     later = np.flatnonzero(~own)
     shared = np.zeros(len(first), bool)
     shared[inverse[later]] = True
     here = np.flatnonzero(shared[inverse])
-    yield {"bucket": int(batch % buckets), "batch": batch, "ids": _pack(ids), "counts": _pack(counts), "steps": _pack(here), "name": _pack(~own[here])}
+    yield {"bucket": int(batch % buckets), "batch": batch, "ids": _pack(np.r_[ids, keys]), "counts": _pack(counts), "steps": _pack(here), "name": _pack(~own[here])}
     keep = np.flatnonzero(own)
     bucket = (name[keep] >> np.uint64(32)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
@@ -104,26 +104,26 @@ def _meet(got: pa.Table) -> pa.Table:
 
 def _gather(got: pa.Table) -> pa.Table:
     """Of one batch: for each document with shared windows, the runs of their places, and of those that are later ones."""
-    ids = counts = None
+    ids = keys = counts = None
     places, laters = [], []
     for _, i, c, p, f in rows(got.to_batches()):
         if i is not None:
-            ids, counts = _unpack(i, np.int64), _unpack(c, np.int64)
+            (ids, keys), counts = _unpack(i, np.int64).reshape(2, -1), _unpack(c, np.int64)
         places.append(_unpack(p, np.int64))
         laters.append(_unpack(f, bool))
     shared, later = np.zeros(counts.sum(), bool), np.zeros(counts.sum(), bool)
     for p, f in zip(places, laters, strict=True):
         shared[p] = True
         later[p] |= f
-    out = {k: [] for k in ("doc_id", "first", "last", "later_first", "later_last")}
+    out = {k: [] for k in ("doc_id", "key", "first", "last", "later_first", "later_last")}
     end = np.cumsum(counts)
     total = np.r_[0, np.cumsum(shared)]
     for k in np.flatnonzero(total[end] - total[end - counts]):
         part = slice(end[k] - counts[k], end[k])
-        row = (int(ids[k]), *_runs(np.flatnonzero(shared[part])), *_runs(np.flatnonzero(later[part])))
+        row = (int(ids[k]), int(keys[k]), *_runs(np.flatnonzero(shared[part])), *_runs(np.flatnonzero(later[part])))
         for key, x in zip(out, row, strict=True):
             out[key].append(x)
-    return pa.table(out, pa.schema([("doc_id", pa.int64()), *((k, pa.binary()) for k in list(out)[1:])]))
+    return pa.table(out, pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), *((k, pa.binary()) for k in list(out)[2:])]))
 
 
 def _shared_runs(source: DataFrame, read, buckets: int, label: str) -> DataFrame:
@@ -144,7 +144,7 @@ def _shared_runs(source: DataFrame, read, buckets: int, label: str) -> DataFrame
             names = read(row)
             if row[0] is None or not len(names):
                 continue
-            held.append((row[0], names))
+            held.append((row[0], row[1], names))
             size += len(names)
             if size >= FLUSH:
                 yield from out()
@@ -155,31 +155,37 @@ def _shared_runs(source: DataFrame, read, buckets: int, label: str) -> DataFrame
     sent = source.mapInArrow(run, MOVED)
     key = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
     met = sent.groupBy(key.alias("meeting")).applyInArrow(_meet, SHARED)
-    return durable(met.groupBy("batch").applyInArrow(_gather, RUNS), label)
+    return durable(met.groupBy("batch").applyInArrow(_gather, RUNS).dropDuplicates(["key"]), label)
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, text): key is a hash of id and text, so that rows of one id keep their own places."""
+    texts = id_text(docs, id_col, text_col)
+    return texts.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
 
 
 def _small(df: DataFrame) -> DataFrame:
     """df marked for broadcast if its bytes, summed first, stay within BROADCAST_BYTES."""
-    size = df.agg(*(F.sum(F.octet_length(c)) for c in df.columns if c != "doc_id"), F.count("*") * 16).first()
+    size = df.agg(*(F.sum(F.octet_length(c)) for c in df.columns if c not in ("doc_id", "key", "longest")), F.count("*") * 16).first()
     return F.broadcast(df) if sum(x or 0 for x in size) <= BROADCAST_BYTES else df
 
 
 def repeated_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """(doc_id, first, last, longest): the places where a window starts whose words also start in a document of a smaller doc_id.
+    """(key, first, last, longest): the places where a window starts whose words also start in a document of a smaller doc_id.
 
     first and last hold the runs of such places as little-endian 32-bit numbers. Levels: windows of
     `window` words are named by their hash and met over all documents. Those that several documents have, and
     these alone, are extended to twice the length, naming a window by the names of its halves, and so on
     until no candidate survives. longest is the length of the last level at which the document has a later window.
-    Windows are judged on the input. Rows of one doc_id count as one holder; null ids and null texts hold none. Names are
-    64-bit hashes: n windows make n * n / 2^65 false meetings.
+    Windows are judged on the input. key is that of row_key(): rows of one doc_id are one holder, but each text has its own
+    places; null ids and null texts hold none. Names are 64-bit hashes: n windows make n * n / 2^65 false meetings.
     """
     spark = docs.sparkSession
-    texts = id_text(docs, id_col, text_col)
+    texts = keyed(docs, id_col, text_col)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = _shared_runs(texts, lambda row: window_hashes(byte_words(row[1]), window, 0, short=False), buckets or 4 * parts, "level")
-    base = found.select("doc_id", F.col("later_first").alias("first"), F.col("later_last").alias("last"))
-    levels = [found.where(F.octet_length("later_first") > 0).select("doc_id", F.lit(window).cast("long").alias("length"))]
+    found = _shared_runs(texts, lambda row: window_hashes(byte_words(row[2]), window, 0, short=False), buckets or 4 * parts, "level")
+    base = found.select("key", F.col("later_first").alias("first"), F.col("later_last").alias("last"))
+    levels = [found.where(F.octet_length("later_first") > 0).select("key", F.lit(window).cast("long").alias("length"))]
     length, names = window, None
     while True:
         prior = texts if names is None else names
@@ -188,29 +194,29 @@ def repeated_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             for row in rows(batches, 64):
                 pos = _spread(row[-2], row[-1])
                 if base:
-                    at, name = pos, window_hashes(byte_words(row[1]), window, 0, short=False)[pos]
+                    at, name = pos, window_hashes(byte_words(row[2]), window, 0, short=False)[pos]
                 else:
-                    at, name = ints(row[1], "<i4")[pos], ints(row[2], np.uint64)[pos]
+                    at, name = ints(row[2], "<i4")[pos], ints(row[3], np.uint64)[pos]
                 to = np.searchsorted(at, at + length)
                 ok = np.flatnonzero((to < len(at)) & (at[np.minimum(to, len(at) - 1)] == at + length))
                 if len(ok):
                     made = mixed(name[ok], 1) ^ mixed(name[to[ok]], 2)
-                    yield pa.RecordBatch.from_pydict({"doc_id": [row[0]], "at": [at[ok].astype("<i4").tobytes()], "name": [made.tobytes()]}, pa.schema([("doc_id", pa.int64()), ("at", pa.binary()), ("name", pa.binary())]))
+                    yield pa.RecordBatch.from_pydict({"doc_id": [row[0]], "key": [row[1]], "at": [at[ok].astype("<i4").tobytes()], "name": [made.tobytes()]}, pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("at", pa.binary()), ("name", pa.binary())]))
 
         # A run of places shorter than the length can still hold both halves of a window with another run.
-        able = found.select("doc_id", "first", "last")
-        names = durable(prior.join(_small(able), "doc_id").mapInArrow(double, NAMES), "names")
+        able = found.select("key", "first", "last")
+        names = durable(prior.join(_small(able), "key").select(*prior.columns, "first", "last").mapInArrow(double, NAMES), "names")
         held = names.agg(F.sum(F.octet_length("name") / 8)).first()[0]
         if not held:
             break
         length *= 2
-        found = _shared_runs(names, lambda row: ints(row[2], np.uint64), max(1, min(4 * parts, int(held) // BUCKET + 1)), "level")
-        levels.append(found.where(F.octet_length("later_first") > 0).select("doc_id", F.lit(length).cast("long").alias("length")))
+        found = _shared_runs(names, lambda row: ints(row[3], np.uint64), max(1, min(4 * parts, int(held) // BUCKET + 1)), "level")
+        levels.append(found.where(F.octet_length("later_first") > 0).select("key", F.lit(length).cast("long").alias("length")))
     longest = levels[0]
     for one in levels[1:]:
         longest = longest.union(one)
-    longest = longest.groupBy("doc_id").agg(F.max("length").alias("longest"))
-    return base.join(longest, "doc_id")
+    longest = longest.groupBy("key").agg(F.max("length").alias("longest"))
+    return base.join(longest, "key")
 
 
 def drop_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,7 +244,7 @@ def drop_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text
                     out[k].append(x)
             yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("longest", pa.int64())]))
 
-    return id_text(docs, id_col, text_col).join(_small(spans), "doc_id", "left").select("doc_id", "text", "first", "last", "longest").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary, longest long")
+    return keyed(docs, id_col, text_col).join(_small(spans), "key", "left").select("doc_id", "text", "first", "last", "longest").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary, longest long")
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

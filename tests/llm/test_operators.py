@@ -344,8 +344,8 @@ def test_sharding(docs, empty):
     loads = Counter()
     for r in got:
         loads[r.shard] += r.size
-    largest = max(Counter({(r.size, r.text_crc32): 0 for r in got} | {k: v for k, v in Counter((r.size, r.text_crc32) for r in got).items()}).items(), key=lambda x: x[0][0] * x[1])
-    assert max(loads.values()) == largest[0][0] * largest[1]
+    # One text is larger than all the others together: its shard can't be lighter, and differencing adds next to nothing.
+    assert max(loads.values()) <= 1.001 * max(r.size for r in got)
     assert sharding.shards(empty, 8).count() == 0
 
 
