@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from sifter.llm.common import byte_words, id_text, rows, table
 
 #: Largest share of a text's word characters inside repeated n-grams, by n. 2 to 4: in the most frequent one.
-TOP_SHARE = {2: 0.20, 3: 0.18, 4: 0.16}
+TOP_SHARE = {2: 0.30, 3: 0.27, 4: 0.24}
 #: 5 to 10: inside n-grams that occurred before.
-DUP_SHARE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+DUP_SHARE = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
 #: Largest share of characters in lines that equal an earlier line.
 LINE_SHARE = 0.30
 MIN_WORDS, MAX_REPEAT, BASE = 50, 50, np.uint64(0x9E3779B97F4A7C15)
