@@ -8,8 +8,9 @@ import time
 from dataclasses import replace
 
 from sifter.config import Settings
-from sifter.engine import REGISTRY, Engine, ablations
+from sifter.engine import REGISTRY, Engine
 from sifter.operators import findings as found
+from sifter.plans.compare import ablations, methods
 from sifter.sources.sinks import layer_graph, markdown_table, table_bundle, write_json, write_report
 
 
@@ -97,6 +98,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             seconds.append(time.monotonic() - began)
         rows = [{"mean_seconds": round(sum(seconds) / len(seconds), 4), "repeats": a.repeats, "deterministic": len(ids) == 1, **result.reasoning.metrics()}]
         print(markdown_table(rows))
+        print(markdown_table(methods(result.findings, settings)))
         if a.output:
             write_report(a.output, rows, "Benchmark")
     elif a.command == "ablate":
@@ -111,7 +113,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             print("\n".join(layer_graph(items, shared).write(f"{stem}-{name}")))
     else:
         folder = a.output or "sifter-assets"
-        print("\n".join(table_bundle(folder, "metrics", [result.reasoning.metrics()], "Metrics") + table_bundle(folder, "ablation", ablations(result.findings, settings), "Ablation")))
+        print("\n".join(table_bundle(folder, "metrics", [result.reasoning.metrics()], "Metrics") + table_bundle(folder, "ablation", ablations(result.findings, settings), "Ablation") + table_bundle(folder, "methods", methods(result.findings, settings), "Methods")))
     return 0
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 import time
 import uuid
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -203,14 +203,3 @@ class Engine:
         """A DataFrame in memory of Spark: no row cap, no fail_fast."""
         df = clean(df)
         return self._investigate(df, profile(df, name, **metadata), modules, False)
-
-
-def ablations(findings: DataFrame, settings: Settings) -> list[dict]:
-    """Six variants of the reasoning over the same findings: other communities, other edge thresholds, no graph."""
-    out = []
-    variants = {"full": {}, "greedy_modularity": {"algorithm": "greedy_modularity"}, "components": {"algorithm": "connected_components"}, "strict_edges": {"edge": 0.4}, "loose_edges": {"edge": 0.1}, "no_graph": {"edge": 2.0}}
-    for name, change in variants.items():
-        began = time.monotonic()
-        made = reason(findings, replace(settings, compression=replace(settings.compression, **change)))
-        out.append({"variant": name, "seconds": round(time.monotonic() - began, 3), **made.metrics()})
-    return out

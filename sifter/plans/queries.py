@@ -10,7 +10,7 @@ from sifter.engine import Engine
 from sifter.functions.scalars import jaccard, severity_rank, severity_weight
 from sifter.operators import findings as found
 from sifter.operators import similarity
-from sifter.plans import detect
+from sifter.plans import compare, detect
 from sifter.plans.detect import SQL, Q, labelled, prices, query, read
 from sifter.plans.reasoning import reason
 from sifter.streaming.incremental import merge_counts, profiled, windowed_counts
@@ -109,6 +109,18 @@ def linked(spark, d):
     return similarity.edges(example_findings(spark, d).drop("k"), CompressionSettings()).select("left", "right", "weight", "reasons")
 
 
+@query("ablations")
+def ablated(spark, d):
+    rows = compare.ablations(example_findings(spark, d).drop("k"), Settings())
+    return spark.createDataFrame([(r["variant"], r["evidence"], r["knowledge"], r["hypotheses"], r["investigations"]) for r in rows], "variant string, evidence int, knowledge int, hypotheses int, investigations int")
+
+
+@query("compression_methods")
+def compared(spark, d):
+    rows = compare.methods(example_findings(spark, d).drop("k"), Settings())
+    return spark.createDataFrame([(r["method"], r["findings"], r["evidence"], r["investigations"], r["deterministic"]) for r in rows], "method string, findings int, evidence int, investigations int, deterministic boolean")
+
+
 def queries():
     return dict(Q)
 

@@ -18,7 +18,7 @@ from sifter.functions import scalars, stats
 from sifter.operators import findings as found
 from sifter.operators import graph, integrity, moments, relationship, similarity
 from sifter.operators.profile import clean, profile, profile_table
-from sifter.plans import queries, reasoning
+from sifter.plans import compare, queries, reasoning
 from sifter.sources import loader, sinks
 from sifter.streaming import incremental
 
@@ -238,6 +238,9 @@ def test_similarity_and_reasoning(spark):
     assert pair.count() == 0
     with pytest.raises(ValueError):
         CompressionSettings(algorithm="other")
+    assert [x["variant"] for x in compare.ablations(df, Settings())] == list(compare.VARIANTS)
+    raw, rules, by_graph = compare.methods(df, Settings())
+    assert raw["evidence"] == 8 and rules["evidence"] < 8 and by_graph["evidence"] == m["evidence"] and rules["deterministic"] and by_graph["deterministic"]
 
 
 def test_engine_on_messy_data(spark):
