@@ -64,8 +64,16 @@ def mixed(h: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most: whole texts are large, and a task holds a few batches. A setting of the user's stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "67108864b") == "67108864b":
+        spark.conf.set(name, str(8 << 20))
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, whatever else the table holds: doc_id, and text as bytes."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
 

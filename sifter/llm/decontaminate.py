@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.llm.common import durable, rows, table
+from sifter.llm.common import durable, id_text, rows, table
 
 #: Bytes of benchmark text in a block, that is, sent to the executors at once.
 BLOCK_BYTES = 4 << 20
@@ -154,7 +154,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverag
     blocks = int(size // block_bytes) + 1
     kinds = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int64()), ("coverage", pa.float64()), ("longest", pa.int64()), ("tiles", pa.list_(pa.struct([("item_at", pa.int64()), ("doc_at", pa.int64()), ("words", pa.int64())])))])
     ddl = "doc_id long, item_id long, item_words long, coverage double, longest long, tiles array<struct<item_at:long,doc_at:long,words:long>>"
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    texts = id_text(docs, id_col, text_col)
     if blocks > 1:
         items = durable(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "items")
     parts = []

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.llm.common import byte_words, id_text, rows, table
+from sifter.llm.common import byte_words, id_text, rows, small_batches, table
 
 #: Upper bounds of the bins of each line feature; the last bin is open.
 BINS = {
@@ -181,6 +181,7 @@ def quality_scores(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD,
     empty texts are one empty line. held_out: crc32(id as text) mod 5 is 0 (false for a null id).
     """
     weight, step = chain.weight, chain.step
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Chain(weight, step)
