@@ -449,3 +449,14 @@ def test_rules_keep_clean_and_drop_repeats():
 def test_kept_digest_is_of_joined_words(spark, docs):
     r = substring.drop_repeats(docs[0].where("text = 'a'")).first()
     assert hashlib.sha256(r.kept).hexdigest() == hashlib.sha256(b"a").hexdigest()
+
+
+def test_written_tables_go(spark):
+    from pathlib import Path
+
+    from sifter.llm.common import durable, release, shared_root
+
+    root = Path(shared_root(spark))
+    assert durable(spark.range(3), "x").count() == 3 and root.exists()
+    release(spark)
+    assert not root.exists() and shared_root(spark) != str(root)
