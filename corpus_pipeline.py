@@ -17,12 +17,14 @@ from sifter.llm.decontaminate import contamination
 from sifter.llm.lines import drop_repeated_lines
 from sifter.llm.packing import pack
 from sifter.llm.quality import quality_scores, train
-from sifter.llm.simhash import near_duplicates
+from sifter.llm.neardup import near_copies, row_key
 
-#: Near-duplicates: shingles of five words, similarity 0.8, judged from fingerprints of 4 x 64 bits.
+#: Near-duplicates: sets of five-word shingles with a Jaccard index of 0.8, sought by fingerprints of 4 x 64 bits.
 SHINGLE, SIMILARITY, WIDTH = 5, 0.8, 4
-#: Bits that differ, on average, at that similarity: a Jaccard index j means a cosine of 2j / (1 + j).
-RADIUS = math.floor(64 * WIDTH * math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi)
+#: Share of bits that differ, on average, at that index: most for sets of four shingles and five (3 / 16; large sets: 0.15).
+APART = 3 / 16
+#: 4.5 standard deviations above that average; what is inside is compared exactly.
+RADIUS = math.floor(64 * WIDTH * APART + 4.5 * math.sqrt(64 * WIDTH * APART * (1 - APART)))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,13 +45,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one of its smallest doc_id.
+    """One document of each component of links of Jaccard index 0.8 or more: the one of its smallest doc_id.
 
-    Rows of one doc_id stay or go together; a row with a null doc_id stays only if its component has null ids alone.
+    Rows of one doc_id and one text are one document; one with a null doc_id stays only if its component has null ids alone.
     """
-    found = near_duplicates(docs, SHINGLE, RADIUS, width=WIDTH)
-    gone = durable(found.where("component_id is not null and (doc_id is null or doc_id <> component_id)").select("doc_id").distinct(), "gone")
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    gone = near_copies(docs, SHINGLE, SIMILARITY, RADIUS, WIDTH)
+    return docs.join(gone, row_key(docs) == gone.key, "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

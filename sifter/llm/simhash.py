@@ -84,16 +84,18 @@ def compare(a: np.ndarray, b: np.ndarray | None, radius: int) -> np.ndarray:
     """Classes of the rows of a (followed by those of b) joined by a pair a-b, or a-a without b, at most radius bits apart.
 
     a and b: (rows, words) in order of their population counts. A pair of tiles is passed over when their
-    counts differ by more than radius, as each differing bit changes a count by one. Words after the first half are
-    only compared for pairs that the half leaves within radius.
+    counts differ by more than radius, as each differing bit changes a count by one. Words after the first ones are
+    only compared for pairs that these leave within radius.
     """
     same, b = b is None, a if b is None else b
     base = 0 if same else len(a)
     label = np.arange(len(a) + (0 if same else len(b)))
     ca, cb = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (a, b))
     width = a.shape[1]
-    # A partial sum over the radius settles a pair: half of the words do for nearly all.
+    # A partial sum over the radius settles a pair: half of the words do for nearly all, or three if the radius is wide.
     head = (width + 1) // 2
+    while head < min(width, 3) and 32 * head - radius < 10 * math.sqrt(head):
+        head += 1
     cols_a, cols_b = ([np.ascontiguousarray(x[:, k]) for k in range(head)] for x in (a, b))
     for p in range(0, len(a), TILE_ROWS):
         q = min(p + TILE_ROWS, len(a))

@@ -77,3 +77,47 @@ def test_registered():
 
 def test_score_ignores_labels():
     assert quality.Chain(quality.np.zeros(quality.N_WEIGHTS), quality.np.zeros((2, 2))).score(b"any text") == 0.5
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[k : k + pipe.SHINGLE]) for k in range(max(1, len(w) - pipe.SHINGLE + 1))} if w else set()
+
+
+def test_near_dedup_is_exact(spark):
+    """Pairs around the similarity, of all lengths: what stays is what exact Jaccard indices of all pairs leave."""
+    rng = random.Random(5)
+    texts = []
+    for n in (8, 9, 14, 30, 60, 120, 400):
+        for _ in range(6):
+            words = prose(rng, n).split()
+            for cut in (0, 0.06, 0.1, 0.14, 0.2, 0.3):
+                texts.append(" ".join(words[: n - round(cut * n)] + prose(rng, round(cut * n) // 2).split()))
+    sets, up = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) / len(a | sets[j]) >= pipe.SIMILARITY:
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    assert ids(pipe.near_dedup(spark, docs, SF)) == [k for k in range(len(texts)) if root(k) == k]
+
+
+def test_confirmed_by_blocks(spark):
+    """Groups cut into blocks give the classes of groups held whole."""
+    from sifter.llm import neardup
+    from sifter.llm.components import components
+
+    rng = random.Random(9)
+    base = prose(rng, 80).split()
+    sets = [neardup.shingle_set(" ".join(w if rng.random() > k / 900 else "x" + w for w in base).encode(), 5) for k in range(60)]
+    made = spark.createDataFrame([(k, x.astype("<u8").tobytes()) for k, x in enumerate(sets)], "node long, grams binary")
+    of = spark.createDataFrame([(k, 0, len(x)) for k, x in enumerate(sets)], "node long, component long, size long")
+    got = [{(r.node, r.component) for r in components(neardup.confirmed(made, of, 0.8, block=b, share=s)).collect()} for b, s in ((1 << 22, 1 << 16), (300, 300), (10_000, 1000))]
+    assert got[0] and got[0] == got[1] == got[2]
