@@ -45,18 +45,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of links of Jaccard index 0.8 or more: the one of its smallest doc_id.
+    """One row of each component of links of Jaccard index 0.8 or more: of the document of its smallest doc_id.
 
-    Rows of one doc_id and one text are one document; one with a null doc_id stays only if its component has null ids alone.
+    Rows are named by doc_id and text, so a row with a null doc_id goes for its own text alone; it stays only if its component
+    has null ids alone. Of rows of one doc_id and one text, one stays.
     """
-    gone = near_copies(docs, SHINGLE, SIMILARITY, RADIUS, WIDTH)
-    return docs.join(gone, row_key(docs) == gone.key, "left_anti")
+    gone, again = near_copies(docs, SHINGLE, SIMILARITY, RADIUS, WIDTH)
+    left = docs.join(gone, row_key(docs) == gone.key, "left_anti")
+    if again.isEmpty():
+        return left
+    once = left.join(again, row_key(left) == again.key, "left_semi").withColumn("key", row_key(left)).dropDuplicates(["key"]).drop("key")
+    return left.join(again, row_key(left) == again.key, "left_anti").union(once)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is covered by tiles to 0.8 or more."""
-    hit = durable(contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "hit")
-    return docs.join(hit, docs.doc_id.eqNullSafe(hit.doc_id), "left_anti")
+    """Documents in which no benchmark item is covered by tiles to 0.8 or more. Rows are named by doc_id and text."""
+    keyed = docs.select(row_key(docs).alias("key"), "text")
+    hit = durable(contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="key").select(F.col("doc_id").alias("key")).distinct(), "hit")
+    return docs.join(hit, row_key(docs) == hit.key, "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

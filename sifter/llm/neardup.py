@@ -114,8 +114,8 @@ def confirmed(sets: DataFrame, of: DataFrame, similarity: float, block: int = BL
     return named.join(sets, "node").select("job", "low", "high", "node", "second", "two", "grams").groupBy("job", "low", "high").applyInArrow(forest, "u long, v long")
 
 
-def near_copies(docs: DataFrame, shingle: int, similarity: float, radius: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key): row_key() of each document that is not the one kept of its component.
+def near_copies(docs: DataFrame, shingle: int, similarity: float, radius: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(key) twice: row_key() of each document that is not the one kept of its component, and of each kept one that has several rows.
 
     Documents are linked by an exact Jaccard index of `similarity` or more of their sets of shingles; texts without words
     have equal sets. Fingerprints within `radius` bits, closed to groups, say which sets are compared at all. The
@@ -138,4 +138,7 @@ def near_copies(docs: DataFrame, shingle: int, similarity: float, radius: int, w
     sets = durable(texts.mapInArrow(grams, "node long, grams binary").groupBy("node").agg(F.first("grams").alias("grams")), "sets")
     of = components(confirmed(sets, near.select("node", "component", "size"), similarity))
     kept = nodes.join(of, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("best").alias("best")).select(F.col("best.key").alias("key"))
-    return durable(prints.select("key").join(durable(kept, "kept"), "key", "left_anti").distinct(), "gone")
+    kept = durable(kept, "kept")
+    many = durable(prints.groupBy("key").agg(F.count("*").alias("n")), "rows")
+    gone = durable(many.join(kept, "key", "left_anti").select("key"), "gone")
+    return gone, durable(many.where("n > 1").join(gone, "key", "left_anti").select("key"), "again")

@@ -121,3 +121,18 @@ def test_confirmed_by_blocks(spark):
     of = spark.createDataFrame([(k, 0, len(x)) for k, x in enumerate(sets)], "node long, component long, size long")
     got = [{(r.node, r.component) for r in components(neardup.confirmed(made, of, 0.8, block=b, share=s)).collect()} for b, s in ((1 << 22, 1 << 16), (300, 300), (10_000, 1000))]
     assert got[0] and got[0] == got[1] == got[2]
+
+
+def test_null_ids_go_by_their_own_text(spark):
+    """Of several rows with null ids only the copies, near copies and contaminated ones go."""
+    rng = random.Random(21)
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(1).collect())
+    alone, twin, named = ([prose(rng, 90) for _ in range(n)] for n in (4, 1, 1))
+    near = alone[3].replace(alone[3].split()[30], "changed", 1)
+    bad = f"{prose(rng, 40)} {item} {prose(rng, 30)}"
+    rows = [(7, named[0])] + [(None, t) for t in [*alone[:3], named[0], twin[0], twin[0], alone[3], near, bad]]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    once = [(r.doc_id, r.text) for r in pipe.near_dedup(spark, docs, SF).collect()]
+    assert len(once) == 7 and set(once) - {(None, alone[3]), (None, near)} == {(7, named[0]), (None, twin[0]), (None, bad), *((None, t) for t in alone[:3])}
+    clean = sorted((r.text for r in pipe.decontaminate(spark, docs, SF).collect()))
+    assert clean == sorted(t for _, t in rows if t != bad)
