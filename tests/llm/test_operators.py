@@ -460,3 +460,12 @@ def test_written_tables_go(spark):
     assert durable(spark.range(3), "x").count() == 3 and root.exists()
     release(spark)
     assert not root.exists() and shared_root(spark) != str(root)
+
+
+def test_rules_drop_texts_over_the_usual_limits():
+    """A text with a fifth of its characters in repeated 5-grams and 10-grams goes; one without repeats stays."""
+    rng = random.Random(4)
+    words = [f"{rng.randrange(10**6):06d}" for _ in range(320)]
+    assert rules.measure(" ".join(words).encode())[5] <= 1
+    got = rules.measure(" ".join(words + words[:75]).encode())
+    assert got[5] > 1 and got[4] * 2 < got[0]
