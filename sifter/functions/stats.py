@@ -161,23 +161,66 @@ def shapiro_p(x: np.ndarray) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def kendall(df: DataFrame, columns: list[str], rows: int = 5000, min_rows: int = 30) -> DataFrame:
-    """(a, b, n, r): tau-b of each pair on a bounded sample, one group of at most `rows` rows for each pair."""
+def sign_sum(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> int:
+    """Sum over all pairs of rows of w * w' * sign(x - x') * sign(y - y'), level by level of a merge sort over the ranks of x."""
+    p, total = np.unique(x, return_inverse=True)[1], 0
+    for level in range(int(p.max(initial=0)).bit_length()):
+        group, right = p >> (level + 1), p >> level & 1
+        order = np.lexsort((y, group))
+        g, v, r, n = group[order], y[order], right[order], w[order]
+        left = np.r_[0, np.cumsum(np.where(r == 0, n, 0))]
+        new_g = np.r_[True, g[1:] != g[:-1]]
+        new_v = new_g | np.r_[True, v[1:] != v[:-1]]
+        bounds = lambda new: (np.flatnonzero(new)[np.cumsum(new) - 1], np.r_[np.flatnonzero(new)[1:], len(g)][np.cumsum(new) - 1])
+        (g_from, g_to), (v_from, v_to) = bounds(new_g), bounds(new_v)
+        more = (left[v_from] - left[g_from]) - (left[g_to] - left[v_to])
+        total += sum((n * more)[r == 1].tolist())
+    return total
+
+
+def kendall(df: DataFrame, columns: list[str], rows: int | None = None, min_rows: int = 30, task_rows: int = 1 << 15, most: int = 256) -> DataFrame:
+    """(a, b, n, r): tau-b of each pair of columns over all rows that have both; over a sample of `rows` rows only if asked.
+
+    Rows are counted by (x, y). x and y are each cut at quantiles into intervals and single values. Pairs of rows are then
+    of three kinds: apart in both cuts (settled by the counts of cells), in one interval of x (a task for each), or
+    apart in x's cuts and in one interval of y (a task for each).
+    """
+    spark = df.sparkSession
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    held = row_sample(df.select(*(F.col(f"`{c}`") for c in columns)), rows)
-    cells = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), double(a).alias("x"), double(b).alias("y")) for a, b in pairs))
-
-    def tau(key, pdf):
-        pdf = pdf.dropna()
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        n, s, tx, ty = len(x), 0.0, 0, 0
-        for at in range(0, n, 512):
-            dx, dy = np.sign(x[at : at + 512, None] - x[None]), np.sign(y[at : at + 512, None] - y[None])
-            s, tx, ty = s + float((dx * dy).sum()), tx + int((dx != 0).sum()), ty + int((dy != 0).sum())
-        r = s / math.sqrt(tx * ty) if n >= min_rows and tx and ty else None
-        return pd.DataFrame({"a": [key[0]], "b": [key[1]], "n": [n], "r": [r]})
-
-    return held.select(F.inline(cells)).groupBy("a", "b").applyInPandas(tau, "a string, b string, n bigint, r double")
+    if not pairs:
+        return spark.createDataFrame([], "a string, b string, n bigint, r double")
+    held = df.select(*(F.col(f"`{c}`") for c in columns))
+    held = held if rows is None else row_sample(held, rows)
+    here = lambda c: double(c).isNotNull() & ~F.isnan(double(c))
+    cells = F.array(*(F.when(here(a) & here(b), F.struct(F.lit(k).alias("pair"), double(a).alias("x"), double(b).alias("y"))) for k, (a, b) in enumerate(pairs)))
+    joint = held.select(F.inline(F.array_compact(cells))).groupBy("pair", "x", "y").agg(F.count("*").alias("w"))
+    shares = [k / most for k in range(1, most)]
+    found = joint.groupBy("pair").agg(F.count("*").alias("m"), F.percentile_approx("x", shares).alias("x"), F.percentile_approx("y", shares).alias("y")).collect()
+    cuts = []
+    for f in found:
+        step = most // min(most, math.ceil(f.m / task_rows))
+        cuts.append((f.pair, sorted(set(f.x[step - 1 :: step])), sorted(set(f.y[step - 1 :: step]))))
+    cut = F.broadcast(spark.createDataFrame(cuts, "pair int, cx array<double>, cy array<double>"))
+    # An even number is an interval between cuts, an odd one the value of a cut: its rows are tied.
+    at = lambda c, v: F.size(F.filter(c, lambda k: k <= F.col(v))) + F.size(F.filter(c, lambda k: k < F.col(v)))
+    placed = joint.join(cut, "pair").select("pair", "x", "y", "w", at("cx", "x").alias("bx"), at("cy", "y").alias("by"))
+    part = lambda d, kind, block, x, y: d.select("pair", F.lit(kind).alias("kind"), block.cast("int").alias("block"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), "w")
+    both = part(placed.groupBy("pair", "bx", "by").agg(F.sum("w").alias("w")), 0, F.lit(0), "bx", "by")
+    inner = part(placed.where("bx % 2 = 0"), 1, F.col("bx"), "x", "y")
+    outer = part(placed.where("by % 2 = 0").groupBy("pair", "bx", "by", "y").agg(F.sum("w").alias("w")), 2, F.col("by"), "bx", "y")
+
+    def signs(key, pdf):
+        return pd.DataFrame({"pair": [key[0]], "s": [float(sign_sum(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy(np.int64)))]})
+
+    s = both.union(inner).union(outer).groupBy("pair", "kind", "block").applyInPandas(signs, "pair int, s double").groupBy("pair").agg(F.sum("s").alias("s"))
+    two = lambda c: F.sum(F.col(c).cast("double") * (F.col(c) - 1) / 2)
+    tied = [joint.groupBy("pair", v).agg(F.sum("w").alias("t")).groupBy("pair").agg(F.sum("t").alias(f"n{v}"), two("t").alias(f"t{v}")) for v in ("x", "y")]
+    n = F.col("nx")
+    every = n.cast("double") * (n - 1) / 2
+    r = F.try_divide(F.col("s"), F.sqrt(every - F.col("tx")) * F.sqrt(every - F.col("ty")))
+    names = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "pair int, a string, b string")
+    got = names.join(s.join(tied[0], "pair").join(tied[1], "pair"), "pair", "left")
+    return got.select("a", "b", F.coalesce(n, F.lit(0)).alias("n"), F.when((n >= min_rows) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str], method: str = "pearson", min_rows: int = 30) -> DataFrame:

@@ -318,7 +318,7 @@ def normal(spark, d):
 
 @query("kendall")
 def tau(spark, d):
-    return stats.kendall(prices(spark, d), ["l_quantity", "price"], rows=1000).withColumn("r", F.round("r", 4))
+    return stats.kendall(prices(spark, d), ["l_quantity", "price"]).withColumn("r", F.round("r", 4))
 
 
 @query("connected_components", "WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, c_custkey - 1 AS b FROM customer WHERE c_custkey % 5 <> 0), v AS (SELECT a AS vertex FROM e UNION SELECT b FROM e), r AS (SELECT vertex, vertex AS up FROM v UNION SELECT r.vertex, e.b FROM r JOIN e ON r.up = e.a) SELECT vertex, min(up) AS component FROM r GROUP BY vertex")

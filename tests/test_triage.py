@@ -331,3 +331,17 @@ def test_queries_against_sql(spark):
         assert cols == sorted(got.columns)
         norm = lambda d: sorted(map(repr, d[cols].astype(object).itertuples(index=False, name=None)))  # noqa: B023, E731
         assert norm(got) == norm(want), name
+
+
+def test_kendall_takes_all_rows(spark):
+    """tau-b of more rows than a sample held, with ties, nulls and a constant, whatever the cuts."""
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(0, 60, 6000).astype(float), rng.normal(size=6000)
+    y = np.where(rng.random(6000) < 0.3, np.round(x / 9), y + x / 20)
+    rows = [(float(a), None if k % 50 == 0 else float(b), 1.0) for k, (a, b) in enumerate(zip(x, y, strict=True))]
+    df, keep = frame(spark, rows, "a double, b double, c double"), np.arange(6000) % 50 != 0
+    dx, dy = (np.sign(v[keep][:, None] - v[keep][None]) for v in (x, y))
+    want = (dx * dy).sum() / math.sqrt((dx != 0).sum() * (dy != 0).sum())
+    for task_rows in (1 << 15, 100):
+        got = {(r.a, r.b): (r.n, r.r) for r in stats.kendall(df, ["a", "b", "c"], task_rows=task_rows).collect()}
+        assert got["a", "b"][0] == keep.sum() and abs(got["a", "b"][1] - want) < 1e-9 and got["a", "c"] == (6000, None)
