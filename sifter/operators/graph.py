@@ -8,15 +8,16 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sifter.sources.shared import durable
+
 
 def components(edges: DataFrame, vertices: DataFrame | None = None, max_rounds: int = 100) -> DataFrame:
     """(vertex, component) by least label propagation with shortcuts; edges: src, dst. Lone vertices name themselves.
 
-    Each round takes the least label of the neighbours, then that label's own; lineage is cut by checkpoints in the
-    folder of spark.checkpoint.dir if it is set, so that a lost executor costs one round.
+    Each round takes the least label of the neighbours, then that label's own, and is written to the shared folder, so that a
+    lost executor costs one round at most.
     """
-    spark = edges.sparkSession
-    held = lambda df: df.checkpoint() if spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") else df.persist()
+    held = lambda df: durable(df, "components")
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
     points = both.select(F.col("src").alias("vertex"))
     if vertices is not None:
@@ -133,6 +134,20 @@ def greedy_modularity(vertices: list, edges: list[tuple], resolution: float = 1.
                 link[a][c] = link[c][a] = link[a].get(c, 0.0) + e
 
 
+def local_modularity(groups: list[list], edges: list[tuple], resolution: float = 1.0) -> float:
+    """Newman's score of groups of a graph that fits a driver; 0 without edges or with one group."""
+    total = sum(w for *_, w in edges)
+    if total <= 0 or len(groups) < 2:
+        return 0.0
+    at = {v: k for k, g in enumerate(groups) for v in g}
+    inside, degree = 0.0, [0.0] * len(groups)
+    for a, b, w in edges:
+        inside += w * (at[a] == at[b])
+        degree[at[a]] += w
+        degree[at[b]] += w
+    return inside / total - resolution * sum(d * d for d in degree) / (4 * total * total)
+
+
 def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(modularity): Newman's score of membership (vertex, community) over edges (src, dst, weight); 0 without edges or with one community."""
     a, b = (membership.select(F.col("vertex").alias(v), F.col("community").alias(c)) for v, c in (("src", "ca"), ("dst", "cb")))
