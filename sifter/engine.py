@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import importlib
 import logging
+import pkgutil
 import time
 import uuid
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sifter.config import Settings
 from sifter.operators import findings as found
 from sifter.operators import integrity, relationship
-from sifter.operators.profile import DatasetProfile, clean, profile, profile_table
+from sifter.operators.profile import DatasetProfile, clean, profile, profile_frame
+from sifter.operators.sampling import row_sample
 from sifter.plans.reasoning import Reasoning, reason
 from sifter.sources.loader import load, name_of, source_type
 
@@ -53,6 +58,32 @@ def register(kind: type[Module]) -> type[Module]:
     return kind
 
 
+def module_names() -> list[str]:
+    return sorted(REGISTRY)
+
+
+def module_of(name: str) -> type[Module] | None:
+    return REGISTRY.get(name)
+
+
+def clear_registry() -> None:
+    """Forget every module, the built-in ones too."""
+    REGISTRY.clear()
+
+
+def discover_modules(package: str) -> int:
+    """Import what lies in a package, whose modules register themselves; how many were imported. One that fails is logged and passed over."""
+    top = importlib.import_module(package)
+    found = 0
+    for _, name, _ in pkgutil.walk_packages(getattr(top, "__path__", []), f"{package}."):
+        try:
+            importlib.import_module(name)
+            found += 1
+        except Exception as problem:
+            log.warning("%s can't be imported: %s", name, problem)
+    return found
+
+
 def frozen(df: DataFrame) -> DataFrame:
     """Findings run now and kept as rows (at most a few hundred), so that a failure shows where it belongs."""
     return df.sparkSession.createDataFrame(df.collect(), found.SCHEMA)
@@ -67,18 +98,29 @@ class Integrity(Module):
         return None if p.row_count >= 1 and df.columns else "needs at least one row and one column"
 
     def investigate(self, df, p):
-        table = df.sparkSession.createDataFrame(profile_table(df).collect(), profile_table(df).schema)
-        out, failed = found.none(df.sparkSession), []
-        for domain, detectors in integrity.DETECTORS.items():
+        spark, s = df.sparkSession, self.settings.integrity
+        table = profile_frame(spark, p)
+        extra = {integrity.missingness_correlation: {"full": self.settings.full}, integrity.duplicates: {"counted": (p.row_count, p.duplicate_rows)}}
+        made, failed = {}, []
+
+        def guarded(domain, run):
+            """A domain's failure costs that domain alone."""
             try:
-                made = found.none(df.sparkSession)
-                for detect in detectors:
-                    extra = {"full": self.settings.full} if detect is integrity.missingness_correlation else {}
-                    made = made.unionByName(detect(df, table, self.settings.integrity, **extra))
-                out = out.unionByName(frozen(made))
-            except Exception as problem:  # a domain's failure costs that domain alone
+                return run()
+            except Exception as problem:
                 log.warning("%s failed: %s", domain, problem)
                 failed.append(domain)
+                return None
+
+        for domain, detectors in integrity.DETECTORS.items():
+            parts = guarded(domain, lambda ds=detectors: [detect(df, table, s, **extra.get(detect, {})) for detect in ds])
+            if parts:
+                made[domain] = reduce(DataFrame.unionByName, parts)
+        try:  # one action for all domains; if it fails, one for each, to tell which
+            out = frozen(reduce(DataFrame.unionByName, made.values(), found.none(spark)))
+        except Exception:
+            kept = [guarded(domain, lambda x=x: frozen(x)) for domain, x in made.items()]
+            out = frozen(reduce(DataFrame.unionByName, (x for x in kept if x is not None), found.none(spark)))
         return out.unionByName(frozen(integrity.health_finding(out, tuple(failed))))
 
 
@@ -96,9 +138,13 @@ class Relationship(Module):
         target = relationship.target_column(df, s, p.metadata.get("target_column"))
         out = found.none(spark)
         if len(columns) >= 2:
-            pairs = relationship.correlated_pairs(df, columns, s, full)
+            held, n = df, p.row_count
+            if not full:  # one sample for all budgets; smaller ones are drawn from it
+                held = row_sample(df.select(*(F.col(f"`{c}`") for c in columns)), max(s.pearson_rows, s.vif_rows), n=n).persist()
+                n = min(n, max(s.pearson_rows, s.vif_rows))
+            pairs = relationship.correlated_pairs(held, columns, s, full, n)
             if full or not target:
-                scores = relationship.pairwise_information(df, p, columns, s, full)
+                scores = relationship.pairwise_information(held, p, columns, s, full, n)
                 out = out.unionByName(relationship.information_findings(spark, scores, pairs, s))
                 by = {(q["a"], q["b"]): q for q in pairs}
                 for a, b, x in scores:
@@ -106,7 +152,9 @@ class Relationship(Module):
                         by[a, b]["mi"] = x
                     else:
                         pairs.append({"a": a, "b": b, "pearson": None, "spearman": None, "p_value": None, "mi": x, "n": p.row_count})
-            out = out.unionByName(relationship.correlation_findings(spark, pairs, s)).unionByName(relationship.vif_findings(df, columns, s, full)).unionByName(relationship.group_findings(spark, pairs, len(columns), s))
+            out = out.unionByName(relationship.correlation_findings(spark, pairs, s))
+            out = out.unionByName(relationship.vif_findings(held, columns, s, full, n))
+            out = out.unionByName(relationship.group_findings(spark, pairs, len(columns), s))
         if target and columns:
             out = out.unionByName(relationship.target_findings(df, p, target, columns, s))
         return frozen(out)
@@ -150,7 +198,18 @@ class Result:
     def document(self) -> dict:
         """Everything as one JSON-able document."""
         layers = {k: [asdict(x) for x in getattr(self.reasoning, k)] for k in ("evidence", "knowledge", "hypotheses", "queue")}
-        return {"run_id": self.run_id, "dataset": asdict(self.profile), "findings": [r.asDict(recursive=True) for r in self.ranked().collect()], "executions": [asdict(e) for e in self.executions], "metrics": self.reasoning.metrics(), "seconds": self.seconds, "timings": self.timings, "settings": self.settings, **layers}
+        return {
+            "run_id": self.run_id,
+            "dataset": asdict(self.profile),
+            "findings": [r.asDict(recursive=True) for r in self.ranked().collect()],
+            "executions": [asdict(e) for e in self.executions],
+            "metrics": self.reasoning.metrics(),
+            "report": self.reasoning.report(self.timings, self.profile.size_estimate),
+            "seconds": self.seconds,
+            "timings": self.timings,
+            "settings": self.settings,
+            **layers,
+        }
 
 
 class Engine:
@@ -175,7 +234,7 @@ class Engine:
             # The cap keeps the most urgent; the health score is never among those it drops.
             health = made.where("category = 'structural_health_score'")
             kept = frozen(found.strongest(made.where("category <> 'structural_health_score'"), self.settings.engine.max_findings).unionByName(health))
-            return kept, Execution(module.name, "success", time.monotonic() - began, kept.count())
+            return kept, Execution(module.name, "success", time.monotonic() - began, len(kept.collect()))
         except Exception as problem:
             if fail_fast:
                 raise
@@ -197,7 +256,8 @@ class Engine:
 
     def investigate(self, source: str, *, modules: list[str] | None = None, **options) -> Result:
         df, meta = load(self.spark, source, self.settings.engine.max_rows, **options)
-        return self._investigate(df, profile(df, name_of(source), meta.pop("source"), source_type(source), **meta), modules, self.settings.engine.fail_fast)
+        p = profile(df, name_of(source), meta.pop("source"), source_type(source), **meta)
+        return self._investigate(df, p, modules, self.settings.engine.fail_fast)
 
     def investigate_dataframe(self, df: DataFrame, *, name: str = "dataframe", modules: list[str] | None = None, **metadata) -> Result:
         """A DataFrame in memory of Spark: no row cap, no fail_fast."""

@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sifter.operators.moments import double, pearson, row_sample, spearman
-
-
+from sifter.operators.moments import pearson, spearman
+from sifter.operators.ranks import double, quantiles
+from sifter.operators.sampling import row_sample
 
 def z_scores(df: DataFrame, column: str) -> DataFrame:
     """df with z: distance from the mean in sample deviations; null below two values, 0 for a constant column."""
@@ -24,10 +24,10 @@ def z_scores(df: DataFrame, column: str) -> DataFrame:
 def iqr_bounds(df: DataFrame, column: str, multiplier: float = 1.5) -> DataFrame:
     """(low, high): quartiles, by linear interpolation, less and plus multiplier interquartile ranges; infinite below four values."""
     x = double(column)
-    q = df.agg(F.count(x).alias("n"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    step = F.lit(multiplier) * (F.col("q")[1] - F.col("q")[0])
-    inf = F.lit(float("inf"))
-    return q.select(F.when(F.col("n") >= 4, F.col("q")[0] - step).otherwise(-inf).alias("low"), F.when(F.col("n") >= 4, F.col("q")[1] + step).otherwise(inf).alias("high"))
+    n = df.agg(F.count(x)).first()[0]
+    a, b = quantiles(df, column, [0.25, 0.75]) if n >= 4 else (-math.inf, math.inf)
+    step = multiplier * (b - a) if n >= 4 else 0.0
+    return df.sparkSession.createDataFrame([(a - step, b + step)], "low double, high double")
 
 
 def cohens_d(df: DataFrame, column: str, first: Column) -> DataFrame:
@@ -41,16 +41,21 @@ def cohens_d(df: DataFrame, column: str, first: Column) -> DataFrame:
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     """(v) of two categorical columns over rows that have both; Yates' correction for a 2 x 2 table; 0 where undefined."""
-    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+    held = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    cells = held.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
     rows, cols = cells.groupBy("a").agg(F.sum("n").alias("ra")), cells.groupBy("b").agg(F.sum("n").alias("cb"))
-    size = cells.agg(F.sum("n").alias("total"), F.count_distinct("a").alias("p"), F.count_distinct("b").alias("q"))
-    full = rows.join(cols).join(cells, ["a", "b"], "left").join(F.broadcast(size))  # categories by categories, each a group's sum
-    expect = F.col("ra") * F.col("cb") / F.col("total")
-    off = F.abs(F.coalesce("n", F.lit(0)) - expect)
-    off = F.when((F.col("p") == 2) & (F.col("q") == 2), F.greatest(F.lit(0.0), off - F.least(F.lit(0.5), off))).otherwise(off)
-    got = full.agg(F.sum(off * off / expect).alias("chi2"), F.max("total").alias("total"), F.max(F.least("p", "q")).alias("k"))
-    v = F.sqrt(F.try_divide(F.col("chi2"), F.col("total") * (F.col("k") - 1)))
-    return got.select(F.coalesce(v, F.lit(0.0)).alias("v"))
+    # Over the cells that occur alone: the others add what makes the expected counts sum to the total.
+    part = cells.join(rows, "a").join(cols, "b").agg(F.sum(F.col("n") * F.col("n") / (F.col("ra") * F.col("cb"))).alias("s"), F.sum("n").alias("total"))
+    size = rows.agg(F.count("*").alias("p"), F.max("ra").alias("r1")).join(cols.agg(F.count("*").alias("q"), F.max("cb").alias("c1")))
+    most = F.col("total").cast("double")
+    plain = most * (F.col("s") - 1)
+    # In a 2 x 2 table every cell is equally far from its expected count, d; chi2 = plain, so d follows from it.
+    r1, c1 = F.col("r1"), F.col("c1")
+    scale = F.try_divide(most * most * most, r1 * (most - r1) * c1 * (most - c1))
+    d = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(plain, scale)))
+    chi2 = F.when((F.col("p") == 2) & (F.col("q") == 2), scale * F.pow(d - F.least(F.lit(0.5), d), F.lit(2.0))).otherwise(plain)
+    v = F.sqrt(F.try_divide(F.greatest(F.lit(0.0), chi2), most * (F.least("p", "q") - 1)))
+    return part.join(size).select(F.coalesce(v, F.lit(0.0)).alias("v"))
 
 
 def entropy(df: DataFrame, column: str) -> DataFrame:

@@ -63,6 +63,20 @@ def strongest(df: DataFrame, limit: int) -> DataFrame:
     return df.orderBy(severity_rank(F.col("severity")), F.desc(load), F.desc("confidence"), "id").limit(limit)
 
 
+def json_schema() -> dict:
+    """A finding as a JSON Schema."""
+    plain = {"string": "string", "double": "number", "bigint": "integer"}
+    many = {"array<string>": "string", "array<bigint>": "integer"}
+    kind = lambda k: {"type": [plain[k], "null"]} if k in plain else {"type": ["array", "null"], "items": {"type": many[k]}} if k in many else {"type": "object", "additionalProperties": {"type": ["string", "null"]}}
+    properties = {name: kind(k) for name, k in (x.split(" ", 1) for x in SCHEMA.split(", "))}
+    needed = ["id", "module", "category", "title", "description", "severity", "confidence"]
+    properties |= {k: {"type": "string", "minLength": 1} for k in needed[:5]}
+    properties["title"]["maxLength"] = TITLE
+    properties["severity"] = {"enum": list(SEVERITIES)}
+    properties["confidence"] = {"type": "number", "minimum": 0, "maximum": 1}
+    return {"$schema": "https://json-schema.org/draft/2020-12/schema", "title": "finding", "type": "object", "properties": properties, "required": needed}
+
+
 def none(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SCHEMA)
 

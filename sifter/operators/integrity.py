@@ -14,8 +14,9 @@ from sifter.config import IntegritySettings
 from sifter.functions.scalars import SEVERITIES, is_number_text, severity_by_ratio, value_type
 from sifter.operators.findings import finding, none
 from sifter.operators.graph import local_components
-from sifter.operators.moments import pearson, row_sample
+from sifter.operators.moments import pearson
 from sifter.operators.profile import duplicate_rows, row_key, value_counts
+from sifter.operators.sampling import row_sample
 
 MODULE = "integrity"
 #: Points off a domain's score by severity, and the domains' weights.
@@ -41,13 +42,13 @@ def empty_columns(df: DataFrame, profile: DataFrame, s: IntegritySettings) -> Da
     """One critical finding that lists the columns with a null ratio of 0.99 or more."""
     got = missing_ratios(profile, s).where(F.col("ratio") >= s.empty).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "name"))), lambda x: x["name"]).alias("names"), F.max("row_count").alias("rows")).where(F.size("names") > 0)
     k = F.size("names")
-    return finding(got, MODULE, "missing_values", title=_text("%d empty column(s): %s", k, F.array_join("names", ", ")), description=_text("%d column(s) have (nearly) no values", k), severity=F.lit("critical"), confidence=F.lit(1.0), columns=F.col("names"), recommendation="Drop the columns or repair their source.", evidence={"total_rows": F.col("rows"), "empty_columns": F.array_join("names", ",")}, impact=k / F.lit(float(len(df.columns))), missing_ratio=F.lit(1.0))
+    return finding(got, MODULE, "missing_values", title=_text("%d empty column(s): %s", k, F.array_join("names", ", ")), description=_text("%d column(s) have (nearly) no values", k), severity=F.lit("critical"), confidence=F.lit(1.0), columns=F.col("names"), recommendation="Drop the columns or repair their source.", evidence={"total_rows": F.col("rows"), "empty_columns": F.array_join("names", ",")}, anomaly_strength=F.lit(1.0), impact=k / F.lit(float(len(df.columns))), missing_ratio=F.lit(1.0))
 
 
 def missing_values(df: DataFrame, profile: DataFrame, s: IntegritySettings) -> DataFrame:
     """A finding for each column whose null ratio is 0.05 or more, unless it is empty."""
     got = missing_ratios(profile, s).where((F.col("ratio") >= s.missing[-1]) & (F.col("ratio") < s.empty))
-    return finding(got, MODULE, "missing_values", title=_text("Missing values in '%s'", F.col("name")), description=_text("%d of %d values are missing", F.col("null_count"), F.col("row_count")), severity=F.col("severity"), confidence=F.lit(1.0), columns=F.array("name"), recommendation="Find out why values are missing before filling them in.", evidence={"missing_count": F.col("null_count"), "missing_ratio": F.bround("ratio", 4), "total_rows": F.col("row_count")}, impact=F.col("ratio"), missing_ratio=F.bround("ratio", 4))
+    return finding(got, MODULE, "missing_values", title=_text("Missing values in '%s'", F.col("name")), description=_text("%d of %d values are missing", F.col("null_count"), F.col("row_count")), severity=F.col("severity"), confidence=F.lit(1.0), columns=F.array("name"), recommendation="Find out why values are missing before filling them in.", evidence={"missing_count": F.col("null_count"), "missing_ratio": F.bround("ratio", 4), "total_rows": F.col("row_count")}, anomaly_strength=F.col("ratio"), impact=F.col("ratio"), missing_ratio=F.bround("ratio", 4))
 
 
 def duplicate_row_counts(df: DataFrame, s: IntegritySettings) -> DataFrame:
@@ -56,12 +57,37 @@ def duplicate_row_counts(df: DataFrame, s: IntegritySettings) -> DataFrame:
     return duplicate_rows(df).select("rows", "duplicates", ratio.alias("ratio"), severity_by_ratio(ratio, s.duplicates).alias("severity"))
 
 
-def duplicates(df: DataFrame, profile: DataFrame, s: IntegritySettings) -> DataFrame:
-    """A finding if at least 0.01 of two or more rows repeat an earlier one; up to 100 keys of repeated rows go with it."""
-    got = duplicate_row_counts(df, s).where((F.col("rows") >= 2) & (F.col("ratio") >= s.duplicates[-1]))
+def duplicates(df: DataFrame, profile: DataFrame, s: IntegritySettings, counted: tuple[int, int] | None = None) -> DataFrame:
+    """A finding if at least 0.01 of two or more rows repeat an earlier one; up to 100 keys of repeated rows go with it.
+
+    counted: rows and duplicates, if they are known.
+    """
+    spark = df.sparkSession
+    if counted is None:
+        rows, repeats = duplicate_rows(df).first()
+    else:
+        rows, repeats = counted
+    if rows < 2 or repeats / rows < s.duplicates[-1]:
+        return none(spark)
+    ratio = F.lit(repeats / rows)
     keys = row_key(df)
-    sample = df.groupBy(keys[0].alias("k"), keys[1].alias("k2")).agg(F.count("*").alias("n")).where("n > 1").orderBy("k", "k2").limit(100).agg(F.sort_array(F.collect_list("k")).alias("keys"))
-    return finding(got.join(sample), MODULE, "duplicate_rows", title=_text("%d duplicate rows", F.col("duplicates")), description=_text("%d of %d rows repeat an earlier row", F.col("duplicates"), F.col("rows")), severity=F.col("severity"), confidence=F.lit(1.0), columns=F.array(*map(F.lit, df.columns)), rows=F.col("keys"), recommendation="Check joins and loads for repeated input.", evidence={"duplicate_count": F.col("duplicates"), "duplicate_ratio": F.bround("ratio", 4), "total_rows": F.col("rows")}, impact=F.col("ratio"))
+    again = df.groupBy(keys[0].alias("k"), keys[1].alias("k2")).agg(F.count("*").alias("n")).where("n > 1")
+    sample = again.orderBy("k", "k2").limit(100).agg(F.sort_array(F.collect_list("k")).alias("keys"))
+    return finding(
+        sample,
+        MODULE,
+        "duplicate_rows",
+        title=_text("%d duplicate rows", F.lit(repeats)),
+        description=_text("%d of %d rows repeat an earlier row", F.lit(repeats), F.lit(rows)),
+        severity=severity_by_ratio(ratio, s.duplicates),
+        confidence=F.lit(1.0),
+        columns=F.array(*map(F.lit, df.columns)),
+        rows=F.col("keys"),
+        recommendation="Check joins and loads for repeated input.",
+        evidence={"duplicate_count": F.lit(repeats), "duplicate_ratio": F.bround(ratio, 4), "total_rows": F.lit(rows)},
+        anomaly_strength=ratio,
+        impact=ratio,
+    )
 
 
 def duplicate_feature_pairs(df: DataFrame) -> DataFrame:
@@ -91,7 +117,7 @@ def duplicate_features(df: DataFrame, profile: DataFrame, s: IntegritySettings)
     if not groups:
         return none(df.sparkSession)
     got = df.sparkSession.createDataFrame([(g,) for g in groups], "names array<string>")
-    return finding(got, MODULE, "duplicate_features", title=_text("Identical columns: %s", F.array_join("names", ", ")), description=_text("%d columns hold the same values in every row", F.size("names")), severity=F.lit("medium"), confidence=F.lit(1.0), columns=F.col("names"), recommendation="Keep one of the columns.", evidence={"group": F.array_join("names", ",")}, impact=F.size("names") / F.lit(float(len(df.columns))))
+    return finding(got, MODULE, "duplicate_features", title=_text("Identical columns: %s", F.array_join("names", ", ")), description=_text("%d columns hold the same values in every row", F.size("names")), severity=F.lit("medium"), confidence=F.lit(1.0), columns=F.col("names"), recommendation="Keep one of the columns.", evidence={"group": F.array_join("names", ",")}, anomaly_strength=F.lit(1.0), impact=F.size("names") / F.lit(float(len(df.columns))))
 
 
 def is_id_name(name: str, s: IntegritySettings) -> bool:
@@ -103,7 +129,8 @@ def is_id_name(name: str, s: IntegritySettings) -> bool:
 def identifiers(df: DataFrame, profile: DataFrame, s: IntegritySettings) -> DataFrame:
     """(name, nulls, duplicates, null_ratio, duplicate_ratio, severity) of identifier columns: a name's part, and over half unique."""
     names = [c for c in df.columns if is_id_name(c, s)]
-    got = profile.where(F.col("name").isin(names) & (_ratio(F.col("unique_count"), F.col("row_count")) > 0.5)) if names else profile.where("false")
+    unique = _ratio(F.col("unique_count"), F.col("row_count"))
+    got = profile.where(F.col("name").isin(names) & ((unique > 0.5) | (unique >= s.id_unique))) if names else profile.where("false")
     dup = F.col("row_count") - F.col("null_count") - F.col("unique_count")
     worst = F.greatest(_ratio(F.col("null_count"), F.col("row_count")), _ratio(dup, F.col("row_count")))
     return got.select("name", "row_count", F.col("null_count").alias("nulls"), dup.alias("duplicates"), _ratio(F.col("null_count"), F.col("row_count")).alias("null_ratio"), _ratio(dup, F.col("row_count")).alias("duplicate_ratio"), severity_by_ratio(worst, (0.10, 0.05, 0.01, 0.001)).alias("severity"))
@@ -112,13 +139,13 @@ def identifiers(df: DataFrame, profile: DataFrame, s: IntegritySettings) -> Data
 def identifier_integrity(df: DataFrame, profile: DataFrame, s: IntegritySettings) -> DataFrame:
     """A finding for each identifier column with nulls or repeats."""
     got = identifiers(df, profile, s).where("nulls > 0 or duplicates > 0")
-    return finding(got, MODULE, "identifier_integrity", title=_text("Identifier '%s' is not a clean key", F.col("name")), description=_text("%d null and %d repeated identifiers", F.col("nulls"), F.col("duplicates")), severity=F.col("severity"), confidence=F.lit(0.85), columns=F.array("name"), recommendation="Repair the key before joining on it.", evidence={"null_count": F.col("nulls"), "duplicate_count": F.col("duplicates"), "total_rows": F.col("row_count")}, impact=F.greatest("null_ratio", "duplicate_ratio"))
+    return finding(got, MODULE, "identifier_integrity", title=_text("Identifier '%s' is not a clean key", F.col("name")), description=_text("%d null and %d repeated identifiers", F.col("nulls"), F.col("duplicates")), severity=F.col("severity"), confidence=F.lit(0.85), columns=F.array("name"), recommendation="Repair the key before joining on it.", evidence={"null_count": F.col("nulls"), "duplicate_count": F.col("duplicates"), "total_rows": F.col("row_count")}, anomaly_strength=F.greatest("null_ratio", "duplicate_ratio"), impact=F.greatest("null_ratio", "duplicate_ratio"))
 
 
 def constant_features(df: DataFrame, profile: DataFrame, s: IntegritySettings) -> DataFrame:
     """One finding that lists the columns with at most one value."""
     got = profile.where("unique_count <= 1 and row_count > 0").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "name", "top_value"))), lambda x: x["name"]).alias("names"), F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.coalesce("top_value", F.lit("null")).alias("v")))), lambda x: x["v"]).alias("values")).where(F.size("names") > 0)
-    return finding(got, MODULE, "constant_features", title=_text("%d constant column(s): %s", F.size("names"), F.array_join("names", ", ")), description=_text("%d column(s) have a single value", F.size("names")), severity=F.lit("medium"), confidence=F.lit(1.0), columns=F.col("names"), recommendation="Drop constant columns.", evidence={"values": F.array_join("values", ","), "unique_count": F.lit(1), "variance": F.lit(0)}, impact=F.size("names") / F.lit(float(len(df.columns))))
+    return finding(got, MODULE, "constant_features", title=_text("%d constant column(s): %s", F.size("names"), F.array_join("names", ", ")), description=_text("%d column(s) have a single value", F.size("names")), severity=F.lit("medium"), confidence=F.lit(1.0), columns=F.col("names"), recommendation="Drop constant columns.", evidence={"values": F.array_join("values", ","), "unique_count": F.lit(1), "variance": F.lit(0)}, anomaly_strength=F.lit(1.0), impact=F.size("names") / F.lit(float(len(df.columns))))
 
 
 def near_constants(profile: DataFrame, s: IntegritySettings) -> DataFrame:
@@ -130,37 +157,43 @@ def near_constants(profile: DataFrame, s: IntegritySettings) -> DataFrame:
 
 def near_constant_features(df: DataFrame, profile: DataFrame, s: IntegritySettings) -> DataFrame:
     got = near_constants(profile, s)
-    return finding(got, MODULE, "near_constant_features", title=_text("'%s' is nearly constant", F.col("name")), description=_text("One value makes up %s of the column", F.bround("share", 4).cast("string")), severity=F.lit("low"), confidence=F.lit(0.9), columns=F.array("name"), recommendation="Check whether the column says anything.", evidence={"dominance": F.bround("share", 4), "dominant_value": F.col("top_value"), "dominant_count": F.col("top_count")}, impact=F.col("share"))
+    return finding(got, MODULE, "near_constant_features", title=_text("'%s' is nearly constant", F.col("name")), description=_text("One value makes up %s of the column", F.bround("share", 4).cast("string")), severity=F.lit("low"), confidence=F.lit(0.9), columns=F.array("name"), recommendation="Check whether the column says anything.", evidence={"dominance_ratio": F.bround("share", 4), "dominant_value": F.col("top_value"), "dominant_count": F.col("top_count")}, anomaly_strength=F.col("share"), impact=F.col("share"))
 
 
-def text_samples(df: DataFrame, rows: int) -> DataFrame:
-    """(name, value): for each text column, its values in the `rows` rows of least row hash that have one; the same for any partitioning.
+def text_kinds(df: DataFrame, s: IntegritySettings) -> DataFrame:
+    """(name, kind, n): how many values of each text column are of each kind, nulls left out.
 
-    Rows are drawn, not values, so that a frequent value is drawn as often as it occurs.
+    One scan and one aggregation for all columns, over every row; over s.type_sample rows drawn at random if that isn't 0.
     """
     names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    keys = row_key(df)
-    parts = [df.where(F.col(f"`{c}`").isNotNull()).orderBy(*keys).limit(rows).select(F.lit(c).alias("name"), F.col(f"`{c}`").alias("value")) for c in names]
-    return reduce(DataFrame.union, parts) if parts else df.sparkSession.createDataFrame([], "name string, value string")
+    if not names:
+        return df.sparkSession.createDataFrame([], "name string, kind string, n bigint")
+    held = df.select(*(F.col(f"`{c}`") for c in names))
+    held = row_sample(held, s.type_sample) if s.type_sample else held
+    cells = F.array(*(F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.lit(c).alias("name"), value_type(F.col(f"`{c}`")).alias("kind"))) for c in names))
+    return held.select(F.inline(F.array_compact(cells))).groupBy("name", "kind").agg(F.count("*").alias("n"))
 
 
-def numeric_text(df: DataFrame, s: IntegritySettings) -> DataFrame:
-    """(name, sampled, numeric, ratio) of each text column."""
-    return text_samples(df, s.type_sample).groupBy("name").agg(F.count("*").alias("sampled"), F.count_if(is_number_text(F.col("value"))).alias("numeric")).select("name", "sampled", "numeric", _ratio(F.col("numeric"), F.col("sampled")).alias("ratio"))
+def numeric_text(kinds: DataFrame) -> DataFrame:
+    """(name, sampled, numeric, ratio) of each text column with a value, from text_kinds()."""
+    got = kinds.groupBy("name").agg(F.sum("n").alias("sampled"), F.coalesce(F.sum(F.when(F.col("kind") == "numeric", F.col("n"))), F.lit(0)).alias("numeric"))
+    return got.select("name", "sampled", "numeric", _ratio(F.col("numeric"), F.col("sampled")).alias("ratio"))
 
 
-def type_mix(df: DataFrame, s: IntegritySettings) -> DataFrame:
+def type_mix(kinds: DataFrame) -> DataFrame:
     """(name, sampled, kinds, minority) of each text column with two kinds of values or more: the share that isn't of the main kind."""
-    kinds = text_samples(df, s.type_sample).groupBy("name", value_type(F.col("value")).alias("kind")).agg(F.count("*").alias("n"))
-    return kinds.groupBy("name").agg(F.sum("n").alias("sampled"), F.count("*").alias("kinds"), (1 - F.max("n") / F.sum("n")).alias("minority")).where((F.col("sampled") >= 10) & (F.col("kinds") > 1))
+    got = kinds.groupBy("name").agg(F.sum("n").alias("sampled"), F.count("*").alias("kinds"), (1 - F.max("n") / F.sum("n")).alias("minority"))
+    return got.where((F.col("sampled") >= 10) & (F.col("kinds") > 1))
 
 
 def datatype_integrity(df: DataFrame, profile: DataFrame, s: IntegritySettings) -> DataFrame:
     """Findings for numbers kept as text, and for text columns of mixed kinds."""
     if not any(isinstance(f.dataType, T.StringType) for f in df.schema):
         return none(df.sparkSession)
-    numbers = numeric_text(df, s).where(F.col("ratio") >= s.numeric_text)
-    mixed = type_mix(df, s).where(F.col("minority") >= s.mixed_minority)
+    kinds = text_kinds(df, s)
+    kinds = df.sparkSession.createDataFrame(kinds.collect(), kinds.schema)  # at most five rows for each column
+    numbers = numeric_text(kinds).where(F.col("ratio") >= s.numeric_text)
+    mixed = type_mix(kinds).where(F.col("minority") >= s.mixed_minority)
     a = finding(numbers, MODULE, "datatype_integrity", title=_text("'%s' holds numbers as text", F.col("name")), description=_text("%d of %d sampled values are numbers", F.col("numeric"), F.col("sampled")), severity=F.lit("high"), confidence=F.col("ratio"), columns=F.array("name"), recommendation="Cast the column to a number.", evidence={"parseable_ratio": F.bround("ratio", 4), "sample_size": F.col("sampled")}, impact=F.col("ratio"))
     b = finding(mixed, MODULE, "datatype_integrity", title=_text("'%s' mixes %d kinds of values", F.col("name"), F.col("kinds")), description=_text("%s of sampled values are not of the main kind", F.bround("minority", 4).cast("string")), severity=F.when(F.col("minority") > 0.1, "medium").otherwise("low"), confidence=F.lit(0.8), columns=F.array("name"), recommendation="Split or normalise the column.", evidence={"minority_share": F.bround("minority", 4), "kinds": F.col("kinds")}, impact=F.col("minority"))
     return a.unionByName(b)
@@ -177,7 +210,12 @@ def high_cardinality_columns(df: DataFrame, profile: DataFrame, s: IntegritySett
 def low_cardinality_columns(df: DataFrame, profile: DataFrame, s: IntegritySettings) -> DataFrame:
     """(name, unique_count, values) of columns of one or two values over more than 100 rows, but booleans and numbers of 0 and 1."""
     few = profile.where((F.col("unique_count") <= s.low_cardinality) & (F.col("unique_count") > 0) & ~F.col("is_boolean") & (F.col("row_count") > 100)).select("ordinal", "name", "is_numeric", "unique_count")
-    counts = value_counts(df).where("value is not null").join(F.broadcast(few), "ordinal")  # at most low_cardinality rows for each column
+    chosen = few.collect()
+    if not chosen:
+        return df.sparkSession.createDataFrame([], "name string, unique_count bigint, values array<string>")
+    slim = df.select(*(F.col(f"`{r.name}`") for r in chosen))
+    known = df.sparkSession.createDataFrame([(k, r.name, r.is_numeric, r.unique_count) for k, r in enumerate(chosen)], "ordinal int, name string, is_numeric boolean, unique_count bigint")
+    counts = value_counts(slim).where("value is not null").join(F.broadcast(known), "ordinal")  # at most low_cardinality rows for each column
     held = counts.groupBy("ordinal", "name", "is_numeric", "unique_count").agg(F.sort_array(F.collect_set("value")).alias("values"))
     zero_one = F.forall("values", lambda v: v.isin("0", "1", "0.0", "1.0"))
     return held.where(~(F.col("is_numeric") & zero_one)).select("name", "unique_count", "values")
@@ -196,7 +234,7 @@ def missingness_edges(df: DataFrame, profile: DataFrame, s: IntegritySettings, f
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
     flags = df.select(*(F.col(f"`{c}`").isNull().cast("int").alias(c) for c in names))
-    flags = flags if full else row_sample(flags, s.missing_rows)
+    flags = flags if full else row_sample(flags, s.missing_rows, n=profile.first().row_count)
     return pearson(flags, names, 1).where(F.abs("r") >= s.missing_r).select("a", "b", "r")
 
 
@@ -245,4 +283,4 @@ def health_score(findings: DataFrame, failed: tuple[str, ...] = ()) -> DataFrame
 
 def health_finding(findings: DataFrame, failed: tuple[str, ...] = ()) -> DataFrame:
     got = health_score(findings, failed)
-    return finding(got, MODULE, "structural_health_score", title=_text("Structural health %s of 100", F.col("score").cast("string")), description=F.lit("Weighted score of all integrity domains"), severity=F.col("severity"), confidence=F.lit(1.0), columns=F.array().cast("array<string>"), recommendation="Start with the most urgent findings.", evidence={"score": F.col("score")}, impact=1 - F.col("score") / 100)
+    return finding(got, MODULE, "structural_health_score", title=_text("Structural health %s of 100", F.col("score").cast("string")), description=F.lit("Weighted score of all integrity domains"), severity=F.col("severity"), confidence=F.lit(1.0), columns=F.array().cast("array<string>"), recommendation="Start with the most urgent findings.", evidence={"health_score": F.col("score")}, impact=1 - F.col("score") / 100)

@@ -3,26 +3,24 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sifter.operators.ranks import average_ranks, double, quantiles
+from sifter.operators.sampling import row_sample
+
 #: Columns up to which pairs are expressions of one aggregation; beyond it, Gram sums come from Arrow batches.
 WIDE = 24
-
-
-def row_sample(df: DataFrame, rows: int, seed: int = 42) -> DataFrame:
-    """Exactly `rows` rows (all, if there are no more), the same ones whatever the partitioning: those of least seeded hash."""
-    from sifter.operators.profile import row_key
-
-    return df.orderBy(F.xxhash64(F.lit(seed), *row_key(df)), *row_key(df)).limit(rows)
-
-
-def double(name: str) -> Column:
-    return F.col(f"`{name}`").cast("double")
+#: Distinct values of a column up to which its table of ranks (16 bytes a row) is broadcast.
+RANKS_SENT = 1 << 20
+#: Values of a table that one task ranks whole: 32 MB.
+TASK_CELLS = 1 << 22
 
 
 def bounded(r: Column) -> Column:
@@ -74,30 +72,84 @@ def _gram(df: DataFrame, columns: list[str], min_rows: int) -> DataFrame:
     return got.join(a, "i").join(b, "j").select("a", "b", n.cast("bigint").alias("n"), F.when(n >= min_rows, bounded(r)).alias("r"))
 
 
+def _rho(sums: DataFrame) -> Column:
+    """Pearson's r from the sums n, sx, sy, sxx, syy and sxy."""
+    n, sx, sy, sxx, syy, sxy = (F.col(c).cast("double") for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))
+    spread = F.sqrt(F.greatest(F.lit(0.0), n * sxx - sx * sx)) * F.sqrt(F.greatest(F.lit(0.0), n * syy - sy * sy))
+    return bounded(F.try_divide(n * sxy - sx * sy, spread))
+
+
 def spearman(df: DataFrame, columns: list[str], min_rows: int = 30) -> DataFrame:
-    """(a, b, n, r): Pearson's r of average ranks, ranked anew for each pair over the rows that have both.
+    """(a, b, n, r): Pearson's r of average ranks, ranked for each pair over the rows that have both.
 
-    Pairs are rows of one unpivoted table, ranks come from counts of each value (a running sum over a pair's distinct
-    values), so that ties cost one row and no pair needs a plan of its own. Rows are bounded by the caller's sample.
+    Tables of up to TASK_CELLS values, which the row budgets give, are ranked by one task. Beyond, columns without nulls are
+    ranked once for all of their pairs, other pairs each by itself; ranks come from counts of distinct values, in tasks of
+    bounded size.
     """
     spark = df.sparkSession
     pairs = list(combinations(columns, 2))
     if not pairs:
         return spark.createDataFrame([], "a string, b string, n bigint, r double")
-    cells = F.array(*(F.when(double(a).isNotNull() & double(b).isNotNull(), F.struct(F.lit(k).alias("pair"), double(a).alias("x"), double(b).alias("y"))) for k, (a, b) in enumerate(pairs)))
-    long = df.select(F.inline(F.array_compact(cells)))
-    joint = long.groupBy("pair", "x", "y").agg(F.count("*").alias("w"))
+    cells = (x for k, c in enumerate(columns) for x in (F.count_if(double(c).isNull()).alias(f"n{k}"), F.approx_count_distinct(double(c)).alias(f"d{k}")))
+    seen = df.agg(F.count("*").alias("rows"), *cells).first()
+    if seen.rows * len(columns) <= TASK_CELLS:
+        return _spearman_local(df, columns, min_rows)
+    full = {c: seen[f"d{k}"] for k, c in enumerate(columns) if not seen[f"n{k}"]}
+    one = [p for p in pairs if p[0] in full and p[1] in full]
+    other = [p for p in pairs if p not in set(one)]
+    found = [_spearman_full(df, [c for c in columns if c in full], full, min_rows)] if one else []
+    found += [_spearman_pairs(df, other, min_rows)] if other else []
+    return reduce(DataFrame.union, found)
+
+
+def _spearman_local(df: DataFrame, columns: list[str], min_rows: int) -> DataFrame:
+    """Spearman's r of a table that one task holds."""
+    pairs = list(combinations(range(len(columns)), 2))
+
+    def ranked(got: pa.Table) -> pa.Table:
+        pdf = got.select([f"c{k}" for k in range(len(columns))]).to_pandas()
+        whole = {k: pdf[f"c{k}"].rank() for k in range(len(columns)) if not pdf[f"c{k}"].isna().any()}
+        out = []
+        for i, j in pairs:
+            both = pdf[[f"c{i}", f"c{j}"]].dropna() if i not in whole or j not in whole else None
+            x, y = (whole[i], whole[j]) if both is None else (both[c].rank() for c in both)
+            flat = len(x) < max(2, min_rows) or x.nunique() < 2 or y.nunique() < 2
+            out.append((i, j, len(x), None if flat else float(np.clip(np.corrcoef(x, y)[0, 1], -1, 1))))
+        return pa.table(dict(zip(("i", "j", "n", "r"), map(list, zip(*out, strict=True)), strict=True)), pa.schema([("i", pa.int32()), ("j", pa.int32()), ("n", pa.int64()), ("r", pa.float64())]))
+
+    held = df.select(F.lit(0).alias("one"), *(double(c).alias(f"c{k}") for k, c in enumerate(columns)))
+    names = df.sparkSession.createDataFrame([(i, j, columns[i], columns[j]) for i, j in pairs], "i int, j int, a string, b string")
+    made = held.groupBy("one").applyInArrow(ranked, "i int, j int, n bigint, r double")
+    return names.join(made, ["i", "j"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), "r")
+
+
+def _spearman_full(df: DataFrame, columns: list[str], distinct: dict[str, int], min_rows: int) -> DataFrame:
+    """Spearman's r of columns without nulls: a table of ranks for each, joined to the rows; broadcast if it is known to be small."""
+    cells = F.array(*(F.struct(F.lit(k).alias("k"), double(c).alias("v")) for k, c in enumerate(columns)))
+    counts = df.select(F.inline(cells)).groupBy("k", "v").agg(F.count("*").alias("w"))
+    ranks = average_ranks(counts, "k", "v", "w")
+    ranked = df.select(*(double(c).alias(f"v{k}") for k, c in enumerate(columns)))
+    for k, c in enumerate(columns):
+        own = ranks.where(F.col("k") == k).select(F.col("v").alias(f"v{k}"), F.col("rank").alias(f"r{k}"))
+        ranked = ranked.join(F.broadcast(own) if distinct[c] <= RANKS_SENT else own, f"v{k}")
+    return pearson(ranked.select(*(F.col(f"r{k}").alias(c) for k, c in enumerate(columns))), columns, min_rows)
+
+
+def _spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]], min_rows: int) -> DataFrame:
+    """Spearman's r of each pair by itself, over rows that have both; pairs are rows of one unpivoted table."""
+    spark = df.sparkSession
+    both = lambda a, b: double(a).isNotNull() & double(b).isNotNull()
+    cell = lambda k, a, b: F.struct(F.lit(k).alias("pair"), double(a).alias("x"), double(b).alias("y"))
+    cells = F.array(*(F.when(both(a, b), cell(k, a, b)) for k, (a, b) in enumerate(pairs)))
+    joint = df.select(F.inline(F.array_compact(cells))).groupBy("pair", "x", "y").agg(F.count("*").alias("w"))
     for v in ("x", "y"):
-        own = Window.partitionBy("pair").orderBy(v)
         held = joint.groupBy("pair", v).agg(F.sum("w").alias("t"))
-        ranks = held.select("pair", v, (F.sum("t").over(own) - (F.col("t") - 1) / 2.0).alias(f"r{v}"))
-        joint = joint.join(ranks, ["pair", v])
+        joint = joint.join(average_ranks(held, "pair", v, "t").select("pair", v, F.col("rank").alias(f"r{v}")), ["pair", v])
     w, x, y = F.col("w").cast("double"), F.col("rx"), F.col("ry")
-    s = joint.groupBy("pair").agg(F.sum("w").alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * y * y).alias("syy"), F.sum(w * x * y).alias("sxy"))
-    n = F.col("n").cast("double")
-    r = F.try_divide(n * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt(F.greatest(F.lit(0.0), n * F.col("sxx") - F.col("sx") ** 2)) * F.sqrt(F.greatest(F.lit(0.0), n * F.col("syy") - F.col("sy") ** 2)))
+    parts = {"n": F.col("w"), "sx": w * x, "sy": w * y, "sxx": w * x * x, "syy": w * y * y, "sxy": w * x * y}
+    s = joint.groupBy("pair").agg(*(F.sum(e).alias(k) for k, e in parts.items()))
     names = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "pair int, a string, b string")
-    return names.join(s, "pair", "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") >= min_rows, bounded(r)).alias("r"))
+    return names.join(s, "pair", "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") >= min_rows, _rho(s)).alias("r"))
 
 
 def beta_inc(a: float, b: float, x: float) -> float:
@@ -121,14 +173,19 @@ def beta_inc(a: float, b: float, x: float) -> float:
     return front * (f - 1)
 
 
+def t_statistic(r: float, n: int) -> float:
+    """Student's t of a correlation r of n rows; infinite for a perfect one."""
+    return math.copysign(math.inf, r) if abs(r) >= 1 else r * math.sqrt((n - 2) / (1 - r * r))
+
+
 def p_value(r: float | None, n: int) -> float | None:
     """Two-sided p of a correlation r of n rows, from Student's t."""
     if r is None or n < 3:
         return None
     if abs(r) >= 1:
         return 0.0
-    t2 = r * r * (n - 2) / (1 - r * r)
-    return beta_inc((n - 2) / 2, 0.5, (n - 2) / (n - 2 + t2))
+    t = t_statistic(r, n)
+    return beta_inc((n - 2) / 2, 0.5, (n - 2) / (n - 2 + t * t))
 
 
 def vif(df: DataFrame, columns: list[str]) -> list[tuple[str, float]]:
@@ -139,10 +196,11 @@ def vif(df: DataFrame, columns: list[str]) -> list[tuple[str, float]]:
     """
     if len(columns) < 2:
         return []
-    medians = df.agg(*(F.expr(f"percentile(cast(`{c}` as double), 0.5D)").alias(f"m{k}") for k, c in enumerate(columns))).first()
-    filled = df.select(*(F.coalesce(double(c), F.lit(medians[k])).alias(c) for k, c in enumerate(columns)))
-    spread = filled.agg(*(F.stddev_pop(f"`{c}`").alias(f"s{k}") for k, c in enumerate(columns))).first()
-    live = [c for k, c in enumerate(columns) if spread[k] and spread[k] > 0]
+    cells = (x for k, c in enumerate(columns) for x in (F.count_if(double(c).isNull()).alias(f"n{k}"), F.min(double(c)).alias(f"l{k}"), F.max(double(c)).alias(f"h{k}")))
+    seen = df.agg(*cells).first()
+    live = [c for k, c in enumerate(columns) if seen[f"l{k}"] is not None and seen[f"l{k}"] != seen[f"h{k}"]]
+    median = {c: quantiles(df, c, [0.5])[0] for k, c in enumerate(columns) if c in live and seen[f"n{k}"]}
+    filled = df.select(*(F.coalesce(double(c), F.lit(median[c])).alias(c) if c in median else double(c).alias(c) for c in live))
     if len(live) < 2:
         return []
     m = np.eye(len(live))
@@ -166,8 +224,11 @@ def _digamma(x: np.ndarray) -> np.ndarray:
 def _neighbour_distance(points: np.ndarray, k: int) -> np.ndarray:
     """Chebyshev distance to the k-th other point, by chunks of rows."""
     out = np.empty(len(points))
+    columns = [np.ascontiguousarray(c) for c in points.T]
     for at in range(0, len(points), 256):
-        d = np.abs(points[at : at + 256, None] - points[None]).max(2)
+        d = np.abs(columns[0][at : at + 256, None] - columns[0][None])
+        for c in columns[1:]:
+            np.maximum(d, np.abs(c[at : at + 256, None] - c[None]), out=d)
         out[at : at + 256] = np.partition(d, k, axis=1)[:, k]
     return out
 
@@ -214,13 +275,15 @@ def mi_classes(x: np.ndarray, label: np.ndarray, k: int = 3) -> float:
     return max(0.0, float(_digamma(np.array([n]))[0] + np.mean(_digamma(used[keep])) - np.mean(_digamma(size[keep])) - np.mean(_digamma(np.maximum(m, 1)))))
 
 
-def mutual_information(df: DataFrame, pairs: list[tuple[str, str]], rows: int = 5000, k: int = 3, discrete: bool = False, min_rows: int = 30) -> DataFrame:
+def mutual_information(
+    df: DataFrame, pairs: list[tuple[str, str]], rows: int = 5000, k: int = 3, discrete: bool = False, min_rows: int = 30, n: int | None = None
+) -> DataFrame:
     """(a, b, n, score) for each pair over a bounded sample, a group of at most `rows` rows for each; with discrete, b is a class."""
     spark = df.sparkSession
     if not pairs:
         return spark.createDataFrame([], "a string, b string, n bigint, score double")
     needed = list(dict.fromkeys(c for p in pairs for c in p))
-    held = row_sample(df.select(*(F.col(f"`{c}`") for c in needed)), rows)
+    held = row_sample(df.select(*(F.col(f"`{c}`") for c in needed)), rows, n=n)
     right = (lambda c: F.hash(F.col(f"`{c}`")).cast("double")) if discrete else double
     cells = F.array(*(F.when(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull(), F.struct(F.lit(i).alias("pair"), double(a).alias("x"), right(b).alias("y"))) for i, (a, b) in enumerate(pairs)))
 
@@ -230,6 +293,8 @@ def mutual_information(df: DataFrame, pairs: list[tuple[str, str]], rows: int =
         s = 0.0 if len(x) < min_rows else mi_classes(x, y, k) if discrete else mi_continuous(x, y, k)
         return pd.DataFrame({"pair": [key[0]], "n": [len(x)], "score": [s]})
 
-    got = held.select(F.inline(F.array_compact(cells))).groupBy("pair").applyInPandas(score, "pair int, n bigint, score double")
+    # A number of partitions that is asked for isn't merged by bytes: a pair's work is the square of its rows.
+    long = held.select(F.inline(F.array_compact(cells))).repartition(min(len(pairs), 4096), "pair")
+    got = long.groupBy("pair").applyInPandas(score, "pair int, n bigint, score double")
     names = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, a string, b string")
     return names.join(got, "pair").select("a", "b", "n", "score")

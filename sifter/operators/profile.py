@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sifter.functions.scalars import is_datetime, is_numeric, is_scalar
 
 LONG_TEXT = 64
+TABLE = (
+    "ordinal int, name string, dtype string, row_count bigint, null_count bigint, unique_count bigint, top_value string, top_count bigint,"
+    " is_numeric boolean, is_text boolean, is_categorical boolean, is_datetime boolean, is_boolean boolean"
+)
 
 
 def clean(df: DataFrame) -> DataFrame:
@@ -109,6 +113,12 @@ class DatasetProfile:
         return [c.name for c in self.columns if getattr(c, flag)]
 
 
+def profile_frame(spark: SparkSession, p: DatasetProfile) -> DataFrame:
+    """profile_table() again, as local rows, from a profile on the driver."""
+    names = [f for f in ColumnProfile.__dataclass_fields__ if f != "samples"]
+    return spark.createDataFrame([tuple(getattr(c, n) for n in names) for c in p.columns], TABLE)
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """(rows, duplicates): rows, and those beyond the first of each set of equal ones, nulls being equal.
 
@@ -126,11 +136,17 @@ def row_key(df: DataFrame) -> tuple[Column, Column]:
 
 
 def profile(df: DataFrame, name: str = "dataframe", source: str = "dataframe", source_type: str = "dataframe", **metadata) -> DatasetProfile:
-    """The profile on the driver: a row for each column, five sample values from the first rows Spark gives, duplicates."""
+    """The profile on the driver: a row for each column, five sample values, duplicates.
+
+    Samples come from the first rows Spark gives; columns that hold next to nothing there are sought for their own.
+    """
     found = {r.ordinal: ColumnProfile(**r.asDict()) for r in profile_table(df).collect()}
-    head = df.limit(1000).collect()
+    head = df.limit(200).collect()
     for k, c in found.items():
         c.samples = [r[k] for r in head if r[k] is not None][:5]
+        if len(c.samples) < min(5, c.filled):
+            x = F.col(f"`{c.name}`")
+            c.samples = [r[0] for r in df.select(x).where(x.isNotNull()).limit(5).collect()]
     rows, duplicates = duplicate_rows(df).first() if df.columns else (df.count(), 0)
     for c in found.values():
         c.row_count = rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 from math import isqrt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,11 +13,27 @@ from sifter.config import RelationshipSettings
 from sifter.functions.scalars import is_numeric, severity_by_strength
 from sifter.operators.findings import finding, none
 from sifter.operators.graph import local_components
-from sifter.operators.moments import mutual_information, p_value, pearson, row_sample, spearman, vif
+from sifter.operators.moments import mutual_information, p_value, pearson, spearman, vif
 from sifter.operators.profile import DatasetProfile
+from sifter.operators.sampling import row_sample
 
 MODULE = "relationship"
-PAIRS = "a string, b string, pearson double, spearman double, p_value double, mi double, n bigint"
+PAIRS = "a string, b string, pearson double, spearman double, pearson_p double, spearman_p double, p_value double, mi double, n bigint"
+
+
+def thresholds(s: RelationshipSettings) -> dict[str, Column]:
+    """The cutoffs in force, for the evidence of each finding."""
+    held = {
+        "pearson": s.pearson,
+        "spearman": s.spearman,
+        "mutual_information": s.mutual_information,
+        "redundancy": s.redundancy,
+        "strong_group": s.strong,
+        "community": s.community,
+        "vif_very_high": s.vif[0],
+        "vif_high": s.vif[1],
+    }
+    return {f"{k}_threshold": F.lit(v) for k, v in held.items()}
 
 
 def numeric_columns(df: DataFrame, profile: DatasetProfile) -> list[str]:
@@ -32,21 +48,21 @@ def target_column(df: DataFrame, s: RelationshipSettings, named: str | None = No
     return next((c for c in df.columns if c.lower() in s.target_names), None)
 
 
-def correlated_pairs(df: DataFrame, columns: list[str], s: RelationshipSettings, full: bool = False) -> list[dict]:
+def correlated_pairs(df: DataFrame, columns: list[str], s: RelationshipSettings, full: bool = False, n: int | None = None) -> list[dict]:
     """Pairs at or over a method's cutoff, with both coefficients, the one of larger size, and the least p of the tested ones.
 
     Each method's pairs are sorted by size; in the balanced profile the strongest `candidates` are kept. n is the
-    pair-complete count that p rests on.
+    pair-complete count that p rests on. n: df's rows, if known.
     """
     out: dict[tuple[str, str], dict] = {}
     for method, run, cut, rows in (("pearson", pearson, s.pearson, s.pearson_rows), ("spearman", spearman, s.spearman, s.spearman_rows)):
-        held = df if full else row_sample(df.select(*(F.col(f"`{c}`") for c in columns)), rows)
+        held = df if full else row_sample(df.select(*(F.col(f"`{c}`") for c in columns)), rows, n=n)
         found = run(held, columns, s.min_rows).where(F.abs("r") >= cut).orderBy(F.desc(F.abs("r")), "a", "b")
         for r in (found if full else found.limit(s.candidates)).collect():
             a, b = sorted((r.a, r.b))
-            one = out.setdefault((a, b), {"a": a, "b": b, "pearson": None, "spearman": None, "p_value": None, "mi": None, "n": r.n})
+            one = out.setdefault((a, b), {"a": a, "b": b, "pearson": None, "spearman": None, "pearson_p": None, "spearman_p": None, "p_value": None, "mi": None, "n": r.n})
             one[method] = r.r
-            p = p_value(r.r, r.n)
+            p = one[f"{method}_p"] = p_value(r.r, r.n)
             one["p_value"] = p if one["p_value"] is None else min(p, one["p_value"])
             one["n"] = max(one["n"], r.n)
     return [out[k] for k in sorted(out)]
@@ -57,7 +73,8 @@ def strength(pair: dict) -> float:
 
 
 def pair_table(spark: SparkSession, pairs: list[dict]) -> DataFrame:
-    return spark.createDataFrame([tuple(p[k] for k in ("a", "b", "pearson", "spearman", "p_value", "mi", "n")) for p in pairs], PAIRS)
+    names = [x.split()[0] for x in PAIRS.split(", ")]
+    return spark.createDataFrame([tuple(p.get(k) for k in names) for p in pairs], PAIRS)
 
 
 def correlation_findings(spark: SparkSession, pairs: list[dict], s: RelationshipSettings) -> DataFrame:
@@ -66,7 +83,7 @@ def correlation_findings(spark: SparkSession, pairs: list[dict], s: Relationship
     r = F.when(F.abs(F.coalesce("pearson", F.lit(0.0))) >= F.abs(F.coalesce("spearman", F.lit(0.0))), F.col("pearson")).otherwise(F.col("spearman"))
     got = got.withColumn("r", r).withColumn("method", F.when(F.col("r").eqNullSafe(F.col("pearson")), "pearson").otherwise("spearman"))
     high = min(0.98, s.pearson + 0.15)
-    return finding(got, MODULE, "correlation", title=F.format_string("'%s' and '%s' correlate", F.col("a"), F.col("b")), description=F.format_string("%s correlation of %s over %d rows", F.col("method"), F.bround("r", 4).cast("string"), F.col("n")), severity=severity_by_strength(F.abs("r"), s.pearson, high), confidence=F.when(F.col("p_value") <= 0.001, 1.0).otherwise(0.9), columns=F.array("a", "b"), recommendation="Check whether both columns are needed.", evidence={"correlation_coefficient": F.bround("r", 6), "p_value": F.col("p_value"), "pearson": F.bround("pearson", 6), "spearman": F.bround("spearman", 6), "method": F.col("method")}, correlation_coefficient=F.col("r"), p_value=F.col("p_value"), mutual_information_score=F.col("mi"), impact=F.abs("r"))
+    return finding(got, MODULE, "correlation", title=F.format_string("'%s' and '%s' correlate", F.col("a"), F.col("b")), description=F.format_string("%s correlation of %s over %d rows", F.col("method"), F.bround("r", 4).cast("string"), F.col("n")), severity=severity_by_strength(F.abs("r"), s.pearson, high), confidence=F.when(F.col("p_value") <= 0.001, 1.0).otherwise(0.9), columns=F.array("a", "b"), recommendation="Check whether both columns are needed.", evidence={"correlation_coefficient": F.bround("r", 6), "p_value": F.col("p_value"), "pearson": F.bround("pearson", 6), "spearman": F.bround("spearman", 6), "pearson_p_value": F.col("pearson_p"), "spearman_p_value": F.col("spearman_p"), "rows": F.col("n"), "method": F.col("method"), **thresholds(s)}, correlation_coefficient=F.col("r"), p_value=F.col("p_value"), mutual_information_score=F.col("mi"), impact=F.abs("r"))
 
 
 def shortlist(profile: DatasetProfile, columns: list[str], s: RelationshipSettings, full: bool = False) -> list[str]:
@@ -75,13 +92,17 @@ def shortlist(profile: DatasetProfile, columns: list[str], s: RelationshipSettin
     return by if full else by[: (1 + isqrt(1 + 8 * s.mi_pairs)) // 2]
 
 
-def pairwise_information(df: DataFrame, profile: DatasetProfile, columns: list[str], s: RelationshipSettings, full: bool = False) -> list[tuple[str, str, float]]:
+def pairwise_information(
+    df: DataFrame, profile: DatasetProfile, columns: list[str], s: RelationshipSettings, full: bool = False, n: int | None = None
+) -> list[tuple[str, str, float]]:
     """(a, b, score) of pairs with a score of 0.20 or more; in the full profile the mean of both directions."""
     names = shortlist(profile, columns, s, full)
     pairs = [tuple(sorted(p)) for p in combinations(names, 2)]
-    got = {(r.a, r.b): r.score for r in mutual_information(df, pairs, s.mi_rows, s.neighbours, min_rows=s.min_rows).collect()}
+    n = profile.row_count if n is None else n
+    got = {(r.a, r.b): r.score for r in mutual_information(df, pairs, s.mi_rows, s.neighbours, min_rows=s.min_rows, n=n).collect()}
     if full:
-        back = {(r.b, r.a): r.score for r in mutual_information(df, [(b, a) for a, b in pairs], s.mi_rows, s.neighbours, min_rows=s.min_rows).collect()}
+        turned = mutual_information(df, [(b, a) for a, b in pairs], s.mi_rows, s.neighbours, min_rows=s.min_rows, n=n)
+        back = {(r.b, r.a): r.score for r in turned.collect()}
         got = {p: (x + back[p]) / 2 for p, x in got.items()}
     return sorted((a, b, x) for (a, b), x in got.items() if x >= s.mutual_information)
 
@@ -93,14 +114,15 @@ def information_findings(spark: SparkSession, scores: list[tuple[str, str, float
     if not left:
         return none(spark)
     got = spark.createDataFrame(left, "a string, b string, score double")
-    return finding(got, MODULE, "mutual_information", title=F.format_string("'%s' and '%s' depend on each other nonlinearly", F.col("a"), F.col("b")), description=F.format_string("Mutual information of %s nats", F.bround("score", 4).cast("string")), severity=severity_by_strength(F.col("score"), 0.5, 1.0), confidence=F.lit(0.8), columns=F.array("a", "b"), recommendation="Plot the two columns.", evidence={"mutual_information_score": F.bround("score", 4)}, mutual_information_score=F.col("score"), impact=F.least(F.lit(1.0), F.col("score")))
+    return finding(got, MODULE, "mutual_information", title=F.format_string("'%s' and '%s' depend on each other nonlinearly", F.col("a"), F.col("b")), description=F.format_string("Mutual information of %s nats", F.bround("score", 4).cast("string")), severity=severity_by_strength(F.col("score"), 0.5, 1.0), confidence=F.lit(0.8), columns=F.array("a", "b"), recommendation="Plot the two columns.", evidence={"mutual_information_score": F.bround("score", 4), **thresholds(s)}, mutual_information_score=F.col("score"), impact=F.least(F.lit(1.0), F.col("score")))
 
 
 def target_information(df: DataFrame, profile: DatasetProfile, target: str, columns: list[str], s: RelationshipSettings) -> DataFrame:
     """(a, b, n, score) of each feature with the target: a class if boolean, not numeric, or of ten values or fewer."""
     kind, unique = df.schema[target].dataType, profile.column(target).unique_count
     discrete = isinstance(kind, T.BooleanType) or not is_numeric(kind) or unique <= 10
-    return mutual_information(df, [(c, target) for c in columns if c != target], s.mi_rows, s.neighbours, discrete, s.min_rows)
+    pairs = [(c, target) for c in columns if c != target]
+    return mutual_information(df, pairs, s.mi_rows, s.neighbours, discrete, s.min_rows, profile.row_count)
 
 
 def target_findings(df: DataFrame, profile: DatasetProfile, target: str, columns: list[str], s: RelationshipSettings) -> DataFrame:
@@ -108,17 +130,17 @@ def target_findings(df: DataFrame, profile: DatasetProfile, target: str, columns
     top = target_information(df, profile, target, columns, s).where(F.col("score") >= s.mutual_information).orderBy(F.desc("score"), "a").limit(10)
     got = top.agg(F.sort_array(F.collect_list(F.struct("score", "a")), asc=False).alias("best")).where(F.size("best") > 0)
     names = F.transform("best", lambda x: x["a"])
-    return finding(got, MODULE, "target_information", title=F.format_string("%d feature(s) inform '%s'", F.size("best"), F.lit(target)), description=F.format_string("Strongest: %s", F.array_join(names, ", ")), severity=F.lit("medium"), confidence=F.lit(0.85), columns=F.concat(names, F.array(F.lit(target))), recommendation="Check the strongest for leakage.", evidence={"scores": F.to_json("best"), "target": F.lit(target)}, mutual_information_score=F.col("best")[0]["score"], impact=F.lit(0.5))
+    return finding(got, MODULE, "target_information", title=F.format_string("%d feature(s) inform '%s'", F.size("best"), F.lit(target)), description=F.format_string("Strongest: %s", F.array_join(names, ", ")), severity=F.lit("medium"), confidence=F.lit(0.85), columns=F.concat(names, F.array(F.lit(target))), recommendation="Check the strongest for leakage.", evidence={"scores": F.to_json("best"), "target": F.lit(target), **thresholds(s)}, mutual_information_score=F.col("best")[0]["score"], impact=F.lit(0.5))
 
 
-def vif_findings(df: DataFrame, columns: list[str], s: RelationshipSettings, full: bool = False) -> DataFrame:
+def vif_findings(df: DataFrame, columns: list[str], s: RelationshipSettings, full: bool = False, n: int | None = None) -> DataFrame:
     """A finding for each column of a variance inflation of 5 or more."""
-    held = df if full else row_sample(df.select(*(F.col(f"`{c}`") for c in columns)), s.vif_rows)
+    held = df if full else row_sample(df.select(*(F.col(f"`{c}`") for c in columns)), s.vif_rows, n=n)
     found = [x for x in vif(held, columns) if x[1] >= s.vif[1]]
     if not found:
         return none(df.sparkSession)
     got = df.sparkSession.createDataFrame(found, "name string, v double")
-    return finding(got, MODULE, "multicollinearity", title=F.format_string("'%s' follows from other columns", F.col("name")), description=F.format_string("Variance inflation factor %s", F.bround("v", 2).cast("string")), severity=F.when(F.col("v") >= s.vif[0], "critical").otherwise("high"), confidence=F.lit(0.95), columns=F.array("name"), recommendation="Drop or combine collinear columns.", evidence={"vif": F.bround("v", 4)}, vif=F.col("v"), impact=F.least(F.lit(1.0), F.col("v") / s.vif[0]))
+    return finding(got, MODULE, "multicollinearity", title=F.format_string("'%s' follows from other columns", F.col("name")), description=F.format_string("Variance inflation factor %s", F.bround("v", 2).cast("string")), severity=F.when(F.col("v") >= s.vif[0], "critical").otherwise("high"), confidence=F.lit(0.95), columns=F.array("name"), recommendation="Drop or combine collinear columns.", evidence={"vif": F.bround("v", 4), **thresholds(s)}, vif=F.col("v"), impact=F.least(F.lit(1.0), F.col("v") / s.vif[0]))
 
 
 def feature_groups(pairs: list[dict], s: RelationshipSettings) -> list[tuple[str, list[str], list[dict]]]:
@@ -142,5 +164,5 @@ def group_findings(spark: SparkSession, pairs: list[dict], n_columns: int, s: Re
     if not rows:
         return none(spark)
     got = spark.createDataFrame(rows, "kind string, names array<string>, r double, p double, mi double, impact double")
-    made = finding(got, MODULE, "redundant_features", title=F.format_string("%s: %s", F.initcap(F.translate("kind", "_", " ")), F.array_join("names", ", ")), description=F.format_string("%d columns move together", F.size("names")), severity=F.when(F.col("kind") == "redundant_features", "high").otherwise("medium"), confidence=F.lit(0.9), columns=F.col("names"), recommendation="Keep a representative of the group.", evidence={"kind": F.col("kind"), "members": F.array_join("names", ","), "correlation_coefficient": F.bround("r", 6)}, correlation_coefficient=F.col("r"), p_value=F.col("p"), mutual_information_score=F.col("mi"), impact=F.col("impact"))
+    made = finding(got, MODULE, "redundant_features", title=F.format_string("%s: %s", F.initcap(F.translate("kind", "_", " ")), F.array_join("names", ", ")), description=F.format_string("%d columns move together", F.size("names")), severity=F.when(F.col("kind") == "redundant_features", "high").otherwise("medium"), confidence=F.lit(0.9), columns=F.col("names"), recommendation="Keep a representative of the group.", evidence={"kind": F.col("kind"), "members": F.array_join("names", ","), "correlation_coefficient": F.bround("r", 6), "p_value": F.col("p"), "mutual_information_score": F.bround("mi", 6), **thresholds(s)}, correlation_coefficient=F.col("r"), p_value=F.col("p"), mutual_information_score=F.col("mi"), impact=F.col("impact"))
     return made.withColumn("category", F.element_at("evidence", F.lit("kind")))

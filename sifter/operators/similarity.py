@@ -18,7 +18,9 @@ PARTS = {
     "semantic": {"prefix": 0.40, "token_overlap": 0.35, "domain_terms": 0.25},
 }
 APART, REASON = 0.15, 0.20
+#: Evidence that is compared as numbers, besides correlation_coefficient; the last three are entries of the evidence map.
 NUMERIC = ("p_value", "mutual_information_score", "vif", "missing_ratio", "missingness_correlation")
+MAPPED = ("duplicate_ratio", "dominance_ratio", "health_score")
 
 
 def words(text: Column) -> Column:
@@ -50,18 +52,30 @@ def correlation_likeness(a: Column, b: Column) -> Column:
 
 
 def described(findings: DataFrame) -> DataFrame:
-    """findings with what pairs are scored on: tokens, family."""
-    return findings.withColumns({"tokens": tokens(F.col("title"), F.col("affected_columns")), "family": family(F.col("affected_columns"))})
+    """findings with what pairs are scored on: tokens, family, numbers of the evidence map."""
+    numbers = {k: F.try_element_at("evidence", F.lit(k)).try_cast("double") for k in MAPPED}
+    numbers = {k: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x) for k, x in numbers.items()}
+    return findings.withColumns({"tokens": tokens(F.col("title"), F.col("affected_columns")), "family": family(F.col("affected_columns")), **numbers})
+
+
+def metadata_likeness(a, b) -> Column:
+    """Mean likeness of what both findings say about themselves: category, impact and anomaly strength."""
+    numbers = F.array_compact(F.array(*(F.when(a(c).isNotNull() & b(c).isNotNull(), relative(a(c), b(c))) for c in ("impact", "anomaly_strength"))))
+    same = F.when(a("category") == b("category"), 1.0).otherwise(0.0)
+    return (same + F.aggregate(numbers, F.lit(0.0), lambda x, y: x + y)) / (1 + F.size(numbers))
 
 
 def candidate_pairs(findings: DataFrame, s: CompressionSettings) -> DataFrame:
     """(left, right): ids of findings that share a column, family, term or category whose bucket has 2 to max_bucket findings.
 
     An equi-join on exploded keys, not a comparison of all with all. If no bucket gives a pair and there are no more than
-    max_bucket findings, all pairs.
+    max_bucket findings, all pairs. Buckets over max_bucket are passed over: findings that share nothing but such a
+    common key are not compared, by design of the budget; raise max_bucket to compare them.
     """
     key = lambda kind, values: F.transform(values, lambda v: F.concat(F.lit(kind), v))
-    keys = F.array_distinct(F.concat(key("c:", F.col("affected_columns")), key("t:", F.col("tokens")), F.when(F.col("family").isNotNull(), F.array(F.concat(F.lit("f:"), F.col("family")))).otherwise(F.array().cast("array<string>")), F.array(F.concat(F.lit("k:"), F.col("category")))))
+    own = F.when(F.col("family").isNotNull(), F.array(F.concat(F.lit("f:"), F.col("family")))).otherwise(F.array().cast("array<string>"))
+    kind = F.array(F.concat(F.lit("k:"), F.col("category")))
+    keys = F.array_distinct(F.concat(key("c:", F.col("affected_columns")), key("t:", F.col("tokens")), own, kind))
     long = findings.select("id", F.explode(keys).alias("key"))
     fit = long.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n").between(2, s.max_bucket)).select("key")
     kept = long.join(fit, "key", "left_semi")
@@ -79,15 +93,24 @@ def scores(findings: DataFrame, s: CompressionSettings | None = None) -> DataFra
     pair = candidate_pairs(full, s).join(sides[0], F.col("left") == F.col("l_id")).join(sides[1], F.col("right") == F.col("r_id"))
     a, b = (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"r_{c}"))
     both = lambda c, f: F.when(a(c).isNotNull() & b(c).isNotNull(), f(a(c), b(c)))
-    numbers = F.array_compact(F.array(both("correlation_coefficient", correlation_likeness), *(both(c, relative) for c in NUMERIC)))
+    numbers = F.array_compact(F.array(both("correlation_coefficient", correlation_likeness), *(both(c, relative) for c in NUMERIC + MAPPED)))
     mean = F.coalesce(F.try_divide(F.aggregate(numbers, F.lit(0.0), lambda x, y: x + y), F.size(numbers)), F.lit(0.0))
     same = lambda c: F.when(a(c) == b(c), 1.0).otherwise(0.0)
     none = F.array().cast("array<bigint>")
     token = jaccard(a("tokens"), b("tokens"))
     signals = {
-        "column_overlap": jaccard(a("affected_columns"), b("affected_columns")), "row_overlap": jaccard(F.coalesce(a("affected_rows"), none), F.coalesce(b("affected_rows"), none)), "metadata": (same("category") + F.coalesce(both("impact", relative), F.lit(0.0))) / (1 + F.when(a("impact").isNotNull() & b("impact").isNotNull(), 1).otherwise(0)),
-        "same_module": same("module"), "same_family": same("family"), "numeric_evidence": mean, "severity": 1 - F.abs(severity_weight(a("severity")) - severity_weight(b("severity"))), "confidence": 1 - F.abs(a("confidence") - b("confidence")), "prefix": same("family"), "token_overlap": token, "domain_terms": token,
-    }
+        "column_overlap": jaccard(a("affected_columns"), b("affected_columns")),
+        "row_overlap": jaccard(F.coalesce(a("affected_rows"), none), F.coalesce(b("affected_rows"), none)),
+        "metadata": metadata_likeness(a, b),
+        "same_module": same("module"),
+        "same_family": same("family"),
+        "numeric_evidence": mean,
+        "severity": 1 - F.abs(severity_weight(a("severity")) - severity_weight(b("severity"))),
+        "confidence": 1 - F.abs(a("confidence") - b("confidence")),
+        "prefix": same("family"),
+        "token_overlap": token,
+        "domain_terms": token,
+    }
     got = pair.select("left", "right", a("family").alias("lf"), b("family").alias("rf"), *(x.alias(k) for k, x in signals.items()))
     kinds = {k: sum(F.col(p) * w for p, w in parts.items()) / sum(parts.values()) for k, parts in PARTS.items()}
     total = sum(kinds[k] * w for k, w in KINDS.items())

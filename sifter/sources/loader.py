@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from pathlib import PurePosixPath
+from pathlib import Path, PurePosixPath
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sifter.operators.moments import row_sample
 from sifter.operators.profile import clean
+from sifter.operators.sampling import row_sample
 
 #: Suffixes and JDBC prefixes.
 SUFFIXES = {".csv": "csv", ".tsv": "tsv", ".xlsx": "excel", ".xls": "excel", ".parquet": "parquet", ".json": "json", ".jsonl": "json", ".orc": "orc"}
@@ -59,7 +59,7 @@ def read(spark: SparkSession, source: str, *, table_name: str | None = None, que
             reader = spark.read.options(**({"header": True, "inferSchema": True, "mode": "PERMISSIVE"} | ({"sep": "\t"} if kind == "tsv" else {}) | options))
             return reader.csv(source)
         if kind == "postgresql":
-            return spark.read.format("jdbc").options(**(jdbc_options(source, table_name, query) | options)).load()
+            return _jdbc(spark, jdbc_options(source, table_name, query), dict(options))
         if kind == "excel":
             return _excel(spark, source, **options)
         return spark.read.options(**options).format(kind).load(source)
@@ -69,6 +69,53 @@ def read(spark: SparkSession, source: str, *, table_name: str | None = None, que
         raise LoadError(f"{redacted(source)}: {problem}") from problem
 
 
+def _jdbc(spark: SparkSession, options: dict, more: dict) -> DataFrame:
+    """A table read by one task, or, with partition_column, by `partitions` tasks between that column's least and greatest value.
+
+    A query can't be cut by Spark's reader itself, so it becomes a derived table. Bounds that aren't given are asked of the database.
+    """
+    column, parts = more.pop("partition_column", None), int(more.pop("partitions", 16))
+    low, high = more.pop("lower_bound", None), more.pop("upper_bound", None)
+    if not column:
+        return spark.read.format("jdbc").options(**(options | more)).load()
+    if not NAME.match(column):
+        raise LoadError(f"not a column name: {column!r}")
+    if "query" in options:
+        options = {k: v for k, v in options.items() if k != "query"} | {"dbtable": f"({options['query']}) as sifter_source"}
+    if low is None or high is None:
+        asked = {k: v for k, v in options.items() if k != "dbtable"} | {"query": f"select min({column}) as low, max({column}) as high from {options['dbtable']}"}
+        low, high = spark.read.format("jdbc").options(**asked).load().first()
+    if low is None:  # no rows, or no value to cut at
+        return spark.read.format("jdbc").options(**(options | more)).load()
+    cut = {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+    return spark.read.format("jdbc").options(**(options | cut | more)).load()
+
+
+#: Known data sets and the names their files go by.
+KNOWN_SETS = {
+    "Titanic": ("titanic.csv", "titanic.xlsx"),
+    "Adult Income": ("adult.csv", "adult_income.csv"),
+    "UNSW-NB15": ("unsw_nb15.csv", "UNSW-NB15.csv"),
+    "CICIDS2017": ("cicids2017.csv", "CICIDS2017.csv"),
+    "V2X": ("v2x.csv", "V2X.csv"),
+}
+
+
+def local_set(name: str, folders: list[str]) -> str | None:
+    """The path of a known data set below the folders of the driver's machine: the first folder and file name that has one."""
+    for folder in folders:
+        for file in KNOWN_SETS.get(name, ()):
+            found = sorted(Path(folder).rglob(file))
+            if found:
+                return str(found[0])
+    return None
+
+
+def local_sets(folders: list[str]) -> list[str]:
+    """Paths of all known data sets below the folders."""
+    return [path for name in KNOWN_SETS if folders and (path := local_set(name, folders))]
+
+
 def _excel(spark: SparkSession, source: str, **options) -> DataFrame:
     """One sheet, read on the driver; needs openpyxl."""
     try:
@@ -83,8 +130,8 @@ def _excel(spark: SparkSession, source: str, **options) -> DataFrame:
 
 
 def load(spark: SparkSession, source: str, max_rows: int, seed: int = 42, **options) -> tuple[DataFrame, dict]:
-    """(data, metadata): NaN as null, and exactly max_rows rows if the source has more, the same ones every time."""
+    """(data, metadata): NaN as null, and exactly max_rows rows if the source has more, drawn row by row, the same ones every time."""
     df = clean(read(spark, source, **options))
     n = df.count()
     sampled = n > max_rows
-    return (row_sample(df, max_rows, seed) if sampled else df), {"original_rows": n, "sampled": sampled, "source": redacted(source)}
+    return (row_sample(df, max_rows, seed, n) if sampled else df), {"original_rows": n, "sampled": sampled, "source": redacted(source)}
