@@ -10,6 +10,7 @@ from sifter.functions import stats
 from sifter.functions.scalars import value_type
 from sifter.operators import graph, integrity, moments, relationship
 from sifter.operators.profile import clean, duplicate_rows, profile, profile_table
+from sifter.operators.sampling import row_sample as sample_rows
 
 I, R = IntegritySettings(), RelationshipSettings()
 
@@ -84,6 +85,12 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def held(df: DataFrame) -> DataFrame:
+    """The profile table, computed once: a row for each column."""
+    table = profile_table(df)
+    return df.sparkSession.createDataFrame(table.collect(), table.schema)
+
+
 def _slim(df: DataFrame) -> DataFrame:
     return profile_table(df).select("name", "row_count", "null_count", "unique_count")
 
@@ -107,7 +114,10 @@ def profile_text(spark, d):
     return _slim(read(spark, d, "documents"))
 
 
-@query("profile_type_flags")
+_FLAGS = [("o_orderkey", "bigint", "n"), ("o_custkey", "bigint", "n"), ("o_orderstatus", "string", "c"), ("o_totalprice", "double", "n"), ("o_orderdate", "timestamp_ntz", "d"), ("o_orderpriority", "string", "c")]
+
+
+@query("profile_type_flags", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}', {k == 'n'}, {k == 'c'}, {k == 'd'}, false)" for n, t, k in _FLAGS) + ") AS v(name, dtype, is_numeric, is_categorical, is_datetime, is_boolean)")
 def type_flags(spark, d):
     return profile_table(read(spark, d, "orders")).select("name", "dtype", "is_numeric", "is_categorical", "is_datetime", "is_boolean")
 
@@ -125,7 +135,7 @@ def missing(spark, d):
 @query("empty_columns", f"SELECT 'empty' AS name, 'critical' AS severity FROM {MESSY} HAVING count(empty) = 0")
 def empty(spark, d):
     df = messy_orders(spark, d)
-    return integrity.empty_columns(df, profile_table(df), I).select(F.explode("affected_columns").alias("name"), "severity")
+    return integrity.empty_columns(df, held(df), I).select(F.explode("affected_columns").alias("name"), "severity")
 
 
 @query("duplicate_rows", f"WITH c AS (SELECT count(*) AS n FROM events GROUP BY user_id, event_type), t AS (SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicates FROM c) SELECT rows, duplicates, round(1.0 * duplicates / rows, 4) AS ratio, {_severity('1.0 * duplicates / rows', I.duplicates)} AS severity FROM t")
@@ -166,14 +176,17 @@ def kinds(spark, d):
     return long.groupBy("name", value_type(F.col("v")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("numeric_as_string")
+_KINDS = f"(SELECT name, {TYPE} AS kind, count(*) AS n FROM ({_ALL_TYPES}) GROUP BY ALL)"
+
+
+@query("numeric_as_string", f"SELECT name, CAST(sum(n) AS BIGINT) AS sampled, round(coalesce(sum(n) FILTER (kind = 'numeric'), 0) / sum(n), 3) AS ratio FROM {_KINDS} GROUP BY name")
 def numeric_text(spark, d):
-    return integrity.numeric_text(texts(spark, d), I).select("name", "sampled", F.round("ratio", 3).alias("ratio"))
+    return integrity.numeric_text(integrity.text_kinds(texts(spark, d), I)).select("name", "sampled", F.round("ratio", 3).alias("ratio"))
 
 
-@query("mixed_types")
+@query("mixed_types", f"SELECT name, CAST(sum(n) AS BIGINT) AS sampled, count(*) AS kinds, round(1 - max(n) / sum(n), 6) AS minority FROM {_KINDS} GROUP BY name HAVING count(*) > 1 AND sum(n) >= 10")
 def mixed(spark, d):
-    return integrity.type_mix(texts(spark, d), I)
+    return integrity.type_mix(integrity.text_kinds(texts(spark, d), I)).select("name", "sampled", "kinds", F.round("minority", 6).alias("minority"))
 
 
 @query("high_cardinality", "SELECT 'text' AS name, count(DISTINCT text) AS unique_count, round(1.0 * count(DISTINCT text) / count(text), 4) AS ratio FROM documents HAVING count(DISTINCT text) > 100 AND 1.0 * count(DISTINCT text) / count(text) >= 0.9")
@@ -185,36 +198,75 @@ def high(spark, d):
 @query("low_cardinality", "SELECT 'l_linestatus' AS name, count(DISTINCT l_linestatus) AS unique_count, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS values FROM lineitem HAVING count(DISTINCT l_linestatus) <= 2")
 def low(spark, d):
     df = read(spark, d, "lineitem")
-    return integrity.low_cardinality_columns(df, profile_table(df), I).select("name", "unique_count", F.array_join("values", ",").alias("values"))
+    return integrity.low_cardinality_columns(df, held(df), I).select("name", "unique_count", F.array_join("values", ",").alias("values"))
+
 
+_JOINT = "SELECT 'quality' AS a, 'toxic' AS b, round(corr(CAST(quality IS NULL AS INT), CAST(toxic IS NULL AS INT)), {places}) AS r FROM " + LABELLED
 
-@query("missingness_correlation", f"SELECT 'quality' AS a, 'toxic' AS b, round(corr(CAST(quality IS NULL AS INT), CAST(toxic IS NULL AS INT)), 6) AS r FROM {LABELLED}")
+
+@query("missingness_correlation", _JOINT.format(places=6))
 def together(spark, d):
     df = labelled(spark, d)
-    return integrity.missingness_edges(df, profile_table(df), I, full=True).select("a", "b", F.round("r", 6).alias("r"))
+    return integrity.missingness_edges(df, held(df), I, full=True).select("a", "b", F.round("r", 6).alias("r"))
+
+
+@query("missingness_balanced", _JOINT.format(places=2))
+def together_sampled(spark, d):
+    """The balanced profile: where the table has more rows than the budget, a sample of rows stands for it."""
+    df = labelled(spark, d)
+    return integrity.missingness_edges(df, held(df), I).select("a", "b", F.round("r", 2).alias("r"))
 
 
 def _findings(spark, d):
     df = messy_orders(spark, d)
-    p = profile_table(df)
+    p = held(df)
     out = None
     for detectors in integrity.DETECTORS.values():
         for detect in detectors:
-            made = detect(df, p, I)
+            extra = {"full": True} if detect is integrity.missingness_correlation else {}
+            made = detect(df, p, I, **extra)
             out = made if out is None else out.unionByName(made)
     return out
 
 
-@query("integrity_findings")
+_FOUND = f"""m AS (SELECT * FROM {MESSY}), t AS (SELECT count(*) AS n, count(*) - count(order_id) AS nulls, count(order_id) - count(DISTINCT order_id) AS again, avg(CASE WHEN rare = 0 THEN 1.0 ELSE 0 END) AS share FROM m),
+  r AS (SELECT 1.0 * (max(t.n) - count(*)) / max(t.n) AS ratio FROM (SELECT DISTINCT * FROM m), t),
+  f AS (SELECT 'missing_values' AS category, 'critical' AS severity, 'empty' AS columns
+  UNION ALL SELECT 'missing_values', {_severity('1.0 * nulls / n', I.missing)}, 'order_id' FROM t WHERE 1.0 * nulls / n >= 0.05
+  UNION ALL SELECT 'duplicate_rows', {_severity('ratio', I.duplicates)}, 'order_id,o_orderstatus,o_orderpriority,fixed,rare,empty' FROM r WHERE ratio >= 0.01
+  UNION ALL SELECT 'identifier_integrity', {_severity('greatest(1.0 * nulls / n, 1.0 * again / n)', (0.10, 0.05, 0.01, 0.001))}, 'order_id' FROM t
+  UNION ALL SELECT 'constant_features', 'medium', 'fixed,empty'
+  UNION ALL SELECT 'near_constant_features', 'low', 'rare' FROM t WHERE share >= 0.95
+  UNION ALL SELECT 'cardinality', 'info', 'fixed')"""
+
+
+@query("integrity_findings", f"WITH {_FOUND} SELECT * FROM f")
 def all_findings(spark, d):
-    return _findings(spark, d).select("id", "category", "title", "severity", "confidence", "affected_columns", "impact")
+    return _findings(spark, d).select("category", "severity", F.array_join("affected_columns", ",").alias("columns"))
+
 
+def _health_sql(found: str, by_domain: bool) -> str:
+    """Scores of the domains over a table f of findings, or their weighted mean."""
+    points = "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in integrity.POINTS.items()) + " END"
+    domains = ", ".join(f"('{k}', {v})" for k, v in integrity.DOMAINS.items())
+    scored = f"SELECT domain, CAST(any_value(weight) AS DOUBLE) AS weight, CAST(greatest(0, 100 - coalesce(sum({points}), 0)) AS DOUBLE) AS score FROM w LEFT JOIN f ON f.category = domain GROUP BY domain"
+    parts = f"WITH {found}, w AS (SELECT * FROM (VALUES {domains}) AS v(domain, weight)), s AS ({scored})"
+    if by_domain:
+        return f"{parts} SELECT domain, weight, score FROM s"
+    total = "SELECT round_even(sum(weight * score) / sum(weight), 1) AS score FROM s"
+    return f"{parts} SELECT score, CASE WHEN score >= 90 THEN 'info' WHEN score >= 70 THEN 'low' WHEN score >= 50 THEN 'medium' WHEN score >= 30 THEN 'high' ELSE 'critical' END AS severity FROM ({total})"
 
-@query("structural_health")
+
+@query("structural_health", _health_sql(_FOUND, False))
 def health(spark, d):
     return integrity.health_score(_findings(spark, d))
 
 
+@query("health_domain_scores", _health_sql(_FOUND, True))
+def health_domains(spark, d):
+    return integrity.domain_scores(_findings(spark, d))
+
+
 def _corr_sql(columns: list[str], table: str, f: str = "{c}") -> str:
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     return " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, round(corr({f.format(c=a)}, {f.format(c=b)}), 6) AS r FROM {table}" for a, b in pairs)
@@ -228,7 +280,8 @@ def pearsons(spark, d):
     return moments.pearson(prices(spark, d), PRICE).select("a", "b", "n", F.round("r", 6).alias("r"))
 
 
-_RANKS = f"(SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS l_quantity, rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2.0 AS price, rank() OVER (ORDER BY net) + (count(*) OVER (PARTITION BY net) - 1) / 2.0 AS net FROM {PRICES})"
+_rank = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}"
+_RANKS = f"(SELECT {', '.join(map(_rank, PRICE))} FROM {PRICES})"
 
 
 @query("spearman", _corr_sql(["l_quantity", "price", "net"], _RANKS))
@@ -236,24 +289,74 @@ def spearmans(spark, d):
     return moments.spearman(prices(spark, d), ["l_quantity", "price", "net"]).select("a", "b", "n", F.round("r", 6).alias("r"))
 
 
-@query("correlated_pairs")
+def _strong_sql() -> str:
+    """CTEs up to q: pairs at or over a cutoff, both coefficients (null below it), and the larger one."""
+    pairs = [(a, b) for i, a in enumerate(PRICE) for b in PRICE[i + 1 :]]
+    each = lambda table: " UNION ALL ".join(f"SELECT '{min(a, b)}' AS a, '{max(a, b)}' AS b, corr({a}, {b}) AS r, count(*) AS n FROM {table}" for a, b in pairs)
+    cut = lambda r: f"CASE WHEN abs({r}) >= 0.8 THEN {r} END"
+    both = f"SELECT p.a, p.b, p.n, {cut('p.r')} AS pearson, {cut('s.r')} AS spearman FROM pp p JOIN ss s ON p.a = s.a AND p.b = s.b"
+    larger = "CASE WHEN abs(coalesce(pearson, 0)) >= abs(coalesce(spearman, 0)) THEN pearson ELSE spearman END"
+    return f"pp AS ({each(PRICES)}), ss AS ({each(_RANKS)}), b AS ({both}), q AS (SELECT *, {larger} AS r FROM b WHERE pearson IS NOT NULL OR spearman IS NOT NULL)"
+
+
+_STRONG = _strong_sql()
+
+
+@query("correlated_pairs", f"WITH {_STRONG} SELECT a, b, round(pearson, 4) AS pearson, round(spearman, 4) AS spearman, 0.0::DOUBLE AS p_value, n FROM q")
 def pairs(spark, d):
-    return relationship.pair_table(spark, relationship.correlated_pairs(prices(spark, d), PRICE, R)).select("a", "b", F.round("pearson", 4).alias("pearson"), F.round("spearman", 4).alias("spearman"), "p_value", "n")
+    found = relationship.pair_table(spark, relationship.correlated_pairs(prices(spark, d), PRICE, R, full=True))
+    return found.select("a", "b", F.round("pearson", 4).alias("pearson"), F.round("spearman", 4).alias("spearman"), F.round("p_value", 9).alias("p_value"), "n")
+
+
+@query("balanced_pairs", f"WITH {_STRONG} SELECT a, b FROM q")
+def sampled_pairs(spark, d):
+    """The balanced profile flags the same pairs from its sample of rows."""
+    return relationship.pair_table(spark, relationship.correlated_pairs(prices(spark, d), PRICE, R)).select("a", "b")
 
 
-@query("correlation_findings")
+_QUOTED = "chr(39) || a || chr(39) || ' and ' || chr(39) || b || chr(39)"
+
+
+@query("correlation_findings", f"WITH {_STRONG} SELECT {_QUOTED} || ' correlate' AS title, CASE WHEN abs(r) >= 0.95 THEN 'high' ELSE 'medium' END AS severity, 1.0::DOUBLE AS confidence, round(r, 4) AS correlation_coefficient FROM q")
 def pair_findings(spark, d):
-    return relationship.correlation_findings(spark, relationship.correlated_pairs(prices(spark, d), PRICE, R), R).select("id", "title", "severity", "confidence", "correlation_coefficient")
+    found = relationship.correlation_findings(spark, relationship.correlated_pairs(prices(spark, d), PRICE, R, full=True), R)
+    return found.select("title", "severity", "confidence", F.round("correlation_coefficient", 4).alias("correlation_coefficient"))
+
+
+@query("correlation_topk", f"WITH p AS ({_corr_sql(PRICE, PRICES)}) SELECT a, b, r FROM p ORDER BY abs(r) DESC, a, b LIMIT 3")
+def strongest_pairs(spark, d):
+    """The three strongest pairs: the limit is the query's feature."""
+    found = moments.pearson(prices(spark, d), PRICE).orderBy(F.desc(F.abs("r")), "a", "b").limit(3)
+    return found.select("a", "b", F.round("r", 6).alias("r"))
 
 
-@query("feature_groups")
+@query("correlation_tstat", "SELECT round(r * sqrt((n - 2) / (1 - r * r)), 4) AS t FROM (SELECT corr(l_quantity, l_tax) AS r, count(*) AS n FROM lineitem)")
+def t_values(spark, d):
+    found = moments.pearson(prices(spark, d), ["l_quantity", "l_tax"]).first()
+    return spark.createDataFrame([(moments.t_statistic(found.r, found.n),)], "t double").select(F.round("t", 4).alias("t"))
+
+
+_GROUPS = f"""WITH RECURSIVE {_STRONG}, k AS (SELECT * FROM (VALUES ('redundant_features', 0.95, 2), ('strong_group', 0.90, 3), ('feature_community', 0.75, 3)) AS v(kind, cut, least)),
+  e AS (SELECT kind, least, a AS x, b AS y FROM k JOIN q ON abs(r) >= cut UNION ALL SELECT kind, least, b, a FROM k JOIN q ON abs(r) >= cut),
+  w AS (SELECT DISTINCT kind, least, x AS start, x AS stop FROM e UNION SELECT w.kind, w.least, w.start, e.y FROM w JOIN e ON e.kind = w.kind AND e.x = w.stop),
+  c AS (SELECT kind, least, start, min(stop) AS root FROM w GROUP BY ALL)
+SELECT kind AS category, string_agg(start, ',' ORDER BY start) AS columns, CASE WHEN kind = 'redundant_features' THEN 'high' ELSE 'medium' END AS severity, round(count(*) / {len(PRICE)}.0, 4) AS impact
+FROM c GROUP BY kind, least, root HAVING count(*) >= least"""
+
+
+@query("feature_groups", _GROUPS)
 def groups(spark, d):
-    return relationship.group_findings(spark, relationship.correlated_pairs(prices(spark, d), PRICE, R, full=True), len(PRICE), R).select("category", "affected_columns", "severity", F.round("impact", 4).alias("impact"))
+    found = relationship.group_findings(spark, relationship.correlated_pairs(prices(spark, d), PRICE, R, full=True), len(PRICE), R)
+    return found.select("category", F.array_join("affected_columns", ",").alias("columns"), "severity", F.round("impact", 4).alias("impact"))
 
 
-@query("variance_inflation")
+_THREE = ["l_quantity", "price", "l_tax"]
+_R = "(SELECT corr(l_quantity, price) AS a, corr(l_quantity, l_tax) AS b, corr(price, l_tax) AS c FROM " + PRICES + ")"
+
+
+@query("variance_inflation", f"WITH r AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS d FROM {_R}) SELECT 'l_quantity' AS name, round((1 - c * c) / d, 3) AS vif FROM r UNION ALL SELECT 'price', round((1 - b * b) / d, 3) FROM r UNION ALL SELECT 'l_tax', round((1 - a * a) / d, 3) FROM r")
 def inflation(spark, d):
-    found = moments.vif(prices(spark, d), PRICE)
+    found = moments.vif(prices(spark, d), _THREE)
     return spark.createDataFrame(found, "name string, vif double").withColumn("vif", F.round("vif", 3))
 
 
@@ -311,14 +414,21 @@ def kurt(spark, d):
 
 @query("normality")
 def normal(spark, d):
+    """Moments over all rows; test_statistics holds the p-values against known distributions."""
     df = read(spark, d, "orders")
     rows = [(c, *map(float, stats.normality(df, c))) for c in ("o_totalprice", "o_orderkey")]
     return spark.createDataFrame(rows, "name string, normal double, p double").withColumn("p", F.round("p", 6))
 
 
-@query("kendall")
+_TAU = """WITH c AS (SELECT l_quantity AS x, l_tax AS y, count(*) AS w FROM lineitem GROUP BY ALL),
+  s AS (SELECT sum(a.w * b.w * sign(a.x - b.x) * sign(a.y - b.y)) / 2.0 AS s FROM c a, c b),
+  n AS (SELECT sum(w) AS n FROM c), x AS (SELECT sum(t * (t - 1)) / 2.0 AS t FROM (SELECT sum(w) AS t FROM c GROUP BY x)), y AS (SELECT sum(t * (t - 1)) / 2.0 AS t FROM (SELECT sum(w) AS t FROM c GROUP BY y))
+SELECT 'l_quantity' AS a, 'l_tax' AS b, CAST(n AS BIGINT) AS n, round(s / (sqrt(n * (n - 1) / 2.0 - x.t) * sqrt(n * (n - 1) / 2.0 - y.t)), 6) AS r FROM s, n, x, y"""
+
+
+@query("kendall", _TAU)
 def tau(spark, d):
-    return stats.kendall(prices(spark, d), ["l_quantity", "price"]).withColumn("r", F.round("r", 4))
+    return stats.kendall(read(spark, d, "lineitem"), ["l_quantity", "l_tax"]).withColumn("r", F.round("r", 6))
 
 
 @query("connected_components", "WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, c_custkey - 1 AS b FROM customer WHERE c_custkey % 5 <> 0), v AS (SELECT a AS vertex FROM e UNION SELECT b FROM e), r AS (SELECT vertex, vertex AS up FROM v UNION SELECT r.vertex, e.b FROM r JOIN e ON r.up = e.a) SELECT vertex, min(up) AS component FROM r GROUP BY vertex")
@@ -344,9 +454,15 @@ def dense(spark, d):
     return graph.density(n, e).withColumn("density", F.round("density", 6))
 
 
-@query("row_sample")
+@query("row_sample", "SELECT l_returnflag, l_linestatus, 5000 AS rows, true AS even FROM lineitem GROUP BY ALL")
 def sampled(spark, d):
-    return moments.row_sample(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), 100)
+    """5,000 rows of the two columns of fewest values: every pair of values is drawn, and as often as its share says, to 0.03."""
+    li = read(spark, d, "lineitem").select("l_returnflag", "l_linestatus")
+    drawn = sample_rows(li, 5000).groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    known = li.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("all"))
+    total = known.agg(F.sum("all").alias("total"), F.lit(1).alias("one")).join(drawn.agg(F.sum("n").cast("int").alias("rows"), F.lit(1).alias("one")), "one").drop("one")
+    both = known.join(drawn, ["l_returnflag", "l_linestatus"]).join(F.broadcast(total))
+    return both.select("l_returnflag", "l_linestatus", "rows", (F.abs(F.col("n") / F.col("rows") - F.col("all") / F.col("total")) < 0.03).alias("even"))
 
 
 @query("duplicate_row_profile", "SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem)) AS duplicates FROM lineitem")

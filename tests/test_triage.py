@@ -11,14 +11,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sifter import cli
+from sifter import cli, engine
 from sifter.config import CompressionSettings, EngineSettings, IntegritySettings, RelationshipSettings, Settings
 from sifter.engine import Engine, Module, RegistrationError, register
 from sifter.functions import scalars, stats
 from sifter.operators import findings as found
-from sifter.operators import graph, integrity, moments, relationship, similarity
+from sifter.operators import graph, integrity, moments, ranks, relationship, sampling, similarity
 from sifter.operators.profile import clean, profile, profile_table
-from sifter.plans import compare, queries, reasoning
+from sifter.plans import compare, queries, reasoning, rules, tables
 from sifter.sources import loader, sinks
 from sifter.streaming import incremental
 
@@ -89,6 +89,9 @@ def test_constants(spark):
 def test_types(spark):
     df = frame(spark, [(str(i / 2), "word" if i % 5 == 0 else str(i), f"text {i}") for i in range(100)], "numbers string, mixed string, words string")
     got = {(r.affected_columns[0], r.severity) for r in integrity.datatype_integrity(df, profile_table(df), I).collect()}
+    kinds = {(r.name, r.kind): r.n for r in integrity.text_kinds(df, I).collect()}
+    assert kinds["mixed", "numeric"] == 80 and kinds["mixed", "string"] == 20
+    assert sum(r.n for r in integrity.text_kinds(df, IntegritySettings(type_sample=40)).where("name = 'mixed'").collect()) == 40
     assert ("numbers", "high") in got and ("mixed", "medium") in got and not any(c == "words" for c, _ in got)
 
 
@@ -226,7 +229,7 @@ def test_similarity_and_reasoning(spark):
     df = finding_rows(spark, rows)
     r = reasoning.reason(df)
     m = r.metrics()
-    assert m["evidence"] < m["findings"] and m["investigations"] <= m["hypotheses"] <= m["knowledge"] <= m["evidence"]
+    assert m["evidence"] < m["findings"] and m["work_items"] <= m["hypotheses"] <= m["knowledge"] <= m["evidence"]
     assert {i for e in r.evidence for i in e.below} == {f["id"] for f in r.findings}
     for h in r.hypotheses:
         assert round(min(1.0, max(0.0, sum(h.breakdown.values()))), 2) == h.confidence
@@ -345,3 +348,159 @@ def test_kendall_takes_all_rows(spark):
     for task_rows in (1 << 15, 100):
         got = {(r.a, r.b): (r.n, r.r) for r in stats.kendall(df, ["a", "b", "c"], task_rows=task_rows).collect()}
         assert got["a", "b"][0] == keep.sum() and abs(got["a", "b"][1] - want) < 1e-9 and got["a", "c"] == (6000, None)
+
+
+def test_sample_draws_rows_not_values(spark):
+    """Of many rows of few values each value keeps its share, whatever the partitioning, and no row is drawn twice."""
+    df = spark.range(200_000).select((F.col("id") % 5).alias("v"), F.when(F.col("id") % 10 == 0, 1).alias("w"))
+    got = sampling.row_sample(df, 20_000).groupBy("v").agg(F.count("*").alias("n"), F.count("w").alias("w")).collect()
+    assert sum(r.n for r in got) == 20_000 and all(abs(r.n - 4000) < 300 for r in got) and abs(sum(r.w for r in got) - 2000) < 200
+    again = sampling.row_sample(df.repartition(7, "v"), 20_000).groupBy("v").agg(F.count("*").alias("n"), F.count("w").alias("w"))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again.collect()))
+    one = sampling.row_sample(spark.range(150_000).select(F.lit("same").alias("s"), F.col("id")), 999)
+    assert one.count() == 999 and one.distinct().count() == 999
+    assert sampling.row_sample(df, 300_000).count() == 200_000 and sampling.row_sample(df.where("false"), 5).count() == 0
+
+
+def test_balanced_profile_finds_what_full_finds(spark):
+    """Above the row budgets: joint missingness, and correlation over three values."""
+    holes = spark.range(200_000).select("id", *(F.when(F.col("id") % 4 != 0, F.col("id") * k).alias(f"h{k}") for k in (1, 2)))
+    table = profile_table(holes)
+    full, balanced = (integrity.missingness_edges(holes, table, I, full=f).collect() for f in (True, False))
+    assert [(r.a, r.b, r.r) for r in full] == [("h1", "h2", 1.0)] and [(r.a, r.b) for r in balanced] == [("h1", "h2")]
+    few = spark.range(120_000).select((F.col("id") % 3).alias("x"), (2 * (F.col("id") % 3)).alias("y"))
+    (pair,) = relationship.correlated_pairs(few, ["x", "y"], R)
+    assert abs(pair["pearson"] - 1) < 1e-9 and abs(pair["spearman"] - 1) < 1e-9
+
+
+def test_ranks_and_quantiles_in_pieces(spark):
+    """Cut into pieces, ranks and quantiles are those of the whole."""
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=5000), 2)
+    counts = spark.createDataFrame([(0, float(v)) for v in x] + [(1, 3.0)], "k int, v double").groupBy("k", "v").agg(F.count("*").alias("w"))
+    want = dict(zip(x, pd.Series(x).rank(), strict=True))
+    for most in (1 << 18, 50):
+        got = {(r.k, r.v): r["rank"] for r in ranks.average_ranks(counts, "k", "v", "w", most).collect()}
+        assert got[1, 3.0] == 1 and all(got[0, v] == want[v] for v in want)
+    df = frame(spark, [(float(v),) for v in rng.exponential(size=4001)] + [(None,), (math.nan,)], "v double")
+    values = np.array([r.v for r in df.where("v is not null").collect()])
+    for most in (1 << 18, 100):
+        assert np.allclose(ranks.quantiles(df, "v", [0.0, 0.25, 0.5, 0.9, 1.0], most), np.quantile(values, [0, 0.25, 0.5, 0.9, 1]))
+    assert ranks.quantiles(df.where("false"), "v", [0.5]) == [None]
+
+
+def test_spearman_over_shuffled_ranks(spark, monkeypatch):
+    """The plan for tables that no task holds gives what one task gives, with nulls and without, with broadcast ranks and without."""
+    df = frame(spark, numbers(), ", ".join(f"{c} double" for c in COLS))
+    want = {(r.a, r.b): (r.n, r.r) for r in moments.spearman(df, COLS).collect()}
+    monkeypatch.setattr(moments, "TASK_CELLS", 0)
+    for sent in (1 << 20, 0):
+        monkeypatch.setattr(moments, "RANKS_SENT", sent)
+        got = {(r.a, r.b): (r.n, r.r) for r in moments.spearman(df, COLS).collect()}
+        assert got.keys() == want.keys()
+        for k, (n, r) in got.items():
+            assert n == want[k][0] and (r is None) == (want[k][1] is None) and (r is None or abs(r - want[k][1]) < 1e-9)
+
+
+def test_cramers_v_without_empty_cells(spark):
+    rng = random.Random(6)
+    rows = [(f"a{(k := rng.randrange(9))}", f"b{k if rng.random() < 0.5 else rng.randrange(30)}") for _ in range(2000)] + [(None, "b1")]
+    cells = {(a, b): sum(x == (a, b) for x in rows) for a, b in rows if a}
+    n = sum(cells.values())
+    left, right = ({k: sum(v for c, v in cells.items() if c[i] == k) for k in {c[i] for c in cells}} for i in (0, 1))
+    chi2 = sum((cells.get((a, b), 0) - left[a] * right[b] / n) ** 2 / (left[a] * right[b] / n) for a in left for b in right)
+    got = stats.cramers_v(frame(spark, rows, "p string, q string"), "p", "q").first().v
+    assert abs(got - math.sqrt(chi2 / n / (min(len(left), len(right)) - 1))) < 1e-9
+    assert stats.cramers_v(frame(spark, [("a", "x")] * 9, "p string, q string"), "p", "q").first().v == 0.0
+
+
+def test_settings_are_checked(monkeypatch):
+    for bad in (lambda: EngineSettings(max_findings=501), lambda: EngineSettings(profile="fast"), lambda: IntegritySettings(empty=1.5), lambda: IntegritySettings(missing=(0.1, 0.2, 0.3, 0.4)), lambda: RelationshipSettings(vif=(5.0, 10.0))):
+        with pytest.raises(ValueError):
+            bad()
+    monkeypatch.setenv("SIFTER_INTEGRITY__MISSING", "0.9, 0.5,0.2,0.1")
+    monkeypatch.setenv("SIFTER_ENGINE__DISABLED_MODULES", "relationship")
+    monkeypatch.setenv("SIFTER_COMPRESSION__EDGE", "0.3")
+    made = Settings.from_environment()
+    assert made.integrity.missing == (0.9, 0.5, 0.2, 0.1) and made.engine.disabled_modules == ("relationship",) and made.compression.edge == 0.3
+
+
+def test_modules_and_known_sets(tmp_path, monkeypatch):
+    (tmp_path / "addons").mkdir()
+    (tmp_path / "addons" / "__init__.py").write_text("")
+    (tmp_path / "addons" / "one.py").write_text("from sifter.engine import Module, register\n\n@register\nclass One(Module):\n    name = 'one'\n")
+    (tmp_path / "addons" / "broken.py").write_text("import not_there\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    try:
+        assert engine.discover_modules("addons") == 1 and engine.module_of("one").name == "one" and "one" in engine.module_names()
+    finally:
+        engine.REGISTRY.pop("one", None)
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "titanic.csv").write_text("a\n1\n")
+    assert loader.local_sets([str(tmp_path)]) == [str(tmp_path / "data" / "titanic.csv")] and loader.local_set("V2X", [str(tmp_path)]) is None
+    schema = found.json_schema()
+    assert schema["properties"]["affected_columns"]["items"] == {"type": "string"} and "critical" in schema["properties"]["severity"]["enum"]
+
+
+def test_jdbc_is_cut_by_a_column():
+    class Reader:
+        seen: list = []
+
+        def __getattr__(self, name):
+            return self
+
+        def __call__(self, *a, **o):
+            self.seen += [o] if o else []
+            return self
+
+        def load(self):
+            return self
+
+        def first(self):
+            return (1, 900)
+
+    spark = Reader()
+    loader._jdbc(spark, loader.jdbc_options("postgresql://h/db", "t", None), {"partition_column": "id", "partitions": 8})
+    asked, made = spark.seen
+    assert asked["query"] == "select min(id) as low, max(id) as high from t"
+    assert made["partitionColumn"] == "id" and (made["lowerBound"], made["upperBound"], made["numPartitions"]) == ("1", "900", "8") and made["dbtable"] == "t"
+    with pytest.raises(loader.LoadError):
+        loader._jdbc(spark, {}, {"partition_column": "id; drop"})
+
+
+def test_rule_tables():
+    f = rules.Facts.of(["neighbor", "missing"], ["missing_values"], ["Neighbor1_rsrp"], ["Identifier Integrity"])
+    assert reasoning.concept_of({"neighbor", "missing"}, ["missing_values"], ["Neighbor1_rsrp"]) == "Neighbor Cell Availability"
+    assert reasoning.concept_of({"alpha"}, ["pearson"], ["serving_x"]) == "Serving Cell Signal Quality" and reasoning.concept_of({"alpha"}, [], ["x"]) is None
+    assert reasoning.made_concept({"alpha"}, ["correlation"], ["gear_box_size"]) == "Gear Box Telemetry Subsystem" and reasoning.made_concept(set(), [], []) == "Measurement Telemetry Subsystem"
+    assert rules.Rule(1).holds(f) and not rules.Rule(1, two=("neighbor", "pci")).holds(f) and rules.Rule(1, any_of=(rules.Rule(0, words=("x",)), rules.Rule(0, inside=("rsrp",)))).holds(f)
+    assert len(tables.CAUSES) == 6 and list(rules.fitting(tables.CAUSES, f)) == [tables.CAUSES[4].says]
+
+
+def test_samples_of_sparse_columns(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") >= 2990, F.col("id")).alias("late"), F.lit(None).cast("string").alias("none"))
+    p = profile(df)
+    assert len(p.column("late").samples) == 5 and p.column("none").samples == []
+
+
+def test_report_sections(spark):
+    rows = [("integrity", "missing_values", f"Missing values in 'a{k}'", "high", 1.0, [f"a{k}"], None) for k in range(3)]
+    r = reasoning.reason(finding_rows(spark, rows))
+    made = r.report({"x": 1.5}, 10)
+    assert made["sizes"]["findings"] == 3 and made["runtime"]["total_seconds"] == 1.5 and made["memory"]["dataset_bytes"] == 10 and made["memory"]["driver_peak_bytes"] > 0
+    assert [s["layer"] for s in made["flow"]["stages"]] == ["findings", "evidence", "knowledge", "hypotheses", "work_items"] and not r.unlinked()
+    parts = {f for e in r.evidence for f in e.below}
+    assert graph.local_modularity([sorted(parts)], [("x", "y", 1.0)]) == 0.0
+
+
+def test_all_numeric_evidence_counts(spark):
+    """Findings that differ in one of the nine numbers alone are scored apart."""
+    base = found.finding(spark.range(2).select(F.col("id").alias("k")), "m", "c", title=F.format_string("Same words %d", "k"), description=F.lit("d"), severity=F.lit("low"), confidence=F.lit(0.5), columns=F.array(F.lit("x")), recommendation="r", evidence={"k": F.col("k")})
+    plain = similarity.scores(base).first().statistical
+    for name in ("duplicate_ratio", "dominance_ratio", "health_score"):
+        numbered = base.withColumn("evidence", F.map_concat("evidence", F.create_map(F.lit(name), F.element_at("evidence", F.lit("k")))))
+        assert similarity.scores(numbered).first().statistical == plain  # 0 and 1 have nothing in common
+        same = base.withColumn("evidence", F.map_concat("evidence", F.create_map(F.lit(name), F.lit("0.5"))))
+        assert similarity.scores(same).first().statistical == plain + 0.75
