@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,36 +10,33 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROOTS: dict[str, str] = {}
+from sifter.sources.shared import durable, release, shared_root
 
+__all__ = ["byte_words", "durable", "id_text", "ints", "mixed", "release", "rows", "shared_root", "small_batches", "spread_join", "table", "window_hashes", "window_names", "word_codes"]
+#: A key is hot if one in so many rows has it; so there are at most as many hot keys.
+HOT_SHARE = 1000
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that setting is unset."""
-    app = spark.sparkContext.applicationId
-    if app not in _ROOTS:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        _ROOTS[app] = f"{(named or tempfile.mkdtemp(prefix='sifter-')).rstrip('/')}/sifter-{uuid.uuid4().hex}"
-    return _ROOTS[app]
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table in the shared folder: lineage is cut and any executor can be lost."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def release(spark: SparkSession) -> None:
-    """Delete this application's tables in the shared folder; call it when no result that reads them is needed any more."""
-    root = _ROOTS.pop(spark.sparkContext.applicationId, None)
-    if root:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
+def spread_join(big: DataFrame, unique: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """big joined with unique on key, of which unique has one row each; weight: a column of unique, the rows of big with that key.
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    Rows of hot keys, HOT_SHARE at most by what hot means, meet a broadcast table where they lie; the others are shuffled, and
+    no key among those holds more than a share of 1 / HOT_SHARE of the rows. So no task depends on the largest key.
+    Tables read twice should be written ones. The weight is dropped.
+    """
+    spark = big.sparkSession
+    total = unique.agg(F.sum(weight)).first()[0] or 0
+    bound = max(total // HOT_SHARE, 10_000)
+    hot = unique.where(F.col(weight) > bound).collect() if total > bound else []  # fewer than HOT_SHARE rows
+    plain = unique.drop(weight)
+    if not hot:
+        return big.join(plain, key, how)
+    few = spark.createDataFrame(hot, unique.schema).drop(weight)
+    rest = big.join(F.broadcast(few.select(key)), key, "left_anti").join(unique.where(F.col(weight) <= bound).drop(weight), key, how)
+    return big.join(F.broadcast(few), key).unionByName(rest)
 
 
 def byte_words(text: bytes | None) -> list[bytes]:
@@ -64,6 +59,42 @@ def window_hashes(words: list[bytes], n: int, seed: int, short: bool) -> np.ndar
     return np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in cuts]), ">u8").astype(np.uint64)
 
 
+class WordCodes(dict):
+    """XXH64 of each word, remembered for up to `most` distinct words."""
+
+    def __init__(self, most: int = 1 << 18):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        code = self[word] = xxhash.xxh64_intdigest(word)
+        return code
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+_CODES = WordCodes()
+
+
+def word_codes(words: list[bytes]) -> np.ndarray:
+    """XXH64 of each word, by a memory that lasts as long as the worker."""
+    return _CODES.of(words)
+
+
+def window_names(codes: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit name of every run of n codes, or of those that start at the places `at`: a rolling polynomial of word hashes, mixed."""
+    m = len(codes) - n + 1
+    if m <= 0:
+        return np.empty(0, np.uint64)
+    h = np.zeros(m if at is None else len(at), np.uint64)
+    for k in range(n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + (codes[k : k + m] if at is None else codes[at + k])
+    return mixed(h, n)
+
+
 def mixed(h: np.ndarray, salt: int) -> np.ndarray:
     """A further 64-bit hash of each hash (the splitmix64 finaliser)."""
     x = h + np.uint64((salt * 0x9E3779B97F4A7C15) % 2**64)

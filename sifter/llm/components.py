@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifter.llm.common import durable
+from sifter.llm.common import durable, spread_join
 
 
 def _least(pairs: DataFrame) -> DataFrame:
-    """Least neighbour of every node, the node itself included: pre-aggregated before its shuffle."""
-    return durable(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    """pairs with m, the least neighbour of u or u itself: pre-aggregated before its shuffle; a hub's rows stay where they are."""
+    known = durable(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+    return spread_join(pairs, known, "u", "n")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -25,9 +26,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     seen = mark(now)
     for _ in range(max_rounds if seen[0] else 0):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = durable(large, "large")
-        small = large.join(_least(large), "u")
+        small = _least(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = durable(small, "small")
         state = mark(now)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from itertools import pairwise
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -27,12 +30,49 @@ TEMPLATES = {
 }
 #: Paragraphs that use such words without being a notice.
 OTHER = ["the driver renewed a license at the office", "a fishing licence is required on this lake", "she asked for permission to leave the room", "the apache helicopter landed near the river", "the gnu grazes on the open plain", "mit is a university in cambridge massachusetts", "the general public may visit the museum on sunday", "copyright law differs from country to country", "the free version has fewer features than the paid one", "this version of the song was released in june", "the terms of the contract were not met", "the source of the river lies in the hills", "creative work takes time and attention", "the warranty on the car ended last year", "rights and duties of the citizens are listed below", "the public domain name was registered in may", "the distribution of income is uneven", "software runs on the computer", "redistribution of land followed the reform", "he licensed the patent to a company", "the commons debated the bill until night", "a license plate fell from the truck", "permission slips are due on friday", "version two of the plan was rejected"]
-#: A paragraph without any of these can't be confirmed: each template has one.
-TRIGGER = r"licen[sc]e|\bgpl|\bgnu\b|copyright|permission|redistribut|public domain|\bcc[ -]?by|\bcc0|\bmpl\b|\blgpl|\bagpl|spdx|rights reserved|free software|proprietary|mozilla public"
+#: Beginnings of words of the templates, and words too short to be sought by their beginning. Of every template, more than 1 - CONFIRM
+#: of the two-word runs have such a word (touched() says how many), so a paragraph without any can't be confirmed and needs no score.
+MARKS = (
+    "licen", "apache", "compliance", "except", "distribut", "redistribut", "spdx", "released", "available", "terms", "hereby", "obtaining", "software",
+    "associated", "gnu", "gpl", "lgpl", "agpl", "bsd", "binary", "modification", "permitted", "mozilla", "creative", "domain", "rights", "reserved",
+    "copyright", "unauthorized", "prohibited", "proprietary", "confidential", "strictly", "subject",
+)
+WHOLE_MARKS = ("cc", "mpl")
+#: Lines that a wrapped notice may take.
+MOST_LINES = 4
 FEATURES, CONFIRM, SURE = 1 << 12, 0.6, 0.5
 UNKNOWN = "unknown"
 
 
+def template_words(text: str) -> list[str]:
+    """A template's words as tokens() gives them."""
+    plain = re.sub(r"[0-9]+(\.[0-9]+)*", " 0 ", text.format(v="0").lower())
+    return re.sub(r"[^a-z0]+", " ", plain).split()
+
+
+def touched(text: str) -> float:
+    """Share of a template's two-word runs that have a marked word."""
+    marked = lambda w: w in WHOLE_MARKS or w.startswith(MARKS)
+    runs = set(pairwise(template_words(text)))
+    return sum(marked(a) or marked(b) for a, b in runs) / len(runs)
+
+
+def _mark_pattern() -> str:
+    """Marks at the beginning of a word, by first letter, so that few of them are tried at a place and none inside a word."""
+    tails: dict[str, list[str]] = {}
+    for mark in [*MARKS, *(f"{m}(?![a-z])" for m in WHOLE_MARKS)]:
+        tails.setdefault(mark[0], []).append(mark[1:])
+    return f"[^a-z](?:{'|'.join(f'{c}(?:{"|".join(t)})' for c, t in sorted(tails.items()))})"
+
+
+MARK_PATTERN = _mark_pattern()
+
+
+def has_mark(lower: Column) -> Column:
+    """Whether text in lower case has a marked word: none of the paragraphs that can be confirmed lacks one."""
+    return F.concat(F.lit(" "), lower).rlike(MARK_PATTERN)
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words of a paragraph; a number, with its points, is the one word 0."""
     plain = F.regexp_replace(F.lower(text), r"[0-9]+(\.[0-9]+)*", " 0 ")
@@ -106,25 +146,57 @@ def template_share(pairs: Column, family: Column) -> Column:
     """The largest share of two-word runs of one of the family's templates that the paragraph's runs, pairs, have."""
     sets = []
     for name, texts in TEMPLATES.items():
-        words = [text.format(v="0").split() for text in texts]
+        words = [template_words(text) for text in texts]
         sets += [F.lit(name), F.array(*(F.array(*(F.lit(x) for x in sorted({" ".join(w[k : k + 2]) for k in range(len(w) - 1)}))) for w in words))]
     of = F.transform(F.element_at(F.create_map(*sets), family), lambda t: F.size(F.array_intersect(pairs, t)) / F.size(t))
     return F.coalesce(F.array_max(of), F.lit(0.0))
 
 
-def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line, family, probability, template_share, paragraph): a row for each paragraph confirmed as a notice.
+def paragraphs(docs: DataFrame, most_lines: int = MOST_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, line, lines, paragraph): runs of up to most_lines lines without a blank one, of which some line has a mark.
 
-    A paragraph is a line. It is scored if it has a trigger, predicted if a family has a calibrated probability of
-    SURE or more, and confirmed if it holds CONFIRM of a template of that family. Whole texts are scanned. Null, empty and
-    unlicensed texts give no row; repeated documents give theirs each.
+    Lines of a run are joined by line feeds; comment signs are no words. row names the row of docs.
     """
     text = F.col(text_col).cast("string")
-    hit = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).where(F.lower("text").rlike(TRIGGER))
-    lines = hit.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "paragraph")).where(F.lower("paragraph").rlike(TRIGGER))
-    got = scanner.predict(lines).where(F.col("family") != UNKNOWN).withColumn("pairs", grams(F.col("words"), 2))
-    return got.withColumn("template_share", template_share(F.col("pairs"), F.col("family"))).where(F.col("template_share") >= CONFIRM).select("doc_id", "line", "family", "probability", "template_share", "paragraph")
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    slim = slim.where(has_mark(F.lower("text")))
+    flags = F.transform(F.split(F.lower("text"), "\n", -1), lambda x, k: F.when(has_mark(x), k))
+    split = slim.select("row", "doc_id", F.split("text", "\n", -1).alias("own"), F.array_compact(flags).alias("marks"))
+    held = split.select("row", "doc_id", "own", F.explode("marks").alias("at"))
+    # Every run that has this line, and no marked line before it in the run: each run comes from the first marked line in it.
+    near = held.select("row", "doc_id", "at", F.slice("own", F.greatest(F.col("at") - (most_lines - 1), F.lit(0)) + 1, 2 * most_lines - 1).alias("own"), F.least("at", F.lit(most_lines - 1)).alias("mid"))
+    starts = F.sequence(F.lit(0), F.col("mid"))
+    runs = F.flatten(F.transform(starts, lambda a: F.transform(F.sequence(F.col("mid"), F.least(a + (most_lines - 1), F.size("own") - 1)), lambda z: F.struct(a.alias("a"), F.slice("own", a + 1, z - a + 1).alias("x")))))
+    whole = F.filter(runs, lambda r: ~F.exists(r["x"], lambda x: ~x.rlike("[A-Za-z0-9]")))
+    out = near.select("row", "doc_id", "at", "mid", F.explode(whole).alias("r"))
+    made = out.select("row", "doc_id", (F.col("at") - F.col("mid") + F.col("r.a")).alias("line"), F.size("r.x").alias("lines"), F.array_join("r.x", "\n").alias("paragraph"), F.slice("r.x", 1, F.col("mid") - F.col("r.a")).alias("before"))
+    return made.where(~F.exists("before", lambda x: has_mark(F.lower(x)))).drop("before")
+
+
+def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text", most_lines: int = MOST_LINES) -> DataFrame:
+    """(doc_id, line, lines, family, probability, template_share, paragraph): a row for each notice.
+
+    A paragraph is a line, or up to most_lines consecutive lines that a notice is wrapped over. It is predicted if a family has a
+    calibrated probability of SURE or more (of equal ones the first by name), and confirmed if it holds CONFIRM of a template of
+    that family. Of confirmed paragraphs one inside another, the one that holds more of its template is reported, the smaller one if
+    both hold as much. Whole texts are scanned.
+    Null, empty and unlicensed texts give no row; repeated documents give theirs each.
+    """
+    # Written, as a filter pushed below the model would have the planner repeat words and n-grams inside each other.
+    lines = durable(paragraphs(docs, most_lines, id_col, text_col), "paragraphs")
+    predicted = durable(scanner.predict(lines).withColumn("pairs", grams(F.col("words"), 2)), "predicted")
+    got = predicted.where(F.col("family") != UNKNOWN)
+    got = got.withColumn("template_share", template_share(F.col("pairs"), F.col("family"))).where(F.col("template_share") >= CONFIRM)
+    found = F.struct("line", "lines", "family", "probability", "template_share", "paragraph")
+    # Notices of one row of docs: a few for each of its lines.
+    rows = got.groupBy("row", "doc_id").agg(F.collect_list(found).alias("all"))
+    inside = lambda x, y: (y["line"] >= x["line"]) & (y["line"] + y["lines"] <= x["line"] + x["lines"]) & (y["lines"] < x["lines"])
+    as_good = lambda x, y: inside(x, y) & (y["template_share"] >= x["template_share"])
+    better = lambda x, y: inside(y, x) & (y["template_share"] > x["template_share"]) & (y["family"] == x["family"])
+    least = F.filter("all", lambda x: ~F.exists("all", lambda y: as_good(x, y) | better(x, y)))
+    return rows.select("doc_id", F.explode(least).alias("x")).select("doc_id", "x.*")
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"), Scanner(spark)).select("doc_id", "line", "family", F.round("probability", 6).alias("probability"), F.round("template_share", 6).alias("template_share"))
+    got = scan(table(spark, sf_dir, "documents"), Scanner(spark))
+    return got.select("doc_id", "line", "lines", "family", F.round("probability", 6).alias("probability"), F.round("template_share", 6).alias("template_share"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.llm.common import durable, table
+from sifter.llm.common import durable, spread_join, table
 
 #: Documents with covered lines up to which their line numbers may be broadcast if they also stay within BROADCAST_LINES.
 BROADCAST_LINES = 1 << 20
@@ -33,8 +33,9 @@ def covered_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text
     windows = hashed.select("doc_id", "row_key", F.explode(named).alias("w")).where("w.text").select("doc_id", "row_key", F.col("w.line").alias("line"), F.col("w.name").alias("name"))
     windows = durable(windows, "windows")
     at = F.struct("doc_id", "row_key", "line")
-    repeated = durable(windows.groupBy("name").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select(F.col("name").alias("same"), "first"), "repeated")
-    later = windows.join(repeated, F.col("name") == F.col("same")).where(~at.eqNullSafe(F.col("first")))
+    least = windows.groupBy("name").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("places"))
+    repeated = durable(least.where("first <> last").select("name", "first", "places"), "repeated")
+    later = spread_join(windows, repeated, "name", "places").where(~at.eqNullSafe(F.col("first")))
     merged = later.groupBy("row_key").agg(F.collect_set("line").alias("starts"))
     return durable(merged.select("row_key", F.array_distinct(F.flatten(F.transform("starts", lambda k: F.sequence(k, k + F.lit(window - 1))))).alias("gone")), "gone")
 

@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifter.llm.common import byte_words, durable, id_text, mixed, rows, window_hashes
+from sifter.llm.common import byte_words, durable, id_text, mixed, rows, window_names, word_codes
 from sifter.llm.components import components
-from sifter.llm.simhash import join_labels, links, majority_bits
+from sifter.llm.simhash import Within, join_labels, links, majority_bits
 
 #: Shingles of a block at most (a task holds two), and those from which a group is cut so that several tasks share it.
 BLOCK_SHINGLES, SHARE_SHINGLES, SHARES = 1 << 22, 1 << 16, 16
@@ -23,9 +23,10 @@ def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     return F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))
 
 
-def shingle_set(text: bytes | None, shingle: int, seed: int = 42) -> np.ndarray:
-    """Hashes of the distinct shingles, in order; the text is lower-cased in A-Z only."""
-    return np.unique(window_hashes(byte_words(text and text.lower()), shingle, seed, short=True))
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """64-bit names of the distinct shingles, in order; the text is lower-cased in A-Z only. Fewer words are one shingle."""
+    words = byte_words(text and text.lower())
+    return np.unique(window_names(word_codes(words), min(shingle, len(words)))) if words else np.empty(0, np.uint64)
 
 
 def set_prints(docs: DataFrame, shingle: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,17 +115,20 @@ def confirmed(sets: DataFrame, of: DataFrame, similarity: float, block: int = BL
     return named.join(sets, "node").select("job", "low", "high", "node", "second", "two", "grams").groupBy("job", "low", "high").applyInArrow(forest, "u long, v long")
 
 
-def near_copies(docs: DataFrame, shingle: int, similarity: float, radius: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def near_copies(docs: DataFrame, shingle: int, similarity: float, radii: tuple[tuple[int, int], ...], width: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(key) twice: row_key() of each document that is not the one kept of its component, and of each kept one that has several rows.
 
     Documents are linked by an exact Jaccard index of `similarity` or more of their sets of shingles; texts without words
-    have equal sets. Fingerprints within `radius` bits, closed to groups, say which sets are compared at all. The
-    document of least doc_id is kept, one with a null id only in a component of null ids alone.
+    have equal sets. Fingerprints as near as `radii` say for the smaller set's size (see Within), of sets whose sizes allow the
+    index at all, and closed to groups, say which sets are compared. The document of least doc_id is kept, one with a null
+    id only in a component of null ids alone.
     """
     prints = durable(set_prints(docs, shingle, width, id_col, text_col), "prints")
     best = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
     nodes = durable(prints.groupBy("node").agg(F.min("fingerprint").alias("fingerprint"), F.min("size").alias("size"), F.min(best).alias("best")), "nodes")
-    near = components(links(nodes.select("node", "fingerprint"), radius, width))
+    # Different sets have an index of n / (n + 1) at most, n being the size of the smaller one.
+    able = nodes.where(F.col("size") / (F.col("size") + 1) >= similarity).select("node", "fingerprint", "size")
+    near = components(links(able, max(r for _, r in radii), width, within=Within(similarity, radii)))
     near = durable(nodes.join(near, "node").select("node", "component", "size", F.col("best.key").alias("key")), "near")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

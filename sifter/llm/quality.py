@@ -34,8 +34,8 @@ WIDTH = max(map(len, BINS.values())) + 2
 N_WEIGHTS = 3 * len(BINS) * WIDTH + 1
 _UPPER, _DIGIT = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 _SYMBOL = b"#*$%&<>"
-#: Bounds of the labelled sample, and of what one document adds to it.
-TRAIN_DOCS, TRAIN_LINES, THRESHOLD = 4000, 400, 0.3
+#: Bound of the labelled sample; lines of a chain in training (longer texts are several chains, all of which count).
+TRAIN_DOCS, SEGMENT, THRESHOLD = 4000, 256, 0.3
 
 
 def line_features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -95,28 +95,36 @@ class Chain:
         return float((p * size).sum() / size.sum())
 
 
-def fit_chain(texts: list[np.ndarray], labels: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 1e-3) -> Chain:
+def fit_chain(
+    texts: list[np.ndarray], labels: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 1e-3, linked: bool = True, segment: int = SEGMENT
+) -> Chain:
     """Chain of greatest regularised likelihood, by Adam; texts: bins of each text; a text's label holds for all its lines.
 
-    Texts go side by side, longest first, so each step of the recursions is one array operation.
+    Whole texts are learnt from; one of more than `segment` lines is cut into chains of that length, whose lines keep their neighbours'
+    features and together weigh as much as any text. Chains go side by side, longest first, so each step of the recursions is one
+    array operation. Without `linked` transitions stay at zero: a logistic regression over the same features.
     """
     weight, step = np.zeros(N_WEIGHTS), np.zeros((2, 2))
     if not texts or len(set(labels.tolist())) < 2:
         share = (labels.sum() + 1) / (len(labels) + 2)
         weight[-1] = math.log(share / (1 - share))
         return Chain(weight, step)
-    order = np.argsort([-len(x) for x in texts], kind="stable")
-    texts, labels = [texts[k] for k in order], labels[order].astype(float)
-    size = np.array([len(x) for x in texts])
-    places = np.concatenate([weight_places(x) for x in texts])
+    whole = np.array([len(x) for x in texts])
+    cut = [(k, at) for k, n in enumerate(whole) for at in range(0, n, segment)]
+    size = np.array([min(segment, whole[k] - at) for k, at in cut])
+    order = np.argsort(-size, kind="stable")
+    cut, size = [cut[k] for k in order], size[order]
+    own_places = [weight_places(x) for x in texts]
+    places = np.concatenate([own_places[k][at : at + segment] for k, at in cut])
+    labels, weigh = labels[[k for k, _ in cut]].astype(float), 1 / whole[[k for k, _ in cut]]
     line_label = np.repeat(labels, size)
     start, top = np.cumsum(size) - size, int(size[0])
     live = [int((size > t).sum()) for t in range(top)]
     total, share = len(places), 1 / len(texts)
     # Each text weighs the same, whatever its number of lines.
-    line_weight = np.repeat(1 / size, size)
+    line_weight = np.repeat(weigh, size)
     seen_pairs = np.zeros((2, 2))
-    pair_weight = (size - 1) / size
+    pair_weight = (size - 1) * weigh
     seen_pairs[0, 0], seen_pairs[1, 1] = (pair_weight * (1 - labels)).sum(), (pair_weight * labels).sum()
     m_w, v_w, m_s, v_s = np.zeros(N_WEIGHTS), np.zeros(N_WEIGHTS), np.zeros((2, 2)), np.zeros((2, 2))
     for t in range(1, rounds + 1):
@@ -137,7 +145,7 @@ def fit_chain(texts: list[np.ndarray], labels: np.ndarray, rounds: int = 150, ra
             joint = a[at][:, :, None] + step[None] + nxt[:, None, :]
             joint -= joint.max((1, 2), keepdims=True)
             e = np.exp(joint)
-            pairs += (e / e.sum((1, 2), keepdims=True) / size[: live[k + 1], None, None]).sum(0)
+            pairs += (e / e.sum((1, 2), keepdims=True) * weigh[: live[k + 1], None, None]).sum(0)
             back = np.logaddexp(step[:, 0] + nxt[:, :1], step[:, 1] + nxt[:, 1:])
             b[at] = back - np.logaddexp(back[:, 0], back[:, 1])[:, None]
         good = 1 / (1 + np.exp(np.clip((a + b)[:, 0] - (a + b)[:, 1], -30, 30)))
@@ -149,15 +157,14 @@ def fit_chain(texts: list[np.ndarray], labels: np.ndarray, rounds: int = 150, ra
         v_w, v_s = 0.99 * v_w + 0.01 * g_w**2, 0.99 * v_s + 0.01 * g_s**2
         c, d = 1 - 0.9**t, 1 - 0.99**t
         weight = weight + rate * (m_w / c) / (np.sqrt(v_w / d) + 1e-8)
-        step = step + rate * (m_s / c) / (np.sqrt(v_s / d) + 1e-8)
+        step = step + linked * rate * (m_s / c) / (np.sqrt(v_s / d) + 1e-8)
     return Chain(weight, step)
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Chain fitted to at most train_docs labelled documents whose crc32(id as text) mod 5 is not 0.
 
-    The sample is the labelled ids of least hash; a document adds its first TRAIN_LINES lines of training data (scores
-    take whole texts). An id labelled more than once takes its mean label, 0.5 or more counting as 1. Null ids and null
+    The sample is the labelled ids of least hash, whole texts. An id labelled more than once takes its mean label, 0.5 or more counting as 1. Null ids and null
     labels are left out. Without both classes the score is the labels' share, smoothed.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).where("doc_id is not null and label is not null")
@@ -166,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, labe
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(doc_id, label, line_features(text)[0][:TRAIN_LINES].tobytes()) for doc_id, text, label in rows([batch])]
+            got = [(doc_id, label, line_features(text)[0].tobytes()) for doc_id, text, label in rows([batch])]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int32()), pa.array([x[2] for x in got], pa.binary())], ["doc_id", "label", "bins"])
 
     joined = id_text(docs, id_col, text_col).join(F.broadcast(picked), "doc_id")

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lines": lines.OP2_SQL, "op7_urls": urls.OP7_SQL}
+    return {"op2_lines": lines.OP2_SQL, "op7_urls": urls.OP7_SQL, "op9_substring": substring.OP9_SQL}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +15,10 @@ from sifter.llm.common import byte_words, id_text, rows, table
 TOP_SHARE = {2: 0.20, 3: 0.18, 4: 0.16}
 #: 5 to 10: inside n-grams that occurred before.
 DUP_SHARE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-#: Largest share of characters in lines that equal an earlier line.
-LINE_SHARE = 0.30
+#: Largest share of characters in lines that equal an earlier line, and of those in such lines or any n-gram of DUP_SHARE.
+LINE_SHARE, COVER_SHARE = 0.30, 0.20
+#: Repeats from which a share counts: one sentence said twice is a tenth of a short text, but no repetition.
+REPEATS = 2
 MIN_WORDS, MAX_REPEAT, BASE = 50, 50, np.uint64(0x9E3779B97F4A7C15)
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 _LOW = bytes(range(0x80, 0xC0))
@@ -37,15 +38,23 @@ def _covered(n: int, start: np.ndarray, total: int) -> np.ndarray:
     return np.cumsum(edge)[:total] > 0
 
 
-def repetition(words: list[bytes], chars: np.ndarray) -> tuple[int, float, dict[int, float]]:
-    """Words in 3-word windows found twice or more; the share of characters inside repeated n-grams, by n.
+def _stretches(at: np.ndarray, source: np.ndarray) -> int:
+    """How many repeats the repeated n-grams at those places make up: runs of places whose first occurrences run along with them."""
+    by = np.argsort(at)
+    at, source = at[by], source[by]
+    return 1 + int(((np.diff(at) != 1) | (np.diff(source) != 1)).sum())
+
+
+def repetition(words: list[bytes], chars: np.ndarray) -> tuple[int, dict[int, float], np.ndarray]:
+    """Words in 3-word windows found twice or more; by n, the share of characters inside repeated n-grams if these are REPEATS
+    repeats or more, else 0; and which words lie in n-grams of DUP_SHARE that occurred before.
 
     One rolling polynomial hash grows from n to n + 1 words, so each length costs a multiply-add and a sort.
     """
     total, n_words = max(1, int(chars.sum())), len(words)
     code = _codes(words) + np.uint64(1)
     code = (code ^ (code << np.uint64(29))) * BASE
-    h, share, repeat = code.copy(), {}, 0
+    h, share, repeat, inside = code.copy(), {}, 0, np.zeros(n_words, bool)
     for n in range(2, 11):
         if n > n_words:
             break
@@ -62,47 +71,74 @@ def repetition(words: list[bytes], chars: np.ndarray) -> tuple[int, float, dict[
         if n in TOP_SHARE:
             top = int(np.argmax(size))
             at = order[first[top] : first[top] + size[top]]
-            share[n] = float(chars[_covered(n, at, n_words)].sum()) / total if size[top] > 1 else 0.0
+            share[n] = float(chars[_covered(n, at, n_words)].sum()) / total if size[top] > REPEATS else 0.0
         else:
-            share[n] = float(chars[_covered(n, order[~new], n_words)].sum()) / total
-    return repeat, share, {}
+            again = order[~new]
+            covered = _covered(n, again, n_words)
+            inside |= covered
+            many = _stretches(again, np.repeat(order[first], size)[~new]) >= REPEATS
+            share[n] = float(chars[covered].sum()) / total if many else 0.0
+    return repeat, share, inside
 
 
 def measure(text: bytes | None) -> tuple:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, worst share over its limit, dup line share)."""
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, repeat_load, dup_line_share, cover_share).
+
+    repeat_load: the largest share of repeated n-grams over its limit. cover_share: characters of words in n-grams that occurred before
+    or in lines that equal an earlier one, each word once. Shares of fewer than REPEATS repeats are 0.
+    """
     text = text or b""
     words = byte_words(text)
     chars = np.array([len(w) if w.isascii() else len(w.translate(None, _LOW)) for w in words], np.int64)
-    lines = [x for x in text.split(b"\n") if x and not x.isspace()]
-    dup_lines = len(lines) - len(set(lines))
-    dup_chars = sum(len(k) * (v - 1) for k, v in Counter(lines).items() if v > 1) if dup_lines else 0
-    repeat, share, _ = repetition(words, chars)
+    seen: set[bytes] = set()
+    lines, dup_lines, dup_chars, at, again = 0, 0, 0, 0, []
+    for line in text.split(b"\n"):
+        n = len(byte_words(line))
+        if not n:
+            continue
+        lines += len(line)
+        if line in seen:
+            dup_lines, dup_chars = dup_lines + 1, dup_chars + len(line)
+            again.append((at, at + n))
+        seen.add(line)
+        at += n
+    repeat, share, inside = repetition(words, chars)
+    for a, b in again:
+        inside[a:b] = True
     limit = TOP_SHARE | DUP_SHARE
-    worst = max((share[n] / limit[n] for n in share), default=0.0)
-    return len(words), int(chars.sum()), len(SYMBOLS.findall(text)), dup_lines, repeat, worst, dup_chars / max(1, sum(map(len, lines)))
+    load = max((share[n] / limit[n] for n in share), default=0.0)
+    many = dup_lines >= REPEATS or any(share.get(n, 0.0) for n in DUP_SHARE)
+    cover = float(chars[inside].sum()) / max(1, int(chars.sum())) if many else 0.0
+    line_share = dup_chars / max(1, lines) if dup_lines >= REPEATS else 0.0
+    return len(words), int(chars.sum()), len(SYMBOLS.findall(text)), dup_lines, repeat, load, line_share, cover
+
+
+def verdict(measured: tuple) -> tuple[bool, bool]:
+    """(base_failed, kept)."""
+    n_words, _, _, _, repeat, load, line_share, cover = measured
+    failed = n_words < MIN_WORDS or 100 * repeat > MAX_REPEAT * n_words
+    return failed, not failed and load <= 1 and line_share <= LINE_SHARE and cover <= COVER_SHARE
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of counts and verdicts for each row of docs, from whole texts.
 
     Base: fewer than 50 words, or over half of the words in repeated 3-word windows. Then the share of characters inside
-    the most frequent n-gram (n from 2 to 4), inside n-grams seen before (5 to 10), and in repeated lines is held
-    against TOP_SHARE, DUP_SHARE and LINE_SHARE. Null and blank texts have zero counts and fail the base.
+    the most frequent n-gram (n from 2 to 4), inside n-grams seen before (5 to 10), in repeated lines, and in any of the latter two
+    is held against TOP_SHARE, DUP_SHARE, LINE_SHARE and COVER_SHARE. A single repeat counts for none of them. Null and blank
+    texts have zero counts and fail the base; repeated rows and null ids are rows like any other.
     """
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "repeat_load", "dup_line_share", "base_failed", "kept"]
-    kinds = [*[pa.int64()] * 6, pa.float64(), pa.float64(), pa.bool_(), pa.bool_()]
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "repeat_load", "dup_line_share", "cover_share", "base_failed", "kept"]
+    kinds = [*[pa.int64()] * 6, *[pa.float64()] * 3, pa.bool_(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, text in rows([batch]):
-                got = measure(text)
-                failed = got[0] < MIN_WORDS or 100 * got[4] > MAX_REPEAT * got[0]
-                out.append((doc_id, *got, failed, not failed and got[5] <= 1 and got[6] <= LINE_SHARE))
+            out = [(doc_id, *(got := measure(text)), *verdict(got)) for doc_id, text in rows([batch])]
             cols = list(zip(*out, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, repeat_load double, dup_line_share double, base_failed boolean, kept boolean")
+    ddl = ", ".join(f"{n} {'long' if k == pa.int64() else 'double' if k == pa.float64() else 'boolean'}" for n, k in zip(names, kinds, strict=True))
+    return id_text(docs, id_col, text_col).mapInArrow(run, ddl)
 
 
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.llm.common import byte_words, durable, id_text, mixed, rows, table, window_hashes
+from sifter.llm.common import byte_words, durable, id_text, mixed, rows, spread_join, table, window_hashes
 from sifter.llm.components import components
 
 #: Rows of a block (one side of a task) at most, rows of a tile inside it, words hashed at once.
 BLOCK_ROWS, TILE_ROWS, FLUSH = 1 << 18, 2048, 1 << 20
+#: Partitions of block pairs at most; beyond, a partition holds several pairs, one after the other.
+MOST_TASKS = 1 << 14
 
 
 def majority_bits(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -80,30 +84,28 @@ def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def compare(a: np.ndarray, b: np.ndarray | None, radius: int) -> np.ndarray:
+def compare(a: Side, b: Side | None, radius: int, within: Within | None = None) -> np.ndarray:
     """Classes of the rows of a (followed by those of b) joined by a pair a-b, or a-a without b, at most radius bits apart.
 
-    a and b: (rows, words) in order of their population counts. A pair of tiles is passed over when their
-    counts differ by more than radius, as each differing bit changes a count by one. Words after the first ones are
-    only compared for pairs that these leave within radius.
+    A pair of tiles is passed over when their population counts differ by more than radius, as each differing bit changes
+    a count by one. Words after the first ones are only compared for pairs that these leave within radius. within: a
+    further test of sizes, by which tiles are passed over as well; radius is the largest that it asks for.
     """
     same, b = b is None, a if b is None else b
-    base = 0 if same else len(a)
-    label = np.arange(len(a) + (0 if same else len(b)))
-    ca, cb = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (a, b))
-    width = a.shape[1]
+    base = 0 if same else len(a.words)
+    label = np.arange(len(a.words) + (0 if same else len(b.words)))
+    width = a.words.shape[1]
     # A partial sum over the radius settles a pair: half of the words do for nearly all, or three if the radius is wide.
     head = (width + 1) // 2
     while head < min(width, 3) and 32 * head - radius < 10 * math.sqrt(head):
         head += 1
-    cols_a, cols_b = ([np.ascontiguousarray(x[:, k]) for k in range(head)] for x in (a, b))
-    for p in range(0, len(a), TILE_ROWS):
-        q = min(p + TILE_ROWS, len(a))
-        for s in range(p if same else 0, len(b), TILE_ROWS):
-            t = min(s + TILE_ROWS, len(b))
-            if cb[s] - ca[q - 1] > radius:
-                break
-            if ca[p] - cb[t - 1] > radius:
+    cols_a, cols_b = ([np.ascontiguousarray(x.words[:, k]) for k in range(head)] for x in (a, b))
+    tiles_a, tiles_b = a.tiles(), b.tiles()
+    for p, q, low_a, high_a, least_a, most_a in tiles_a:
+        for s, t, low_b, high_b, least_b, most_b in tiles_b:
+            if same and s < p or low_b - high_a > radius or low_a - high_b > radius:
+                continue
+            if within and (most_a < within.share * least_b or most_b < within.share * least_a):
                 continue
             for lo in range(p, q, 64):
                 hi = min(lo + 64, q)
@@ -117,63 +119,106 @@ def compare(a: np.ndarray, b: np.ndarray | None, radius: int) -> np.ndarray:
                 i, j = i + lo, j + s
                 if same:
                     i, j = i[i < j], j[i < j]
-                if head < width and len(i):
-                    ok = np.bitwise_count(a[i] ^ b[j]).sum(1, dtype=np.int64) <= radius
+                if (head < width or within) and len(i):
+                    far = np.bitwise_count(a.words[i] ^ b.words[j]).sum(1, dtype=np.int64)
+                    ok = within.holds(far, a.sizes[i], b.sizes[j]) if within else far <= radius
                     i, j = i[ok], j[ok]
                 if len(i):
                     join_labels(label, i, j + base)
     return label
 
 
-def links(prints: DataFrame, radius: int, width: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(u, v): links between distinct fingerprints within radius, enough to join every class; prints: node, fingerprint.
+@dataclass(frozen=True)
+class Within:
+    """Which pairs of sets are worth linking: sizes in a ratio of `share` or more, and bits apart as far as their smaller size allows.
 
-    Fingerprints are put in order of their population counts and cut into blocks; each pair of blocks whose
-    counts are within radius is one task. A task gives a spanning forest of its links, so that a group of g near
-    copies costs at most g rows for each pair of blocks, not g * g. Blocks hold block_rows at most, so
-    a block is sent to (rows / block_rows) tasks: work grows with the square of the distinct fingerprints, as
-    the method's does, less what the counts rule out.
+    radii: (size, radius) by falling size; the first row whose size the smaller set reaches holds.
+    """
+
+    share: float
+    radii: tuple[tuple[int, int], ...]
+
+    def holds(self, far: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        small, large = np.minimum(a, b), np.maximum(a, b)
+        reach = np.select([small >= size for size, _ in self.radii], [radius for _, radius in self.radii], -1)
+        return (far <= reach) & (small >= self.share * large)
+
+
+@dataclass(frozen=True)
+class Side:
+    """Rows of one block: words (rows, width), in order of their population counts, or of sizes if there are any."""
+
+    words: np.ndarray
+    sizes: np.ndarray
+
+    def tiles(self) -> list[tuple[int, ...]]:
+        """(first, end, least and largest population count, least and largest size) of each tile."""
+        count, out = np.bitwise_count(self.words).sum(1, dtype=np.int64), []
+        for p in range(0, len(count), TILE_ROWS):
+            c, z = count[p : p + TILE_ROWS], self.sizes[p : p + TILE_ROWS]
+            out.append((p, p + len(c), int(c.min()), int(c.max()), int(z.min()), int(z.max())))
+        return out
+
+
+def links(prints: DataFrame, radius: int, width: int = 1, block_rows: int = BLOCK_ROWS, within: Within | None = None) -> DataFrame:
+    """(u, v): links between distinct fingerprints within radius, enough to join every class; prints: node, fingerprint (, size).
+
+    Fingerprints are put in order of their population counts (of sizes, with `within`) and cut into blocks; each pair of blocks
+    whose ranges may hold a link is one task. A task gives a spanning forest of its links, so that a group of g near copies
+    costs at most g rows for each pair of blocks, not g * g. Blocks hold block_rows at most, so a block is sent to (rows /
+    block_rows) tasks: work grows with the square of the distinct fingerprints, as the method's does, less what counts
+    or sizes rule out. The driver sees two numbers of each block, never the pairs.
     """
     spark = prints.sparkSession
     n = prints.count()
     parts = max(1, math.ceil(n / block_rows), min(16, math.ceil(n / (2 * TILE_ROWS))))
-    schema = "block long, low long, high long, prints binary, nodes binary"
+    schema = "block long, low long, high long, prints binary, nodes binary, sizes binary"
+    ones = sum((F.bit_count(F.conv(F.hex(F.substring("fingerprint", 8 * k + 1, 8)), 16, -10).cast("long")) for k in range(width)), F.lit(0))
+    rank = F.col("size") if within else ones.cast("long")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        got = pa.Table.from_batches(list(batches))
-        if not got.num_rows:
+        held = [x for x in batches if x.num_rows]
+        if not held:
             return
+        got = pa.Table.from_batches(held)
         words = np.frombuffer(b"".join(got["fingerprint"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, width)
-        count, node = np.bitwise_count(words).sum(1, dtype=np.int64), got["node"].to_numpy()
-        order = np.argsort(count, kind="stable")
+        by, node = got["rank"].to_numpy(), got["node"].to_numpy()
+        order = np.argsort(by, kind="stable")
         for k, at in enumerate(range(0, len(order), block_rows)):
             own = order[at : at + block_rows]
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() << 32 | k]), pa.array([count[own[0]]]), pa.array([count[own[-1]]]), pa.array([words[own].tobytes()], pa.binary()), pa.array([node[own].tobytes()], pa.binary())], ["block", "low", "high", "prints", "nodes"])
+            row = [TaskContext.get().partitionId() << 32 | k, by[own[0]], by[own[-1]], words[own].tobytes(), node[own].tobytes(), by[own].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["block", "low", "high", "prints", "nodes", "sizes"])
 
-    ones = sum((F.bit_count(F.conv(F.hex(F.substring("fingerprint", 8 * k + 1, 8)), 16, -10).cast("long")) for k in range(width)), F.lit(0))
-    blocks = durable(prints.select("node", "fingerprint", ones.alias("ones")).repartitionByRange(parts, "ones", "fingerprint").select("node", "fingerprint").mapInArrow(cut, schema), "blocks")
-    # One row for each block, a few numbers each: rows / block_rows of them.
+    ranged = prints.select("node", "fingerprint", rank.alias("rank")).repartitionByRange(parts, "rank", "fingerprint")
+    blocks = durable(ranged.mapInArrow(cut, schema), "blocks")
+    # Two numbers and a name for each block, rows / block_rows of them; which blocks each one meets is a range of ranks.
     spans = sorted((r.low, r.high, r.block) for r in blocks.select("low", "high", "block").collect())
-    pairs = [(x[2], y[2]) for k, x in enumerate(spans) for y in spans[k:] if y[0] - x[1] <= radius]
-    if not pairs:
+    reach = (lambda high: high / within.share) if within else (lambda high: high + radius)
+    upto = [bisect.bisect_right(spans, reach(high), key=lambda x: x[0]) - 1 for _, high, _ in spans]
+    if not spans:
         return spark.createDataFrame([], "u long, v long")
-    number = [(k, a, b) for k, (a, b) in enumerate(pairs)]
-    sides = spark.createDataFrame([(k, 0, a) for k, a, _ in number] + [(k, 1, b) for k, a, b in number if a != b], "pair long, side int, block long")
+    number = spark.createDataFrame([(k, x[2], last) for k, (x, last) in enumerate(zip(spans, upto, strict=True))], "rank long, block long, last long")
+    ranked = blocks.join(F.broadcast(number), "block").select("rank", "last", "prints", "nodes", "sizes")
+    met = F.broadcast(number.select(F.col("rank").alias("left"), F.explode(F.sequence("rank", "last")).alias("right")))
+    tasks = sum(last - k + 1 for k, last in enumerate(upto))
+    first = ranked.join(met, F.col("rank") == F.col("left")).select("left", "right", F.lit(0).alias("side"), "prints", "nodes", "sizes")
+    other = ranked.join(met.where("left <> right"), F.col("rank") == F.col("right")).select("left", "right", F.lit(1).alias("side"), "prints", "nodes", "sizes")
 
     def forest(got: pa.Table) -> pa.Table:
         got = got.sort_by("side")
-        a, b = ([np.frombuffer(x, np.uint64).reshape(-1, width) for x in got["prints"].to_pylist()] + [None])[:2]
+        sides = [Side(np.frombuffer(p, np.uint64).reshape(-1, width), np.frombuffer(z, np.int64)) for p, z in zip(got["prints"].to_pylist(), got["sizes"].to_pylist(), strict=True)]
         node = np.concatenate([np.frombuffer(x, np.int64) for x in got["nodes"].to_pylist()])
-        label = compare(a, b, radius)
+        label = compare(sides[0], sides[1] if len(sides) > 1 else None, radius, within)
         least = node.copy()
         np.minimum.at(least, label, node)
         moved = np.flatnonzero(node != least[label])
         return pa.table({"u": node[moved], "v": least[label[moved]]})
 
-    sent = sides.join(blocks, "block").select("pair", "side", "prints", "nodes")
-    return sent.groupBy("pair").applyInArrow(forest, "u long, v long")
+    # A number of partitions that is asked for isn't merged by bytes: the work of a pair is not its bytes.
+    dealt = first.union(other).repartition(min(tasks, MOST_TASKS), "left", "right")
+    return dealt.groupBy("left", "right").applyInArrow(forest, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42, width: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,13 +227,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: in
     Two documents are linked when their fingerprints differ in at most radius bits; component_id is the
     smallest doc_id reachable over links. Copies share a fingerprint and meet once, before any
     comparison. Texts without words have a fingerprint of zeros, linked like any other. A null doc_id is kept with
-    its fingerprint; a component of null ids alone has a null component_id. Empty input gives no rows.
+    its fingerprint, which links others like any other; a component of null ids alone has a null component_id. Empty
+    input gives no rows.
     """
     prints = durable(fingerprints(docs, shingle, seed, width, id_col, text_col), "prints")
-    nodes = durable(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "nodes")
-    found = components(links(nodes.where("node is not null"), radius, width))
-    of = durable(nodes.join(found, "node", "left").select(F.col("fingerprint").alias("same"), F.coalesce("component", "node").alias("component_id")), "classes")
-    return prints.join(of, prints.fingerprint == of.same).select("doc_id", "fingerprint", "component_id")
+    name = F.conv(F.hex("fingerprint"), 16, -10).cast("long") if width == 1 else F.xxhash64("fingerprint")
+    nodes = durable(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).withColumn("node", name), "nodes")
+    found = components(links(nodes.select("node", "fingerprint"), radius, width))
+    linked = nodes.select("node", "least").join(found, "node")
+    ids = linked.groupBy("component").agg(F.min("least").alias("id"))
+    of = linked.join(ids, "component").select("node", "id", F.lit(True).alias("linked"))
+    known = nodes.join(of, "node", "left").select("fingerprint", "copies", F.when(F.col("linked"), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    return spread_join(prints, durable(known, "classes"), "fingerprint", "copies").select("doc_id", "fingerprint", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Substring dedup by level-wise doubling of repeated word windows."""
+"""Substring dedup by level-wise doubling: stretches that repeat at half a window's length alone are extended to the window."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,13 +11,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.llm.common import byte_words, durable, id_text, ints, mixed, rows, table, window_hashes
+from sifter.llm.common import byte_words, durable, id_text, ints, rows, table, window_names, word_codes
 
 #: Windows that a task holds at once, and that a bucket is meant to hold.
-FLUSH, BUCKET = 3 << 19, 1 << 21
+FLUSH, BUCKET = 1 << 20, 1 << 20
 #: Bytes of run lists up to which they are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 NAMES = "doc_id long, key long, at binary, name binary"
+CANDIDATES = [("doc_id", pa.int64()), ("key", pa.int64()), ("at", pa.binary()), ("name", pa.binary())]
 MOVED = "bucket int, batch long, ids binary, counts binary, steps binary, name binary"
 SHARED = "batch long, ids binary, counts binary, places binary, later binary"
 RUNS = "doc_id long, key long, first binary, last binary, later_first binary, later_last binary"
@@ -166,71 +168,77 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _small(df: DataFrame) -> DataFrame:
     """df marked for broadcast if its bytes, summed first, stay within BROADCAST_BYTES."""
-    size = df.agg(*(F.sum(F.octet_length(c)) for c in df.columns if c not in ("doc_id", "key", "longest")), F.count("*") * 16).first()
+    size = df.agg(*(F.sum(F.octet_length(c)) for c in df.columns if c not in ("doc_id", "key")), F.count("*") * 16).first()
     return F.broadcast(df) if sum(x or 0 for x in size) <= BROADCAST_BYTES else df
 
 
-def repeated_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """(key, first, last, longest): the places where a window starts whose words also start in a document of a smaller doc_id.
+def level_lengths(window: int) -> list[int]:
+    """Half of the window (rounded up), and the window: twice that length, with a word in common if it is odd."""
+    return [window] if window < 2 else [(window + 1) // 2, window]
 
-    first and last hold the runs of such places as little-endian 32-bit numbers. Levels: windows of
-    `window` words are named by their hash and met over all documents. Those that several documents have, and
-    these alone, are extended to twice the length, naming a window by the names of its halves, and so on
-    until no candidate survives. longest is the length of the last level at which the document has a later window.
-    Windows are judged on the input. key is that of row_key(): rows of one doc_id are one holder, but each text has its own
-    places; null ids and null texts hold none. Names are 64-bit hashes: n windows make n * n / 2^65 false meetings.
+
+def _bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def repeated_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """(key, first, last): the places where a window starts whose words also start in a document of a smaller doc_id.
+
+    first and last hold the runs of such places as little-endian 32-bit numbers. Levels: stretches of half the window's length are
+    named by their hash and met over all documents. Only where both halves of a window are stretches that several
+    documents have is the window itself, of twice that length, a candidate; candidates alone are named and met at that level. So
+    the later level's work follows what repeats, not the corpus. Windows are judged on the input. key is that of keyed(): rows of
+    one doc_id are one holder, but each text has its own places; null ids and null texts hold none. Names are 64-bit hashes: n
+    windows make n * n / 2^65 false meetings. bucket: names that one task meets, about; there are as many as the input asks for.
     """
     spark = docs.sparkSession
     texts = keyed(docs, id_col, text_col)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = _shared_runs(texts, lambda row: window_hashes(byte_words(row[2]), window, 0, short=False), buckets or 4 * parts, "level")
-    base = found.select("key", F.col("later_first").alias("first"), F.col("later_last").alias("last"))
-    levels = [found.where(F.octet_length("later_first") > 0).select("key", F.lit(window).cast("long").alias("length"))]
-    length, names = window, None
-    while True:
-        prior = texts if names is None else names
-
-        def double(batches: Iterator[pa.RecordBatch], length: int = length, base: bool = names is None) -> Iterator[pa.RecordBatch]:
-            for row in rows(batches, 64):
-                pos = _spread(row[-2], row[-1])
-                if base:
-                    at, name = pos, window_hashes(byte_words(row[2]), window, 0, short=False)[pos]
-                else:
-                    at, name = ints(row[2], "<i4")[pos], ints(row[3], np.uint64)[pos]
-                to = np.searchsorted(at, at + length)
-                ok = np.flatnonzero((to < len(at)) & (at[np.minimum(to, len(at) - 1)] == at + length))
-                if len(ok):
-                    made = mixed(name[ok], 1) ^ mixed(name[to[ok]], 2)
-                    yield pa.RecordBatch.from_pydict({"doc_id": [row[0]], "key": [row[1]], "at": [at[ok].astype("<i4").tobytes()], "name": [made.tobytes()]}, pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("at", pa.binary()), ("name", pa.binary())]))
-
-        # A run of places shorter than the length can still hold both halves of a window with another run.
-        able = found.select("key", "first", "last")
-        names = durable(prior.join(_small(able), "key").select(*prior.columns, "first", "last").mapInArrow(double, NAMES), "names")
-        held = names.agg(F.sum(F.octet_length("name") / 8)).first()[0]
-        if not held:
-            break
-        length *= 2
-        found = _shared_runs(names, lambda row: ints(row[3], np.uint64), max(1, min(4 * parts, int(held) // BUCKET + 1)), "level")
-        levels.append(found.where(F.octet_length("later_first") > 0).select("key", F.lit(length).cast("long").alias("length")))
-    longest = levels[0]
-    for one in levels[1:]:
-        longest = longest.union(one)
-    longest = longest.groupBy("key").agg(F.max("length").alias("longest"))
-    return base.join(longest, "key")
+    # A word takes four bytes at least on average, its space included; texts of shorter words make larger buckets.
+    buckets = lambda names: max(parts, math.ceil(names / bucket))
+    short, *longer = level_lengths(window)
+    found = _shared_runs(texts, lambda row: window_names(word_codes(byte_words(row[2])), short), buckets(_bytes(texts) / 4), "level")
+    if not longer:
+        return found.where(F.octet_length("later_first") > 0).select("key", F.col("later_first").alias("first"), F.col("later_last").alias("last"))
+    reach = window - short
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Places whose window has both halves among the shared ones, and the windows' names."""
+        for row in rows(batches, 64):
+            at = _spread(row[3], row[4])
+            both = at[np.isin(at + reach, at)]
+            if len(both):
+                name = window_names(word_codes(byte_words(row[2])), window, both)
+                yield pa.RecordBatch.from_pydict({"doc_id": [row[0]], "key": [row[1]], "at": [both.astype("<i4").tobytes()], "name": [name.tobytes()]}, pa.schema(CANDIDATES))
+
+    able = found.select("key", "first", "last")
+    named = texts.join(_small(able), "key").select("doc_id", "key", "text", "first", "last").mapInArrow(candidates, NAMES)
+    named = durable(named.dropDuplicates(["key"]), "names")
+    held = named.agg(F.sum(F.octet_length("name") / 8)).first()[0] or 0
+    again = _shared_runs(named, lambda row: ints(row[3], np.uint64), buckets(held), "level").where(F.octet_length("later_first") > 0)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of candidates as runs of words' places."""
+        for key, at, first, last in rows(batches, 64):
+            a, b = _runs(ints(at, "<i4")[_spread(first, last)])
+            yield pa.RecordBatch.from_pydict({"key": [key], "first": [a], "last": [b]}, pa.schema([("key", pa.int64()), ("first", pa.binary()), ("last", pa.binary())]))
+
+    later = again.select("key", F.col("later_first").alias("first"), F.col("later_last").alias("last"))
+    return named.select("key", "at").join(_small(later), "key").select("key", "at", "first", "last").mapInArrow(placed, "key long, first binary, last binary")
 
 
 def drop_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept, longest): whole texts without the words that repeated windows cover.
+    """(doc_id, n_words, n_removed, kept): whole texts without the words that repeated windows cover.
 
-    One row for each row of docs. Null and empty texts have no words and keep an empty text; longest is 0
-    without a later window. Words stay unchanged, joined by one space.
+    One row for each row of docs. Null and empty texts have no words and keep an empty text. Words stay unchanged, joined by
+    one space.
     """
     spans = durable(repeated_spans(docs, window, id_col, text_col), "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"doc_id": [], "n_words": [], "n_removed": [], "kept": [], "longest": []}
-            for doc_id, text, first, last, longest in rows([batch]):
+            out = {"doc_id": [], "n_words": [], "n_removed": [], "kept": []}
+            for doc_id, text, first, last in rows([batch]):
                 words = byte_words(text)
                 n, gone = len(words), 0
                 if first:
@@ -240,13 +248,27 @@ def drop_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text
                     stays = np.cumsum(edge)[:n] == 0
                     words = [words[k] for k in np.flatnonzero(stays)]
                     gone = n - len(words)
-                for k, x in zip(out, (doc_id, n, gone, b" ".join(words), longest or 0), strict=True):
+                for k, x in zip(out, (doc_id, n, gone, b" ".join(words)), strict=True):
                     out[k].append(x)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("longest", pa.int64())]))
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())]))
 
-    return keyed(docs, id_col, text_col).join(_small(spans), "key", "left").select("doc_id", "text", "first", "last", "longest").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary, longest long")
+    joined = keyed(docs, id_col, text_col).join(_small(spans), "key", "left").select("doc_id", "text", "first", "last")
+    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = drop_repeats(table(spark, sf_dir, "documents"))
-    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "longest")
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Windows as text, on whole tables: the first doc_id of each, and the words that later ones cover.
+OP9_SQL = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM t WHERE len(w) >= 13),
+h AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 12], ' ')) AS x FROM s),
+f AS (SELECT x, min(doc_id) AS least FROM h GROUP BY x),
+c AS (SELECT DISTINCT h.doc_id, unnest(range(h.i, h.i + 13)) AS p FROM h JOIN f ON h.x = f.x WHERE h.doc_id > f.least),
+g AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string([w[p] FOR p IN range(1, len(w) + 1) IF NOT coalesce(list_contains(gone, p), false)], ' ')) AS kept_sha256
+FROM t LEFT JOIN g ON t.doc_id = g.doc_id"""

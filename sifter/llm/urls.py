@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -15,8 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 #: Hosts listed as unwanted; each stands for its subdomains too.
 LISTED = [f"{name}.example.{top}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
-#: Most 64-bit words of one level: 8 MB, the bound of what a plan carries to the executors.
-MAX_WORDS = 1 << 20
+#: 64-bit words of one literal: 4 MB. A level has as many literals as it needs; all of a cascade grows with the list alone.
+PART_WORDS = 1 << 19
 
 
 def host_of(url: Column) -> Column:
@@ -51,35 +52,49 @@ def suffixes(host: Column) -> Column:
 
 @dataclass
 class Level:
+    """One Bloom filter: its 64-bit words in parts of PART_WORDS, each the text of a JSON array that the planner folds into a literal."""
+
     bits: int
     hashes: int
     salt: int
-    words: list[int]
+    parts: list[str]
 
-    def places(self, key: Column) -> list[Column]:
+    def places(self, key: Column) -> Column:
         """Bit numbers of a key."""
         a, b = (F.pmod(F.xxhash64(F.lit(self.salt + k), key), F.lit(self.bits)) for k in (0, 1))
-        return [F.pmod(a + F.lit(j) * b + F.lit(j * j * j), F.lit(self.bits)) for j in range(self.hashes)]
+        return F.array(*(F.pmod(a + F.lit(j) * b + F.lit(j * j * j), F.lit(self.bits)) for j in range(self.hashes)))
 
     def holds(self, key: Column) -> Column:
-        words, said = F.lit(self.words), F.lit(True)
-        for at in self.places(key):
-            said = said & (F.getbit(F.element_at(words, (F.shiftright(at, 6) + 1).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1)
-        return said
+        arrays = [F.from_json(F.lit(x), "array<bigint>") for x in self.parts]
+
+        def bit(at: Column) -> Column:
+            number = F.shiftright(at, 6)
+            place = (F.pmod(number, F.lit(PART_WORDS)) + 1).cast("int")
+            word = F.element_at(arrays[-1], place)
+            for k in range(len(arrays) - 2, -1, -1):
+                word = F.when(number < (k + 1) * PART_WORDS, F.element_at(arrays[k], place)).otherwise(word)
+            return F.getbit(word, F.pmod(at, F.lit(64)).cast("int")) == 1
+
+        return F.forall(self.places(key), bit)
 
 
 def build_level(keys: DataFrame, n: int, rate: float, salt: int) -> Level:
-    """A Bloom filter of n keys with about that rate of false positives; its words come to the driver, MAX_WORDS at most."""
+    """A Bloom filter of n keys with about that rate of false positives. Its words, which grow with n alone, come to the driver."""
     bits = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
     level = Level(bits, max(1, round(bits / n * math.log(2))), salt, [])
     size = (bits + 63) // 64
-    if size > MAX_WORDS:
-        raise ValueError(f"{n} keys need {size} words, more than MAX_WORDS; list fewer keys for one cascade")
-    at = keys.select(F.explode(F.array(*level.places(F.col("key")))).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("bits"))
-    level.words = [0] * size
-    for r in words.collect():
-        level.words[r.word] = r.bits
+    at = keys.select(F.explode(level.places(F.col("key"))).alias("at"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+    # A few thousand words of a level are one row of text, so that the driver reads rows of some size.
+    said = F.concat_ws(" ", "word", "bits")
+    rows = words.groupBy(F.shiftright("word", 12).alias("run")).agg(F.array_join(F.collect_list(said), " ").alias("said")).toLocalIterator()
+    held = [0] * size
+    for r in rows:
+        numbers = list(map(int, r.said.split(" ")))
+        for word, value in zip(numbers[::2], numbers[1::2], strict=True):
+            held[word] = value
+    level.parts = [json.dumps(held[k : k + PART_WORDS], separators=(",", ":")) for k in range(0, size, PART_WORDS)]
     return level
 
 

@@ -136,3 +136,20 @@ def test_null_ids_go_by_their_own_text(spark):
     assert len(once) == 7 and set(once) - {(None, alone[3]), (None, near)} == {(7, named[0]), (None, twin[0]), (None, bad), *((None, t) for t in alone[:3])}
     clean = sorted((r.text for r in pipe.decontaminate(spark, docs, SF).collect()))
     assert clean == sorted(t for _, t in rows if t != bad)
+
+
+def test_blank_remainders_and_clashing_columns(spark):
+    """A text that line dedup leaves blank goes; extra columns named like the operators' own, and repeated rows, do no harm."""
+    rng = random.Random(31)
+    block = "\n".join(prose(rng, 9) for _ in range(4))
+    rows = [(1, f"{block}\n\t"), (2, f"{block}\n \t\n"), (3, prose(rng, 80)), (3, prose(rng, 70)), (4, None), (5, "")]
+    base = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows] * 2, spark.read.parquet(f"{SF}/documents.parquet").schema)
+    lined = pipe.lines(spark, base.where("doc_id in (1, 2)").distinct(), SF)
+    assert ids(lined) == [1]
+    names = ["key", "row", "node", "kept", "gone", "line", "fingerprint", "component", "size", "at", "first", "copies", "n_removed"]
+    wide = base.selectExpr("*", *(f"'x' as `{c}`" for c in names))
+    for _, stage in pipe.STAGES[:4]:
+        got = stage(spark, wide, SF)
+        assert got.columns == wide.columns and got.count() <= wide.count()
+    once = pipe.near_dedup(spark, wide, SF)
+    assert ids(once) == [1, 3, 3, 4]
