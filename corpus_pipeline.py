@@ -21,10 +21,10 @@ from sifter.llm.neardup import near_copies, row_key
 
 #: Near-duplicates: sets of five-word shingles with a Jaccard index of 0.8, sought by fingerprints of 4 x 64 bits.
 SHINGLE, SIMILARITY, WIDTH = 5, 0.8, 4
-#: Share of bits that differ, on average, at that index: most for sets of four shingles and five (3 / 16; large sets: 0.15).
-APART = 3 / 16
-#: 4.5 standard deviations above that average; what is inside is compared exactly.
-RADIUS = math.floor(64 * WIDTH * APART + 4.5 * math.sqrt(64 * WIDTH * APART * (1 - APART)))
+#: Share of bits that differ, on average, at that index: of sets of 64 shingles or more, and of small ones (most at four shingles and five).
+APART = ((64, 0.16), (4, 3 / 16))
+#: 4.5 standard deviations above those averages; what is inside is compared exactly.
+RADII = tuple((size, math.floor(64 * WIDTH * p + 4.5 * math.sqrt(64 * WIDTH * p * (1 - p)))) for size, p in APART)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A text without such lines is left as it is, null and empty ones too.
     """
-    got = drop_repeated_lines(docs).where((F.col("n_removed") == 0) | (F.trim("kept") != ""))
+    got = drop_repeated_lines(docs).where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("kept"), "n_chars": F.length("kept")}
     cut = F.col("n_removed") > 0
     own = {x.name: F.col("row")[x.name] for x in docs.schema}
@@ -50,11 +50,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are named by doc_id and text, so a row with a null doc_id goes for its own text alone; it stays only if its component
     has null ids alone. Of rows of one doc_id and one text, one stays.
     """
-    gone, again = near_copies(docs, SHINGLE, SIMILARITY, RADIUS, WIDTH)
+    gone, again = near_copies(docs, SHINGLE, SIMILARITY, RADII, WIDTH)
     left = docs.join(gone, row_key(docs) == gone.key, "left_anti")
     if again.isEmpty():
         return left
-    once = left.join(again, row_key(left) == again.key, "left_semi").withColumn("key", row_key(left)).dropDuplicates(["key"]).drop("key")
+    # A struct, so that no column of docs can clash; its fields come back in their order.
+    held = left.join(again, row_key(left) == again.key, "left_semi").select(row_key(left).alias("key"), F.struct(*(left[c] for c in left.columns)).alias("row"))
+    once = held.groupBy("key").agg(F.first("row").alias("row")).select("row.*")
     return left.join(again, row_key(left) == again.key, "left_anti").union(once)
 
 
