@@ -72,7 +72,15 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         rows = []
         for source in [*a.sources, *local_sets(a.search)]:
             r = Engine(spark, Settings.from_environment()).investigate(source)
-            rows.append({"dataset": r.profile.name, "rows": r.profile.row_count, "columns": len(r.profile.columns), "seconds": round(r.seconds, 3), **r.reasoning.metrics()})
+            rows.append(
+                {
+                    "dataset": r.profile.name,
+                    "rows": r.profile.row_count,
+                    "columns": len(r.profile.columns),
+                    "seconds": round(r.seconds, 3),
+                    **r.reasoning.metrics(),
+                },
+            )
         print(markdown_table(rows))
         if a.output:
             write_report(a.output, rows, "Evaluation")
@@ -134,7 +142,11 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             print("\n".join(layer_graph(items, shared).write(f"{stem}-{name}")))
     else:
         folder = a.output or "sifter-assets"
-        parts = {"metrics": [result.reasoning.metrics()], "ablation": ablations(result.findings, settings), "methods": methods(result.findings, settings)}
+        parts = {
+            "metrics": [result.reasoning.metrics()],
+            "ablation": ablations(result.findings, settings),
+            "methods": methods(result.findings, settings),
+        }
         for name, rows in parts.items():
             print("\n".join(table_bundle(folder, name, rows, name.capitalize())))
     return 0

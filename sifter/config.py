@@ -70,7 +70,16 @@ class IntegritySettings:
     def __post_init__(self):
         for name in ("missing", "duplicates"):
             falling(name, getattr(self, name))
-        for name in ("empty", "constant", "near_constant", "high_cardinality", "numeric_text", "mixed_minority", "missing_r", "missing_min_ratio"):
+        for name in (
+            "empty",
+            "constant",
+            "near_constant",
+            "high_cardinality",
+            "numeric_text",
+            "mixed_minority",
+            "missing_r",
+            "missing_min_ratio",
+        ):
             within(name, getattr(self, name), 0, 1)
 
 
@@ -99,7 +108,17 @@ class RelationshipSettings:
         falling("vif", self.vif)
         for name in ("pearson", "spearman", "redundancy", "strong", "community"):
             within(name, getattr(self, name), 0, 1)
-        for name in ("min_rows", "pearson_rows", "spearman_rows", "vif_rows", "candidates", "mi_rows", "mi_columns", "mi_pairs", "neighbours"):
+        for name in (
+            "min_rows",
+            "pearson_rows",
+            "spearman_rows",
+            "vif_rows",
+            "candidates",
+            "mi_rows",
+            "mi_columns",
+            "mi_pairs",
+            "neighbours",
+        ):
             within(name, getattr(self, name), 1, float("inf"))
 
 

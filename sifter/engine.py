@@ -72,7 +72,10 @@ def clear_registry() -> None:
 
 
 def discover_modules(package: str) -> int:
-    """Import what lies in a package, whose modules register themselves; how many were imported. One that fails is logged and passed over."""
+    """Import what lies in a package, whose modules register themselves; how many were imported.
+
+    One that fails is logged and passed over.
+    """
     top = importlib.import_module(package)
     found = 0
     for _, name, _ in pkgutil.walk_packages(getattr(top, "__path__", []), f"{package}."):
@@ -100,7 +103,10 @@ class Integrity(Module):
     def investigate(self, df, p):
         spark, s = df.sparkSession, self.settings.integrity
         table = profile_frame(spark, p)
-        extra = {integrity.missingness_correlation: {"full": self.settings.full}, integrity.duplicates: {"counted": (p.row_count, p.duplicate_rows)}}
+        extra = {
+            integrity.missingness_correlation: {"full": self.settings.full},
+            integrity.duplicates: {"counted": (p.row_count, p.duplicate_rows)},
+        }
         made, failed = {}, []
 
         def guarded(domain, run):
@@ -233,7 +239,12 @@ class Engine:
             made = found.valid(module.investigate(df, p))
             # The cap keeps the most urgent; the health score is never among those it drops.
             health = made.where("category = 'structural_health_score'")
-            kept = frozen(found.strongest(made.where("category <> 'structural_health_score'"), self.settings.engine.max_findings).unionByName(health))
+            kept = frozen(
+                found.strongest(
+                    made.where("category <> 'structural_health_score'"),
+                    self.settings.engine.max_findings,
+                ).unionByName(health),
+            )
             return kept, Execution(module.name, "success", time.monotonic() - began, len(kept.collect()))
         except Exception as problem:
             if fail_fast:

@@ -59,7 +59,10 @@ def is_number_text(value: Column) -> Column:
 def value_type(value: Column) -> Column:
     """numeric, empty, boolean, datetime or string, of a value as text."""
     text = F.trim(value)
-    return F.when(text == "", "empty").when(is_number_text(text), "numeric").when(F.lower(text).isin("true", "false", "yes", "no"), "boolean").when(text.rlike(DATE), "datetime").otherwise("string")
+    return F.when(text == "", "empty").when(is_number_text(text), "numeric").when(
+        F.lower(text).isin("true", "false", "yes", "no"),
+        "boolean",
+    ).when(text.rlike(DATE), "datetime").otherwise("string")
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:

@@ -45,7 +45,10 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     cells = held.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
     rows, cols = cells.groupBy("a").agg(F.sum("n").alias("ra")), cells.groupBy("b").agg(F.sum("n").alias("cb"))
     # Over the cells that occur alone: the others add what makes the expected counts sum to the total.
-    part = cells.join(rows, "a").join(cols, "b").agg(F.sum(F.col("n") * F.col("n") / (F.col("ra") * F.col("cb"))).alias("s"), F.sum("n").alias("total"))
+    part = cells.join(rows, "a").join(cols, "b").agg(
+        F.sum(F.col("n") * F.col("n") / (F.col("ra") * F.col("cb"))).alias("s"),
+        F.sum("n").alias("total"),
+    )
     size = rows.agg(F.count("*").alias("p"), F.max("ra").alias("r1")).join(cols.agg(F.count("*").alias("q"), F.max("cb").alias("c1")))
     most = F.col("total").cast("double")
     plain = most * (F.col("s") - 1)
@@ -78,7 +81,12 @@ def skewness(df: DataFrame, column: str) -> DataFrame:
     x = double(column)
     m = df.agg(F.count(x).alias("n"), F.skewness(x).alias("g"), F.stddev_pop(x).alias("s"))
     n = F.col("n")
-    return m.select(F.when((n >= 3) & (F.col("s") > 0), F.sqrt(n * (n - 1)) / F.greatest(n - 2, F.lit(1)) * F.col("g")).otherwise(F.lit(0.0)).alias("skewness"))
+    return m.select(
+        F.when(
+            (n >= 3) & (F.col("s") > 0),
+            F.sqrt(n * (n - 1)) / F.greatest(n - 2, F.lit(1)) * F.col("g"),
+        ).otherwise(F.lit(0.0)).alias("skewness"),
+    )
 
 
 def kurtosis(df: DataFrame, column: str) -> DataFrame:
@@ -154,7 +162,9 @@ def shapiro_p(x: np.ndarray) -> float:
     w = min(1.0, float(a @ x) ** 2 / float(((x - x.mean()) ** 2).sum()))
     if n <= 11:
         gamma = 0.459 * n - 2.273
-        mu, sigma = 0.5440 - 0.39978 * n + 0.025054 * n**2 - 0.0006714 * n**3, math.exp(1.3822 - 0.77857 * n + 0.062767 * n**2 - 0.0020322 * n**3)
+        mu, sigma = 0.5440 - 0.39978 * n + 0.025054 * n**2 - 0.0006714 * n**3, math.exp(
+            1.3822 - 0.77857 * n + 0.062767 * n**2 - 0.0020322 * n**3,
+        )
         left = gamma - math.log(max(1 - w, 1e-300))
         if left <= 0:
             return 0.0
@@ -176,14 +186,25 @@ def sign_sum(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> int:
         left = np.r_[0, np.cumsum(np.where(r == 0, n, 0))]
         new_g = np.r_[True, g[1:] != g[:-1]]
         new_v = new_g | np.r_[True, v[1:] != v[:-1]]
-        bounds = lambda new: (np.flatnonzero(new)[np.cumsum(new) - 1], np.r_[np.flatnonzero(new)[1:], len(g)][np.cumsum(new) - 1])
+
+        def bounds(new: np.ndarray, n: int = len(g)) -> tuple[np.ndarray, np.ndarray]:
+            first, run = np.flatnonzero(new), np.cumsum(new) - 1
+            return first[run], np.r_[first[1:], n][run]
+
         (g_from, g_to), (v_from, v_to) = bounds(new_g), bounds(new_v)
         more = (left[v_from] - left[g_from]) - (left[g_to] - left[v_to])
         total += sum((n * more)[r == 1].tolist())
     return total
 
 
-def kendall(df: DataFrame, columns: list[str], rows: int | None = None, min_rows: int = 30, task_rows: int = 1 << 15, most: int = 256) -> DataFrame:
+def kendall(
+    df: DataFrame,
+    columns: list[str],
+    rows: int | None = None,
+    min_rows: int = 30,
+    task_rows: int = 1 << 15,
+    most: int = 256,
+) -> DataFrame:
     """(a, b, n, r): tau-b of each pair of columns over all rows that have both; over a sample of `rows` rows only if asked.
 
     Rows are counted by (x, y). x and y are each cut at quantiles into intervals and single values. Pairs of rows are then
@@ -197,10 +218,19 @@ def kendall(df: DataFrame, columns: list[str], rows: int | None = None, min_rows
     held = df.select(*(F.col(f"`{c}`") for c in columns))
     held = held if rows is None else row_sample(held, rows)
     here = lambda c: double(c).isNotNull() & ~F.isnan(double(c))
-    cells = F.array(*(F.when(here(a) & here(b), F.struct(F.lit(k).alias("pair"), double(a).alias("x"), double(b).alias("y"))) for k, (a, b) in enumerate(pairs)))
+    cells = F.array(
+        *(
+            F.when(here(a) & here(b), F.struct(F.lit(k).alias("pair"), double(a).alias("x"), double(b).alias("y")))
+            for k, (a, b) in enumerate(pairs)
+        ),
+    )
     joint = held.select(F.inline(F.array_compact(cells))).groupBy("pair", "x", "y").agg(F.count("*").alias("w"))
     shares = [k / most for k in range(1, most)]
-    found = joint.groupBy("pair").agg(F.count("*").alias("m"), F.percentile_approx("x", shares).alias("x"), F.percentile_approx("y", shares).alias("y")).collect()
+    found = joint.groupBy("pair").agg(
+        F.count("*").alias("m"),
+        F.percentile_approx("x", shares).alias("x"),
+        F.percentile_approx("y", shares).alias("y"),
+    ).collect()
     cuts = []
     for f in found:
         step = most // min(most, math.ceil(f.m / task_rows))
@@ -209,23 +239,43 @@ def kendall(df: DataFrame, columns: list[str], rows: int | None = None, min_rows
     # An even number is an interval between cuts, an odd one the value of a cut: its rows are tied.
     at = lambda c, v: F.size(F.filter(c, lambda k: k <= F.col(v))) + F.size(F.filter(c, lambda k: k < F.col(v)))
     placed = joint.join(cut, "pair").select("pair", "x", "y", "w", at("cx", "x").alias("bx"), at("cy", "y").alias("by"))
-    part = lambda d, kind, block, x, y: d.select("pair", F.lit(kind).alias("kind"), block.cast("int").alias("block"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), "w")
+    part = lambda d, kind, block, x, y: d.select(
+        "pair",
+        F.lit(kind).alias("kind"),
+        block.cast("int").alias("block"),
+        F.col(x).cast("double").alias("x"),
+        F.col(y).cast("double").alias("y"),
+        "w",
+    )
     both = part(placed.groupBy("pair", "bx", "by").agg(F.sum("w").alias("w")), 0, F.lit(0), "bx", "by")
     inner = part(placed.where("bx % 2 = 0"), 1, F.col("bx"), "x", "y")
     outer = part(placed.where("by % 2 = 0").groupBy("pair", "bx", "by", "y").agg(F.sum("w").alias("w")), 2, F.col("by"), "bx", "y")
 
     def signs(key, pdf):
-        return pd.DataFrame({"pair": [key[0]], "s": [float(sign_sum(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy(np.int64)))]})
-
-    s = both.union(inner).union(outer).groupBy("pair", "kind", "block").applyInPandas(signs, "pair int, s double").groupBy("pair").agg(F.sum("s").alias("s"))
+        return pd.DataFrame(
+            {"pair": [key[0]], "s": [float(sign_sum(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy(np.int64)))]},
+        )
+
+    s = both.union(inner).union(outer).groupBy("pair", "kind", "block").applyInPandas(
+        signs,
+        "pair int, s double",
+    ).groupBy("pair").agg(F.sum("s").alias("s"))
     two = lambda c: F.sum(F.col(c).cast("double") * (F.col(c) - 1) / 2)
-    tied = [joint.groupBy("pair", v).agg(F.sum("w").alias("t")).groupBy("pair").agg(F.sum("t").alias(f"n{v}"), two("t").alias(f"t{v}")) for v in ("x", "y")]
+    tied = [
+        joint.groupBy("pair", v).agg(F.sum("w").alias("t")).groupBy("pair").agg(F.sum("t").alias(f"n{v}"), two("t").alias(f"t{v}"))
+        for v in ("x", "y")
+    ]
     n = F.col("nx")
     every = n.cast("double") * (n - 1) / 2
     r = F.try_divide(F.col("s"), F.sqrt(every - F.col("tx")) * F.sqrt(every - F.col("ty")))
     names = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "pair int, a string, b string")
     got = names.join(s.join(tied[0], "pair").join(tied[1], "pair"), "pair", "left")
-    return got.select("a", "b", F.coalesce(n, F.lit(0)).alias("n"), F.when((n >= min_rows) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
+    return got.select(
+        "a",
+        "b",
+        F.coalesce(n, F.lit(0)).alias("n"),
+        F.when((n >= min_rows) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"),
+    )
 
 
 def correlation_matrix(df: DataFrame, columns: list[str], method: str = "pearson", min_rows: int = 30) -> DataFrame:

@@ -18,16 +18,28 @@ def components(edges: DataFrame, vertices: DataFrame | None = None, max_rounds:
     lost executor costs one round at most.
     """
     held = lambda df: durable(df, "components")
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
+    both = edges.select("src", "dst").union(
+        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")),
+    ).where("src <> dst").distinct()
     points = both.select(F.col("src").alias("vertex"))
     if vertices is not None:
         points = points.union(vertices.select("vertex"))
     both, label = held(both), held(points.distinct().withColumn("component", F.col("vertex")))
     for _ in range(max_rounds):
         near = both.join(label, both.dst == label.vertex).groupBy("src").agg(F.min("component").alias("near"))
-        step = label.join(near, label.vertex == near.src, "left").select("vertex", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
+        step = label.join(near, label.vertex == near.src, "left").select(
+            "vertex",
+            F.col("component").alias("old"),
+            F.least("component", F.coalesce("near", "component")).alias("component"),
+        )
         up = step.select(F.col("vertex").alias("at"), F.col("component").alias("up"))
-        step = held(step.join(up, step.component == up["at"], "left").select("vertex", "old", F.least("component", F.coalesce("up", "component")).alias("component")))
+        step = held(
+            step.join(up, step.component == up["at"], "left").select(
+                "vertex",
+                "old",
+                F.least("component", F.coalesce("up", "component")).alias("component"),
+            ),
+        )
         label = step.select("vertex", "component")
         if not step.where("old <> component").limit(1).count():
             return label
@@ -121,11 +133,23 @@ def greedy_modularity(vertices: list, edges: list[tuple], resolution: float = 1.
     share = {v: (sum(near[v].values()) + near[v].get(v, 0.0)) / (2 * total) for v in vertices}
     link = {v: {u: w / (2 * total) for u, w in near[v].items() if u != v} for v in vertices}
     while True:
-        best = max(((2 * (e - resolution * share[a] * share[b]), a, b) for a in groups for b, e in link[a].items() if a < b), key=lambda x: (x[0], ), default=None)
+        best = max(
+            ((2 * (e - resolution * share[a] * share[b]), a, b) for a in groups for b, e in link[a].items() if a < b),
+            key=lambda x: (x[0], ),
+            default=None,
+        )
         if best is None or best[0] <= 1e-12:
             return normalised(groups.values())
         top = best[0]
-        _, a, b = min((x for x in ((2 * (e - resolution * share[p] * share[q]), p, q) for p in groups for q, e in link[p].items() if p < q) if x[0] >= top - 1e-15), key=lambda x: (x[1], x[2]))
+        _, a, b = min(
+            (
+                x
+                for x in (
+                    (2 * (e - resolution * share[p] * share[q]), p, q) for p in groups for q, e in link[p].items() if p < q
+                ) if x[0] >= top - 1e-15
+            ),
+            key=lambda x: (x[1], x[2]),
+        )
         groups[a] += groups.pop(b)
         share[a] += share.pop(b)
         for c, e in link.pop(b).items():
@@ -149,25 +173,44 @@ def local_modularity(groups: list[list], edges: list[tuple], resolution: float =
 
 
 def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """(modularity): Newman's score of membership (vertex, community) over edges (src, dst, weight); 0 without edges or with one community."""
+    """(modularity): Newman's score of membership (vertex, community) over edges (src, dst, weight).
+
+    0 without edges or with one community.
+    """
     a, b = (membership.select(F.col("vertex").alias(v), F.col("community").alias(c)) for v, c in (("src", "ca"), ("dst", "cb")))
     placed = edges.join(a, "src").join(b, "dst")
     total = F.sum("weight")
-    inner = placed.groupBy().agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(F.lit(0.0))).alias("inside"), total.alias("total"))
-    ends = placed.select(F.col("ca").alias("c"), "weight").union(placed.select(F.col("cb").alias("c"), "weight")).groupBy("c").agg(F.sum("weight").alias("d"))
+    inner = placed.groupBy().agg(
+        F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(F.lit(0.0))).alias("inside"),
+        total.alias("total"),
+    )
+    ends = placed.select(F.col("ca").alias("c"), "weight").union(
+        placed.select(F.col("cb").alias("c"), "weight"),
+    ).groupBy("c").agg(F.sum("weight").alias("d"))
     squared = ends.agg(F.sum(F.col("d") * F.col("d")).alias("squares"), F.count("*").alias("communities"))
     score = F.col("inside") / F.col("total") - F.lit(resolution) * F.col("squares") / (4 * F.col("total") * F.col("total"))
-    return inner.join(squared).select(F.when((F.col("total") > 0) & (F.col("communities") > 1), score).otherwise(F.lit(0.0)).alias("modularity"))
+    return inner.join(squared).select(
+        F.when((F.col("total") > 0) & (F.col("communities") > 1), score).otherwise(F.lit(0.0)).alias("modularity"),
+    )
 
 
 def density(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(vertices, edges, density, average_degree) of a simple undirected graph."""
     n, m = F.col("n").cast("double"), F.col("m").cast("double")
     counts = vertices.agg(F.count("*").alias("n")).join(edges.agg(F.count("*").alias("m")))
-    return counts.select(F.col("n").alias("vertices"), F.col("m").alias("edges"), F.when(n > 1, 2 * m / (n * (n - 1))).otherwise(F.lit(0.0)).alias("density"), F.when(n > 0, 2 * m / n).otherwise(F.lit(0.0)).alias("average_degree"))
+    return counts.select(
+        F.col("n").alias("vertices"),
+        F.col("m").alias("edges"),
+        F.when(n > 1, 2 * m / (n * (n - 1))).otherwise(F.lit(0.0)).alias("density"),
+        F.when(n > 0, 2 * m / n).otherwise(F.lit(0.0)).alias("average_degree"),
+    )
 
 
 def degree_centrality(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("src").alias("vertex")).union(edges.select("dst")).groupBy("vertex").agg(F.count("*").alias("degree"))
     n = F.lit(max(1, vertices.count() - 1))
-    return vertices.join(ends, "vertex", "left").select("vertex", F.coalesce("degree", F.lit(0)).alias("degree"), (F.coalesce("degree", F.lit(0)) / n).alias("centrality"))
+    return vertices.join(ends, "vertex", "left").select(
+        "vertex",
+        F.coalesce("degree", F.lit(0)).alias("degree"),
+        (F.coalesce("degree", F.lit(0)) / n).alias("centrality"),
+    )

@@ -21,7 +21,17 @@ from sifter.operators.sampling import row_sample
 MODULE = "integrity"
 #: Points off a domain's score by severity, and the domains' weights.
 POINTS = {"critical": 25.0, "high": 15.0, "medium": 8.0, "low": 3.0, "info": 1.0}
-DOMAINS = {"missing_values": 0.25, "missingness_correlation": 0.25, "duplicate_rows": 0.15, "duplicate_features": 0.15, "constant_features": 0.10, "near_constant_features": 0.10, "datatype_integrity": 0.20, "identifier_integrity": 0.15, "cardinality": 0.15}
+DOMAINS = {
+    "missing_values": 0.25,
+    "missingness_correlation": 0.25,
+    "duplicate_rows": 0.15,
+    "duplicate_features": 0.15,
+    "constant_features": 0.10,
+    "near_constant_features": 0.10,
+    "datatype_integrity": 0.20,
+    "identifier_integrity": 0.15,
+    "cardinality": 0.15,
+}
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -35,20 +45,58 @@ def _text(pattern: str, *args: Column) -> Column:
 def missing_ratios(profile: DataFrame, s: IntegritySettings) -> DataFrame:
     """(name, null_count, row_count, ratio, severity) of every column with nulls, empty columns included."""
     ratio = _ratio(F.col("null_count"), F.col("row_count"))
-    return profile.where("null_count > 0").select("ordinal", "name", "null_count", "row_count", ratio.alias("ratio"), severity_by_ratio(ratio, s.missing).alias("severity"))
+    return profile.where("null_count > 0").select(
+        "ordinal",
+        "name",
+        "null_count",
+        "row_count",
+        ratio.alias("ratio"),
+        severity_by_ratio(ratio, s.missing).alias("severity"),
+    )
 
 
 def empty_columns(df: DataFrame, profile: DataFrame, s: IntegritySettings) -> DataFrame:
     """One critical finding that lists the columns with a null ratio of 0.99 or more."""
-    got = missing_ratios(profile, s).where(F.col("ratio") >= s.empty).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "name"))), lambda x: x["name"]).alias("names"), F.max("row_count").alias("rows")).where(F.size("names") > 0)
+    got = missing_ratios(profile, s).where(F.col("ratio") >= s.empty).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "name"))), lambda x: x["name"]).alias("names"),
+        F.max("row_count").alias("rows"),
+    ).where(F.size("names") > 0)
     k = F.size("names")
-    return finding(got, MODULE, "missing_values", title=_text("%d empty column(s): %s", k, F.array_join("names", ", ")), description=_text("%d column(s) have (nearly) no values", k), severity=F.lit("critical"), confidence=F.lit(1.0), columns=F.col("names"), recommendation="Drop the columns or repair their source.", evidence={"total_rows": F.col("rows"), "empty_columns": F.array_join("names", ",")}, anomaly_strength=F.lit(1.0), impact=k / F.lit(float(len(df.columns))), missing_ratio=F.lit(1.0))
+    return finding(
+        got,
+        MODULE,
+        "missing_values",
+        title=_text("%d empty column(s): %s", k, F.array_join("names", ", ")),
+        description=_text("%d column(s) have (nearly) no values", k),
+        severity=F.lit("critical"),
+        confidence=F.lit(1.0),
+        columns=F.col("names"),
+        recommendation="Drop the columns or repair their source.",
+        evidence={"total_rows": F.col("rows"), "empty_columns": F.array_join("names", ",")},
+        anomaly_strength=F.lit(1.0),
+        impact=k / F.lit(float(len(df.columns))),
+        missing_ratio=F.lit(1.0),
+    )
 
 
 def missing_values(df: DataFrame, profile: DataFrame, s: IntegritySettings) -> DataFrame:
     """A finding for each column whose null ratio is 0.05 or more, unless it is empty."""
     got = missing_ratios(profile, s).where((F.col("ratio") >= s.missing[-1]) & (F.col("ratio") < s.empty))
-    return finding(got, MODULE, "missing_values", title=_text("Missing values in '%s'", F.col("name")), description=_text("%d of %d values are missing", F.col("null_count"), F.col("row_count")), severity=F.col("severity"), confidence=F.lit(1.0), columns=F.array("name"), recommendation="Find out why values are missing before filling them in.", evidence={"missing_count": F.col("null_count"), "missing_ratio": F.bround("ratio", 4), "total_rows": F.col("row_count")}, anomaly_strength=F.col("ratio"), impact=F.col("ratio"), missing_ratio=F.bround("ratio", 4))
+    return finding(
+        got,
+        MODULE,
+        "missing_values",
+        title=_text("Missing values in '%s'", F.col("name")),
+        description=_text("%d of %d values are missing", F.col("null_count"), F.col("row_count")),
+        severity=F.col("severity"),
+        confidence=F.lit(1.0),
+        columns=F.array("name"),
+        recommendation="Find out why values are missing before filling them in.",
+        evidence={"missing_count": F.col("null_count"), "missing_ratio": F.bround("ratio", 4), "total_rows": F.col("row_count")},
+        anomaly_strength=F.col("ratio"),
+        impact=F.col("ratio"),
+        missing_ratio=F.bround("ratio", 4),
+    )
 
 
 def duplicate_row_counts(df: DataFrame, s: IntegritySettings) -> DataFrame:
@@ -102,12 +150,33 @@ def duplicate_feature_pairs(df: DataFrame) -> DataFrame:
     if len(kinds) < 2:
         return spark.createDataFrame([], "a string, b string")
     names = list(kinds)
-    one = df.agg(*(x for k, c in enumerate(names) for x in (F.bit_xor(h(c)).alias(f"x{k}"), F.sum(h(c).cast("decimal(38,0)")).alias(f"s{k}")))).first()
-    alike = [(a, b) for (i, a), (j, b) in combinations(enumerate(names), 2) if kinds[a] == kinds[b] and one[f"s{i}"] is not None and (one[f"x{i}"], one[f"s{i}"]) == (one[f"x{j}"], one[f"s{j}"])]
+    one = df.agg(
+        *(
+            x
+            for k, c in enumerate(names)
+            for x in (F.bit_xor(h(c)).alias(f"x{k}"), F.sum(h(c).cast("decimal(38,0)")).alias(f"s{k}"))
+        ),
+    ).first()
+    alike = [
+        (a, b)
+        for (i, a), (j, b) in combinations(enumerate(names), 2) if kinds[a] == kinds[b] and one[f"s{i}"] is not None and (
+            one[f"x{i}"],
+            one[f"s{i}"],
+        ) == (one[f"x{j}"], one[f"s{j}"])
+    ]
     if not alike:
         return spark.createDataFrame([], "a string, b string")
     same = df.agg(*(F.bool_and(F.col(f"`{a}`").eqNullSafe(F.col(f"`{b}`"))).alias(f"p{k}") for k, (a, b) in enumerate(alike)))
-    return same.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{k}").alias("same")) for k, (a, b) in enumerate(alike))))).where("same").select("a", "b")
+    return same.select(
+        F.inline(
+            F.array(
+                *(
+                    F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{k}").alias("same"))
+                    for k, (a, b) in enumerate(alike)
+                ),
+            ),
+        ),
+    ).where("same").select("a", "b")
 
 
 def duplicate_features(df: DataFrame, profile: DataFrame, s: IntegritySettings) -> DataFrame:
@@ -117,7 +186,20 @@ def duplicate_features(df: DataFrame, profile: DataFrame, s: IntegritySettings)
     if not groups:
         return none(df.sparkSession)
     got = df.sparkSession.createDataFrame([(g,) for g in groups], "names array<string>")
-    return finding(got, MODULE, "duplicate_features", title=_text("Identical columns: %s", F.array_join("names", ", ")), description=_text("%d columns hold the same values in every row", F.size("names")), severity=F.lit("medium"), confidence=F.lit(1.0), columns=F.col("names"), recommendation="Keep one of the columns.", evidence={"group": F.array_join("names", ",")}, anomaly_strength=F.lit(1.0), impact=F.size("names") / F.lit(float(len(df.columns))))
+    return finding(
+        got,
+        MODULE,
+        "duplicate_features",
+        title=_text("Identical columns: %s", F.array_join("names", ", ")),
+        description=_text("%d columns hold the same values in every row", F.size("names")),
+        severity=F.lit("medium"),
+        confidence=F.lit(1.0),
+        columns=F.col("names"),
+        recommendation="Keep one of the columns.",
+        evidence={"group": F.array_join("names", ",")},
+        anomaly_strength=F.lit(1.0),
+        impact=F.size("names") / F.lit(float(len(df.columns))),
+    )
 
 
 def is_id_name(name: str, s: IntegritySettings) -> bool:
@@ -133,31 +215,90 @@ def identifiers(df: DataFrame, profile: DataFrame, s: IntegritySettings) -> Data
     got = profile.where(F.col("name").isin(names) & ((unique > 0.5) | (unique >= s.id_unique))) if names else profile.where("false")
     dup = F.col("row_count") - F.col("null_count") - F.col("unique_count")
     worst = F.greatest(_ratio(F.col("null_count"), F.col("row_count")), _ratio(dup, F.col("row_count")))
-    return got.select("name", "row_count", F.col("null_count").alias("nulls"), dup.alias("duplicates"), _ratio(F.col("null_count"), F.col("row_count")).alias("null_ratio"), _ratio(dup, F.col("row_count")).alias("duplicate_ratio"), severity_by_ratio(worst, (0.10, 0.05, 0.01, 0.001)).alias("severity"))
+    return got.select(
+        "name",
+        "row_count",
+        F.col("null_count").alias("nulls"),
+        dup.alias("duplicates"),
+        _ratio(F.col("null_count"), F.col("row_count")).alias("null_ratio"),
+        _ratio(dup, F.col("row_count")).alias("duplicate_ratio"),
+        severity_by_ratio(worst, (0.10, 0.05, 0.01, 0.001)).alias("severity"),
+    )
 
 
 def identifier_integrity(df: DataFrame, profile: DataFrame, s: IntegritySettings) -> DataFrame:
     """A finding for each identifier column with nulls or repeats."""
     got = identifiers(df, profile, s).where("nulls > 0 or duplicates > 0")
-    return finding(got, MODULE, "identifier_integrity", title=_text("Identifier '%s' is not a clean key", F.col("name")), description=_text("%d null and %d repeated identifiers", F.col("nulls"), F.col("duplicates")), severity=F.col("severity"), confidence=F.lit(0.85), columns=F.array("name"), recommendation="Repair the key before joining on it.", evidence={"null_count": F.col("nulls"), "duplicate_count": F.col("duplicates"), "total_rows": F.col("row_count")}, anomaly_strength=F.greatest("null_ratio", "duplicate_ratio"), impact=F.greatest("null_ratio", "duplicate_ratio"))
+    return finding(
+        got,
+        MODULE,
+        "identifier_integrity",
+        title=_text("Identifier '%s' is not a clean key", F.col("name")),
+        description=_text("%d null and %d repeated identifiers", F.col("nulls"), F.col("duplicates")),
+        severity=F.col("severity"),
+        confidence=F.lit(0.85),
+        columns=F.array("name"),
+        recommendation="Repair the key before joining on it.",
+        evidence={"null_count": F.col("nulls"), "duplicate_count": F.col("duplicates"), "total_rows": F.col("row_count")},
+        anomaly_strength=F.greatest("null_ratio", "duplicate_ratio"),
+        impact=F.greatest("null_ratio", "duplicate_ratio"),
+    )
 
 
 def constant_features(df: DataFrame, profile: DataFrame, s: IntegritySettings) -> DataFrame:
     """One finding that lists the columns with at most one value."""
-    got = profile.where("unique_count <= 1 and row_count > 0").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "name", "top_value"))), lambda x: x["name"]).alias("names"), F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.coalesce("top_value", F.lit("null")).alias("v")))), lambda x: x["v"]).alias("values")).where(F.size("names") > 0)
-    return finding(got, MODULE, "constant_features", title=_text("%d constant column(s): %s", F.size("names"), F.array_join("names", ", ")), description=_text("%d column(s) have a single value", F.size("names")), severity=F.lit("medium"), confidence=F.lit(1.0), columns=F.col("names"), recommendation="Drop constant columns.", evidence={"values": F.array_join("values", ","), "unique_count": F.lit(1), "variance": F.lit(0)}, anomaly_strength=F.lit(1.0), impact=F.size("names") / F.lit(float(len(df.columns))))
+    got = profile.where("unique_count <= 1 and row_count > 0").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "name", "top_value"))), lambda x: x["name"]).alias("names"),
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("ordinal", F.coalesce("top_value", F.lit("null")).alias("v")))),
+            lambda x: x["v"],
+        ).alias("values"),
+    ).where(F.size("names") > 0)
+    return finding(
+        got,
+        MODULE,
+        "constant_features",
+        title=_text("%d constant column(s): %s", F.size("names"), F.array_join("names", ", ")),
+        description=_text("%d column(s) have a single value", F.size("names")),
+        severity=F.lit("medium"),
+        confidence=F.lit(1.0),
+        columns=F.col("names"),
+        recommendation="Drop constant columns.",
+        evidence={"values": F.array_join("values", ","), "unique_count": F.lit(1), "variance": F.lit(0)},
+        anomaly_strength=F.lit(1.0),
+        impact=F.size("names") / F.lit(float(len(df.columns))),
+    )
 
 
 def near_constants(profile: DataFrame, s: IntegritySettings) -> DataFrame:
     """(name, top_value, top_count, filled, share) of columns that one value dominates without filling them."""
     filled = F.col("row_count") - F.col("null_count")
     share = _ratio(F.col("top_count"), filled)
-    return profile.where((share >= s.near_constant) & (share < s.constant) & (F.col("unique_count") > 1)).select("name", "top_value", "top_count", filled.alias("filled"), share.alias("share"))
+    return profile.where(
+        (share >= s.near_constant) & (share < s.constant) & (F.col("unique_count") > 1),
+    ).select("name", "top_value", "top_count", filled.alias("filled"), share.alias("share"))
 
 
 def near_constant_features(df: DataFrame, profile: DataFrame, s: IntegritySettings) -> DataFrame:
     got = near_constants(profile, s)
-    return finding(got, MODULE, "near_constant_features", title=_text("'%s' is nearly constant", F.col("name")), description=_text("One value makes up %s of the column", F.bround("share", 4).cast("string")), severity=F.lit("low"), confidence=F.lit(0.9), columns=F.array("name"), recommendation="Check whether the column says anything.", evidence={"dominance_ratio": F.bround("share", 4), "dominant_value": F.col("top_value"), "dominant_count": F.col("top_count")}, anomaly_strength=F.col("share"), impact=F.col("share"))
+    return finding(
+        got,
+        MODULE,
+        "near_constant_features",
+        title=_text("'%s' is nearly constant", F.col("name")),
+        description=_text("One value makes up %s of the column", F.bround("share", 4).cast("string")),
+        severity=F.lit("low"),
+        confidence=F.lit(0.9),
+        columns=F.array("name"),
+        recommendation="Check whether the column says anything.",
+        evidence={
+            "dominance_ratio": F.bround("share", 4),
+            "dominant_value": F.col("top_value"),
+            "dominant_count": F.col("top_count"),
+        },
+        anomaly_strength=F.col("share"),
+        impact=F.col("share"),
+    )
 
 
 def text_kinds(df: DataFrame, s: IntegritySettings) -> DataFrame:
@@ -170,19 +311,31 @@ def text_kinds(df: DataFrame, s: IntegritySettings) -> DataFrame:
         return df.sparkSession.createDataFrame([], "name string, kind string, n bigint")
     held = df.select(*(F.col(f"`{c}`") for c in names))
     held = row_sample(held, s.type_sample) if s.type_sample else held
-    cells = F.array(*(F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.lit(c).alias("name"), value_type(F.col(f"`{c}`")).alias("kind"))) for c in names))
+    cells = F.array(
+        *(
+            F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.lit(c).alias("name"), value_type(F.col(f"`{c}`")).alias("kind")))
+            for c in names
+        ),
+    )
     return held.select(F.inline(F.array_compact(cells))).groupBy("name", "kind").agg(F.count("*").alias("n"))
 
 
 def numeric_text(kinds: DataFrame) -> DataFrame:
     """(name, sampled, numeric, ratio) of each text column with a value, from text_kinds()."""
-    got = kinds.groupBy("name").agg(F.sum("n").alias("sampled"), F.coalesce(F.sum(F.when(F.col("kind") == "numeric", F.col("n"))), F.lit(0)).alias("numeric"))
+    got = kinds.groupBy("name").agg(
+        F.sum("n").alias("sampled"),
+        F.coalesce(F.sum(F.when(F.col("kind") == "numeric", F.col("n"))), F.lit(0)).alias("numeric"),
+    )
     return got.select("name", "sampled", "numeric", _ratio(F.col("numeric"), F.col("sampled")).alias("ratio"))
 
 
 def type_mix(kinds: DataFrame) -> DataFrame:
     """(name, sampled, kinds, minority) of each text column with two kinds of values or more: the share that isn't of the main kind."""
-    got = kinds.groupBy("name").agg(F.sum("n").alias("sampled"), F.count("*").alias("kinds"), (1 - F.max("n") / F.sum("n")).alias("minority"))
+    got = kinds.groupBy("name").agg(
+        F.sum("n").alias("sampled"),
+        F.count("*").alias("kinds"),
+        (1 - F.max("n") / F.sum("n")).alias("minority"),
+    )
     return got.where((F.col("sampled") >= 10) & (F.col("kinds") > 1))
 
 
@@ -194,8 +347,32 @@ def datatype_integrity(df: DataFrame, profile: DataFrame, s: IntegritySettings)
     kinds = df.sparkSession.createDataFrame(kinds.collect(), kinds.schema)  # at most five rows for each column
     numbers = numeric_text(kinds).where(F.col("ratio") >= s.numeric_text)
     mixed = type_mix(kinds).where(F.col("minority") >= s.mixed_minority)
-    a = finding(numbers, MODULE, "datatype_integrity", title=_text("'%s' holds numbers as text", F.col("name")), description=_text("%d of %d sampled values are numbers", F.col("numeric"), F.col("sampled")), severity=F.lit("high"), confidence=F.col("ratio"), columns=F.array("name"), recommendation="Cast the column to a number.", evidence={"parseable_ratio": F.bround("ratio", 4), "sample_size": F.col("sampled")}, impact=F.col("ratio"))
-    b = finding(mixed, MODULE, "datatype_integrity", title=_text("'%s' mixes %d kinds of values", F.col("name"), F.col("kinds")), description=_text("%s of sampled values are not of the main kind", F.bround("minority", 4).cast("string")), severity=F.when(F.col("minority") > 0.1, "medium").otherwise("low"), confidence=F.lit(0.8), columns=F.array("name"), recommendation="Split or normalise the column.", evidence={"minority_share": F.bround("minority", 4), "kinds": F.col("kinds")}, impact=F.col("minority"))
+    a = finding(
+        numbers,
+        MODULE,
+        "datatype_integrity",
+        title=_text("'%s' holds numbers as text", F.col("name")),
+        description=_text("%d of %d sampled values are numbers", F.col("numeric"), F.col("sampled")),
+        severity=F.lit("high"),
+        confidence=F.col("ratio"),
+        columns=F.array("name"),
+        recommendation="Cast the column to a number.",
+        evidence={"parseable_ratio": F.bround("ratio", 4), "sample_size": F.col("sampled")},
+        impact=F.col("ratio"),
+    )
+    b = finding(
+        mixed,
+        MODULE,
+        "datatype_integrity",
+        title=_text("'%s' mixes %d kinds of values", F.col("name"), F.col("kinds")),
+        description=_text("%s of sampled values are not of the main kind", F.bround("minority", 4).cast("string")),
+        severity=F.when(F.col("minority") > 0.1, "medium").otherwise("low"),
+        confidence=F.lit(0.8),
+        columns=F.array("name"),
+        recommendation="Split or normalise the column.",
+        evidence={"minority_share": F.bround("minority", 4), "kinds": F.col("kinds")},
+        impact=F.col("minority"),
+    )
     return a.unionByName(b)
 
 
@@ -204,18 +381,30 @@ def high_cardinality_columns(df: DataFrame, profile: DataFrame, s: IntegritySett
     filled = F.col("row_count") - F.col("null_count")
     ids = [c for c in df.columns if is_id_name(c, s)]
     is_id = (F.col("name").isin(ids) & (_ratio(F.col("unique_count"), F.col("row_count")) > 0.5)) if ids else F.lit(False)
-    return profile.where(F.col("is_text") & ~is_id & (F.col("unique_count") > 100)).select("name", "unique_count", _ratio(F.col("unique_count"), filled).alias("ratio")).where(F.col("ratio") >= s.high_cardinality)
+    return profile.where(F.col("is_text") & ~is_id & (F.col("unique_count") > 100)).select(
+        "name",
+        "unique_count",
+        _ratio(F.col("unique_count"), filled).alias("ratio"),
+    ).where(F.col("ratio") >= s.high_cardinality)
 
 
 def low_cardinality_columns(df: DataFrame, profile: DataFrame, s: IntegritySettings) -> DataFrame:
     """(name, unique_count, values) of columns of one or two values over more than 100 rows, but booleans and numbers of 0 and 1."""
-    few = profile.where((F.col("unique_count") <= s.low_cardinality) & (F.col("unique_count") > 0) & ~F.col("is_boolean") & (F.col("row_count") > 100)).select("ordinal", "name", "is_numeric", "unique_count")
+    few = profile.where(
+        (
+            F.col("unique_count") <= s.low_cardinality
+        ) & (F.col("unique_count") > 0) & ~F.col("is_boolean") & (F.col("row_count") > 100),
+    ).select("ordinal", "name", "is_numeric", "unique_count")
     chosen = few.collect()
     if not chosen:
         return df.sparkSession.createDataFrame([], "name string, unique_count bigint, values array<string>")
     slim = df.select(*(F.col(f"`{r.name}`") for r in chosen))
-    known = df.sparkSession.createDataFrame([(k, r.name, r.is_numeric, r.unique_count) for k, r in enumerate(chosen)], "ordinal int, name string, is_numeric boolean, unique_count bigint")
-    counts = value_counts(slim).where("value is not null").join(F.broadcast(known), "ordinal")  # at most low_cardinality rows for each column
+    known = df.sparkSession.createDataFrame(
+        [(k, r.name, r.is_numeric, r.unique_count) for k, r in enumerate(chosen)],
+        "ordinal int, name string, is_numeric boolean, unique_count bigint",
+    )
+    # At most low_cardinality rows for each column.
+    counts = value_counts(slim).where("value is not null").join(F.broadcast(known), "ordinal")
     held = counts.groupBy("ordinal", "name", "is_numeric", "unique_count").agg(F.sort_array(F.collect_set("value")).alias("values"))
     zero_one = F.forall("values", lambda v: v.isin("0", "1", "0.0", "1.0"))
     return held.where(~(F.col("is_numeric") & zero_one)).select("name", "unique_count", "values")
@@ -223,14 +412,41 @@ def low_cardinality_columns(df: DataFrame, profile: DataFrame, s: IntegritySetti
 
 def cardinality(df: DataFrame, profile: DataFrame, s: IntegritySettings) -> DataFrame:
     high, low = high_cardinality_columns(df, profile, s), low_cardinality_columns(df, profile, s)
-    a = finding(high, MODULE, "cardinality", title=_text("'%s' has high cardinality", F.col("name")), description=_text("%d distinct values", F.col("unique_count")), severity=F.lit("medium"), confidence=F.lit(0.85), columns=F.array("name"), recommendation="Treat the column as free text or a key.", evidence={"unique_count": F.col("unique_count"), "unique_ratio": F.bround("ratio", 4)}, impact=F.col("ratio"))
-    b = finding(low, MODULE, "cardinality", title=_text("'%s' has %d value(s)", F.col("name"), F.col("unique_count")), description=_text("Values: %s", F.array_join("values", ", ")), severity=F.lit("info"), confidence=F.lit(0.7), columns=F.array("name"), recommendation="Consider a flag.", evidence={"values": F.array_join("values", ",")}, impact=F.lit(0.0))
+    a = finding(
+        high,
+        MODULE,
+        "cardinality",
+        title=_text("'%s' has high cardinality", F.col("name")),
+        description=_text("%d distinct values", F.col("unique_count")),
+        severity=F.lit("medium"),
+        confidence=F.lit(0.85),
+        columns=F.array("name"),
+        recommendation="Treat the column as free text or a key.",
+        evidence={"unique_count": F.col("unique_count"), "unique_ratio": F.bround("ratio", 4)},
+        impact=F.col("ratio"),
+    )
+    b = finding(
+        low,
+        MODULE,
+        "cardinality",
+        title=_text("'%s' has %d value(s)", F.col("name"), F.col("unique_count")),
+        description=_text("Values: %s", F.array_join("values", ", ")),
+        severity=F.lit("info"),
+        confidence=F.lit(0.7),
+        columns=F.array("name"),
+        recommendation="Consider a flag.",
+        evidence={"values": F.array_join("values", ",")},
+        impact=F.lit(0.0),
+    )
     return a.unionByName(b)
 
 
 def missingness_edges(df: DataFrame, profile: DataFrame, s: IntegritySettings, full: bool = False) -> DataFrame:
     """(a, b, r): pairs of columns whose null indicators correlate by missing_r or more in size."""
-    names = [r.name for r in profile.where(_ratio(F.col("null_count"), F.col("row_count")) >= s.missing_min_ratio).orderBy("ordinal").collect()]
+    names = [
+        r.name
+        for r in profile.where(_ratio(F.col("null_count"), F.col("row_count")) >= s.missing_min_ratio).orderBy("ordinal").collect()
+    ]
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
     flags = df.select(*(F.col(f"`{c}`").isNull().cast("int").alias(c) for c in names))
@@ -245,10 +461,28 @@ def missingness_correlation(df: DataFrame, profile: DataFrame, s: IntegritySetti
     if not groups:
         return none(df.sparkSession)
     best = [max((e for e in edges if e[0] in g), key=lambda e: (abs(e[2]), e[0], e[1])) for g in groups]
-    both = df.agg(*(F.count_if(F.col(f"`{a}`").isNull() & F.col(f"`{b}`").isNull()).alias(f"n{k}") for k, (a, b, _) in enumerate(best))).first()
-    rows = [(g, *e, both[k], sorted(f"{a}~{b}:{r:.4f}" for a, b, r in edges if a in g)[:25]) for k, (g, e) in enumerate(zip(groups, best, strict=True))]
+    both = df.agg(
+        *(F.count_if(F.col(f"`{a}`").isNull() & F.col(f"`{b}`").isNull()).alias(f"n{k}") for k, (a, b, _) in enumerate(best)),
+    ).first()
+    rows = [
+        (g, *e, both[k], sorted(f"{a}~{b}:{r:.4f}" for a, b, r in edges if a in g)[:25])
+        for k, (g, e) in enumerate(zip(groups, best, strict=True))
+    ]
     got = df.sparkSession.createDataFrame(rows, "names array<string>, a string, b string, r double, both bigint, pairs array<string>")
-    return finding(got, MODULE, "missingness_correlation", title=_text("Columns go missing together: %s", F.array_join("names", ", ")), description=_text("'%s' and '%s' are both missing in %d rows", F.col("a"), F.col("b"), F.col("both")), severity=F.when(F.abs("r") > 0.85, "medium").otherwise("low"), confidence=F.abs("r"), columns=F.col("names"), recommendation="Look for a shared cause in the source.", evidence={"missingness_correlation": F.bround("r", 4), "both_missing": F.col("both"), "pairs": F.array_join("pairs", ",")}, impact=F.size("names") / F.lit(float(len(df.columns))), missingness_correlation=F.bround("r", 4))
+    return finding(
+        got,
+        MODULE,
+        "missingness_correlation",
+        title=_text("Columns go missing together: %s", F.array_join("names", ", ")),
+        description=_text("'%s' and '%s' are both missing in %d rows", F.col("a"), F.col("b"), F.col("both")),
+        severity=F.when(F.abs("r") > 0.85, "medium").otherwise("low"),
+        confidence=F.abs("r"),
+        columns=F.col("names"),
+        recommendation="Look for a shared cause in the source.",
+        evidence={"missingness_correlation": F.bround("r", 4), "both_missing": F.col("both"), "pairs": F.array_join("pairs", ",")},
+        impact=F.size("names") / F.lit(float(len(df.columns))),
+        missingness_correlation=F.bround("r", 4),
+    )
 
 
 DETECTORS: dict[str, list[Callable]] = {
@@ -278,9 +512,27 @@ def health_score(findings: DataFrame, failed: tuple[str, ...] = ()) -> DataFrame
     """(score, severity): the weighted mean of the domains' scores to one place."""
     score = F.bround(F.try_divide(F.sum(F.col("weight") * F.col("score")), F.sum("weight")), 1)
     got = domain_scores(findings, failed).agg(score.alias("score"))
-    return got.select("score", F.when(F.col("score") >= 90, "info").when(F.col("score") >= 70, "low").when(F.col("score") >= 50, "medium").when(F.col("score") >= 30, "high").otherwise("critical").alias("severity"))
+    return got.select(
+        "score",
+        F.when(F.col("score") >= 90, "info").when(F.col("score") >= 70, "low").when(
+            F.col("score") >= 50,
+            "medium",
+        ).when(F.col("score") >= 30, "high").otherwise("critical").alias("severity"),
+    )
 
 
 def health_finding(findings: DataFrame, failed: tuple[str, ...] = ()) -> DataFrame:
     got = health_score(findings, failed)
-    return finding(got, MODULE, "structural_health_score", title=_text("Structural health %s of 100", F.col("score").cast("string")), description=F.lit("Weighted score of all integrity domains"), severity=F.col("severity"), confidence=F.lit(1.0), columns=F.array().cast("array<string>"), recommendation="Start with the most urgent findings.", evidence={"health_score": F.col("score")}, impact=1 - F.col("score") / 100)
+    return finding(
+        got,
+        MODULE,
+        "structural_health_score",
+        title=_text("Structural health %s of 100", F.col("score").cast("string")),
+        description=F.lit("Weighted score of all integrity domains"),
+        severity=F.col("severity"),
+        confidence=F.lit(1.0),
+        columns=F.array().cast("array<string>"),
+        recommendation="Start with the most urgent findings.",
+        evidence={"health_score": F.col("score")},
+        impact=1 - F.col("score") / 100,
+    )

@@ -43,10 +43,29 @@ def pearson(df: DataFrame, columns: list[str], min_rows: int = 30) -> DataFrame:
     for k, (a, b) in enumerate(pairs):
         both = double(a).isNotNull() & double(b).isNotNull()
         x, y = F.when(both, double(a)), F.when(both, double(b))
-        cells += [F.count(x).alias(f"n{k}"), F.covar_pop(x, y).alias(f"c{k}"), F.stddev_pop(x).alias(f"x{k}"), F.stddev_pop(y).alias(f"y{k}")]
+        cells += [
+            F.count(x).alias(f"n{k}"),
+            F.covar_pop(x, y).alias(f"c{k}"),
+            F.stddev_pop(x).alias(f"x{k}"),
+            F.stddev_pop(y).alias(f"y{k}"),
+        ]
     one = df.agg(*cells)
     r = lambda k: bounded(F.try_divide(F.col(f"c{k}"), F.col(f"x{k}") * F.col(f"y{k}")))
-    return one.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n{k}").alias("n"), F.when(F.col(f"n{k}") >= min_rows, r(k)).alias("r")) for k, (a, b) in enumerate(pairs)))))
+    return one.select(
+        F.inline(
+            F.array(
+                *(
+                    F.struct(
+                        F.lit(a).alias("a"),
+                        F.lit(b).alias("b"),
+                        F.col(f"n{k}").alias("n"),
+                        F.when(F.col(f"n{k}") >= min_rows, r(k)).alias("r"),
+                    )
+                    for k, (a, b) in enumerate(pairs)
+                ),
+            ),
+        ),
+    )
 
 
 def _gram(df: DataFrame, columns: list[str], min_rows: int) -> DataFrame:
@@ -64,9 +83,15 @@ def _gram(df: DataFrame, columns: list[str], min_rows: int) -> DataFrame:
         i, j = np.triu_indices(p, 1)
         yield pd.DataFrame({"i": i, "j": j, **{f"s{k}": total[k][i, j] for k in range(6)}})
 
-    got = df.select(*(double(c).alias(f"c{k}") for k, c in enumerate(columns))).mapInPandas(sums, "i int, j int, s0 double, s1 double, s2 double, s3 double, s4 double, s5 double").groupBy("i", "j").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(6)))
+    got = df.select(*(double(c).alias(f"c{k}") for k, c in enumerate(columns))).mapInPandas(
+        sums,
+        "i int, j int, s0 double, s1 double, s2 double, s3 double, s4 double, s5 double",
+    ).groupBy("i", "j").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(6)))
     n, sx, sy, sxx, syy, sxy = (F.col(f"s{k}") for k in range(6))
-    r = F.try_divide(n * sxy - sx * sy, F.sqrt(F.greatest(F.lit(0.0), n * sxx - sx * sx)) * F.sqrt(F.greatest(F.lit(0.0), n * syy - sy * sy)))
+    r = F.try_divide(
+        n * sxy - sx * sy,
+        F.sqrt(F.greatest(F.lit(0.0), n * sxx - sx * sx)) * F.sqrt(F.greatest(F.lit(0.0), n * syy - sy * sy)),
+    )
     names = spark.createDataFrame([(k, c) for k, c in enumerate(columns)], "k int, name string")
     a, b = (names.select(F.col("k").alias(i), F.col("name").alias(c)) for i, c in (("i", "a"), ("j", "b")))
     return got.join(a, "i").join(b, "j").select("a", "b", n.cast("bigint").alias("n"), F.when(n >= min_rows, bounded(r)).alias("r"))
@@ -90,7 +115,11 @@ def spearman(df: DataFrame, columns: list[str], min_rows: int = 30) -> DataFrame
     pairs = list(combinations(columns, 2))
     if not pairs:
         return spark.createDataFrame([], "a string, b string, n bigint, r double")
-    cells = (x for k, c in enumerate(columns) for x in (F.count_if(double(c).isNull()).alias(f"n{k}"), F.approx_count_distinct(double(c)).alias(f"d{k}")))
+    cells = (
+        x
+        for k, c in enumerate(columns)
+        for x in (F.count_if(double(c).isNull()).alias(f"n{k}"), F.approx_count_distinct(double(c)).alias(f"d{k}"))
+    )
     seen = df.agg(F.count("*").alias("rows"), *cells).first()
     if seen.rows * len(columns) <= TASK_CELLS:
         return _spearman_local(df, columns, min_rows)
@@ -115,7 +144,10 @@ def _spearman_local(df: DataFrame, columns: list[str], min_rows: int) -> DataFra
             x, y = (whole[i], whole[j]) if both is None else (both[c].rank() for c in both)
             flat = len(x) < max(2, min_rows) or x.nunique() < 2 or y.nunique() < 2
             out.append((i, j, len(x), None if flat else float(np.clip(np.corrcoef(x, y)[0, 1], -1, 1))))
-        return pa.table(dict(zip(("i", "j", "n", "r"), map(list, zip(*out, strict=True)), strict=True)), pa.schema([("i", pa.int32()), ("j", pa.int32()), ("n", pa.int64()), ("r", pa.float64())]))
+        return pa.table(
+            dict(zip(("i", "j", "n", "r"), map(list, zip(*out, strict=True)), strict=True)),
+            pa.schema([("i", pa.int32()), ("j", pa.int32()), ("n", pa.int64()), ("r", pa.float64())]),
+        )
 
     held = df.select(F.lit(0).alias("one"), *(double(c).alias(f"c{k}") for k, c in enumerate(columns)))
     names = df.sparkSession.createDataFrame([(i, j, columns[i], columns[j]) for i, j in pairs], "i int, j int, a string, b string")
@@ -149,7 +181,12 @@ def _spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]], min_rows: int)
     parts = {"n": F.col("w"), "sx": w * x, "sy": w * y, "sxx": w * x * x, "syy": w * y * y, "sxy": w * x * y}
     s = joint.groupBy("pair").agg(*(F.sum(e).alias(k) for k, e in parts.items()))
     names = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "pair int, a string, b string")
-    return names.join(s, "pair", "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") >= min_rows, _rho(s)).alias("r"))
+    return names.join(s, "pair", "left").select(
+        "a",
+        "b",
+        F.coalesce("n", F.lit(0)).alias("n"),
+        F.when(F.col("n") >= min_rows, _rho(s)).alias("r"),
+    )
 
 
 def beta_inc(a: float, b: float, x: float) -> float:
@@ -164,7 +201,9 @@ def beta_inc(a: float, b: float, x: float) -> float:
     d = 0.0
     for k in range(400):
         m = k // 2
-        t = 1.0 if k == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if k % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        t = 1.0 if k == 0 else m * (b - m) * x / (
+            (a + 2 * m - 1) * (a + 2 * m)
+        ) if k % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         d = 1 / max(1 + t * d, tiny, key=abs)
         c = max(1 + t / c, tiny, key=abs)
         f *= c * d
@@ -196,7 +235,11 @@ def vif(df: DataFrame, columns: list[str]) -> list[tuple[str, float]]:
     """
     if len(columns) < 2:
         return []
-    cells = (x for k, c in enumerate(columns) for x in (F.count_if(double(c).isNull()).alias(f"n{k}"), F.min(double(c)).alias(f"l{k}"), F.max(double(c)).alias(f"h{k}")))
+    cells = (
+        x
+        for k, c in enumerate(columns)
+        for x in (F.count_if(double(c).isNull()).alias(f"n{k}"), F.min(double(c)).alias(f"l{k}"), F.max(double(c)).alias(f"h{k}"))
+    )
     seen = df.agg(*cells).first()
     live = [c for k, c in enumerate(columns) if seen[f"l{k}"] is not None and seen[f"l{k}"] != seen[f"h{k}"]]
     median = {c: quantiles(df, c, [0.5])[0] for k, c in enumerate(columns) if c in live and seen[f"n{k}"]}
@@ -254,7 +297,14 @@ def mi_continuous(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     x, y = _scaled(x, 1), _scaled(y, 2)
     radius = np.nextafter(_neighbour_distance(np.c_[x, y], k), 0)
     nx, ny = _within(x, radius), _within(y, radius)
-    return max(0.0, float(_digamma(np.array([n]))[0] + _digamma(np.array([k]))[0] - np.mean(_digamma(np.maximum(nx, 1)) + _digamma(np.maximum(ny, 1)))))
+    return max(
+        0.0,
+        float(
+            _digamma(np.array([n]))[0] + _digamma(np.array([k]))[0] - np.mean(
+                _digamma(np.maximum(nx, 1)) + _digamma(np.maximum(ny, 1)),
+            ),
+        ),
+    )
 
 
 def mi_classes(x: np.ndarray, label: np.ndarray, k: int = 3) -> float:
@@ -272,11 +322,24 @@ def mi_classes(x: np.ndarray, label: np.ndarray, k: int = 3) -> float:
     if n < 2:
         return 0.0
     m = _within(x[keep], radius[keep])
-    return max(0.0, float(_digamma(np.array([n]))[0] + np.mean(_digamma(used[keep])) - np.mean(_digamma(size[keep])) - np.mean(_digamma(np.maximum(m, 1)))))
+    return max(
+        0.0,
+        float(
+            _digamma(np.array([n]))[0] + np.mean(_digamma(used[keep])) - np.mean(_digamma(size[keep])) - np.mean(
+                _digamma(np.maximum(m, 1)),
+            ),
+        ),
+    )
 
 
 def mutual_information(
-    df: DataFrame, pairs: list[tuple[str, str]], rows: int = 5000, k: int = 3, discrete: bool = False, min_rows: int = 30, n: int | None = None
+    df: DataFrame,
+    pairs: list[tuple[str, str]],
+    rows: int = 5000,
+    k: int = 3,
+    discrete: bool = False,
+    min_rows: int = 30,
+    n: int | None = None,
 ) -> DataFrame:
     """(a, b, n, score) for each pair over a bounded sample, a group of at most `rows` rows for each; with discrete, b is a class."""
     spark = df.sparkSession
@@ -285,7 +348,15 @@ def mutual_information(
     needed = list(dict.fromkeys(c for p in pairs for c in p))
     held = row_sample(df.select(*(F.col(f"`{c}`") for c in needed)), rows, n=n)
     right = (lambda c: F.hash(F.col(f"`{c}`")).cast("double")) if discrete else double
-    cells = F.array(*(F.when(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull(), F.struct(F.lit(i).alias("pair"), double(a).alias("x"), right(b).alias("y"))) for i, (a, b) in enumerate(pairs)))
+    cells = F.array(
+        *(
+            F.when(
+                F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull(),
+                F.struct(F.lit(i).alias("pair"), double(a).alias("x"), right(b).alias("y")),
+            )
+            for i, (a, b) in enumerate(pairs)
+        ),
+    )
 
     def score(key, pdf):
         pdf = pdf.sort_values(["x", "y"])

@@ -40,7 +40,12 @@ def value_counts(df: DataFrame) -> DataFrame:
     One unpivot and one aggregation with partial sums, whatever the number of columns: a frequent value costs each
     task one row.
     """
-    cells = F.array(*(F.struct(F.lit(k).alias("ordinal"), value_key(F.col(f"`{f.name}`"), f.dataType).alias("value")) for k, f in enumerate(df.schema)))
+    cells = F.array(
+        *(
+            F.struct(F.lit(k).alias("ordinal"), value_key(F.col(f"`{f.name}`"), f.dataType).alias("value"))
+            for k, f in enumerate(df.schema)
+        ),
+    )
     long = df.select(F.inline(cells))
     return long.groupBy("ordinal", "value").agg(F.count("*").alias("n"))
 
@@ -53,11 +58,39 @@ def profile_table(df: DataFrame) -> DataFrame:
         F.count("value").alias("unique_count"),
         F.max(F.when(F.col("value").isNotNull(), F.struct(F.col("n"), F.col("value")))).alias("top"),
     )
-    names = df.sparkSession.createDataFrame([(k, f.name, f.dataType.simpleString(), is_numeric(f.dataType), isinstance(f.dataType, T.StringType), is_datetime(f.dataType), isinstance(f.dataType, T.BooleanType)) for k, f in enumerate(df.schema)], "ordinal int, name string, dtype string, is_numeric boolean, is_text boolean, is_datetime boolean, is_boolean boolean")
+    names = df.sparkSession.createDataFrame(
+        [
+            (
+                k,
+                f.name,
+                f.dataType.simpleString(),
+                is_numeric(f.dataType),
+                isinstance(f.dataType, T.StringType),
+                is_datetime(f.dataType),
+                isinstance(f.dataType, T.BooleanType),
+            )
+            for k, f in enumerate(df.schema)
+        ],
+        "ordinal int, name string, dtype string, is_numeric boolean, is_text boolean, is_datetime boolean, is_boolean boolean",
+    )
     got = names.join(counts, "ordinal", "left")
     n, unique = (F.coalesce(F.col(c), F.lit(0)) for c in ("row_count", "unique_count"))
     categorical = (F.col("is_text") & ~F.col("is_datetime")) | (F.col("is_numeric") & (unique < 20) & (n > 100))
-    return got.select("ordinal", "name", "dtype", n.alias("row_count"), F.coalesce("null_count", F.lit(0)).alias("null_count"), unique.alias("unique_count"), F.col("top.value").alias("top_value"), F.coalesce("top.n", F.lit(0)).alias("top_count"), "is_numeric", "is_text", categorical.alias("is_categorical"), "is_datetime", "is_boolean")
+    return got.select(
+        "ordinal",
+        "name",
+        "dtype",
+        n.alias("row_count"),
+        F.coalesce("null_count", F.lit(0)).alias("null_count"),
+        unique.alias("unique_count"),
+        F.col("top.value").alias("top_value"),
+        F.coalesce("top.n", F.lit(0)).alias("top_count"),
+        "is_numeric",
+        "is_text",
+        categorical.alias("is_categorical"),
+        "is_datetime",
+        "is_boolean",
+    )
 
 
 @dataclass
@@ -131,11 +164,22 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def row_key(df: DataFrame) -> tuple[Column, Column]:
     """Two hashes of a row; each cell goes with whether it is null, as a hash passes over nulls."""
-    cells = [x for f in df.schema for c in [F.col(f"`{f.name}`")] for x in (c.isNull(), c if not isinstance(f.dataType, T.MapType | T.VariantType) else F.to_json(F.struct(c)))]
+    cells = [
+        x
+        for f in df.schema
+        for c in [F.col(f"`{f.name}`")]
+        for x in (c.isNull(), c if not isinstance(f.dataType, T.MapType | T.VariantType) else F.to_json(F.struct(c)))
+    ]
     return F.xxhash64(F.lit(1), *cells), F.xxhash64(F.lit(2), *reversed(cells))
 
 
-def profile(df: DataFrame, name: str = "dataframe", source: str = "dataframe", source_type: str = "dataframe", **metadata) -> DatasetProfile:
+def profile(
+    df: DataFrame,
+    name: str = "dataframe",
+    source: str = "dataframe",
+    source_type: str = "dataframe",
+    **metadata,
+) -> DatasetProfile:
     """The profile on the driver: a row for each column, five sample values, duplicates.
 
     Samples come from the first rows Spark gives; columns that hold next to nothing there are sought for their own.

@@ -60,7 +60,11 @@ def _quantile(held: DataFrame, n: int, distinct: int, share: float, most: int) -
         near = [max(0.0, at - 2e-3), min(1.0, at + 2e-3)]
         low, high = inside.agg(F.percentile_approx("x", near, 10_000)).first()[0]
         x = F.col("x")
-        count = inside.agg(F.count_if(x < low), F.count_if((x >= low) & (x <= high)), F.approx_count_distinct(F.when((x >= low) & (x <= high), x))).first()
+        count = inside.agg(
+            F.count_if(x < low),
+            F.count_if((x >= low) & (x <= high)),
+            F.approx_count_distinct(F.when((x >= low) & (x <= high), x)),
+        ).first()
         if not (below + count[0] <= math.floor(place) and math.ceil(place) < below + count[0] + count[1]) or count[1] == n:
             break  # the interval misses a neighbour of the place, or no longer shrinks: read it off what there is
         below, n, distinct, inside = below + count[0], count[1], count[2], inside.where((x >= low) & (x <= high))

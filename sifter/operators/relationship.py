@@ -60,7 +60,20 @@ def correlated_pairs(df: DataFrame, columns: list[str], s: RelationshipSettings,
         found = run(held, columns, s.min_rows).where(F.abs("r") >= cut).orderBy(F.desc(F.abs("r")), "a", "b")
         for r in (found if full else found.limit(s.candidates)).collect():
             a, b = sorted((r.a, r.b))
-            one = out.setdefault((a, b), {"a": a, "b": b, "pearson": None, "spearman": None, "pearson_p": None, "spearman_p": None, "p_value": None, "mi": None, "n": r.n})
+            one = out.setdefault(
+                (a, b),
+                {
+                    "a": a,
+                    "b": b,
+                    "pearson": None,
+                    "spearman": None,
+                    "pearson_p": None,
+                    "spearman_p": None,
+                    "p_value": None,
+                    "mi": None,
+                    "n": r.n,
+                },
+            )
             one[method] = r.r
             p = one[f"{method}_p"] = p_value(r.r, r.n)
             one["p_value"] = p if one["p_value"] is None else min(p, one["p_value"])
@@ -80,10 +93,43 @@ def pair_table(spark: SparkSession, pairs: list[dict]) -> DataFrame:
 def correlation_findings(spark: SparkSession, pairs: list[dict], s: RelationshipSettings) -> DataFrame:
     """A finding for each flagged pair: its coefficient is the one of larger size; p of 0.001 or less makes it certain."""
     got = pair_table(spark, [p for p in pairs if p["pearson"] is not None or p["spearman"] is not None])
-    r = F.when(F.abs(F.coalesce("pearson", F.lit(0.0))) >= F.abs(F.coalesce("spearman", F.lit(0.0))), F.col("pearson")).otherwise(F.col("spearman"))
+    r = F.when(
+        F.abs(F.coalesce("pearson", F.lit(0.0))) >= F.abs(F.coalesce("spearman", F.lit(0.0))),
+        F.col("pearson"),
+    ).otherwise(F.col("spearman"))
     got = got.withColumn("r", r).withColumn("method", F.when(F.col("r").eqNullSafe(F.col("pearson")), "pearson").otherwise("spearman"))
     high = min(0.98, s.pearson + 0.15)
-    return finding(got, MODULE, "correlation", title=F.format_string("'%s' and '%s' correlate", F.col("a"), F.col("b")), description=F.format_string("%s correlation of %s over %d rows", F.col("method"), F.bround("r", 4).cast("string"), F.col("n")), severity=severity_by_strength(F.abs("r"), s.pearson, high), confidence=F.when(F.col("p_value") <= 0.001, 1.0).otherwise(0.9), columns=F.array("a", "b"), recommendation="Check whether both columns are needed.", evidence={"correlation_coefficient": F.bround("r", 6), "p_value": F.col("p_value"), "pearson": F.bround("pearson", 6), "spearman": F.bround("spearman", 6), "pearson_p_value": F.col("pearson_p"), "spearman_p_value": F.col("spearman_p"), "rows": F.col("n"), "method": F.col("method"), **thresholds(s)}, correlation_coefficient=F.col("r"), p_value=F.col("p_value"), mutual_information_score=F.col("mi"), impact=F.abs("r"))
+    return finding(
+        got,
+        MODULE,
+        "correlation",
+        title=F.format_string("'%s' and '%s' correlate", F.col("a"), F.col("b")),
+        description=F.format_string(
+            "%s correlation of %s over %d rows",
+            F.col("method"),
+            F.bround("r", 4).cast("string"),
+            F.col("n"),
+        ),
+        severity=severity_by_strength(F.abs("r"), s.pearson, high),
+        confidence=F.when(F.col("p_value") <= 0.001, 1.0).otherwise(0.9),
+        columns=F.array("a", "b"),
+        recommendation="Check whether both columns are needed.",
+        evidence={
+            "correlation_coefficient": F.bround("r", 6),
+            "p_value": F.col("p_value"),
+            "pearson": F.bround("pearson", 6),
+            "spearman": F.bround("spearman", 6),
+            "pearson_p_value": F.col("pearson_p"),
+            "spearman_p_value": F.col("spearman_p"),
+            "rows": F.col("n"),
+            "method": F.col("method"),
+            **thresholds(s),
+        },
+        correlation_coefficient=F.col("r"),
+        p_value=F.col("p_value"),
+        mutual_information_score=F.col("mi"),
+        impact=F.abs("r"),
+    )
 
 
 def shortlist(profile: DatasetProfile, columns: list[str], s: RelationshipSettings, full: bool = False) -> list[str]:
@@ -107,14 +153,32 @@ def pairwise_information(
     return sorted((a, b, x) for (a, b), x in got.items() if x >= s.mutual_information)
 
 
-def information_findings(spark: SparkSession, scores: list[tuple[str, str, float]], pairs: list[dict], s: RelationshipSettings) -> DataFrame:
+def information_findings(
+    spark: SparkSession,
+    scores: list[tuple[str, str, float]],
+    pairs: list[dict],
+    s: RelationshipSettings,
+) -> DataFrame:
     """A finding for each pair whose information no strong correlation explains."""
     known = {(p["a"], p["b"]) for p in pairs if strength(p) >= s.pearson}
     left = [x for x in scores if x[:2] not in known]
     if not left:
         return none(spark)
     got = spark.createDataFrame(left, "a string, b string, score double")
-    return finding(got, MODULE, "mutual_information", title=F.format_string("'%s' and '%s' depend on each other nonlinearly", F.col("a"), F.col("b")), description=F.format_string("Mutual information of %s nats", F.bround("score", 4).cast("string")), severity=severity_by_strength(F.col("score"), 0.5, 1.0), confidence=F.lit(0.8), columns=F.array("a", "b"), recommendation="Plot the two columns.", evidence={"mutual_information_score": F.bround("score", 4), **thresholds(s)}, mutual_information_score=F.col("score"), impact=F.least(F.lit(1.0), F.col("score")))
+    return finding(
+        got,
+        MODULE,
+        "mutual_information",
+        title=F.format_string("'%s' and '%s' depend on each other nonlinearly", F.col("a"), F.col("b")),
+        description=F.format_string("Mutual information of %s nats", F.bround("score", 4).cast("string")),
+        severity=severity_by_strength(F.col("score"), 0.5, 1.0),
+        confidence=F.lit(0.8),
+        columns=F.array("a", "b"),
+        recommendation="Plot the two columns.",
+        evidence={"mutual_information_score": F.bround("score", 4), **thresholds(s)},
+        mutual_information_score=F.col("score"),
+        impact=F.least(F.lit(1.0), F.col("score")),
+    )
 
 
 def target_information(df: DataFrame, profile: DatasetProfile, target: str, columns: list[str], s: RelationshipSettings) -> DataFrame:
@@ -127,10 +191,25 @@ def target_information(df: DataFrame, profile: DatasetProfile, target: str, colu
 
 def target_findings(df: DataFrame, profile: DatasetProfile, target: str, columns: list[str], s: RelationshipSettings) -> DataFrame:
     """One finding for the ten features that tell most about the target."""
-    top = target_information(df, profile, target, columns, s).where(F.col("score") >= s.mutual_information).orderBy(F.desc("score"), "a").limit(10)
+    top = target_information(df, profile, target, columns, s).where(
+        F.col("score") >= s.mutual_information,
+    ).orderBy(F.desc("score"), "a").limit(10)
     got = top.agg(F.sort_array(F.collect_list(F.struct("score", "a")), asc=False).alias("best")).where(F.size("best") > 0)
     names = F.transform("best", lambda x: x["a"])
-    return finding(got, MODULE, "target_information", title=F.format_string("%d feature(s) inform '%s'", F.size("best"), F.lit(target)), description=F.format_string("Strongest: %s", F.array_join(names, ", ")), severity=F.lit("medium"), confidence=F.lit(0.85), columns=F.concat(names, F.array(F.lit(target))), recommendation="Check the strongest for leakage.", evidence={"scores": F.to_json("best"), "target": F.lit(target), **thresholds(s)}, mutual_information_score=F.col("best")[0]["score"], impact=F.lit(0.5))
+    return finding(
+        got,
+        MODULE,
+        "target_information",
+        title=F.format_string("%d feature(s) inform '%s'", F.size("best"), F.lit(target)),
+        description=F.format_string("Strongest: %s", F.array_join(names, ", ")),
+        severity=F.lit("medium"),
+        confidence=F.lit(0.85),
+        columns=F.concat(names, F.array(F.lit(target))),
+        recommendation="Check the strongest for leakage.",
+        evidence={"scores": F.to_json("best"), "target": F.lit(target), **thresholds(s)},
+        mutual_information_score=F.col("best")[0]["score"],
+        impact=F.lit(0.5),
+    )
 
 
 def vif_findings(df: DataFrame, columns: list[str], s: RelationshipSettings, full: bool = False, n: int | None = None) -> DataFrame:
@@ -140,7 +219,20 @@ def vif_findings(df: DataFrame, columns: list[str], s: RelationshipSettings, ful
     if not found:
         return none(df.sparkSession)
     got = df.sparkSession.createDataFrame(found, "name string, v double")
-    return finding(got, MODULE, "multicollinearity", title=F.format_string("'%s' follows from other columns", F.col("name")), description=F.format_string("Variance inflation factor %s", F.bround("v", 2).cast("string")), severity=F.when(F.col("v") >= s.vif[0], "critical").otherwise("high"), confidence=F.lit(0.95), columns=F.array("name"), recommendation="Drop or combine collinear columns.", evidence={"vif": F.bround("v", 4), **thresholds(s)}, vif=F.col("v"), impact=F.least(F.lit(1.0), F.col("v") / s.vif[0]))
+    return finding(
+        got,
+        MODULE,
+        "multicollinearity",
+        title=F.format_string("'%s' follows from other columns", F.col("name")),
+        description=F.format_string("Variance inflation factor %s", F.bround("v", 2).cast("string")),
+        severity=F.when(F.col("v") >= s.vif[0], "critical").otherwise("high"),
+        confidence=F.lit(0.95),
+        columns=F.array("name"),
+        recommendation="Drop or combine collinear columns.",
+        evidence={"vif": F.bround("v", 4), **thresholds(s)},
+        vif=F.col("v"),
+        impact=F.least(F.lit(1.0), F.col("v") / s.vif[0]),
+    )
 
 
 def feature_groups(pairs: list[dict], s: RelationshipSettings) -> list[tuple[str, list[str], list[dict]]]:
@@ -159,10 +251,35 @@ def group_findings(spark: SparkSession, pairs: list[dict], n_columns: int, s: Re
     rows = []
     for kind, g, edges in feature_groups(pairs, s):
         r = max((x for p in edges for x in (p["pearson"], p["spearman"]) if x is not None), key=abs, default=None)
-        p, mi = min((e["p_value"] for e in edges if e["p_value"] is not None), default=None), max((e["mi"] for e in edges if e["mi"] is not None), default=None)
+        p, mi = min(
+            (e["p_value"] for e in edges if e["p_value"] is not None),
+            default=None,
+        ), max((e["mi"] for e in edges if e["mi"] is not None), default=None)
         rows.append((kind, g, r, p, mi, len(g) / max(1, n_columns)))
     if not rows:
         return none(spark)
     got = spark.createDataFrame(rows, "kind string, names array<string>, r double, p double, mi double, impact double")
-    made = finding(got, MODULE, "redundant_features", title=F.format_string("%s: %s", F.initcap(F.translate("kind", "_", " ")), F.array_join("names", ", ")), description=F.format_string("%d columns move together", F.size("names")), severity=F.when(F.col("kind") == "redundant_features", "high").otherwise("medium"), confidence=F.lit(0.9), columns=F.col("names"), recommendation="Keep a representative of the group.", evidence={"kind": F.col("kind"), "members": F.array_join("names", ","), "correlation_coefficient": F.bround("r", 6), "p_value": F.col("p"), "mutual_information_score": F.bround("mi", 6), **thresholds(s)}, correlation_coefficient=F.col("r"), p_value=F.col("p"), mutual_information_score=F.col("mi"), impact=F.col("impact"))
+    made = finding(
+        got,
+        MODULE,
+        "redundant_features",
+        title=F.format_string("%s: %s", F.initcap(F.translate("kind", "_", " ")), F.array_join("names", ", ")),
+        description=F.format_string("%d columns move together", F.size("names")),
+        severity=F.when(F.col("kind") == "redundant_features", "high").otherwise("medium"),
+        confidence=F.lit(0.9),
+        columns=F.col("names"),
+        recommendation="Keep a representative of the group.",
+        evidence={
+            "kind": F.col("kind"),
+            "members": F.array_join("names", ","),
+            "correlation_coefficient": F.bround("r", 6),
+            "p_value": F.col("p"),
+            "mutual_information_score": F.bround("mi", 6),
+            **thresholds(s),
+        },
+        correlation_coefficient=F.col("r"),
+        p_value=F.col("p"),
+        mutual_information_score=F.col("mi"),
+        impact=F.col("impact"),
+    )
     return made.withColumn("category", F.element_at("evidence", F.lit("kind")))

@@ -9,7 +9,24 @@ from sifter.config import CompressionSettings
 from sifter.functions.scalars import jaccard, severity_weight
 
 #: Words that say nothing about a finding.
-STOPWORDS = ("column", "columns", "feature", "features", "value", "values", "detected", "relationship", "community", "group", "related", "systematic", "finding", "findings", "synthetic", "integrity")
+STOPWORDS = (
+    "column",
+    "columns",
+    "feature",
+    "features",
+    "value",
+    "values",
+    "detected",
+    "relationship",
+    "community",
+    "group",
+    "related",
+    "systematic",
+    "finding",
+    "findings",
+    "synthetic",
+    "integrity",
+)
 #: Weights of the three kinds of similarity and of their parts, and the cut for unrelated families.
 KINDS = {"structural": 0.40, "statistical": 0.35, "semantic": 0.25}
 PARTS = {
@@ -24,7 +41,10 @@ MAPPED = ("duplicate_ratio", "dominance_ratio", "health_score")
 
 
 def words(text: Column) -> Column:
-    return F.array_except(F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: F.length(x) >= 3)), F.array(*map(F.lit, STOPWORDS)))
+    return F.array_except(
+        F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: F.length(x) >= 3)),
+        F.array(*map(F.lit, STOPWORDS)),
+    )
 
 
 def tokens(title: Column, columns: Column) -> Column:
@@ -36,8 +56,21 @@ def family(columns: Column) -> Column:
     lower = F.transform(columns, lambda c: F.lower(c))
     known = lambda c: F.regexp_extract(c, r"^(neighbor\d+|neighbor|serving|target)", 1)
     first = lambda c: F.split(c, "_")[0]
-    prefix = F.filter(F.transform(lower, lambda c: F.when(known(c) != "", known(c)).when(F.contains(c, F.lit("_")) & (F.length(first(c)) > 2), first(c))), lambda x: x.isNotNull())
-    counted = F.transform(F.array_distinct(prefix), lambda p: F.struct(F.size(F.filter(prefix, lambda x: x == p)).alias("n"), (-F.array_position(prefix, p)).alias("at"), p.alias("p")))
+    prefix = F.filter(
+        F.transform(
+            lower,
+            lambda c: F.when(known(c) != "", known(c)).when(F.contains(c, F.lit("_")) & (F.length(first(c)) > 2), first(c)),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    counted = F.transform(
+        F.array_distinct(prefix),
+        lambda p: F.struct(
+            F.size(F.filter(prefix, lambda x: x == p)).alias("n"),
+            (-F.array_position(prefix, p)).alias("at"),
+            p.alias("p"),
+        ),
+    )
     top = F.array_max(counted)
     return F.when(F.size(prefix) > 0, F.when(top["n"] >= F.greatest(F.lit(1), F.floor(F.size(columns) / 2)), top["p"]))
 
@@ -55,12 +88,16 @@ def described(findings: DataFrame) -> DataFrame:
     """findings with what pairs are scored on: tokens, family, numbers of the evidence map."""
     numbers = {k: F.try_element_at("evidence", F.lit(k)).try_cast("double") for k in MAPPED}
     numbers = {k: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x) for k, x in numbers.items()}
-    return findings.withColumns({"tokens": tokens(F.col("title"), F.col("affected_columns")), "family": family(F.col("affected_columns")), **numbers})
+    return findings.withColumns(
+        {"tokens": tokens(F.col("title"), F.col("affected_columns")), "family": family(F.col("affected_columns")), **numbers},
+    )
 
 
 def metadata_likeness(a, b) -> Column:
     """Mean likeness of what both findings say about themselves: category, impact and anomaly strength."""
-    numbers = F.array_compact(F.array(*(F.when(a(c).isNotNull() & b(c).isNotNull(), relative(a(c), b(c))) for c in ("impact", "anomaly_strength"))))
+    numbers = F.array_compact(
+        F.array(*(F.when(a(c).isNotNull() & b(c).isNotNull(), relative(a(c), b(c))) for c in ("impact", "anomaly_strength"))),
+    )
     same = F.when(a("category") == b("category"), 1.0).otherwise(0.0)
     return (same + F.aggregate(numbers, F.lit(0.0), lambda x, y: x + y)) / (1 + F.size(numbers))
 
@@ -79,7 +116,10 @@ def candidate_pairs(findings: DataFrame, s: CompressionSettings) -> DataFrame:
     long = findings.select("id", F.explode(keys).alias("key"))
     fit = long.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n").between(2, s.max_bucket)).select("key")
     kept = long.join(fit, "key", "left_semi")
-    pairs = kept.select("key", F.col("id").alias("left")).join(kept.select("key", F.col("id").alias("right")), "key").where("left < right").select("left", "right").distinct()
+    pairs = kept.select("key", F.col("id").alias("left")).join(
+        kept.select("key", F.col("id").alias("right")),
+        "key",
+    ).where("left < right").select("left", "right").distinct()
     if not pairs.limit(1).count() and findings.count() <= s.max_bucket:
         return findings.select(F.col("id").alias("left")).join(findings.select(F.col("id").alias("right")), F.col("left") < F.col("right"))
     return pairs
@@ -93,7 +133,9 @@ def scores(findings: DataFrame, s: CompressionSettings | None = None) -> DataFra
     pair = candidate_pairs(full, s).join(sides[0], F.col("left") == F.col("l_id")).join(sides[1], F.col("right") == F.col("r_id"))
     a, b = (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"r_{c}"))
     both = lambda c, f: F.when(a(c).isNotNull() & b(c).isNotNull(), f(a(c), b(c)))
-    numbers = F.array_compact(F.array(both("correlation_coefficient", correlation_likeness), *(both(c, relative) for c in NUMERIC + MAPPED)))
+    numbers = F.array_compact(
+        F.array(both("correlation_coefficient", correlation_likeness), *(both(c, relative) for c in NUMERIC + MAPPED)),
+    )
     mean = F.coalesce(F.try_divide(F.aggregate(numbers, F.lit(0.0), lambda x, y: x + y), F.size(numbers)), F.lit(0.0))
     same = lambda c: F.when(a(c) == b(c), 1.0).otherwise(0.0)
     none = F.array().cast("array<bigint>")
@@ -116,7 +158,13 @@ def scores(findings: DataFrame, s: CompressionSettings | None = None) -> DataFra
     total = sum(kinds[k] * w for k, w in KINDS.items())
     apart = F.col("lf").isNotNull() & F.col("rf").isNotNull() & (F.col("lf") != F.col("rf")) & (F.col("column_overlap") == 0)
     reasons = F.array_sort(F.array_compact(F.array(*(F.when(F.col(k) >= REASON, F.lit(k)) for k in signals))))
-    return got.select("left", "right", F.bround(F.when(apart, total * APART).otherwise(total), 4).alias("weight"), *(F.bround(x, 4).alias(k) for k, x in kinds.items()), reasons.alias("reasons"))
+    return got.select(
+        "left",
+        "right",
+        F.bround(F.when(apart, total * APART).otherwise(total), 4).alias("weight"),
+        *(F.bround(x, 4).alias(k) for k, x in kinds.items()),
+        reasons.alias("reasons"),
+    )
 
 
 def edges(findings: DataFrame, s: CompressionSettings | None = None) -> DataFrame:

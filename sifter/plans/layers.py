@@ -28,14 +28,30 @@ def artifacts(spark: SparkSession, sf_dir: str) -> list[Item]:
             "concept_key": f"key{k % 6}",
         }
         below = [f"e{k % 6}", f"e{k % 4 + 10}"]
-        out.append(Item(f"i{k:02d}", f"alpha{k % 5} item", f"c{k % 4}", [f"col{k % 7}", f"reg{r}"], (k + 50) / 100, 3.0 * k, (k % 4) / 4, below, more))
+        out.append(
+            Item(
+                f"i{k:02d}",
+                f"alpha{k % 5} item",
+                f"c{k % 4}",
+                [f"col{k % 7}", f"reg{r}"],
+                (k + 50) / 100,
+                3.0 * k,
+                (k % 4) / 4,
+                below,
+                more,
+            ),
+        )
     return out
 
 
-_ROWS = """i AS (SELECT n_nationkey AS k, n_regionkey AS r, ['col' || (n_nationkey % 7), 'reg' || n_regionkey] AS columns, ['alpha' || (n_nationkey % 5), 'beta' || (n_nationkey % 3)] AS terms,
-  ['alpha' || (n_nationkey % 5), 'beta' || (n_nationkey % 3), 'item', 'col' || (n_nationkey % 7), 'reg' || n_regionkey] AS words, ['c' || (n_nationkey % 4), 'd' || (n_nationkey % 2)] AS categories,
-  ['p' || (n_nationkey % 3), 'q' || (n_nationkey % 4)] AS concepts, ['f' || n_regionkey] AS families, ['e' || (n_nationkey % 6), 'e' || (n_nationkey % 4 + 10)] AS below,
-  'w' || (n_nationkey % 3) AS stream, 'key' || (n_nationkey % 6) AS key, (n_nationkey + 50) / 100.0 AS sure, (n_nationkey % 4) / 4.0 AS community, 3.0 * n_nationkey AS strength FROM nation)"""
+_ROWS = """i AS (SELECT n_nationkey AS k, n_regionkey AS r, ['col' || (n_nationkey % 7), 'reg' || n_regionkey] AS columns,
+    ['alpha' || (n_nationkey % 5), 'beta' || (n_nationkey % 3)] AS terms,
+  ['alpha' || (n_nationkey % 5), 'beta' || (n_nationkey % 3), 'item', 'col' || (n_nationkey % 7), 'reg' || n_regionkey] AS words,
+    ['c' || (n_nationkey % 4), 'd' || (n_nationkey % 2)] AS categories,
+  ['p' || (n_nationkey % 3), 'q' || (n_nationkey % 4)] AS concepts, ['f' || n_regionkey] AS families, ['e' || (n_nationkey % 6),
+    'e' || (n_nationkey % 4 + 10)] AS below,
+  'w' || (n_nationkey % 3) AS stream, 'key' || (n_nationkey % 6) AS key, (n_nationkey + 50) / 100.0 AS sure,
+    (n_nationkey % 4) / 4.0 AS community, 3.0 * n_nationkey AS strength FROM nation)"""
 
 
 def _share(name: str) -> str:
@@ -43,14 +59,21 @@ def _share(name: str) -> str:
 
 
 _NEAR = "0.10 * (1 - abs(a.sure - b.sure))"
-_KNOWLEDGE = f"0.30 * {_share('words')} + 0.20 * {_share('columns')} + 0.20 * {_share('categories')} + {_NEAR} + 0.10 * (1 - abs(a.community - b.community)) + CASE WHEN a.key = b.key THEN 0.10 ELSE 0 END"
+_KNOWLEDGE = (
+    f"0.30 * {_share('words')} + 0.20 * {_share('columns')} + 0.20 * {_share('categories')} + {_NEAR} + 0.10 * (1 - "
+    f"abs(a.community - b.community)) + CASE WHEN a.key = b.key THEN 0.10 ELSE 0 END"
+)
 _KNOWLEDGE = f"({_KNOWLEDGE}) * CASE WHEN a.key = b.key OR len(list_intersect(a.columns, b.columns)) > 0 THEN 1 ELSE 0.2 END"
 _CONCEPT = f"0.25 * {_share('columns')} + 0.35 * {_share('terms')} + 0.25 * {_share('categories')}"
-_HYPOTHESIS = f"0.20 * {_share('columns')} + 0.25 * {_share('concepts')} + 0.15 * {_share('below')} + 0.15 * {_share('families')} + {_NEAR} + CASE WHEN a.stream = b.stream THEN 0.15 ELSE 0 END"
+_HYPOTHESIS = (
+    f"0.20 * {_share('columns')} + 0.25 * {_share('concepts')} + 0.15 * {_share('below')} + 0.15 * {_share('families')} + {_NEAR} "
+    f"+ CASE WHEN a.stream = b.stream THEN 0.15 ELSE 0 END"
+)
 
 
 def _pairs_sql(score: str, cut: float) -> str:
-    return f"WITH {_ROWS}, s AS (SELECT a.k AS a, b.k AS b, {score} AS weight FROM i a JOIN i b ON a.k < b.k) SELECT a, b, round(weight, 3) AS weight FROM s WHERE weight >= {cut}"
+    pairs = f"SELECT a.k AS a, b.k AS b, {score} AS weight FROM i a JOIN i b ON a.k < b.k"
+    return f"WITH {_ROWS}, s AS ({pairs}) SELECT a, b, round(weight, 3) AS weight FROM s WHERE weight >= {cut}"
 
 
 def _pairs(spark: SparkSession, d: str, score, cut: float) -> DataFrame:
@@ -74,9 +97,12 @@ def hypothesis_links(spark, d):
     return _pairs(spark, d, reasoning.hypothesis_link, tables.QUEUE_EDGE)
 
 
-_CONFIDENCE = f"""WITH {_ROWS}, g AS (SELECT r, avg(strength) AS strength, avg(community) AS community, count(DISTINCT k % 2) AS modules FROM i GROUP BY r),
-  x AS (SELECT g.r, g.strength / 100 AS a, g.community AS b, least(1.0, g.modules / 2.0) AS c, least(1.0, coalesce(n.strength, 0) / 100) AS d, least(1.0, g.r / 5.0) AS e FROM g LEFT JOIN g n ON n.r = g.r + 1),
-  p AS (SELECT r, round_even(0.38 * a, 2) + round_even(0.27 * b, 2) + round_even(0.22 * c, 2) + round_even(-0.08 * d, 2) + round_even(-0.05 * e, 2) AS s FROM x)
+_CONFIDENCE = f"""WITH {_ROWS}, g AS (SELECT r, avg(strength) AS strength, avg(community) AS community,
+    count(DISTINCT k % 2) AS modules FROM i GROUP BY r),
+  x AS (SELECT g.r, g.strength / 100 AS a, g.community AS b, least(1.0, g.modules / 2.0) AS c, least(1.0, coalesce(n.strength,
+    0) / 100) AS d, least(1.0, g.r / 5.0) AS e FROM g LEFT JOIN g n ON n.r = g.r + 1),
+  p AS (SELECT r, round_even(0.38 * a, 2) + round_even(0.27 * b, 2) + round_even(0.22 * c, 2) + round_even(-0.08 * d, 2)
+    + round_even(-0.05 * e, 2) AS s FROM x)
 SELECT r AS region, round(greatest(0, least(1, s)), 2)::DOUBLE AS score FROM p"""
 
 
@@ -89,7 +115,8 @@ def confidence_score(spark, d):
     return spark.createDataFrame(rows, "region bigint, score double")
 
 
-_PRIORITY = f"""WITH {_ROWS} SELECT k, round(greatest(0, least(100, 0.30 * strength + 20 * sure / 7.3 + 15 * least(1.0, k / 8.0) + 15 * (r / 4.0) + 10 * least(1.0, (k % 3) / 2.0)
+_PRIORITY = f"""WITH {_ROWS} SELECT k, round(greatest(0, least(100, 0.30 * strength + 20 * sure / 7.3 + 15 * least(1.0, k / 8.0)
+    + 15 * (r / 4.0) + 10 * least(1.0, (k % 3) / 2.0)
   + 10 * least(1.0, (k % 5) / 3.0) + 10 * community - 20 * ((k % 2) / 2.0))), 1)::DOUBLE AS priority FROM i"""
 
 
@@ -98,13 +125,23 @@ def priority_score(spark, d):
     rows = []
     for i in artifacts(spark, d):
         k, r = int(i.id[1:]), int(i.families[0][1:])
-        parts = {"strength": i.strength, "confidence": i.confidence / 7.3, "columns": k, "severity": r / 4, "modules": k % 3, "hypotheses": k % 5}
+        parts = {
+            "strength": i.strength,
+            "confidence": i.confidence / 7.3,
+            "columns": k,
+            "severity": r / 4,
+            "modules": k % 3,
+            "hypotheses": k % 5,
+        }
         rows.append((k, reasoning.priority(**parts, cohesion=i.community, contradiction=(k % 2) / 2)))
     return spark.createDataFrame(rows, "k bigint, priority double")
 
 
-_CONTRA = f"""WITH {_ROWS}, g AS (SELECT r, list_distinct(flatten(list(columns))) AS columns, list_distinct(list('c' || (k % 4))) AS categories FROM i WHERE k % 4 < 2 GROUP BY r),
-  x AS (SELECT g.r AS region, i.k, row_number() OVER (PARTITION BY g.r ORDER BY i.strength DESC, i.k) AS place FROM g JOIN i ON NOT (i.r = g.r AND i.k % 4 < 2) AND len(list_intersect(i.columns, g.columns)) > 0 AND NOT list_contains(g.categories, 'c' || (i.k % 4)))
+_CONTRA = f"""WITH {_ROWS}, g AS (SELECT r, list_distinct(flatten(list(columns))) AS columns,
+    list_distinct(list('c' || (k % 4))) AS categories FROM i WHERE k % 4 < 2 GROUP BY r),
+  x AS (SELECT g.r AS region, i.k, row_number() OVER (PARTITION BY g.r ORDER BY i.strength DESC, i.k) AS place FROM g
+    JOIN i ON NOT (i.r = g.r AND i.k % 4 < 2) AND len(list_intersect(i.columns, g.columns)) > 0 AND NOT list_contains(g.categories,
+    'c' || (i.k % 4)))
 SELECT region, k FROM x WHERE place <= 4"""
 
 

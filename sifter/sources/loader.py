@@ -12,7 +12,16 @@ from sifter.operators.profile import clean
 from sifter.operators.sampling import row_sample
 
 #: Suffixes and JDBC prefixes.
-SUFFIXES = {".csv": "csv", ".tsv": "tsv", ".xlsx": "excel", ".xls": "excel", ".parquet": "parquet", ".json": "json", ".jsonl": "json", ".orc": "orc"}
+SUFFIXES = {
+    ".csv": "csv",
+    ".tsv": "tsv",
+    ".xlsx": "excel",
+    ".xls": "excel",
+    ".parquet": "parquet",
+    ".json": "json",
+    ".jsonl": "json",
+    ".orc": "orc",
+}
 POSTGRES = ("postgresql://", "postgres://", "postgresql+psycopg2://")
 NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_$]*(\.[A-Za-z_][A-Za-z0-9_$]*)?$")
 
@@ -32,7 +41,9 @@ def source_type(source: str) -> str:
 
 def name_of(source: str) -> str:
     """The file's stem, or the database's name."""
-    return (urlsplit(source).path.rstrip("/").rsplit("/", 1)[-1] if source_type(source) == "postgresql" else PurePosixPath(source.rstrip("/")).stem) or "dataset"
+    return (
+        urlsplit(source).path.rstrip("/").rsplit("/", 1)[-1] if source_type(source) == "postgresql" else PurePosixPath(source.rstrip("/")).stem
+    ) or "dataset"
 
 
 def redacted(source: str) -> str:
@@ -47,7 +58,11 @@ def jdbc_options(source: str, table_name: str | None, query: str | None) -> dict
     if not query and not NAME.match(table_name):
         raise LoadError(f"not a table name: {table_name!r}")
     at = urlsplit(re.sub(r"^[a-z+0-9]+://", "postgresql://", source, flags=re.I))
-    options = {"url": f"jdbc:postgresql://{at.hostname}:{at.port or 5432}{at.path}", "driver": "org.postgresql.Driver", **({"query": query} if query else {"dbtable": table_name})}
+    options = {
+        "url": f"jdbc:postgresql://{at.hostname}:{at.port or 5432}{at.path}",
+        "driver": "org.postgresql.Driver",
+        **({"query": query} if query else {"dbtable": table_name}),
+    }
     return options | ({"user": at.username} if at.username else {}) | ({"password": at.password} if at.password else {})
 
 
@@ -56,7 +71,11 @@ def read(spark: SparkSession, source: str, *, table_name: str | None = None, que
     kind = source_type(source)
     try:
         if kind in ("csv", "tsv"):
-            reader = spark.read.options(**({"header": True, "inferSchema": True, "mode": "PERMISSIVE"} | ({"sep": "\t"} if kind == "tsv" else {}) | options))
+            reader = spark.read.options(
+                **(
+                    {"header": True, "inferSchema": True, "mode": "PERMISSIVE"} | ({"sep": "\t"} if kind == "tsv" else {}) | options
+                ),
+            )
             return reader.csv(source)
         if kind == "postgresql":
             return _jdbc(spark, jdbc_options(source, table_name, query), dict(options))
@@ -83,7 +102,9 @@ def _jdbc(spark: SparkSession, options: dict, more: dict) -> DataFrame:
     if "query" in options:
         options = {k: v for k, v in options.items() if k != "query"} | {"dbtable": f"({options['query']}) as sifter_source"}
     if low is None or high is None:
-        asked = {k: v for k, v in options.items() if k != "dbtable"} | {"query": f"select min({column}) as low, max({column}) as high from {options['dbtable']}"}
+        asked = {k: v for k, v in options.items() if k != "dbtable"} | {
+            "query": f"select min({column}) as low, max({column}) as high from {options['dbtable']}"
+        }
         low, high = spark.read.format("jdbc").options(**asked).load().first()
     if low is None:  # no rows, or no value to cut at
         return spark.read.format("jdbc").options(**(options | more)).load()

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+#: Paths written by durable(), in order.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -27,6 +29,7 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -35,8 +38,22 @@ def drop_table(spark: SparkSession, path: str) -> None:
     found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
+def written(spark: SparkSession) -> int:
+    """How many tables this application has written and not dropped: a mark for drop_since()."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def drop_since(spark: SparkSession, mark: int) -> None:
+    """Drop the tables written since the mark but the last one, which what came of the others was written to."""
+    held = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    for path in held[mark:-1]:
+        drop_table(spark, path)
+    del held[mark:-1]
+
+
 def release(spark: SparkSession) -> None:
     """Delete this application's tables in the shared folder; call it when no result that reads them is needed any more."""
+    _WRITTEN.pop(spark.sparkContext.applicationId, None)
     root = _ROOTS.pop(spark.sparkContext.applicationId, None)
     if root:
         drop_table(spark, root)

@@ -105,14 +105,26 @@ class GraphExport:
 
     def mermaid(self) -> str:
         at = {v: f"n{k}" for k, (v, _) in enumerate(self.vertices)}
-        lines = [f'  {at[v]}["{label.replace(chr(34), chr(39))}"]' for v, label in self.vertices] + [f"  {at[a]} --- {at[b]}" for a, b, _ in self.edges]
+        lines = [
+            f'  {at[v]}["{label.replace(chr(34), chr(39))}"]' for v, label in self.vertices
+        ] + [f"  {at[a]} --- {at[b]}" for a, b, _ in self.edges]
         return "flowchart LR\n" + "\n".join(lines) + "\n"
 
     def svg(self, size: int = 640) -> str:
         n, mid = max(1, len(self.vertices)), size / 2
-        at = {v: (mid + 0.8 * mid * math.cos(2 * math.pi * k / n), mid + 0.8 * mid * math.sin(2 * math.pi * k / n)) for k, (v, _) in enumerate(self.vertices)}
-        lines = "".join(f'<line x1="{at[a][0]:.1f}" y1="{at[a][1]:.1f}" x2="{at[b][0]:.1f}" y2="{at[b][1]:.1f}" stroke="#888"/>' for a, b, _ in self.edges)
-        dots = "".join(f'<circle cx="{at[v][0]:.1f}" cy="{at[v][1]:.1f}" r="6"/><text x="{at[v][0] + 8:.1f}" y="{at[v][1]:.1f}" font-size="10">{escape(label)}</text>' for v, label in self.vertices)
+        at = {
+            v: (mid + 0.8 * mid * math.cos(2 * math.pi * k / n), mid + 0.8 * mid * math.sin(2 * math.pi * k / n))
+            for k, (v, _) in enumerate(self.vertices)
+        }
+        lines = "".join(
+            f'<line x1="{at[a][0]:.1f}" y1="{at[a][1]:.1f}" x2="{at[b][0]:.1f}" y2="{at[b][1]:.1f}" stroke="#888"/>'
+            for a, b, _ in self.edges
+        )
+        dots = "".join(
+            f'<circle cx="{at[v][0]:.1f}" cy="{at[v][1]:.1f}" r="6"/><text x="{at[v][0] + 8:.1f}" y="{at[v][1]:.1f}" '
+            f'font-size="10">{escape(label)}</text>'
+            for v, label in self.vertices
+        )
         return f'<svg xmlns="http://www.w3.org/2000/svg" width="{size}" height="{size}">{lines}{dots}</svg>\n'
 
     def graphml(self) -> str:
@@ -122,15 +134,27 @@ class GraphExport:
 
     def gexf(self) -> str:
         nodes = "".join(f"<node id={quoteattr(v)} label={quoteattr(label)}/>" for v, label in self.vertices)
-        edges = "".join(f'<edge id="{k}" source={quoteattr(a)} target={quoteattr(b)} weight="{w}"/>' for k, (a, b, w) in enumerate(self.edges))
+        edges = "".join(
+            f'<edge id="{k}" source={quoteattr(a)} target={quoteattr(b)} weight="{w}"/>' for k, (a, b, w) in enumerate(self.edges)
+        )
         return f'<?xml version="1.0" encoding="UTF-8"?>\n<gexf xmlns="http://gexf.net/1.3" version="1.3"><graph defaultedgetype="undirected"><nodes>{nodes}</nodes><edges>{edges}</edges></graph></gexf>\n'
 
     def node_link(self) -> dict:
-        return {"directed": False, "nodes": [{"id": v, "label": label} for v, label in self.vertices], "links": [{"source": a, "target": b, "weight": w} for a, b, w in self.edges]}
+        return {
+            "directed": False,
+            "nodes": [{"id": v, "label": label} for v, label in self.vertices],
+            "links": [{"source": a, "target": b, "weight": w} for a, b, w in self.edges],
+        }
 
     def write(self, stem: str) -> list[str]:
         Path(stem).parent.mkdir(parents=True, exist_ok=True)
-        made = {".mmd": self.mermaid(), ".svg": self.svg(), ".graphml": self.graphml(), ".gexf": self.gexf(), ".json": json.dumps(self.node_link(), indent=2, sort_keys=True)}
+        made = {
+            ".mmd": self.mermaid(),
+            ".svg": self.svg(),
+            ".graphml": self.graphml(),
+            ".gexf": self.gexf(),
+            ".json": json.dumps(self.node_link(), indent=2, sort_keys=True),
+        }
         for kind, text in made.items():
             Path(stem + kind).write_text(text)
         return [stem + k for k in made]
@@ -140,4 +164,7 @@ def layer_graph(items: list, shared) -> GraphExport:
     """A graph of one layer: items are joined if shared(a, b) has something in common."""
     from itertools import combinations
 
-    return GraphExport([(x.id, x.title) for x in items], [(*sorted((a.id, b.id)), float(len(common))) for a, b in combinations(items, 2) if (common := shared(a, b))])
+    return GraphExport(
+        [(x.id, x.title) for x in items],
+        [(*sorted((a.id, b.id)), float(len(common))) for a, b in combinations(items, 2) if (common := shared(a, b))],
+    )

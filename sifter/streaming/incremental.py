@@ -18,7 +18,11 @@ def merge_counts(before: DataFrame | None, batch: DataFrame) -> DataFrame:
 
 def profiled(counts: DataFrame) -> DataFrame:
     """(ordinal, row_count, null_count, unique_count) of merged counts."""
-    return counts.groupBy("ordinal").agg(F.sum("n").alias("row_count"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"), F.count("value").alias("unique_count"))
+    return counts.groupBy("ordinal").agg(
+        F.sum("n").alias("row_count"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
+        F.count("value").alias("unique_count"),
+    )
 
 
 def profile_stream(stream: DataFrame, state_path: str, each: Callable[[DataFrame, int], None] | None = None):
@@ -37,7 +41,17 @@ def profile_stream(stream: DataFrame, state_path: str, each: Callable[[DataFrame
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{state_path}/checkpoint").trigger(availableNow=True).start()
 
 
-def windowed_counts(events: DataFrame, time_col: str, key_col: str, value_col: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
+def windowed_counts(
+    events: DataFrame,
+    time_col: str,
+    key_col: str,
+    value_col: str,
+    width: str = "1 day",
+    late: str = "1 hour",
+) -> DataFrame:
     """(start, key, n, total) in tumbling windows; rows later than the watermark are left out of a stream. Works on batches too."""
     base = events.withWatermark(time_col, late) if events.isStreaming else events
-    return base.groupBy(F.window(time_col, width).alias("w"), F.col(key_col).alias("key")).agg(F.count("*").alias("n"), F.sum(value_col).alias("total")).select(F.col("w.start").alias("start"), "key", "n", "total")
+    return base.groupBy(
+        F.window(time_col, width).alias("w"),
+        F.col(key_col).alias("key"),
+    ).agg(F.count("*").alias("n"), F.sum(value_col).alias("total")).select(F.col("w.start").alias("start"), "key", "n", "total")

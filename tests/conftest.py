@@ -13,7 +13,10 @@ os.environ["PYTHONPATH"] = os.pathsep.join([str(HOME), *filter(None, [os.environ
 def spark():
     from pyspark.sql import SparkSession
 
-    made = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g").getOrCreate()
+    made = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config(
+        "spark.ui.showConsoleProgress",
+        "false",
+    ).config("spark.driver.memory", "4g").getOrCreate()
     made.sparkContext.setLogLevel("ERROR")
     yield made
     made.stop()

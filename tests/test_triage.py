@@ -36,7 +36,11 @@ def categories(df):
 
 
 def test_profile_and_missing(spark):
-    df = frame(spark, [(i, None if i % 3 == 0 else float(i), None if i % 2 == 0 else math.nan if i == 1 else 1.0, "") for i in range(1000)], "clean long, moderate double, severe double, text string")
+    df = frame(
+        spark,
+        [(i, None if i % 3 == 0 else float(i), None if i % 2 == 0 else math.nan if i == 1 else 1.0, "") for i in range(1000)],
+        "clean long, moderate double, severe double, text string",
+    )
     p = profile(df)
     assert [c.null_count for c in p.columns] == [0, 334, 501, 0] and p.column("clean").unique_count == 1000 and p.duplicate_rows == 0
     got = {r.affected_columns[0]: r.severity for r in integrity.missing_values(df, profile_table(df), I).collect()}
@@ -66,8 +70,14 @@ def test_duplicates(spark):
 
 
 def test_duplicate_features(spark):
-    df = frame(spark, [(i, i, None if i == 3 else i, None if i == 3 else i, str(i)) for i in range(100)], "original long, copy long, hole long, hole2 long, text string")
-    assert sorted(tuple(r.affected_columns) for r in integrity.duplicate_features(df, profile_table(df), I).collect()) == [("copy", "original"), ("hole", "hole2")]
+    df = frame(
+        spark,
+        [(i, i, None if i == 3 else i, None if i == 3 else i, str(i)) for i in range(100)],
+        "original long, copy long, hole long, hole2 long, text string",
+    )
+    assert sorted(
+        tuple(r.affected_columns) for r in integrity.duplicate_features(df, profile_table(df), I).collect()
+    ) == [("copy", "original"), ("hole", "hole2")]
 
 
 def test_identifiers(spark):
@@ -87,7 +97,11 @@ def test_constants(spark):
 
 
 def test_types(spark):
-    df = frame(spark, [(str(i / 2), "word" if i % 5 == 0 else str(i), f"text {i}") for i in range(100)], "numbers string, mixed string, words string")
+    df = frame(
+        spark,
+        [(str(i / 2), "word" if i % 5 == 0 else str(i), f"text {i}") for i in range(100)],
+        "numbers string, mixed string, words string",
+    )
     got = {(r.affected_columns[0], r.severity) for r in integrity.datatype_integrity(df, profile_table(df), I).collect()}
     kinds = {(r.name, r.kind): r.n for r in integrity.text_kinds(df, I).collect()}
     assert kinds["mixed", "numeric"] == 80 and kinds["mixed", "string"] == 20
@@ -95,19 +109,45 @@ def test_types(spark):
     assert ("numbers", "high") in got and ("mixed", "medium") in got and not any(c == "words" for c, _ in got)
 
 
-@pytest.mark.parametrize(("value", "kind"), [("1", "numeric"), ("-2.5e3", "numeric"), ("1_000", "numeric"), ("nan", "numeric"), ("inf", "numeric"), ("1d", "string"), ("1.0f", "string"), ("", "empty"), ("  ", "empty"), ("Yes", "boolean"), ("2024-01-05", "datetime"), (".", "string"), ("e5", "string"), ("abc", "string")])
+@pytest.mark.parametrize(
+    ("value", "kind"),
+    [
+        ("1", "numeric"),
+        ("-2.5e3", "numeric"),
+        ("1_000", "numeric"),
+        ("nan", "numeric"),
+        ("inf", "numeric"),
+        ("1d", "string"),
+        ("1.0f", "string"),
+        ("", "empty"),
+        ("  ", "empty"),
+        ("Yes", "boolean"),
+        ("2024-01-05", "datetime"),
+        (".", "string"),
+        ("e5", "string"),
+        ("abc", "string"),
+    ],
+)
 def test_value_type(spark, value, kind):
     assert spark.range(1).select(scalars.value_type(F.lit(value)).alias("k")).first().k == kind
 
 
 def test_cardinality(spark):
-    df = frame(spark, [(f"v{i}", "abc"[i % 3], i % 2, "xy"[i % 2]) for i in range(1000)], "high string, three string, flag long, two string")
+    df = frame(
+        spark,
+        [(f"v{i}", "abc"[i % 3], i % 2, "xy"[i % 2]) for i in range(1000)],
+        "high string, three string, flag long, two string",
+    )
     got = {r.affected_columns[0]: r.severity for r in integrity.cardinality(df, profile_table(df), I).collect()}
     assert got == {"high": "medium", "two": "info"}
 
 
 def test_joint_missingness(spark):
-    df = frame(spark, [(None if i % 5 == 0 else 1.0 * i, None if i % 5 == 0 else 2.0 * i, i) for i in range(1000)], "a double, b double, c long")
+    df = frame(
+        spark,
+        [(None if i % 5 == 0 else 1.0 * i, None if i % 5 == 0 else 2.0 * i, i) for i in range(1000)],
+        "a double, b double, c long",
+    )
     (r,) = integrity.missingness_correlation(df, profile_table(df), I).collect()
     assert r.affected_columns == ["a", "b"] and r.missingness_correlation == 1.0 and r.evidence["both_missing"] == "200"
 
@@ -124,7 +164,10 @@ def test_health(spark):
 def numbers(n=300, seed=3):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=n)
-    return [(float(a), float(3 * a), float(math.exp(a * 3)), float(b), None if i % 4 == 0 else float(-a), 1.0) for i, (a, b) in enumerate(zip(x, rng.normal(size=n), strict=True))]
+    return [
+        (float(a), float(3 * a), float(math.exp(a * 3)), float(b), None if i % 4 == 0 else float(-a), 1.0)
+        for i, (a, b) in enumerate(zip(x, rng.normal(size=n), strict=True))
+    ]
 
 
 COLS = ["x", "triple", "curve", "noise", "holes", "fixed"]
@@ -142,7 +185,10 @@ def test_correlations_against_numpy(spark):
     for r in moments.spearman(df, COLS[:5]).collect():
         assert abs(r.r - ranks(r.a, r.b)) < 1e-9
     wide = {(r.a, r.b): r.r for r in moments._gram(df, COLS, 30).collect()}
-    assert all((wide[r.a, r.b] is None) == (r.r is None) and (r.r is None or abs(wide[r.a, r.b] - r.r) < 1e-9) for r in moments.pearson(df, COLS).collect())
+    assert all(
+        (wide[r.a, r.b] is None) == (r.r is None) and (r.r is None or abs(wide[r.a, r.b] - r.r) < 1e-9)
+        for r in moments.pearson(df, COLS).collect()
+    )
     assert moments.pearson(df.limit(10), COLS).where("r is not null").count() == 0
 
 
@@ -170,7 +216,11 @@ def test_information(spark):
     g = rng.multivariate_normal([0, 0], [[1, r], [r, 1]], 3000)
     assert abs(moments.mi_continuous(g[:, 0], g[:, 1]) + 0.5 * math.log(1 - r * r)) < 0.08
     assert moments.mi_classes(x, (x > 0).astype(float)) > 0.6 and moments.mi_classes(x, rng.integers(0, 2, 600).astype(float)) < 0.1
-    df = frame(spark, [(float(a), float(a * a), float(b)) for a, b in zip(x, rng.normal(size=600), strict=True)], "x double, square double, noise double")
+    df = frame(
+        spark,
+        [(float(a), float(a * a), float(b)) for a, b in zip(x, rng.normal(size=600), strict=True)],
+        "x double, square double, noise double",
+    )
     got = relationship.pairwise_information(df, profile(df), ["x", "square", "noise"], R)
     assert [g[:2] for g in got] == [("square", "x")]
 
@@ -198,7 +248,11 @@ def test_statistics(spark):
     two = frame(spark, [("a", "x")] * 30 + [("a", "y")] * 10 + [("b", "x")] * 10 + [("b", "y")] * 30, "p string, q string")
     assert abs(stats.cramers_v(two, "p", "q").first().v - math.sqrt(80 * (30 * 30 - 100 - 40) ** 2 / 40**4 / 80)) < 1e-9
     rng = np.random.default_rng(5)
-    normal, skewed = frame(spark, [(float(x),) for x in rng.normal(size=200)], "v double"), frame(spark, [(float(x),) for x in rng.exponential(size=200)], "v double")
+    normal, skewed = frame(spark, [(float(x),) for x in rng.normal(size=200)], "v double"), frame(
+        spark,
+        [(float(x),) for x in rng.exponential(size=200)],
+        "v double",
+    )
     for small in (5000, 10):
         assert stats.normality(normal, "v", small=small)[0] and not stats.normality(skewed, "v", small=small)[0]
     assert stats.normality(df.limit(3), "v") == (True, 1.0)
@@ -215,17 +269,46 @@ def test_graph(spark):
     member = spark.createDataFrame([(v, int(v > "c")) for v in nodes], "vertex string, community int")
     m = 6.1
     assert abs(graph.modularity(df, member).first().modularity - (6 / m - 2 * (6.1 / (2 * m)) ** 2)) < 1e-9
-    got = {r.vertex: r.component for r in graph.components(df.where("weight = 1"), spark.createDataFrame([("z",)], "vertex string")).collect()}
+    got = {
+        r.vertex: r.component
+        for r in graph.components(df.where("weight = 1"), spark.createDataFrame([("z",)], "vertex string")).collect()
+    }
     assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "f": "d", "z": "z"}
 
 
 def finding_rows(spark, rows):
-    return found.finding(spark.createDataFrame(rows, "m string, c string, t string, s string, conf double, cols array<string>, r double"), "x", "x", title=F.col("t"), description=F.lit("d"), severity=F.col("s"), confidence=F.col("conf"), columns=F.col("cols"), recommendation="r", evidence={"m": F.col("m"), "c": F.col("c")}, correlation_coefficient=F.col("r")).withColumns({"module": F.element_at("evidence", F.lit("m")), "category": F.element_at("evidence", F.lit("c"))})
+    return found.finding(
+        spark.createDataFrame(rows, "m string, c string, t string, s string, conf double, cols array<string>, r double"),
+        "x",
+        "x",
+        title=F.col("t"),
+        description=F.lit("d"),
+        severity=F.col("s"),
+        confidence=F.col("conf"),
+        columns=F.col("cols"),
+        recommendation="r",
+        evidence={"m": F.col("m"), "c": F.col("c")},
+        correlation_coefficient=F.col("r"),
+    ).withColumns({"module": F.element_at("evidence", F.lit("m")), "category": F.element_at("evidence", F.lit("c"))})
 
 
 def test_similarity_and_reasoning(spark):
-    rows = [("relationship", "correlation", f"neighbor{k} pair", "medium", 0.9, ["neighbor1_rsrp", "neighbor1_rsrq", "neighbor1_sinr"], 0.9) for k in range(6)]
-    rows += [("integrity", "identifier_integrity", "Identifier 'account_id'", "critical", 0.85, ["account_id"], None), ("integrity", "missing_values", "Missing values in 'neighbor1_rsrp'", "high", 1.0, ["neighbor1_rsrp"], None)]
+    rows = [
+        (
+            "relationship",
+            "correlation",
+            f"neighbor{k} pair",
+            "medium",
+            0.9,
+            ["neighbor1_rsrp", "neighbor1_rsrq", "neighbor1_sinr"],
+            0.9,
+        )
+        for k in range(6)
+    ]
+    rows += [
+        ("integrity", "identifier_integrity", "Identifier 'account_id'", "critical", 0.85, ["account_id"], None),
+        ("integrity", "missing_values", "Missing values in 'neighbor1_rsrp'", "high", 1.0, ["neighbor1_rsrp"], None),
+    ]
     df = finding_rows(spark, rows)
     r = reasoning.reason(df)
     m = r.metrics()
@@ -248,10 +331,35 @@ def test_similarity_and_reasoning(spark):
 
 def test_engine_on_messy_data(spark):
     rng = random.Random(1)
-    rows = [(i if i % 100 else 1, None if i % 2 else 1.0 * i, None, "on", "a" if i % 50 else "b", f"{i / 10}", f"text {i}", float(i), float(i), rng.random()) for i in range(500)]
-    df = spark.createDataFrame(rows, "record_id long, high_missing double, empty string, status string, near string, price string, words string, m double, m_copy double, noise double")
+    rows = [
+        (
+            i if i % 100 else 1,
+            None if i % 2 else 1.0 * i,
+            None,
+            "on",
+            "a" if i % 50 else "b",
+            f"{i / 10}",
+            f"text {i}",
+            float(i),
+            float(i),
+            rng.random(),
+        )
+        for i in range(500)
+    ]
+    df = spark.createDataFrame(
+        rows,
+        "record_id long, high_missing double, empty string, status string, near string, price string, words string, m double, "
+        "m_copy double, noise double",
+    )
     r = Engine(spark).investigate_dataframe(df, name="messy")
-    assert {"missing_values", "constant_features", "structural_health_score", "duplicate_features", "datatype_integrity", "correlation"} <= categories(r.findings)
+    assert {
+        "missing_values",
+        "constant_features",
+        "structural_health_score",
+        "duplicate_features",
+        "datatype_integrity",
+        "correlation",
+    } <= categories(r.findings)
     assert all(e.status == "success" for e in r.executions) and r.reasoning.queue[0].priority > 0 and r.reasoning.queue[-1].priority == 0
     assert json.loads(json.dumps(r.document(), default=str))["dataset"]["row_count"] == 500
     capped = Engine(spark, Settings(engine=EngineSettings(max_findings=2))).investigate_dataframe(df)
@@ -290,9 +398,14 @@ def test_loader_and_cli(spark, tmp_path, capsys):
     with pytest.raises(loader.LoadError):
         loader.jdbc_options("postgresql://u:p@h/db", "t; drop", None)
     o = loader.jdbc_options("postgres://u:p@h:1/db", None, "select 1")
-    assert o["url"] == "jdbc:postgresql://h:1/db" and o["query"] == "select 1" and loader.redacted("postgres://u:p@h/db") == "postgres://h/db" and loader.name_of("postgres://u:p@h/db") == "db"
+    assert o["url"] == "jdbc:postgresql://h:1/db" and o["query"] == "select 1" and loader.redacted(
+        "postgres://u:p@h/db",
+    ) == "postgres://h/db" and loader.name_of("postgres://u:p@h/db") == "db"
     out = tmp_path / "out.json"
-    assert cli.main(["investigate", str(path), "--explain", "--metrics", "--output", str(out)], spark) == 0 and json.loads(out.read_text())["findings"]
+    assert cli.main(
+        ["investigate", str(path), "--explain", "--metrics", "--output", str(out)],
+        spark,
+    ) == 0 and json.loads(out.read_text())["findings"]
     assert cli.main(["info"]) == 0 and cli.main(["schema"]) == 0 and "integrity" in capsys.readouterr().out
 
 
@@ -318,7 +431,11 @@ def test_stream(spark, tmp_path):
     for k in range(3):
         df.where(f"a % 3 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     got = []
-    q = incremental.profile_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), str(tmp_path / "state"), lambda p, epoch: got.append(sorted(map(tuple, p.collect()))))
+    q = incremental.profile_stream(
+        spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")),
+        str(tmp_path / "state"),
+        lambda p, epoch: got.append(sorted(map(tuple, p.collect()))),
+    )
     q.awaitTermination(120)
     assert len(got) == 3 and got[-1] == [(0, 100, 0, 5), (1, 100, 25, 1)]
 
@@ -379,7 +496,10 @@ def test_ranks_and_quantiles_in_pieces(spark):
 
     rng = np.random.default_rng(4)
     x = np.round(rng.normal(size=5000), 2)
-    counts = spark.createDataFrame([(0, float(v)) for v in x] + [(1, 3.0)], "k int, v double").groupBy("k", "v").agg(F.count("*").alias("w"))
+    counts = spark.createDataFrame(
+        [(0, float(v)) for v in x] + [(1, 3.0)],
+        "k int, v double",
+    ).groupBy("k", "v").agg(F.count("*").alias("w"))
     want = dict(zip(x, pd.Series(x).rank(), strict=True))
     for most in (1 << 18, 50):
         got = {(r.k, r.v): r["rank"] for r in ranks.average_ranks(counts, "k", "v", "w", most).collect()}
@@ -417,7 +537,13 @@ def test_cramers_v_without_empty_cells(spark):
 
 
 def test_settings_are_checked(monkeypatch):
-    for bad in (lambda: EngineSettings(max_findings=501), lambda: EngineSettings(profile="fast"), lambda: IntegritySettings(empty=1.5), lambda: IntegritySettings(missing=(0.1, 0.2, 0.3, 0.4)), lambda: RelationshipSettings(vif=(5.0, 10.0))):
+    for bad in (
+        lambda: EngineSettings(max_findings=501),
+        lambda: EngineSettings(profile="fast"),
+        lambda: IntegritySettings(empty=1.5),
+        lambda: IntegritySettings(missing=(0.1, 0.2, 0.3, 0.4)),
+        lambda: RelationshipSettings(vif=(5.0, 10.0)),
+    ):
         with pytest.raises(ValueError):
             bad()
     monkeypatch.setenv("SIFTER_INTEGRITY__MISSING", "0.9, 0.5,0.2,0.1")
@@ -430,7 +556,9 @@ def test_settings_are_checked(monkeypatch):
 def test_modules_and_known_sets(tmp_path, monkeypatch):
     (tmp_path / "addons").mkdir()
     (tmp_path / "addons" / "__init__.py").write_text("")
-    (tmp_path / "addons" / "one.py").write_text("from sifter.engine import Module, register\n\n@register\nclass One(Module):\n    name = 'one'\n")
+    (tmp_path / "addons" / "one.py").write_text(
+        "from sifter.engine import Module, register\n\n@register\nclass One(Module):\n    name = 'one'\n",
+    )
     (tmp_path / "addons" / "broken.py").write_text("import not_there\n")
     monkeypatch.syspath_prepend(str(tmp_path))
     try:
@@ -439,7 +567,9 @@ def test_modules_and_known_sets(tmp_path, monkeypatch):
         engine.REGISTRY.pop("one", None)
     (tmp_path / "data").mkdir()
     (tmp_path / "data" / "titanic.csv").write_text("a\n1\n")
-    assert loader.local_sets([str(tmp_path)]) == [str(tmp_path / "data" / "titanic.csv")] and loader.local_set("V2X", [str(tmp_path)]) is None
+    assert loader.local_sets([str(tmp_path)]) == [
+        str(tmp_path / "data" / "titanic.csv")
+    ] and loader.local_set("V2X", [str(tmp_path)]) is None
     schema = found.json_schema()
     assert schema["properties"]["affected_columns"]["items"] == {"type": "string"} and "critical" in schema["properties"]["severity"]["enum"]
 
@@ -465,7 +595,11 @@ def test_jdbc_is_cut_by_a_column():
     loader._jdbc(spark, loader.jdbc_options("postgresql://h/db", "t", None), {"partition_column": "id", "partitions": 8})
     asked, made = spark.seen
     assert asked["query"] == "select min(id) as low, max(id) as high from t"
-    assert made["partitionColumn"] == "id" and (made["lowerBound"], made["upperBound"], made["numPartitions"]) == ("1", "900", "8") and made["dbtable"] == "t"
+    assert made["partitionColumn"] == "id" and (
+        made["lowerBound"],
+        made["upperBound"],
+        made["numPartitions"],
+    ) == ("1", "900", "8") and made["dbtable"] == "t"
     with pytest.raises(loader.LoadError):
         loader._jdbc(spark, {}, {"partition_column": "id; drop"})
 
@@ -473,9 +607,20 @@ def test_jdbc_is_cut_by_a_column():
 def test_rule_tables():
     f = rules.Facts.of(["neighbor", "missing"], ["missing_values"], ["Neighbor1_rsrp"], ["Identifier Integrity"])
     assert reasoning.concept_of({"neighbor", "missing"}, ["missing_values"], ["Neighbor1_rsrp"]) == "Neighbor Cell Availability"
-    assert reasoning.concept_of({"alpha"}, ["pearson"], ["serving_x"]) == "Serving Cell Signal Quality" and reasoning.concept_of({"alpha"}, [], ["x"]) is None
-    assert reasoning.made_concept({"alpha"}, ["correlation"], ["gear_box_size"]) == "Gear Box Telemetry Subsystem" and reasoning.made_concept(set(), [], []) == "Measurement Telemetry Subsystem"
-    assert rules.Rule(1).holds(f) and not rules.Rule(1, two=("neighbor", "pci")).holds(f) and rules.Rule(1, any_of=(rules.Rule(0, words=("x",)), rules.Rule(0, inside=("rsrp",)))).holds(f)
+    assert reasoning.concept_of(
+        {"alpha"},
+        ["pearson"],
+        ["serving_x"],
+    ) == "Serving Cell Signal Quality" and reasoning.concept_of({"alpha"}, [], ["x"]) is None
+    assert reasoning.made_concept(
+        {"alpha"},
+        ["correlation"],
+        ["gear_box_size"],
+    ) == "Gear Box Telemetry Subsystem" and reasoning.made_concept(set(), [], []) == "Measurement Telemetry Subsystem"
+    assert rules.Rule(1).holds(f) and not rules.Rule(1, two=("neighbor", "pci")).holds(f) and rules.Rule(
+        1,
+        any_of=(rules.Rule(0, words=("x",)), rules.Rule(0, inside=("rsrp",))),
+    ).holds(f)
     assert len(tables.CAUSES) == 6 and list(rules.fitting(tables.CAUSES, f)) == [tables.CAUSES[4].says]
 
 
@@ -490,14 +635,31 @@ def test_report_sections(spark):
     r = reasoning.reason(finding_rows(spark, rows))
     made = r.report({"x": 1.5}, 10)
     assert made["sizes"]["findings"] == 3 and made["runtime"]["total_seconds"] == 1.5 and made["memory"]["dataset_bytes"] == 10 and made["memory"]["driver_peak_bytes"] > 0
-    assert [s["layer"] for s in made["flow"]["stages"]] == ["findings", "evidence", "knowledge", "hypotheses", "work_items"] and not r.unlinked()
+    assert [s["layer"] for s in made["flow"]["stages"]] == [
+        "findings",
+        "evidence",
+        "knowledge",
+        "hypotheses",
+        "work_items",
+    ] and not r.unlinked()
     parts = {f for e in r.evidence for f in e.below}
     assert graph.local_modularity([sorted(parts)], [("x", "y", 1.0)]) == 0.0
 
 
 def test_all_numeric_evidence_counts(spark):
     """Findings that differ in one of the nine numbers alone are scored apart."""
-    base = found.finding(spark.range(2).select(F.col("id").alias("k")), "m", "c", title=F.format_string("Same words %d", "k"), description=F.lit("d"), severity=F.lit("low"), confidence=F.lit(0.5), columns=F.array(F.lit("x")), recommendation="r", evidence={"k": F.col("k")})
+    base = found.finding(
+        spark.range(2).select(F.col("id").alias("k")),
+        "m",
+        "c",
+        title=F.format_string("Same words %d", "k"),
+        description=F.lit("d"),
+        severity=F.lit("low"),
+        confidence=F.lit(0.5),
+        columns=F.array(F.lit("x")),
+        recommendation="r",
+        evidence={"k": F.col("k")},
+    )
     plain = similarity.scores(base).first().statistical
     for name in ("duplicate_ratio", "dominance_ratio", "health_score"):
         numbered = base.withColumn("evidence", F.map_concat("evidence", F.create_map(F.lit(name), F.element_at("evidence", F.lit("k")))))
