@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from sifter.llm.common import durable, table
 from sifter.llm.decontaminate import contamination
 from sifter.llm.lines import drop_repeated_lines
+from sifter.llm.neardup import near_copies, row_key
 from sifter.llm.packing import pack
 from sifter.llm.quality import quality_scores, train
-from sifter.llm.neardup import near_copies, row_key
+from sifter.sources.shared import drop_since, written
 
 #: Near-duplicates: sets of five-word shingles with a Jaccard index of 0.8, sought by fingerprints of 4 x 64 bits.
 SHINGLE, SIMILARITY, WIDTH = 5, 0.8, 4
@@ -41,7 +42,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     new = {"text": F.col("kept"), "n_chars": F.length("kept")}
     cut = F.col("n_removed") > 0
     own = {x.name: F.col("row")[x.name] for x in docs.schema}
-    return got.select(*(F.when(cut, new[x.name].cast(x.dataType)).otherwise(own[x.name]).alias(x.name) if x.name in new else own[x.name].alias(x.name) for x in docs.schema))
+    return got.select(
+        *(
+            F.when(
+                cut,
+                new[x.name].cast(x.dataType),
+            ).otherwise(own[x.name]).alias(x.name) if x.name in new else own[x.name].alias(x.name)
+            for x in docs.schema
+        ),
+    )
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +64,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if again.isEmpty():
         return left
     # A struct, so that no column of docs can clash; its fields come back in their order.
-    held = left.join(again, row_key(left) == again.key, "left_semi").select(row_key(left).alias("key"), F.struct(*(left[c] for c in left.columns)).alias("row"))
+    held = left.join(again, row_key(left) == again.key, "left_semi").select(
+        row_key(left).alias("key"),
+        F.struct(*(left[c] for c in left.columns)).alias("row"),
+    )
     once = held.groupBy("key").agg(F.first("row").alias("row")).select("row.*")
     return left.join(again, row_key(left) == again.key, "left_anti").union(once)
 
@@ -63,7 +75,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is covered by tiles to 0.8 or more. Rows are named by doc_id and text."""
     keyed = docs.select(row_key(docs).alias("key"), "text")
-    hit = durable(contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="key").select(F.col("doc_id").alias("key")).distinct(), "hit")
+    hit = durable(
+        contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="key").select(F.col("doc_id").alias("key")).distinct(),
+        "hit",
+    )
     return docs.join(hit, row_key(docs) == hit.key, "left_anti")
 
 
@@ -85,12 +100,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = durable(docs, f"stage-{name}")
-    return docs
+    """The stages one after the other. What a stage wrote besides its result, and the result before it, are dropped once that is written."""
+    docs, mark = table(spark, sf_dir, "documents"), written(spark)
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_since(spark, mark)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
