@@ -100,7 +100,16 @@ def tiles(test: np.ndarray | list[int], doc: np.ndarray | list[int], least: int)
     return sorted(found)
 
 
-def _marked(p: np.ndarray, h: np.ndarray, q: np.ndarray, g: np.ndarray, length: int, test: np.ndarray, doc: np.ndarray, free: tuple[np.ndarray, np.ndarray]):
+def _marked(
+    p: np.ndarray,
+    h: np.ndarray,
+    q: np.ndarray,
+    g: np.ndarray,
+    length: int,
+    test: np.ndarray,
+    doc: np.ndarray,
+    free: tuple[np.ndarray, np.ndarray],
+):
     """Pairs of equal stretches, first come first served; what they cover is no longer free."""
     order = np.argsort(g, kind="stable")
     q, g = q[order], g[order]
@@ -162,7 +171,11 @@ class Index:
         place = np.repeat(at[hit], many)
         order = np.argsort(which, kind="stable")
         which, place = which[order], place[order]
-        for k, places in zip(which[np.flatnonzero(np.diff(which, prepend=-1))], np.split(place, np.flatnonzero(np.diff(which)) + 1), strict=True) if len(which) else ():
+        for k, places in zip(
+            which[np.flatnonzero(np.diff(which, prepend=-1))],
+            np.split(place, np.flatnonzero(np.diff(which)) + 1),
+            strict=True,
+        ) if len(which) else ():
             # Tiles hold seeds, so the rest of the document can't match: what lies between is one gap.
             keep = np.unique(places[:, None] + np.arange(n))
             gap = np.flatnonzero(np.r_[False, np.diff(keep) > 1])
@@ -170,7 +183,9 @@ class Index:
             item_id, item = self.items[k]
             found = tiles(item, cut, n)
             covered = sum(x for *_, x in found)
-            yield item_id, len(item), covered / len(item), max((x for *_, x in found), default=0), [(p, int(real[q]), x) for p, q, x in found]
+            yield item_id, len(item), covered / len(item), max((x for *_, x in found), default=0), [
+                (p, int(real[q]), x) for p, q, x in found
+            ]
 
 
 def short_items(benchmark: DataFrame, least: int = 5, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -180,7 +195,17 @@ def short_items(benchmark: DataFrame, least: int = 5, item_col: str = "item_id",
     return benchmark.where(F.size(words) < least).select(F.col(item_col).cast("long").alias("item_id"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    least: int = 5,
+    coverage: float = 0.8,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text: str = "text",
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """(doc_id, item_id, item_words, coverage, longest, tiles) for each document and item whose words tiles cover by `coverage` or more.
 
     Words are lower-cased, without ASCII punctuation. Tiles are stretches of `least` words or more in any order, so
@@ -195,8 +220,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverag
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // block_bytes) + 1
     pair = pa.list_(pa.struct([("item_at", pa.int64()), ("doc_at", pa.int64()), ("words", pa.int64())]))
-    kinds = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int64()), ("coverage", pa.float64()), ("longest", pa.int64()), ("tiles", pair)])
-    ddl = "doc_id long, item_id long, item_words long, coverage double, longest long, tiles array<struct<item_at:long,doc_at:long,words:long>>"
+    kinds = pa.schema(
+        [
+            ("doc_id", pa.int64()),
+            ("item_id", pa.int64()),
+            ("item_words", pa.int64()),
+            ("coverage", pa.float64()),
+            ("longest", pa.int64()),
+            ("tiles", pair),
+        ],
+    )
+    ddl = (
+        "doc_id long, item_id long, item_words long, coverage double, longest long, tiles "
+        "array<struct<item_at:long,doc_at:long,words:long>>"
+    )
     texts = id_text(docs, id_col, text_col)
 
     def matched(index) -> DataFrame:
@@ -207,7 +244,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverag
                     for item_id, n, share, longest, found in index.value.matches(text):
                         if share >= coverage:
                             tiled = [{"item_at": p, "doc_at": q, "words": m} for p, q, m in found]
-                            out.append({"doc_id": doc_id, "item_id": item_id, "item_words": n, "coverage": share, "longest": longest, "tiles": tiled})
+                            out.append(
+                                {
+                                    "doc_id": doc_id,
+                                    "item_id": item_id,
+                                    "item_words": n,
+                                    "coverage": share,
+                                    "longest": longest,
+                                    "tiles": tiled,
+                                },
+                            )
                 if out:
                     yield pa.RecordBatch.from_pylist(out, kinds)
 

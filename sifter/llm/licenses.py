@@ -15,27 +15,120 @@ from sifter.llm.common import durable, table
 
 #: Short notices by family; {v} stands for a version. They train the classifier and confirm what it finds.
 TEMPLATES = {
-    "apache": ["apache license version {v}", "licensed under the apache license version {v}", "you may not use this file except in compliance with the apache license", "released under the apache software license {v}", "distributed under the terms of the apache license version {v}", "spdx license identifier apache {v}"],
-    "mit": ["mit license", "released under the mit license", "licensed under the mit license", "this project is available under the terms of the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "spdx license identifier mit"],
-    "gpl": ["gnu general public license version {v}", "this work is licensed under the gnu general public license version {v}", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "released under the gnu gpl version {v}", "licensed under the gpl v {v}", "spdx license identifier gpl {v} or later"],
-    "lgpl": ["gnu lesser general public license version {v}", "licensed under the gnu lesser general public license version {v}", "this library is free software under the terms of the gnu lesser general public license", "released under the lgpl version {v}", "spdx license identifier lgpl {v}"],
-    "agpl": ["gnu affero general public license version {v}", "licensed under the gnu affero general public license version {v}", "released under the agpl version {v}", "spdx license identifier agpl {v}"],
-    "bsd": ["bsd {v} clause license", "redistribution and use in source and binary forms with or without modification are permitted", "released under the bsd license", "licensed under the bsd {v} clause license", "spdx license identifier bsd {v} clause"],
-    "mpl": ["mozilla public license version {v}", "this source code form is subject to the terms of the mozilla public license version {v}", "licensed under the mozilla public license {v}", "released under the mpl {v}", "spdx license identifier mpl {v}"],
-    "cc-by-nc": ["licensed under cc by nc {v}", "this work is licensed under a creative commons attribution noncommercial {v} license", "released under cc by nc {v}", "available under the creative commons by nc {v} licence"],
-    "cc-by-sa": ["licensed under cc by sa {v}", "this work is licensed under a creative commons attribution sharealike {v} license", "released under cc by sa {v}", "text is available under the creative commons attribution sharealike license"],
-    "cc-by": ["licensed under cc by {v}", "this work is licensed under a creative commons attribution {v} license", "released under cc by {v}", "available under the creative commons attribution {v} international licence"],
-    "cc0": ["released under cc0 {v}", "dedicated to the public domain under cc0 {v} universal", "no rights reserved this work is in the public domain"],
-    "reserved": ["all rights reserved", "copyright {v} the authors all rights reserved", "unauthorized copying of this file via any medium is strictly prohibited proprietary and confidential"],
+    "apache": [
+        "apache license version {v}",
+        "licensed under the apache license version {v}",
+        "you may not use this file except in compliance with the apache license",
+        "released under the apache software license {v}",
+        "distributed under the terms of the apache license version {v}",
+        "spdx license identifier apache {v}",
+    ],
+    "mit": [
+        "mit license",
+        "released under the mit license",
+        "licensed under the mit license",
+        "this project is available under the terms of the mit license",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+        "documentation files",
+        "spdx license identifier mit",
+    ],
+    "gpl": [
+        "gnu general public license version {v}",
+        "this work is licensed under the gnu general public license version {v}",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
+        "released under the gnu gpl version {v}",
+        "licensed under the gpl v {v}",
+        "spdx license identifier gpl {v} or later",
+    ],
+    "lgpl": [
+        "gnu lesser general public license version {v}",
+        "licensed under the gnu lesser general public license version {v}",
+        "this library is free software under the terms of the gnu lesser general public license",
+        "released under the lgpl version {v}",
+        "spdx license identifier lgpl {v}",
+    ],
+    "agpl": [
+        "gnu affero general public license version {v}",
+        "licensed under the gnu affero general public license version {v}",
+        "released under the agpl version {v}",
+        "spdx license identifier agpl {v}",
+    ],
+    "bsd": [
+        "bsd {v} clause license",
+        "redistribution and use in source and binary forms with or without modification are permitted",
+        "released under the bsd license",
+        "licensed under the bsd {v} clause license",
+        "spdx license identifier bsd {v} clause",
+    ],
+    "mpl": [
+        "mozilla public license version {v}",
+        "this source code form is subject to the terms of the mozilla public license version {v}",
+        "licensed under the mozilla public license {v}",
+        "released under the mpl {v}",
+        "spdx license identifier mpl {v}",
+    ],
+    "cc-by-nc": [
+        "licensed under cc by nc {v}",
+        "this work is licensed under a creative commons attribution noncommercial {v} license",
+        "released under cc by nc {v}",
+        "available under the creative commons by nc {v} licence",
+    ],
+    "cc-by-sa": [
+        "licensed under cc by sa {v}",
+        "this work is licensed under a creative commons attribution sharealike {v} license",
+        "released under cc by sa {v}",
+        "text is available under the creative commons attribution sharealike license",
+    ],
+    "cc-by": [
+        "licensed under cc by {v}",
+        "this work is licensed under a creative commons attribution {v} license",
+        "released under cc by {v}",
+        "available under the creative commons attribution {v} international licence",
+    ],
+    "cc0": [
+        "released under cc0 {v}",
+        "dedicated to the public domain under cc0 {v} universal",
+        "no rights reserved this work is in the public domain",
+    ],
+    "reserved": [
+        "all rights reserved",
+        "copyright {v} the authors all rights reserved",
+        "unauthorized copying of this file via any medium is strictly prohibited proprietary and confidential",
+    ],
 }
 #: Paragraphs that use such words without being a notice.
-OTHER = ["the driver renewed a license at the office", "a fishing licence is required on this lake", "she asked for permission to leave the room", "the apache helicopter landed near the river", "the gnu grazes on the open plain", "mit is a university in cambridge massachusetts", "the general public may visit the museum on sunday", "copyright law differs from country to country", "the free version has fewer features than the paid one", "this version of the song was released in june", "the terms of the contract were not met", "the source of the river lies in the hills", "creative work takes time and attention", "the warranty on the car ended last year", "rights and duties of the citizens are listed below", "the public domain name was registered in may", "the distribution of income is uneven", "software runs on the computer", "redistribution of land followed the reform", "he licensed the patent to a company", "the commons debated the bill until night", "a license plate fell from the truck", "permission slips are due on friday", "version two of the plan was rejected"]
+OTHER = [
+    "the driver renewed a license at the office",
+    "a fishing licence is required on this lake",
+    "she asked for permission to leave the room",
+    "the apache helicopter landed near the river",
+    "the gnu grazes on the open plain",
+    "mit is a university in cambridge massachusetts",
+    "the general public may visit the museum on sunday",
+    "copyright law differs from country to country",
+    "the free version has fewer features than the paid one",
+    "this version of the song was released in june",
+    "the terms of the contract were not met",
+    "the source of the river lies in the hills",
+    "creative work takes time and attention",
+    "the warranty on the car ended last year",
+    "rights and duties of the citizens are listed below",
+    "the public domain name was registered in may",
+    "the distribution of income is uneven",
+    "software runs on the computer",
+    "redistribution of land followed the reform",
+    "he licensed the patent to a company",
+    "the commons debated the bill until night",
+    "a license plate fell from the truck",
+    "permission slips are due on friday",
+    "version two of the plan was rejected",
+]
 #: Beginnings of words of the templates, and words too short to be sought by their beginning. Of every template, more than 1 - CONFIRM
 #: of the two-word runs have such a word (touched() says how many), so a paragraph without any can't be confirmed and needs no score.
 MARKS = (
-    "licen", "apache", "compliance", "except", "distribut", "redistribut", "spdx", "released", "available", "terms", "hereby", "obtaining", "software",
-    "associated", "gnu", "gpl", "lgpl", "agpl", "bsd", "binary", "modification", "permitted", "mozilla", "creative", "domain", "rights", "reserved",
-    "copyright", "unauthorized", "prohibited", "proprietary", "confidential", "strictly", "subject",
+    "licen", "apache", "compliance", "except", "distribut", "redistribut", "spdx", "released", "available", "terms", "hereby",
+    "obtaining", "software", "associated", "gnu", "gpl", "lgpl", "agpl", "bsd", "binary", "modification", "permitted", "mozilla", "creative",
+    "domain", "rights", "reserved", "copyright", "unauthorized", "prohibited", "proprietary", "confidential", "strictly", "subject",
 )
 WHOLE_MARKS = ("cc", "mpl")
 #: Lines that a wrapped notice may take.
@@ -81,7 +174,13 @@ def tokens(text: Column) -> Column:
 
 def grams(words: Column, n: int) -> Column:
     """Runs of n words; of all of them if there are fewer."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda k: F.array_join(F.slice(words, k, n), " "))).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
+    return F.when(
+        F.size(words) >= n,
+        F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))),
+            lambda k: F.array_join(F.slice(words, k, n), " "),
+        ),
+    ).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
 
 
 def _features(df: DataFrame) -> DataFrame:
@@ -101,7 +200,9 @@ def _examples() -> list[tuple[str, str, bool]]:
                 out.append((frame.format(text.format(v="0")), family, (i + j) % 4 == 3))
     for i, text in enumerate(OTHER):
         words = text.split()
-        for j, made in enumerate([text, " ".join(reversed(words)), " ".join(words[len(words) // 2 :]), f"{text} and {OTHER[(i + 7) % len(OTHER)]}"]):
+        for j, made in enumerate(
+            [text, " ".join(reversed(words)), " ".join(words[len(words) // 2 :]), f"{text} and {OTHER[(i + 7) % len(OTHER)]}"],
+        ):
             out.append((made, UNKNOWN, (i + j) % 4 == 3))
     return out
 
@@ -112,15 +213,27 @@ class Scanner:
     def __init__(self, spark: SparkSession, rounds: int = 40, penalty: float = 1e-3):
         self.families = [*sorted(TEMPLATES), UNKNOWN]
         made = [(p, float(self.families.index(f)), c) for p, f, c in _examples()]
-        data = durable(_features(spark.createDataFrame(made, "paragraph string, label double, held boolean").coalesce(1)).select("features", "label", "held"), "examples")
-        self.model: LogisticRegressionModel = LogisticRegression(maxIter=rounds, regParam=penalty, family="multinomial").fit(data.where("not held"))
+        data = durable(
+            _features(
+                spark.createDataFrame(made, "paragraph string, label double, held boolean").coalesce(1),
+            ).select("features", "label", "held"),
+            "examples",
+        )
+        self.model: LogisticRegressionModel = LogisticRegression(
+            maxIter=rounds,
+            regParam=penalty,
+            family="multinomial",
+        ).fit(data.where("not held"))
         self.temperature = self._calibrate(data.where("held"))
 
     def _calibrate(self, held: DataFrame) -> float:
         """The temperature of least log loss on examples the model was not fitted to."""
         tried = [0.1, 0.2, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0]
         raw = self.model.transform(held).select(vector_to_array("rawPrediction").alias("raw"), (F.col("label") + 1).cast("int").alias("at"))
-        each = raw.select("at", F.explode(F.array(*(F.struct(F.lit(x).alias("t"), self._exp(F.col("raw"), x).alias("e")) for x in tried))).alias("x"))
+        each = raw.select(
+            "at",
+            F.explode(F.array(*(F.struct(F.lit(x).alias("t"), self._exp(F.col("raw"), x).alias("e")) for x in tried))).alias("x"),
+        )
         share = F.element_at("x.e", F.col("at")) / F.aggregate("x.e", F.lit(0.0), lambda a, b: a + b)
         loss = each.groupBy("x.t").agg(F.avg(-F.log(F.greatest(share, F.lit(1e-12)))).alias("loss")).collect()
         return min((r.loss, r.t) for r in loss)[1]
@@ -139,7 +252,15 @@ class Scanner:
         got = got.withColumn("e", self._exp(F.col("raw"), self.temperature)).withColumn("p", self._share(F.col("e")))
         best = F.array_max("p")
         family = F.element_at(F.array(*map(F.lit, self.families)), F.array_position("p", best).cast("int"))
-        return got.withColumn("probability", best).withColumn("family", F.when(best >= SURE, family).otherwise(F.lit(UNKNOWN))).drop("features", "grams", "rawPrediction", "prediction", "raw", "e", "p")
+        return got.withColumn("probability", best).withColumn("family", F.when(best >= SURE, family).otherwise(F.lit(UNKNOWN))).drop(
+            "features",
+            "grams",
+            "rawPrediction",
+            "prediction",
+            "raw",
+            "e",
+            "p",
+        )
 
 
 def template_share(pairs: Column, family: Column) -> Column:
@@ -147,7 +268,10 @@ def template_share(pairs: Column, family: Column) -> Column:
     sets = []
     for name, texts in TEMPLATES.items():
         words = [template_words(text) for text in texts]
-        sets += [F.lit(name), F.array(*(F.array(*(F.lit(x) for x in sorted({" ".join(w[k : k + 2]) for k in range(len(w) - 1)}))) for w in words))]
+        sets += [
+            F.lit(name),
+            F.array(*(F.array(*(F.lit(x) for x in sorted({" ".join(w[k : k + 2]) for k in range(len(w) - 1)}))) for w in words)),
+        ]
     of = F.transform(F.element_at(F.create_map(*sets), family), lambda t: F.size(F.array_intersect(pairs, t)) / F.size(t))
     return F.coalesce(F.array_max(of), F.lit(0.0))
 
@@ -164,12 +288,33 @@ def paragraphs(docs: DataFrame, most_lines: int = MOST_LINES, id_col: str = "doc
     split = slim.select("row", "doc_id", F.split("text", "\n", -1).alias("own"), F.array_compact(flags).alias("marks"))
     held = split.select("row", "doc_id", "own", F.explode("marks").alias("at"))
     # Every run that has this line, and no marked line before it in the run: each run comes from the first marked line in it.
-    near = held.select("row", "doc_id", "at", F.slice("own", F.greatest(F.col("at") - (most_lines - 1), F.lit(0)) + 1, 2 * most_lines - 1).alias("own"), F.least("at", F.lit(most_lines - 1)).alias("mid"))
+    near = held.select(
+        "row",
+        "doc_id",
+        "at",
+        F.slice("own", F.greatest(F.col("at") - (most_lines - 1), F.lit(0)) + 1, 2 * most_lines - 1).alias("own"),
+        F.least("at", F.lit(most_lines - 1)).alias("mid"),
+    )
     starts = F.sequence(F.lit(0), F.col("mid"))
-    runs = F.flatten(F.transform(starts, lambda a: F.transform(F.sequence(F.col("mid"), F.least(a + (most_lines - 1), F.size("own") - 1)), lambda z: F.struct(a.alias("a"), F.slice("own", a + 1, z - a + 1).alias("x")))))
+    runs = F.flatten(
+        F.transform(
+            starts,
+            lambda a: F.transform(
+                F.sequence(F.col("mid"), F.least(a + (most_lines - 1), F.size("own") - 1)),
+                lambda z: F.struct(a.alias("a"), F.slice("own", a + 1, z - a + 1).alias("x")),
+            ),
+        ),
+    )
     whole = F.filter(runs, lambda r: ~F.exists(r["x"], lambda x: ~x.rlike("[A-Za-z0-9]")))
     out = near.select("row", "doc_id", "at", "mid", F.explode(whole).alias("r"))
-    made = out.select("row", "doc_id", (F.col("at") - F.col("mid") + F.col("r.a")).alias("line"), F.size("r.x").alias("lines"), F.array_join("r.x", "\n").alias("paragraph"), F.slice("r.x", 1, F.col("mid") - F.col("r.a")).alias("before"))
+    made = out.select(
+        "row",
+        "doc_id",
+        (F.col("at") - F.col("mid") + F.col("r.a")).alias("line"),
+        F.size("r.x").alias("lines"),
+        F.array_join("r.x", "\n").alias("paragraph"),
+        F.slice("r.x", 1, F.col("mid") - F.col("r.a")).alias("before"),
+    )
     return made.where(~F.exists("before", lambda x: has_mark(F.lower(x)))).drop("before")
 
 
@@ -190,7 +335,8 @@ def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: st
     found = F.struct("line", "lines", "family", "probability", "template_share", "paragraph")
     # Notices of one row of docs: a few for each of its lines.
     rows = got.groupBy("row", "doc_id").agg(F.collect_list(found).alias("all"))
-    inside = lambda x, y: (y["line"] >= x["line"]) & (y["line"] + y["lines"] <= x["line"] + x["lines"]) & (y["lines"] < x["lines"])
+    end = lambda x: x["line"] + x["lines"]
+    inside = lambda x, y: (y["line"] >= x["line"]) & (end(y) <= end(x)) & (y["lines"] < x["lines"])
     as_good = lambda x, y: inside(x, y) & (y["template_share"] >= x["template_share"])
     better = lambda x, y: inside(y, x) & (y["template_share"] > x["template_share"]) & (y["family"] == x["family"])
     least = F.filter("all", lambda x: ~F.exists("all", lambda y: as_good(x, y) | better(x, y)))
@@ -199,4 +345,11 @@ def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: st
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = scan(table(spark, sf_dir, "documents"), Scanner(spark))
-    return got.select("doc_id", "line", "lines", "family", F.round("probability", 6).alias("probability"), F.round("template_share", 6).alias("template_share"))
+    return got.select(
+        "doc_id",
+        "line",
+        "lines",
+        "family",
+        F.round("probability", 6).alias("probability"),
+        F.round("template_share", 6).alias("template_share"),
+    )

@@ -24,20 +24,46 @@ def covered_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text
     all. Overlapping windows' lines are merged. Texts of fewer lines have no window.
     """
     lines = F.split(F.col("text"), "\n", -1)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text"))
-    hashed = slim.where(F.size(lines) >= window).select("doc_id", "row_key", F.transform(lines, lambda x: F.when(F.trim(x) != "", F.xxhash64(x))).alias("h"))
+    slim = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        _key(id_col, text_col).alias("row_key"),
+        F.col(text_col).cast("string").alias("text"),
+    )
+    hashed = slim.where(F.size(lines) >= window).select(
+        "doc_id",
+        "row_key",
+        F.transform(lines, lambda x: F.when(F.trim(x) != "", F.xxhash64(x))).alias("h"),
+    )
     starts = F.sequence(F.lit(1), F.size("h") - (window - 1))
     # A blank line hashes as null, which xxhash64 passes over: its place is marked by a number of its own.
     one = lambda k, j: F.coalesce(F.element_at("h", (k + F.lit(j)).cast("int")), F.lit(j).cast("long"))
-    named = F.transform(starts, lambda k: F.struct((k - 1).alias("line"), F.xxhash64(*(one(k, j) for j in range(window))).alias("name"), F.coalesce(*(F.element_at("h", (k + F.lit(j)).cast("int")) for j in range(window))).isNotNull().alias("text")))
-    windows = hashed.select("doc_id", "row_key", F.explode(named).alias("w")).where("w.text").select("doc_id", "row_key", F.col("w.line").alias("line"), F.col("w.name").alias("name"))
+    named = F.transform(
+        starts,
+        lambda k: F.struct(
+            (k - 1).alias("line"),
+            F.xxhash64(*(one(k, j) for j in range(window))).alias("name"),
+            F.coalesce(*(F.element_at("h", (k + F.lit(j)).cast("int")) for j in range(window))).isNotNull().alias("text"),
+        ),
+    )
+    windows = hashed.select("doc_id", "row_key", F.explode(named).alias("w")).where("w.text").select(
+        "doc_id",
+        "row_key",
+        F.col("w.line").alias("line"),
+        F.col("w.name").alias("name"),
+    )
     windows = durable(windows, "windows")
     at = F.struct("doc_id", "row_key", "line")
     least = windows.groupBy("name").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("places"))
     repeated = durable(least.where("first <> last").select("name", "first", "places"), "repeated")
     later = spread_join(windows, repeated, "name", "places").where(~at.eqNullSafe(F.col("first")))
     merged = later.groupBy("row_key").agg(F.collect_set("line").alias("starts"))
-    return durable(merged.select("row_key", F.array_distinct(F.flatten(F.transform("starts", lambda k: F.sequence(k, k + F.lit(window - 1))))).alias("gone")), "gone")
+    return durable(
+        merged.select(
+            "row_key",
+            F.array_distinct(F.flatten(F.transform("starts", lambda k: F.sequence(k, k + F.lit(window - 1))))).alias("gone"),
+        ),
+        "gone",
+    )
 
 
 def drop_repeated_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,13 +75,22 @@ def drop_repeated_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id"
     gone = covered_lines(docs, window, id_col, text_col)
     size = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
     gone = F.broadcast(gone) if size <= BROADCAST_LINES else gone
-    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), _key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("body"))
+    keyed = docs.select(
+        F.struct(*(docs[c] for c in docs.columns)).alias("row"),
+        _key(id_col, text_col).alias("key"),
+        F.col(text_col).cast("string").alias("body"),
+    )
     lines = F.split("body", "\n", -1)
     stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     kept = F.array_join(F.transform(stays, lambda k: F.element_at(lines, k + 1)), "\n")
     removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long")
     n_lines = F.when(F.col("body").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    return keyed.join(gone, F.col("key") == F.col("row_key"), "left").select("row", n_lines.alias("n_lines"), removed.alias("n_removed"), F.when(F.col("gone").isNull(), F.col("body")).otherwise(kept).alias("kept"))
+    return keyed.join(gone, F.col("key") == F.col("row_key"), "left").select(
+        "row",
+        n_lines.alias("n_lines"),
+        removed.alias("n_removed"),
+        F.when(F.col("gone").isNull(), F.col("body")).otherwise(kept).alias("kept"),
+    )
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,9 @@ def set_prints(docs: DataFrame, shingle: int, width: int, id_col: str = "doc_id"
     """(doc_id, key, node, size, fingerprint) for each row: node names the text's set of shingles, the fingerprint is of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("fingerprint", pa.binary())])
+        kinds = pa.schema(
+            [("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("fingerprint", pa.binary())],
+        )
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 got = list(rows([batch.slice(at, 1024)]))
@@ -92,7 +94,14 @@ def confirmed(sets: DataFrame, of: DataFrame, similarity: float, block: int = BL
     dealt = dealt.select("node", "component", "cuts", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("other"))
     alone = F.col("cuts") == 1
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    named = dealt.select("node", F.when(alone, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("component")).alias("job"), F.when(alone, F.lit(-1)).otherwise(low).alias("low"), F.when(alone, F.lit(-1)).otherwise(high).alias("high"), (F.col("own") > F.col("other")).alias("second"), (F.col("own") != F.col("other")).alias("two"))
+    named = dealt.select(
+        "node",
+        F.when(alone, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("component")).alias("job"),
+        F.when(alone, F.lit(-1)).otherwise(low).alias("low"),
+        F.when(alone, F.lit(-1)).otherwise(high).alias("high"),
+        (F.col("own") > F.col("other")).alias("second"),
+        (F.col("own") != F.col("other")).alias("two"),
+    )
     # Of a pair of different blocks, the one of the higher number is the second side.
 
     def forest(got: pa.Table) -> pa.Table:
@@ -112,10 +121,26 @@ def confirmed(sets: DataFrame, of: DataFrame, similarity: float, block: int = BL
         moved = np.flatnonzero(node != least[label])
         return pa.table({"u": node[moved], "v": least[label[moved]]})
 
-    return named.join(sets, "node").select("job", "low", "high", "node", "second", "two", "grams").groupBy("job", "low", "high").applyInArrow(forest, "u long, v long")
-
-
-def near_copies(docs: DataFrame, shingle: int, similarity: float, radii: tuple[tuple[int, int], ...], width: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    return named.join(sets, "node").select(
+        "job",
+        "low",
+        "high",
+        "node",
+        "second",
+        "two",
+        "grams",
+    ).groupBy("job", "low", "high").applyInArrow(forest, "u long, v long")
+
+
+def near_copies(
+    docs: DataFrame,
+    shingle: int,
+    similarity: float,
+    radii: tuple[tuple[int, int], ...],
+    width: int,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> tuple[DataFrame, DataFrame]:
     """(key) twice: row_key() of each document that is not the one kept of its component, and of each kept one that has several rows.
 
     Documents are linked by an exact Jaccard index of `similarity` or more of their sets of shingles; texts without words
@@ -125,7 +150,14 @@ def near_copies(docs: DataFrame, shingle: int, similarity: float, radii: tuple[t
     """
     prints = durable(set_prints(docs, shingle, width, id_col, text_col), "prints")
     best = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
-    nodes = durable(prints.groupBy("node").agg(F.min("fingerprint").alias("fingerprint"), F.min("size").alias("size"), F.min(best).alias("best")), "nodes")
+    nodes = durable(
+        prints.groupBy("node").agg(
+            F.min("fingerprint").alias("fingerprint"),
+            F.min("size").alias("size"),
+            F.min(best).alias("best"),
+        ),
+        "nodes",
+    )
     # Different sets have an index of n / (n + 1) at most, n being the size of the smaller one.
     able = nodes.where(F.col("size") / (F.col("size") + 1) >= similarity).select("node", "fingerprint", "size")
     near = components(links(able, max(r for _, r in radii), width, within=Within(similarity, radii)))
@@ -135,13 +167,21 @@ def near_copies(docs: DataFrame, shingle: int, similarity: float, radii: tuple[t
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 got = list(rows([batch.slice(at, 1024)]))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([shingle_set(x[1], shingle).astype("<u8").tobytes() for x in got], pa.binary())], ["node", "grams"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([x[0] for x in got], pa.int64()),
+                        pa.array([shingle_set(x[1], shingle).astype("<u8").tobytes() for x in got], pa.binary()),
+                    ],
+                    ["node", "grams"],
+                )
 
     texts = id_text(docs, id_col, text_col)
     texts = texts.select(row_key(texts).alias("key"), "text").join(near.select("key", "node"), "key").select("node", "text")
     sets = durable(texts.mapInArrow(grams, "node long, grams binary").groupBy("node").agg(F.first("grams").alias("grams")), "sets")
     of = components(confirmed(sets, near.select("node", "component", "size"), similarity))
-    kept = nodes.join(of, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("best").alias("best")).select(F.col("best.key").alias("key"))
+    kept = nodes.join(of, "node", "left").groupBy(
+        F.coalesce("component", "node"),
+    ).agg(F.min("best").alias("best")).select(F.col("best.key").alias("key"))
     kept = durable(kept, "kept")
     many = durable(prints.groupBy("key").agg(F.count("*").alias("n")), "rows")
     gone = durable(many.join(kept, "key", "left_anti").select("key"), "gone")

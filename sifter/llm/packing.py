@@ -104,7 +104,13 @@ def cuts(n: int, small: bool) -> list[tuple[int, int]]:
     return [*out, (at, n - at)]
 
 
-def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+def pack(
+    docs: DataFrame,
+    capacity: int = 2048,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    ranks: str = "byte_bpe_50k.tiktoken",
+) -> DataFrame:
     """Pieces of token streams laid gapless into sequences of at most capacity ids.
 
     A document's stream is its ids, then STOP_ID; a null text counts as empty. Each full stretch of capacity ids
@@ -131,7 +137,11 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
 
         def close() -> None:
             nonlocal number
-            parts = [(doc_id, start + at, ids[4 * at : 4 * (at + n)], total) for k, (doc_id, start, ids, total) in enumerate(rest) for at, n in cuts(len(ids) // 4, k % CUT_EVERY == 0)]
+            parts = [
+                (doc_id, start + at, ids[4 * at : 4 * (at + n)], total)
+                for k, (doc_id, start, ids, total) in enumerate(rest)
+                for at, n in cuts(len(ids) // 4, k % CUT_EVERY == 0)
+            ]
             bins, k = windows(np.array([len(x[2]) // 4 for x in parts], np.int64), capacity)
             offset = [0] * k
             for (doc_id, start, ids, total), b in zip(parts, bins.tolist(), strict=True):
@@ -160,7 +170,10 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
         while out:
             yield flush()
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return id_text(docs, id_col, text_col).mapInArrow(
+        run,
+        "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long",
+    )
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,20 @@ def line_features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
             continue
         n, chars = len(words), len(line)
         gone = lambda cut: chars - len(line.translate(None, cut))  # noqa: B023, E731
-        values.append((n, gone(_SYMBOL) / n, line.count(b"|") / n, line.count(b"!") / n, gone(_UPPER) / chars, gone(_DIGIT) / chars, len(set(words)) / n if n > 3 else 1.0, sum(map(operator.eq, words, words[1:])) / n, sum(map(len, words)) / n, line in seen))
+        values.append(
+            (
+                n,
+                gone(_SYMBOL) / n,
+                line.count(b"|") / n,
+                line.count(b"!") / n,
+                gone(_UPPER) / chars,
+                gone(_DIGIT) / chars,
+                len(set(words)) / n if n > 3 else 1.0,
+                sum(map(operator.eq, words, words[1:])) / n,
+                sum(map(len, words)) / n,
+                line in seen,
+            ),
+        )
         size.append(chars)
         seen.add(line)
     if not values:
@@ -96,7 +109,13 @@ class Chain:
 
 
 def fit_chain(
-    texts: list[np.ndarray], labels: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 1e-3, linked: bool = True, segment: int = SEGMENT
+    texts: list[np.ndarray],
+    labels: np.ndarray,
+    rounds: int = 150,
+    rate: float = 0.15,
+    decay: float = 1e-3,
+    linked: bool = True,
+    segment: int = SEGMENT,
 ) -> Chain:
     """Chain of greatest regularised likelihood, by Adam; texts: bins of each text; a text's label holds for all its lines.
 
@@ -161,27 +180,61 @@ def fit_chain(
     return Chain(weight, step)
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Chain:
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    train_docs: int = TRAIN_DOCS,
+    label_col: str = "quality",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> Chain:
     """Chain fitted to at most train_docs labelled documents whose crc32(id as text) mod 5 is not 0.
 
-    The sample is the labelled ids of least hash, whole texts. An id labelled more than once takes its mean label, 0.5 or more counting as 1. Null ids and null
-    labels are left out. Without both classes the score is the labels' share, smoothed.
+    The sample is the labelled ids of least hash, whole texts. An id labelled more than once takes its mean label, 0.5 or more
+    counting as 1. Null ids and null labels are left out. Without both classes the score is the labels' share, smoothed.
     """
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).where("doc_id is not null and label is not null")
+    known = labels.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(label_col).cast("double").alias("label"),
+    ).where("doc_id is not null and label is not null")
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)
-    picked = known.groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
+    picked = known.groupBy("doc_id").agg(
+        (F.avg("label") >= 0.5).cast("int").alias("label"),
+    ).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [(doc_id, label, line_features(text)[0].tobytes()) for doc_id, text, label in rows([batch])]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int32()), pa.array([x[2] for x in got], pa.binary())], ["doc_id", "label", "bins"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([x[0] for x in got], pa.int64()),
+                    pa.array([x[1] for x in got], pa.int32()),
+                    pa.array([x[2] for x in got], pa.binary()),
+                ],
+                ["doc_id", "label", "bins"],
+            )
 
     joined = id_text(docs, id_col, text_col).join(F.broadcast(picked), "doc_id")
-    got = sorted(((r.doc_id, r.label, bytes(r.bins)) for r in joined.select("doc_id", "text", "label").mapInArrow(bins, "doc_id long, label int, bins binary").toLocalIterator()))
+    got = sorted(
+        (
+            (r.doc_id, r.label, bytes(r.bins))
+            for r in joined.select("doc_id", "text", "label").mapInArrow(
+                bins,
+                "doc_id long, label int, bins binary",
+            ).toLocalIterator()
+        ),
+    )
     return fit_chain([np.frombuffer(x[2], np.uint8).reshape(-1, len(BINS)) for x in got], np.array([x[1] for x in got], np.int64))
 
 
-def quality_scores(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def quality_scores(
+    docs: DataFrame,
+    chain: Chain,
+    threshold: float = THRESHOLD,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: bool = False,
+) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs; with keep, docs' own columns of the rows predicted 1.
 
     score: each line's probability of being good, weighted by its bytes. Lines without a word have no weight; null and

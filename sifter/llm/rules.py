@@ -128,7 +128,19 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     is held against TOP_SHARE, DUP_SHARE, LINE_SHARE and COVER_SHARE. A single repeat counts for none of them. Null and blank
     texts have zero counts and fail the base; repeated rows and null ids are rows like any other.
     """
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "repeat_load", "dup_line_share", "cover_share", "base_failed", "kept"]
+    names = [
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "repeat_load",
+        "dup_line_share",
+        "cover_share",
+        "base_failed",
+        "kept",
+    ]
     kinds = [*[pa.int64()] * 6, *[pa.float64()] * 3, pa.bool_(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +149,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             cols = list(zip(*out, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    ddl = ", ".join(f"{n} {'long' if k == pa.int64() else 'double' if k == pa.float64() else 'boolean'}" for n, k in zip(names, kinds, strict=True))
+    ddl = ", ".join(
+        f"{n} {'long' if k == pa.int64() else 'double' if k == pa.float64() else 'boolean'}"
+        for n, k in zip(names, kinds, strict=True)
+    )
     return id_text(docs, id_col, text_col).mapInArrow(run, ddl)
 
 

@@ -34,10 +34,21 @@ def merged(parts: DataFrame, count: int, fan: int) -> DataFrame:
         slot = got["part"].to_numpy()
         vectors[row, slot] = got["bytes"].to_numpy()
         bins, _ = difference(vectors, count)
-        return pa.table({"at": got["bucket"], "slot": got["part"], "above": pa.array(got["bucket"].to_numpy() // fan, pa.int64()), "bin": pa.array(bins[row, slot], pa.int32()), "bytes": got["bytes"]})
+        return pa.table(
+            {
+                "at": got["bucket"],
+                "slot": got["part"],
+                "above": pa.array(got["bucket"].to_numpy() // fan, pa.int64()),
+                "bin": pa.array(bins[row, slot], pa.int32()),
+                "bytes": got["bytes"],
+            },
+        )
 
     while True:
-        step = level.groupBy(F.floor(F.col("bucket") / fan).alias("group")).applyInArrow(merge, "at long, slot int, above long, bin int, bytes long")
+        step = level.groupBy(F.floor(F.col("bucket") / fan).alias("group")).applyInArrow(
+            merge,
+            "at long, slot int, above long, bin int, bytes long",
+        )
         step = durable(step, "merged")
         up = step.select("at", "slot", "above", "bin")
         up = F.broadcast(up) if most * count <= SENT_PARTS else up
@@ -45,11 +56,21 @@ def merged(parts: DataFrame, count: int, fan: int) -> DataFrame:
         if most < fan:
             return placed.select("bucket", "part", F.col("slot").alias("shard"))
         placed = durable(placed, "placed")
-        level = durable(step.groupBy(F.col("above").alias("bucket"), F.col("bin").alias("part")).agg(F.sum("bytes").alias("bytes")), "level")
+        level = durable(
+            step.groupBy(F.col("above").alias("bucket"), F.col("bin").alias("part")).agg(F.sum("bytes").alias("bytes")),
+            "level",
+        )
         most //= fan
 
 
-def shards(docs: DataFrame, count: int = 8, id_col: str = "doc_id", text_col: str = "text", bucket_groups: int = BUCKET_GROUPS, fan: int = BUCKET_GROUPS) -> DataFrame:
+def shards(
+    docs: DataFrame,
+    count: int = 8,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    bucket_groups: int = BUCKET_GROUPS,
+    fan: int = BUCKET_GROUPS,
+) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for each row of docs: byte sums near equal, equal texts together.
 
     size: UTF-8 bytes of the text plus 1; a null text has none and is in the group of the empty text. Groups are
@@ -60,14 +81,25 @@ def shards(docs: DataFrame, count: int = 8, id_col: str = "doc_id", text_col: st
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key, size = F.unhex(F.sha2(text, 256)).alias("key"), (F.octet_length(text) + 1).cast("long").alias("size")
-    sized = durable(docs.select(F.col(id_col).cast("long").alias("doc_id"), key, size, F.crc32(text.cast("binary")).alias("text_crc32")), "sized")
+    sized = durable(
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), key, size, F.crc32(text.cast("binary")).alias("text_crc32")),
+        "sized",
+    )
     groups = durable(sized.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("copies")), "groups")
     buckets = max(1, math.ceil(groups.count() / bucket_groups))
 
     def divide(got: pa.Table) -> pa.Table:
         got = got.sort_by("key")
         bins, _ = difference(got["bytes"].to_numpy()[:, None], count)
-        return pa.table({"bucket": got["bucket"], "key": got["key"], "part": pa.array(bins[:, 0], pa.int32()), "bytes": got["bytes"], "copies": got["copies"]})
+        return pa.table(
+            {
+                "bucket": got["bucket"],
+                "key": got["key"],
+                "part": pa.array(bins[:, 0], pa.int32()),
+                "bytes": got["bytes"],
+                "copies": got["copies"],
+            },
+        )
 
     bucketed = groups.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", "bytes", "copies")
     parts = durable(bucketed.groupBy("bucket").applyInArrow(divide, "bucket long, key binary, part int, bytes long, copies long"), "parts")
@@ -86,7 +118,10 @@ def shards(docs: DataFrame, count: int = 8, id_col: str = "doc_id", text_col: st
             rank = np.empty(len(shard), np.int64)
             rank[order] = np.arange(len(shard)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(next_, many)
             next_ += many
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(shard), task, np.int32)), pa.array(rank)], [*batch.schema.names, "task", "rank"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(len(shard), task, np.int32)), pa.array(rank)],
+                [*batch.schema.names, "task", "rank"],
+            )
 
     joined = spread_join(sized, placed, "key", "copies").select("doc_id", "size", "text_crc32", "shard")
     # Written with its task and rank, so that the numbers below don't depend on how it is read again.
@@ -94,7 +129,13 @@ def shards(docs: DataFrame, count: int = 8, id_col: str = "doc_id", text_col: st
     held = numbered.groupBy("task", "shard").agg(F.count("*").alias("rows"))
     before = F.sum("rows").over(_by_shard()) - F.col("rows")
     starts = held.select("task", "shard", before.alias("before"))
-    return numbered.join(starts, ["task", "shard"]).select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("rank")).alias("slot"))
+    return numbered.join(starts, ["task", "shard"]).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        "shard",
+        (F.col("before") + F.col("rank")).alias("slot"),
+    )
 
 
 def _by_shard():
@@ -105,4 +146,12 @@ def _by_shard():
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = shards(table(spark, sf_dir, "documents"), 8)
-    return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return got.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )

@@ -13,9 +13,19 @@ from sifter.llm.common import durable, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path start, verdict), as dealt.
-RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
 #: Hosts listed as unwanted; each stands for its subdomains too.
-LISTED = [f"{name}.example.{top}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+LISTED = [
+    f"{name}.example.{top}"
+    for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+    for top in ("com", "net", "org")
+]
 #: 64-bit words of one literal: 4 MB. A level has as many literals as it needs; all of a cascade grows with the list alone.
 PART_WORDS = 1 << 19
 
@@ -107,7 +117,10 @@ def cascade(listed: DataFrame, universe: DataFrame, max_levels: int = 64) -> lis
     with the corpus. Null keys are left out; without listed keys there is no level.
     """
     inside = durable(listed.select(F.col("key").cast("string")).where("key is not null").distinct(), "listed")
-    outside = durable(universe.select(F.col("key").cast("string")).where("key is not null").distinct().join(inside, "key", "left_anti"), "others")
+    outside = durable(
+        universe.select(F.col("key").cast("string")).where("key is not null").distinct().join(inside, "key", "left_anti"),
+        "others",
+    )
     n, other = inside.count(), outside.count()
     levels: list[Level] = []
     while n:
@@ -128,7 +141,13 @@ def is_listed(key: Column, levels: list[Level]) -> Column:
     return said
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(
+    pages: DataFrame,
+    listed: DataFrame,
+    rules: list[tuple[str, str, str]] = RULES,
+    id_col: str = "page_id",
+    url_col: str = "url",
+) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of pages; listed: a column key of hosts to block.
 
     The longest fitting rule says allow or block; else a page is blocked if its host or a domain above it is
@@ -141,7 +160,13 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
     levels = cascade(listed, universe)
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     blocked = F.exists(suffixes(F.col("host")), lambda key: is_listed(key, levels)) if levels else F.lit(False)
-    return parts.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(blocked, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
+    return parts.select(
+        "page_id",
+        "host",
+        "path",
+        rule.alias("rule"),
+        F.coalesce(verdict, F.when(blocked, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+    )
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,11 +175,14 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     rules = sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r))
-    case = lambda say: " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{say(h, p, v)}'" for h, p, v in rules)
+    case = lambda say: " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{say(h, p, v)}'" for h, p, v in rules
+    )
     listed = " OR ".join(f"host = '{x}' OR ends_with(host, '.{x}')" for x in LISTED)
     return f"""
 WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
-p AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*', 0), '{UPPER}', '{LOWER}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM a)
+p AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*', 0), '{UPPER}', '{LOWER}') AS host, regexp_extract(r,
+    '^[^/?#]*([^?#]*)', 1) AS path FROM a)
 SELECT page_id, host, path, CASE {case(lambda h, p, v: h + p)} END AS rule,
   CASE {case(lambda h, p, v: v)} WHEN {listed} THEN 'block' ELSE 'allow' END AS verdict
 FROM p"""

@@ -44,7 +44,9 @@ def test_stages(spark, corpus):
     assert kept.columns == docs.columns and 22 not in left and set(range(12)) <= left
     lined = pipe.lines(spark, docs, SF)
     by = {r.doc_id: r for r in lined.collect()}
-    assert lined.columns == docs.columns and len(by[26].text.split("\n")) == 6 and len(by[27].text.split("\n")) == 2 and by[27].n_chars == len(by[27].text)
+    assert lined.columns == docs.columns and len(
+        by[26].text.split("\n"),
+    ) == 6 and len(by[27].text.split("\n")) == 2 and by[27].n_chars == len(by[27].text)
     assert all(by[k].text == texts[k] for k in by if k is not None and k != 27)
     once = pipe.near_dedup(spark, docs, SF)
     assert once.columns == docs.columns
@@ -72,7 +74,13 @@ def test_registered():
 
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
-    assert set(entry.oracle_sql()) <= set(names) and [n for n, _ in pipe.STAGES] == ["quality", "line_dedup", "near_dedup", "decontamination", "packing"]
+    assert set(entry.oracle_sql()) <= set(names) and [n for n, _ in pipe.STAGES] == [
+        "quality",
+        "line_dedup",
+        "near_dedup",
+        "decontamination",
+        "packing",
+    ]
 
 
 def test_score_ignores_labels():
@@ -119,7 +127,10 @@ def test_confirmed_by_blocks(spark):
     sets = [neardup.shingle_set(" ".join(w if rng.random() > k / 900 else "x" + w for w in base).encode(), 5) for k in range(60)]
     made = spark.createDataFrame([(k, x.astype("<u8").tobytes()) for k, x in enumerate(sets)], "node long, grams binary")
     of = spark.createDataFrame([(k, 0, len(x)) for k, x in enumerate(sets)], "node long, component long, size long")
-    got = [{(r.node, r.component) for r in components(neardup.confirmed(made, of, 0.8, block=b, share=s)).collect()} for b, s in ((1 << 22, 1 << 16), (300, 300), (10_000, 1000))]
+    got = [
+        {(r.node, r.component) for r in components(neardup.confirmed(made, of, 0.8, block=b, share=s)).collect()}
+        for b, s in ((1 << 22, 1 << 16), (300, 300), (10_000, 1000))
+    ]
     assert got[0] and got[0] == got[1] == got[2]
 
 
@@ -133,7 +144,12 @@ def test_null_ids_go_by_their_own_text(spark):
     rows = [(7, named[0])] + [(None, t) for t in [*alone[:3], named[0], twin[0], twin[0], alone[3], near, bad]]
     docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], spark.read.parquet(f"{SF}/documents.parquet").schema)
     once = [(r.doc_id, r.text) for r in pipe.near_dedup(spark, docs, SF).collect()]
-    assert len(once) == 7 and set(once) - {(None, alone[3]), (None, near)} == {(7, named[0]), (None, twin[0]), (None, bad), *((None, t) for t in alone[:3])}
+    assert len(once) == 7 and set(once) - {(None, alone[3]), (None, near)} == {
+        (7, named[0]),
+        (None, twin[0]),
+        (None, bad),
+        *((None, t) for t in alone[:3]),
+    }
     clean = sorted((r.text for r in pipe.decontaminate(spark, docs, SF).collect()))
     assert clean == sorted(t for _, t in rows if t != bad)
 
