@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sifter.llm.common import byte_words, durable, id_text, mixed, rows, spread_join, table, window_hashes
-from sifter.llm.components import components
+from sifter.llm.components import components, join_labels
 
 #: Rows of a block (one side of a task) at most, rows of a tile inside it, words hashed at once.
 BLOCK_ROWS, TILE_ROWS, FLUSH = 1 << 18, 2048, 1 << 20
-#: Partitions of block pairs at most; beyond, a partition holds several pairs, one after the other.
-MOST_TASKS = 1 << 14
+#: Comparisons of a partition of block pairs, about: some twenty seconds.
+TASK_PAIRS = 1 << 33
 
 
 def majority_bits(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -37,7 +37,14 @@ def majority_bits(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > counts[:, None, None], axis=2, bitorder="little").reshape(-1, 8).copy().view("<u8")[:, 0]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, width: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(
+    docs: DataFrame,
+    shingle: int = 4,
+    seed: int = 42,
+    width: int = 1,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """(doc_id, fingerprint): width 64-bit words, each most significant byte first.
 
     The text is lower-cased in A-Z only. A text without words (null, empty, blank) has zeros. The first
@@ -56,7 +63,10 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, width: int =
                 h = np.concatenate(hashes)
                 for k in range(width):
                     out[counts > 0, k] = majority_bits(mixed(h, k) if k else h, counts[counts > 0])
-            made = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())], ["doc_id", "fingerprint"])
+            made = pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())],
+                ["doc_id", "fingerprint"],
+            )
             ids.clear(), hashes.clear()
             return made
 
@@ -73,17 +83,6 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, width: int =
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fingerprint binary")
 
 
-def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Merge the classes of i[k] and j[k] for all k; label[x] stays the least index of x's class."""
-    while len(i):
-        a, b = label[i], label[j]
-        apart = a != b
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while not np.array_equal(up := label[label], label):
-            label[:] = up
-
-
 def compare(a: Side, b: Side | None, radius: int, within: Within | None = None) -> np.ndarray:
     """Classes of the rows of a (followed by those of b) joined by a pair a-b, or a-a without b, at most radius bits apart.
 
@@ -188,7 +187,14 @@ def links(prints: DataFrame, radius: int, width: int = 1, block_rows: int = BLOC
         order = np.argsort(by, kind="stable")
         for k, at in enumerate(range(0, len(order), block_rows)):
             own = order[at : at + block_rows]
-            row = [TaskContext.get().partitionId() << 32 | k, by[own[0]], by[own[-1]], words[own].tobytes(), node[own].tobytes(), by[own].tobytes()]
+            row = [
+                TaskContext.get().partitionId() << 32 | k,
+                by[own[0]],
+                by[own[-1]],
+                words[own].tobytes(),
+                node[own].tobytes(),
+                by[own].tobytes(),
+            ]
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["block", "low", "high", "prints", "nodes", "sizes"])
 
     ranged = prints.select("node", "fingerprint", rank.alias("rank")).repartitionByRange(parts, "rank", "fingerprint")
@@ -199,16 +205,29 @@ def links(prints: DataFrame, radius: int, width: int = 1, block_rows: int = BLOC
     upto = [bisect.bisect_right(spans, reach(high), key=lambda x: x[0]) - 1 for _, high, _ in spans]
     if not spans:
         return spark.createDataFrame([], "u long, v long")
-    number = spark.createDataFrame([(k, x[2], last) for k, (x, last) in enumerate(zip(spans, upto, strict=True))], "rank long, block long, last long")
+    number = spark.createDataFrame(
+        [(k, x[2], last) for k, (x, last) in enumerate(zip(spans, upto, strict=True))],
+        "rank long, block long, last long",
+    )
     ranked = blocks.join(F.broadcast(number), "block").select("rank", "last", "prints", "nodes", "sizes")
     met = F.broadcast(number.select(F.col("rank").alias("left"), F.explode(F.sequence("rank", "last")).alias("right")))
     tasks = sum(last - k + 1 for k, last in enumerate(upto))
     first = ranked.join(met, F.col("rank") == F.col("left")).select("left", "right", F.lit(0).alias("side"), "prints", "nodes", "sizes")
-    other = ranked.join(met.where("left <> right"), F.col("rank") == F.col("right")).select("left", "right", F.lit(1).alias("side"), "prints", "nodes", "sizes")
+    other = ranked.join(met.where("left <> right"), F.col("rank") == F.col("right")).select(
+        "left",
+        "right",
+        F.lit(1).alias("side"),
+        "prints",
+        "nodes",
+        "sizes",
+    )
 
     def forest(got: pa.Table) -> pa.Table:
         got = got.sort_by("side")
-        sides = [Side(np.frombuffer(p, np.uint64).reshape(-1, width), np.frombuffer(z, np.int64)) for p, z in zip(got["prints"].to_pylist(), got["sizes"].to_pylist(), strict=True)]
+        sides = [
+            Side(np.frombuffer(p, np.uint64).reshape(-1, width), np.frombuffer(z, np.int64))
+            for p, z in zip(got["prints"].to_pylist(), got["sizes"].to_pylist(), strict=True)
+        ]
         node = np.concatenate([np.frombuffer(x, np.int64) for x in got["nodes"].to_pylist()])
         label = compare(sides[0], sides[1] if len(sides) > 1 else None, radius, within)
         least = node.copy()
@@ -216,12 +235,21 @@ def links(prints: DataFrame, radius: int, width: int = 1, block_rows: int = BLOC
         moved = np.flatnonzero(node != least[label])
         return pa.table({"u": node[moved], "v": least[label[moved]]})
 
-    # A number of partitions that is asked for isn't merged by bytes: the work of a pair is not its bytes.
-    dealt = first.union(other).repartition(min(tasks, MOST_TASKS), "left", "right")
+    # A number of partitions that is asked for isn't merged by bytes: the work of a pair is not its bytes. As many as the work asks for.
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = first.union(other).repartition(min(tasks, max(least, math.ceil(n * n / 2 / TASK_PAIRS))), "left", "right")
     return dealt.groupBy("left", "right").applyInArrow(forest, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42, width: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame,
+    shingle: int = 4,
+    radius: int = 4,
+    seed: int = 42,
+    width: int = 1,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row for each row of docs.
 
     Two documents are linked when their fingerprints differ in at most radius bits; component_id is the
@@ -232,12 +260,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: in
     """
     prints = durable(fingerprints(docs, shingle, seed, width, id_col, text_col), "prints")
     name = F.conv(F.hex("fingerprint"), 16, -10).cast("long") if width == 1 else F.xxhash64("fingerprint")
-    nodes = durable(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).withColumn("node", name), "nodes")
+    nodes = durable(
+        prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).withColumn("node", name),
+        "nodes",
+    )
     found = components(links(nodes.select("node", "fingerprint"), radius, width))
     linked = nodes.select("node", "least").join(found, "node")
     ids = linked.groupBy("component").agg(F.min("least").alias("id"))
     of = linked.join(ids, "component").select("node", "id", F.lit(True).alias("linked"))
-    known = nodes.join(of, "node", "left").select("fingerprint", "copies", F.when(F.col("linked"), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    known = nodes.join(of, "node", "left").select(
+        "fingerprint",
+        "copies",
+        F.when(F.col("linked"), F.col("id")).otherwise(F.col("least")).alias("component_id"),
+    )
     return spread_join(prints, durable(known, "classes"), "fingerprint", "copies").select("doc_id", "fingerprint", "component_id")
 
 

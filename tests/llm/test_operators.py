@@ -31,7 +31,16 @@ def docs(spark):
     rng = random.Random(7)
     passage, base = text_of(rng, 60), text_of(rng, 300)
     texts = [text_of(rng, rng.randrange(1, 200)) for _ in range(40)]
-    texts += [base, base, base.replace("alpha", "Alpha", 1), base + " tail", passage + " " + texts[0], texts[1] + " " + passage + "\n" + texts[2], "\n".join(f"line {k} {texts[3]}" for k in range(6)), "x\n" + "\n".join(f"line {k} {texts[3]}" for k in range(1, 5)) + "\ny"]
+    texts += [
+        base,
+        base,
+        base.replace("alpha", "Alpha", 1),
+        base + " tail",
+        passage + " " + texts[0],
+        texts[1] + " " + passage + "\n" + texts[2],
+        "\n".join(f"line {k} {texts[3]}" for k in range(6)),
+        "x\n" + "\n".join(f"line {k} {texts[3]}" for k in range(1, 5)) + "\ny",
+    ]
     texts += [None, "", " \t\n", "a", "é ß\x0bÉ", text_of(rng, 30000), "the " * 400, "a\n\n\n\nb\n\n\n\nc"]
     rows = [(k * 3 % 101, t, "en", 1, 2, "h", 3, "r", 4) for k, t in enumerate(texts)]
     rows += [rows[5], (rows[7][0], "other text under one id", *rows[7][2:]), (None, base, *rows[0][2:]), (None, None, *rows[0][2:])]
@@ -101,7 +110,9 @@ def test_tiles_against_all_pairs(n, radius, width, seed):
 def test_blocks_give_the_same_classes(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
-    prints = base[rng.integers(0, 40, 700)] ^ (np.uint64(1) << rng.integers(0, 64, 700, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 700, dtype=np.uint64))
+    prints = base[rng.integers(0, 40, 700)] ^ (
+        np.uint64(1) << rng.integers(0, 64, 700, dtype=np.uint64)
+    ) ^ (np.uint64(1) << rng.integers(0, 64, 700, dtype=np.uint64))
     prints = np.unique(prints)
     df = spark.createDataFrame([(k, bytearray(int(x).to_bytes(8))) for k, x in enumerate(prints)], "node long, fingerprint binary")
     found = {r.node: r.component for r in components(simhash.links(df, 4, block_rows=64)).collect()}
@@ -114,10 +125,11 @@ def test_blocks_give_the_same_classes(spark):
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)] + [(5, 5)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     label = np.arange(400)
     simhash.join_labels(label, np.array([e[0] for e in edges]), np.array([e[1] for e in edges]))
-    assert all(got.get(k, k) == label[k] for k in range(400))
+    for task_edges in (0, 1 << 20):
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long"), task_edges=task_edges).collect()}
+        assert all(got.get(k, k) == label[k] for k in range(400))
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
@@ -154,8 +166,21 @@ def scanner(spark):
 
 
 def test_licenses(spark, docs, empty, scanner):
-    text = "One.\nLicensed under the Apache License, Version 2.0.\nI lost my driver's license.\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0.\nThis work is licensed under the GNU General Public License, version 3."
-    df = spark.createDataFrame([(1, text, 1), (2, "A fishing licence is needed here", 2), (3, None, 3), (4, "", 4), (1, text, 1), (5, "word " * 40000 + "\nMIT License", 5)], "doc_id long, text string, label int")
+    text = (
+        "One.\nLicensed under the Apache License, Version 2.0.\nI lost my driver's license.\nReleased under the MIT "
+        "License.\nLicensed under CC BY-NC 4.0.\nThis work is licensed under the GNU General Public License, version 3."
+    )
+    df = spark.createDataFrame(
+        [
+            (1, text, 1),
+            (2, "A fishing licence is needed here", 2),
+            (3, None, 3),
+            (4, "", 4),
+            (1, text, 1),
+            (5, "word " * 40000 + "\nMIT License", 5),
+        ],
+        "doc_id long, text string, label int",
+    )
     got = Counter((r.doc_id, r.line, r.family) for r in licenses.scan(df, scanner).collect())
     assert got == Counter({(1, 1, "apache"): 2, (1, 3, "mit"): 2, (1, 4, "cc-by-nc"): 2, (1, 5, "gpl"): 2, (5, 1, "mit"): 1})
     assert licenses.scan(docs[0], scanner).count() == 0 and licenses.scan(empty, scanner).count() == 0
@@ -204,7 +229,9 @@ def test_packing(docs, empty):
     assert sum(r.length for r in got) == sum(len(k[1]) // 4 * v for k, v in want.items())
     for pieces in by_sequence.values():
         pieces.sort(key=lambda r: r.offset)
-        assert [r.offset for r in pieces] == np.cumsum([0, *(r.length for r in pieces)])[:-1].tolist() and sum(r.length for r in pieces) <= 2048
+        assert [r.offset for r in pieces] == np.cumsum(
+            [0, *(r.length for r in pieces)],
+        )[:-1].tolist() and sum(r.length for r in pieces) <= 2048
         assert all(r.length * 4 == len(r.ids) for r in pieces)
     assert packing.pack(empty).count() == 0
 
@@ -214,7 +241,9 @@ def test_packing(docs, empty):
 def test_differencing(sizes, k):
     v = np.array(sizes, np.int64)[:, None]
     bins, sums = difference(v, k)
-    assert np.bincount(bins[:, 0], weights=v[:, 0], minlength=k).astype(int).tolist() == pytest.approx(np.bincount(bins[:, 0], weights=v[:, 0], minlength=k)) and sorted(sums) == sorted(np.bincount(bins[:, 0], weights=v[:, 0], minlength=k))
+    assert np.bincount(bins[:, 0], weights=v[:, 0], minlength=k).astype(int).tolist() == pytest.approx(
+        np.bincount(bins[:, 0], weights=v[:, 0], minlength=k),
+    ) and sorted(sums) == sorted(np.bincount(bins[:, 0], weights=v[:, 0], minlength=k))
     if sizes:
         assert sums.max() - sums.min() <= max(sizes)
         window, n = packing.windows(v[:, 0], 2048)
@@ -232,11 +261,23 @@ def test_decontamination(spark, docs, empty):
     items = [(k, text_of(rng, n)) for k, n in enumerate([40, 36, 50, 3, 1])] + [(9, None), (10, ""), (11, text_of(rng, 40))]
     a, b = items[0][1].split(), items[1][1].split()
     fill = lambda n: [f"filler{rng.randrange(9999)}" for _ in range(n)]
-    made = [(1, " ".join(fill(30) + a + fill(30))), (2, " ".join(fill(5) + b[18:] + fill(9) + b[:18])), (3, " ".join(fill(40) + a[:20])), (4, None), (5, ""), (6, ", ".join(x.upper() for x in a)), (7, " ".join(fill(20000) + a[10:] + fill(3) + a[:10])), (8, " ".join(fill(100))), (1, " ".join(a))]
+    made = [
+        (1, " ".join(fill(30) + a + fill(30))),
+        (2, " ".join(fill(5) + b[18:] + fill(9) + b[:18])),
+        (3, " ".join(fill(40) + a[:20])),
+        (4, None),
+        (5, ""),
+        (6, ", ".join(x.upper() for x in a)),
+        (7, " ".join(fill(20000) + a[10:] + fill(3) + a[:10])),
+        (8, " ".join(fill(100))),
+        (1, " ".join(a)),
+    ]
     df = spark.createDataFrame([(*x, 1, 2) for x in made], "doc_id long, text string, item_id int, label int")
     bench = spark.createDataFrame(items, "item_id long, text string")
     for block in (decontaminate.BLOCK_BYTES, 200):
-        got = Counter((r.doc_id, r.item_id, round(r.coverage, 6)) for r in decontaminate.contamination(df, bench, block_bytes=block).collect())
+        got = Counter(
+            (r.doc_id, r.item_id, round(r.coverage, 6)) for r in decontaminate.contamination(df, bench, block_bytes=block).collect()
+        )
         assert got == Counter({(1, 0, 1.0): 2, (2, 1, 1.0): 1, (6, 0, 1.0): 1, (7, 0, 1.0): 1})
     assert decontaminate.contamination(empty, bench).count() == 0
     assert decontaminate.contamination(df, bench.where("false")).count() == 0
@@ -300,7 +341,9 @@ def test_quality(spark, docs, empty):
     held = quality.quality_scores(d, chain).where("held_out").join(labels, "doc_id").select("predicted", "quality").collect()
     assert sum(r.predicted == r.quality for r in held) / len(held) >= 0.9
     got = quality.quality_scores(docs[0], chain).collect()
-    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in docs[1]) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in docs[1]) and all(
+        0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got
+    )
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
     assert quality.quality_scores(empty, chain).count() == 0
     assert quality.quality_scores(docs[0], chain, keep=True).columns == docs[0].columns
@@ -308,7 +351,25 @@ def test_quality(spark, docs, empty):
 
 
 def test_urls(spark):
-    made = [None, "", "no scheme", "http://A.Example.ORG/es/1?x=/fr/", "https://example.org/en/12", "http://notexample.org/en/1", "http://x.com/fr/a", "http://x.com/de/a", "http://x.com", "http://x.com?q=/de/", "http://y.net/", "http://www.Bad.net/z#f", "http://bad.net", "http://worse.bad.net:80/", "ftp://ok.net/a", "://bad.net/x", "http://user@bad.net/"] + [f"http://h{k}.net/" for k in range(3000)]
+    made = [
+        None,
+        "",
+        "no scheme",
+        "http://A.Example.ORG/es/1?x=/fr/",
+        "https://example.org/en/12",
+        "http://notexample.org/en/1",
+        "http://x.com/fr/a",
+        "http://x.com/de/a",
+        "http://x.com",
+        "http://x.com?q=/de/",
+        "http://y.net/",
+        "http://www.Bad.net/z#f",
+        "http://bad.net",
+        "http://worse.bad.net:80/",
+        "ftp://ok.net/a",
+        "://bad.net/x",
+        "http://user@bad.net/",
+    ] + [f"http://h{k}.net/" for k in range(3000)]
     pages = spark.createDataFrame([(k, u, "x") for k, u in enumerate(made)], "page_id long, url string, key string")
     listed = spark.createDataFrame([("bad.net",), ("never.seen",), (None,), *((f"h{k}.net",) for k in range(0, 3000, 50))], "key string")
     keys = {r.key for r in listed.collect()}
@@ -337,7 +398,9 @@ def test_urls(spark):
 def test_sharding(docs, empty):
     df, rows = docs
     got = sharding.shards(df, 8, bucket_groups=5).collect()
-    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter(
+        (r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows
+    )
     by = defaultdict(list)
     for r in got:
         by[r.shard].append(r.slot)
@@ -361,7 +424,14 @@ def _group(triples):
 def test_sharding_balance(spark):
     rng = random.Random(4)
     df = spark.createDataFrame([(k, "x" * rng.randrange(2000) + str(k)) for k in range(3000)], "doc_id long, text string")
-    sums = [r.b for r in sharding.shards(df, 8, bucket_groups=300).groupBy("shard").agg({"size": "sum"}).withColumnRenamed("sum(size)", "b").collect()]
+    sums = [
+        r.b
+        for r in sharding.shards(
+            df,
+            8,
+            bucket_groups=300,
+        ).groupBy("shard").agg({"size": "sum"}).withColumnRenamed("sum(size)", "b").collect()
+    ]
     assert len(sums) == 8 and max(sums) - min(sums) <= 0.001 * sum(sums) / 8
 
 
@@ -397,7 +467,10 @@ def test_substring_by_batches_and_buckets(spark, docs, monkeypatch):
     rng = random.Random(12)
     rows = []
     for k in range(60):
-        parts = [rng.choice(["a b c d e f g", "h i j k l m", "n o p q r s t u v w x y z", "1 2 3 4 5 6 7 8"]) for _ in range(rng.randrange(1, 6))]
+        parts = [
+            rng.choice(["a b c d e f g", "h i j k l m", "n o p q r s t u v w x y z", "1 2 3 4 5 6 7 8"])
+            for _ in range(rng.randrange(1, 6))
+        ]
         rows.append((rng.randrange(25), " ".join(parts + [text_of(rng, rng.randrange(4))])))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     monkeypatch.setattr(substring, "FLUSH", 40)
@@ -547,7 +620,12 @@ def test_spread_join(spark, monkeypatch):
     got = common.spread_join(big, unique, "key", "n")
     assert got.columns == ["key", "v", "name"] and Counter(map(tuple, got.collect())) == Counter((k, v, 2 * k) for k, v in rows)
     few = unique.where("key <> 3")
-    assert common.spread_join(big, few, "key", "n").count() == len(rows) - 6 and common.spread_join(big.where("false"), unique.where("false"), "key", "n").count() == 0
+    assert common.spread_join(big, few, "key", "n").count() == len(rows) - 6 and common.spread_join(
+        big.where("false"),
+        unique.where("false"),
+        "key",
+        "n",
+    ).count() == 0
 
 
 def wrapped(text, width, sign):
@@ -563,18 +641,34 @@ def wrapped(text, width, sign):
 
 #: Notices as they stand in the wild, none of them a template.
 NOTICES = [
-    ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
+    (
+        "mit",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated '
+        'documentation files (the "Software"), to deal in the Software without restriction',
+    ),
     ("mit", "This library is distributed under the terms of the MIT License."),
     ("mit", "Code released under the MIT License, see LICENSE"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    (
+        "gpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License",
+    ),
     ("gpl", "Licensed under the GNU General Public License, version 2"),
     ("gpl", "SPDX-License-Identifier: GPL-2.0-or-later"),
     ("lgpl", "This file is licensed under the GNU Lesser General Public License version 2.1"),
     ("agpl", "Licensed under the GNU Affero General Public License version 3 or later"),
-    ("apache", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    (
+        "apache",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with '
+        'the License.',
+    ),
     ("apache", "Distributed under the terms of the Apache License, Version 2.0, without warranties"),
     ("apache", "SPDX-License-Identifier: Apache-2.0"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met",
+    ),
     ("bsd", "Licensed under the BSD 3-Clause License"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("cc-by-sa", "Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply"),
@@ -587,7 +681,16 @@ NOTICES = [
 
 def test_license_recall_on_wrapped_notices(spark, scanner):
     """Held-apart notices, plain, wrapped at several widths and behind comment signs, in the midst of other lines."""
-    rows = [(k, f"some lines of code\n\n{sign.strip()}\n{wrapped(text, width, sign)}\n{sign.strip()}\nthe road winds past the mill", family) for k, (family, text, width, sign) in enumerate((f, t, w, c) for f, t in NOTICES for w in (40, 60, 72, 1000) for c in ("", "# ", " * ", "// "))]
+    rows = [
+        (
+            k,
+            f"some lines of code\n\n{sign.strip()}\n{wrapped(text, width, sign)}\n{sign.strip()}\nthe road winds past the mill",
+            family,
+        )
+        for k, (family, text, width, sign) in enumerate(
+            (f, t, w, c) for f, t in NOTICES for w in (40, 60, 72, 1000) for c in ("", "# ", " * ", "// ")
+        )
+    ]
     found = defaultdict(set)
     for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, label string"), scanner).collect():
         found[r.doc_id].add(r.family)
@@ -600,7 +703,13 @@ def test_license_recall_on_wrapped_notices(spark, scanner):
 def test_license_filter_loses_nothing(spark, scanner):
     """A paragraph without a mark holds less of any template than confirmation asks for."""
     assert all(licenses.touched(t) > 1 - licenses.CONFIRM for ts in licenses.TEMPLATES.values() for t in ts)
-    made = [(t.format(v="2.0"), True) for ts in licenses.TEMPLATES.values() for t in ts] + [("Unlicensed dogs", False), ("accept", False), ("xgnu", False), ("(CC)", True), ("2licensed", True)]
+    made = [(t.format(v="2.0"), True) for ts in licenses.TEMPLATES.values() for t in ts] + [
+        ("Unlicensed dogs", False),
+        ("accept", False),
+        ("xgnu", False),
+        ("(CC)", True),
+        ("2licensed", True),
+    ]
     got = spark.createDataFrame(made, "t string, want boolean").select("want", licenses.has_mark(F.lower("t")).alias("got")).collect()
     assert all(r.want == r.got for r in got)
 
@@ -615,7 +724,10 @@ def test_tiling_of_repeats_is_quick():
 
 
 def test_short_benchmark_items(spark):
-    bench = spark.createDataFrame([(1, "yes"), (2, "Two, words-here: now!"), (3, "one two three four five"), (4, None), (5, " ")], "item_id long, text string")
+    bench = spark.createDataFrame(
+        [(1, "yes"), (2, "Two, words-here: now!"), (3, "one two three four five"), (4, None), (5, " ")],
+        "item_id long, text string",
+    )
     assert sorted(r.item_id for r in decontaminate.short_items(bench).collect()) == [1, 2, 4, 5]
     docs = spark.createDataFrame([(1, "yes and one two three four five two words here now")], "doc_id long, text string")
     assert [r.item_id for r in decontaminate.contamination(docs, bench).collect()] == [3]
@@ -640,7 +752,10 @@ def test_long_host_lists(spark, monkeypatch):
     """A million listed hosts, in many literals, with exact answers for pages that are listed and pages that aren't."""
     monkeypatch.setattr(urls, "PART_WORDS", 1 << 17)
     listed = spark.range(1_000_000).select(F.concat(F.lit("h"), "id", F.lit(".net")).alias("key"))
-    pages = spark.range(995_000, 1_005_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www.h"), "id", F.lit(".net/x")).alias("url"))
+    pages = spark.range(995_000, 1_005_000).select(
+        F.col("id").alias("page_id"),
+        F.concat(F.lit("http://www.h"), "id", F.lit(".net/x")).alias("url"),
+    )
     got = urls.judge(pages, listed).groupBy((F.col("page_id") < 1_000_000).alias("listed"), "verdict").count().collect()
     assert {(r.listed, r.verdict): r["count"] for r in got} == {(True, "block"): 5000, (False, "allow"): 5000}
 
@@ -688,3 +803,89 @@ def test_substring_query_against_sql(spark):
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
     want = con.execute(f"select doc_id, n_words, n_removed, kept_sha256 from ({substring.OP9_SQL})").fetchall()
     assert sorted(map(tuple, substring.op9_substring(spark, sf).collect())) == sorted(want)
+
+
+def differenced_by_lists(sizes, k):
+    """Sums of k-way differencing, on plain lists: the two partial partitions of largest spread are merged, largest on smallest."""
+    parts = [([s] + [0] * (k - 1), n) for n, s in enumerate(sizes)]
+    number = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda x: (x[0][-1] - x[0][0], x[1]))
+        (a, _), (b, _) = parts.pop(0), parts.pop(0)
+        parts.append((sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True), number))
+        number += 1
+    return parts[0][0] if parts else [0] * k
+
+
+@given(st.lists(st.integers(1, 500), max_size=40), st.integers(1, 6))
+@settings(max_examples=80, deadline=None)
+def test_differencing_against_lists(sizes, k):
+    assert sorted(difference(np.array(sizes, np.int64)[:, None], k)[1]) == sorted(differenced_by_lists(sizes, k))
+
+
+def test_sharding_against_lists(spark):
+    """One bucket: the shards' bytes are those of differencing the groups of equal texts."""
+    rng = random.Random(14)
+    texts = ["x" * rng.randrange(400) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sums = Counter()
+    for r in sharding.shards(df, 8).collect():
+        sums[r.shard] += r.size
+    groups = Counter()
+    for t in texts:
+        groups[t] += len(t) + 1
+    by_key = [groups[t] for t in sorted(groups, key=lambda t: hashlib.sha256(t.encode()).digest())]
+    assert sorted(sums.values()) == sorted(differenced_by_lists(by_key, 8))
+
+
+def features_by_hand(text):
+    out, size, seen = [], [], set()
+    for line in text.split("\n"):
+        w = line.split()
+        if not w:
+            continue
+        n, raw = len(w), line.encode()
+        share = lambda chars: sum(c in chars for c in line)  # noqa: B023, E731
+        upper, digit = sum("A" <= c <= "Z" for c in line) / len(raw), sum("0" <= c <= "9" for c in line) / len(raw)
+        echo = sum(a == b for a, b in zip(w, w[1:], strict=False)) / n
+        values = [n, share("#*$%&<>") / n, share("|") / n, share("!") / n, upper, digit, len(set(w)) / n if n > 3 else 1.0, echo]
+        values += [sum(len(x.encode()) for x in w) / n, float(line in seen)]
+        out.append([sum(v > edge for edge in edges) for v, edges in zip(values, quality.BINS.values(), strict=True)])
+        size.append(len(raw))
+        seen.add(line)
+    return out, size
+
+
+def test_quality_score_by_hand():
+    """Features, marginals over all paths and the mean weighted by bytes, computed apart."""
+    rng, text = np.random.default_rng(5), "One two, three!\n\n### $$ 12 | A\nOne two, three!\né é é é BIG 9\nlast"
+    bins, size = quality.line_features(text.encode())
+    want, lengths = features_by_hand(text)
+    assert bins.tolist() == want and size.tolist() == lengths
+    chain = quality.Chain(rng.normal(size=quality.N_WEIGHTS) / 3, rng.normal(size=(2, 2)))
+    p = marginals_by_paths(chain, quality.weight_places(bins))
+    assert abs(chain.score(text.encode()) - float((p * np.array(lengths)).sum() / sum(lengths))) < 1e-9
+
+
+def test_fit_is_at_a_maximum():
+    """The regularised likelihood, by all paths, is not raised by moving the fitted weights any way tried."""
+    texts = [b"One two three four.\nFive six seven.", b"### $$$\n%%% &&&\nOne two three four.", b"Ten eleven!", b"### ###"]
+    labels, decay = np.array([1, 0, 1, 0]), 1e-2
+    bins = [quality.line_features(t)[0] for t in texts]
+    chain = quality.fit_chain(bins, labels, rounds=1500, rate=0.02, decay=decay)
+
+    def value(weight, step):
+        total = 0.0
+        for b, y in zip(bins, labels, strict=True):
+            own = weight[quality.weight_places(b)].sum(1) + weight[-1]
+            n = len(own)
+            score = lambda path: sum(o for o, v in zip(own, path, strict=True) if v) + sum(step[p, q] for p, q in zip(path, path[1:], strict=False))  # noqa: B023, E731
+            paths = [[k >> j & 1 for j in range(n)] for k in range(2**n)]
+            total += (score([y] * n) - np.logaddexp.reduce([score(p) for p in paths])) / n
+        return total / len(texts) - decay / 2 * ((weight**2).sum() + (step**2).sum())
+
+    rng, best = np.random.default_rng(1), value(chain.weight, chain.step)
+    one_line = [k for k, b in enumerate(bins) if len(b) == 1]
+    assert one_line
+    for _ in range(30):
+        assert value(chain.weight + 0.3 * rng.normal(size=quality.N_WEIGHTS), chain.step + 0.3 * rng.normal(size=(2, 2))) < best
