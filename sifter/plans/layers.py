@@ -79,7 +79,7 @@ def _pairs_sql(score: str, cut: float) -> str:
 def _pairs(spark: SparkSession, d: str, score, cut: float) -> DataFrame:
     _, ties = reasoning.linked(artifacts(spark, d), score, cut)
     rows = [(int(a[1:]), int(b[1:]), w) for a, b, w in ties]
-    return spark.createDataFrame(rows, "a bigint, b bigint, weight double").withColumn("weight", F.round("weight", 3))
+    return spark.createDataFrame(rows, "a int, b int, weight double").withColumn("weight", F.round("weight", 3))
 
 
 @query("knowledge_links", _pairs_sql(_KNOWLEDGE, tables.KNOWLEDGE_EDGE))
@@ -112,7 +112,7 @@ def confidence_score(spark, d):
     items = artifacts(spark, d)
     of = lambda r: [i for i in items if i.families == [f"f{r}"]]
     rows = [(r, reasoning.confidence(of(r), of(r + 1), [f"u{k}" for k in range(r)])[0]) for r in range(5)]
-    return spark.createDataFrame(rows, "region bigint, score double")
+    return spark.createDataFrame(rows, "region int, score double")
 
 
 _PRIORITY = f"""WITH {_ROWS} SELECT k, round(greatest(0, least(100, 0.30 * strength + 20 * sure / 7.3 + 15 * least(1.0, k / 8.0)
@@ -134,7 +134,7 @@ def priority_score(spark, d):
             "hypotheses": k % 5,
         }
         rows.append((k, reasoning.priority(**parts, cohesion=i.community, contradiction=(k % 2) / 2)))
-    return spark.createDataFrame(rows, "k bigint, priority double")
+    return spark.createDataFrame(rows, "k int, priority double")
 
 
 _CONTRA = f"""WITH {_ROWS}, g AS (SELECT r, list_distinct(flatten(list(columns))) AS columns,
@@ -154,4 +154,4 @@ def contradictions(spark, d):
         if own:
             columns, kinds = sorted({c for i in own for c in i.columns}), {i.category for i in own}
             rows += [(r, int(e.id[1:])) for e in reasoning.contradictions([i.id for i in own], columns, kinds, items)]
-    return spark.createDataFrame(rows, "region bigint, k bigint")
+    return spark.createDataFrame(rows, "region int, k int")
