@@ -58,7 +58,14 @@ def _send(named: list[tuple[int, int, np.ndarray]], batch: int, buckets: int) ->
     shared = np.zeros(len(first), bool)
     shared[inverse[later]] = True
     here = np.flatnonzero(shared[inverse])
-    yield {"bucket": int(batch % buckets), "batch": batch, "ids": _pack(np.r_[ids, keys]), "counts": _pack(counts), "steps": _pack(here), "name": _pack(~own[here])}
+    yield {
+        "bucket": int(batch % buckets),
+        "batch": batch,
+        "ids": _pack(np.r_[ids, keys]),
+        "counts": _pack(counts),
+        "steps": _pack(here),
+        "name": _pack(~own[here]),
+    }
     keep = np.flatnonzero(own)
     bucket = (name[keep] >> np.uint64(32)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
@@ -66,7 +73,14 @@ def _send(named: list[tuple[int, int, np.ndarray]], batch: int, buckets: int) ->
     for k in np.flatnonzero(np.diff(edge)):
         places = keep[order[edge[k] : edge[k + 1]]]
         held, many = np.unique(owner[places], return_counts=True)
-        yield {"bucket": -1 - int(k), "batch": batch, "ids": _pack(np.diff(ids[held], prepend=0)), "counts": _pack(many), "steps": _pack(np.diff(places, prepend=0).astype("<u4")), "name": name[places].tobytes()}
+        yield {
+            "bucket": -1 - int(k),
+            "batch": batch,
+            "ids": _pack(np.diff(ids[held], prepend=0)),
+            "counts": _pack(many),
+            "steps": _pack(np.diff(places, prepend=0).astype("<u4")),
+            "name": name[places].tobytes(),
+        }
 
 
 def _meet(got: pa.Table) -> pa.Table:
@@ -199,7 +213,11 @@ def repeated_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     short, *longer = level_lengths(window)
     found = _shared_runs(texts, lambda row: window_names(word_codes(byte_words(row[2])), short), buckets(_bytes(texts) / 4), "level")
     if not longer:
-        return found.where(F.octet_length("later_first") > 0).select("key", F.col("later_first").alias("first"), F.col("later_last").alias("last"))
+        return found.where(F.octet_length("later_first") > 0).select(
+            "key",
+            F.col("later_first").alias("first"),
+            F.col("later_last").alias("last"),
+        )
     reach = window - short
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +227,10 @@ def repeated_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             both = at[np.isin(at + reach, at)]
             if len(both):
                 name = window_names(word_codes(byte_words(row[2])), window, both)
-                yield pa.RecordBatch.from_pydict({"doc_id": [row[0]], "key": [row[1]], "at": [both.astype("<i4").tobytes()], "name": [name.tobytes()]}, pa.schema(CANDIDATES))
+                yield pa.RecordBatch.from_pydict(
+                    {"doc_id": [row[0]], "key": [row[1]], "at": [both.astype("<i4").tobytes()], "name": [name.tobytes()]},
+                    pa.schema(CANDIDATES),
+                )
 
     able = found.select("key", "first", "last")
     named = texts.join(_small(able), "key").select("doc_id", "key", "text", "first", "last").mapInArrow(candidates, NAMES)
@@ -221,10 +242,16 @@ def repeated_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         """Runs of candidates as runs of words' places."""
         for key, at, first, last in rows(batches, 64):
             a, b = _runs(ints(at, "<i4")[_spread(first, last)])
-            yield pa.RecordBatch.from_pydict({"key": [key], "first": [a], "last": [b]}, pa.schema([("key", pa.int64()), ("first", pa.binary()), ("last", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(
+                {"key": [key], "first": [a], "last": [b]},
+                pa.schema([("key", pa.int64()), ("first", pa.binary()), ("last", pa.binary())]),
+            )
 
     later = again.select("key", F.col("later_first").alias("first"), F.col("later_last").alias("last"))
-    return named.select("key", "at").join(_small(later), "key").select("key", "at", "first", "last").mapInArrow(placed, "key long, first binary, last binary")
+    return named.select("key", "at").join(_small(later), "key").select("key", "at", "first", "last").mapInArrow(
+        placed,
+        "key long, first binary, last binary",
+    )
 
 
 def drop_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,7 +277,10 @@ def drop_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text
                     gone = n - len(words)
                 for k, x in zip(out, (doc_id, n, gone, b" ".join(words)), strict=True):
                     out[k].append(x)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(
+                out,
+                pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())]),
+            )
 
     joined = keyed(docs, id_col, text_col).join(_small(spans), "key", "left").select("doc_id", "text", "first", "last")
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary")
@@ -263,7 +293,8 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Windows as text, on whole tables: the first doc_id of each, and the words that later ones cover.
 OP9_SQL = r"""
-WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents),
 s AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM t WHERE len(w) >= 13),
 h AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 12], ' ')) AS x FROM s),
 f AS (SELECT x, min(doc_id) AS least FROM h GROUP BY x),
