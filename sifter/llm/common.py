@@ -12,9 +12,27 @@ from pyspark.sql import functions as F
 
 from sifter.sources.shared import durable, release, shared_root
 
-__all__ = ["byte_words", "durable", "id_text", "ints", "mixed", "release", "rows", "shared_root", "small_batches", "spread_join", "table", "window_hashes", "window_names", "word_codes"]
+__all__ = [
+    "byte_words",
+    "durable",
+    "id_text",
+    "ints",
+    "mixed",
+    "release",
+    "rows",
+    "shared_root",
+    "small",
+    "small_batches",
+    "spread_join",
+    "table",
+    "window_hashes",
+    "window_names",
+    "word_codes",
+]
 #: A key is hot if one in so many rows has it; so there are at most as many hot keys.
 HOT_SHARE = 1000
+#: Bytes of a table up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,6 +57,11 @@ def spread_join(big: DataFrame, unique: DataFrame, key: str, weight: str, how: s
     return big.join(F.broadcast(few), key).unionByName(rest)
 
 
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df marked for broadcast if its rows, counted first, take BROADCAST_BYTES at most; else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def byte_words(text: bytes | None) -> list[bytes]:
     """Words of [^\\x20\\x09-\\x0D]+ in UTF-8; bytes.split() cuts at just those six characters."""
     return text.split() if text else []

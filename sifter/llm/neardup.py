@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifter.llm.common import byte_words, durable, id_text, mixed, rows, window_names, word_codes
+from sifter.llm.common import byte_words, durable, id_text, mixed, rows, small, window_names, word_codes
 from sifter.llm.components import components
 from sifter.llm.simhash import Within, join_labels, links, majority_bits
 
@@ -176,7 +176,8 @@ def near_copies(
                 )
 
     texts = id_text(docs, id_col, text_col)
-    texts = texts.select(row_key(texts).alias("key"), "text").join(near.select("key", "node"), "key").select("node", "text")
+    # Whole texts stay where they are while the keys of the few that have a candidate are small.
+    texts = texts.select(row_key(texts).alias("key"), "text").join(small(near.select("key", "node"), 16), "key").select("node", "text")
     sets = durable(texts.mapInArrow(grams, "node long, grams binary").groupBy("node").agg(F.first("grams").alias("grams")), "sets")
     of = components(confirmed(sets, near.select("node", "component", "size"), similarity))
     kept = nodes.join(of, "node", "left").groupBy(
