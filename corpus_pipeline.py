@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.llm.common import durable, table
+from sifter.llm.common import durable, small, table
 from sifter.llm.decontaminate import contamination
 from sifter.llm.lines import drop_repeated_lines
 from sifter.llm.neardup import near_copies, row_key
@@ -59,7 +59,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are named by doc_id and text, so a row with a null doc_id goes for its own text alone; it stays only if its component
     has null ids alone. Of rows of one doc_id and one text, one stays.
     """
-    gone, again = near_copies(docs, SHINGLE, SIMILARITY, RADII, WIDTH)
+    gone, again = (small(x, 8) for x in near_copies(docs, SHINGLE, SIMILARITY, RADII, WIDTH))
     left = docs.join(gone, row_key(docs) == gone.key, "left_anti")
     if again.isEmpty():
         return left
@@ -79,6 +79,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="key").select(F.col("doc_id").alias("key")).distinct(),
         "hit",
     )
+    hit = small(hit, 8)
     return docs.join(hit, row_key(docs) == hit.key, "left_anti")
 
 
