@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sifter.llm import decontaminate, licenses, lines, packing, quality, rules, sharding, simhash, substring, urls
+from sifter.llm import decontaminate, divergence, language, licenses, lines, packing, quality, resample, rules, sharding, simhash, substring, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_substring": substring.op9_substring,
         "op10_rules": rules.op10_rules,
+        "op11_divergence": divergence.op11_divergence,
+        "op12_language": language.op12_language,
+        "op13_resample": resample.op13_resample,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lines": lines.OP2_SQL, "op7_urls": urls.OP7_SQL, "op9_substring": substring.OP9_SQL}
+    return {
+        "op2_lines": lines.OP2_SQL,
+        "op7_urls": urls.OP7_SQL,
+        "op9_substring": substring.OP9_SQL,
+        "op11_divergence": divergence.OP11_SQL,
+        "op13_resample": resample.OP13_SQL,
+    }
