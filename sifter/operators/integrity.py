@@ -16,6 +16,7 @@ from sifter.operators.findings import finding, none
 from sifter.operators.graph import local_components
 from sifter.operators.moments import pearson
 from sifter.operators.profile import duplicate_rows, row_key, value_counts
+from sifter.operators.identity import duplicate_places
 from sifter.operators.sampling import row_sample
 
 MODULE = "integrity"
@@ -106,7 +107,10 @@ def duplicate_row_counts(df: DataFrame, s: IntegritySettings) -> DataFrame:
 
 
 def duplicates(df: DataFrame, profile: DataFrame, s: IntegritySettings, counted: tuple[int, int] | None = None) -> DataFrame:
-    """A finding if at least 0.01 of two or more rows repeat an earlier one; up to 100 keys of repeated rows go with it.
+    """A finding if at least 0.01 of two or more rows repeat an earlier one; the numbers of the first 100 such rows go with it.
+
+    Rows are numbered from 0 over the source's files; where rows have no places (see identity), up to 100 hashes of repeated
+    rows stand instead, and the evidence says so.
 
     counted: rows and duplicates, if they are known.
     """
@@ -118,9 +122,13 @@ def duplicates(df: DataFrame, profile: DataFrame, s: IntegritySettings, counted:
     if rows < 2 or repeats / rows < s.duplicates[-1]:
         return none(spark)
     ratio = F.lit(repeats / rows)
-    keys = row_key(df)
-    again = df.groupBy(keys[0].alias("k"), keys[1].alias("k2")).agg(F.count("*").alias("n")).where("n > 1")
-    sample = again.orderBy("k", "k2").limit(100).agg(F.sort_array(F.collect_list("k")).alias("keys"))
+    numbered = duplicate_places(df, 100)
+    if numbered is not None:
+        sample = numbered.agg(F.sort_array(F.collect_list("row")).alias("keys"))
+    else:
+        keys = row_key(df)
+        again = df.groupBy(keys[0].alias("k"), keys[1].alias("k2")).agg(F.count("*").alias("n")).where("n > 1")
+        sample = again.orderBy("k", "k2").limit(100).agg(F.sort_array(F.collect_list("k")).alias("keys"))
     return finding(
         sample,
         MODULE,
@@ -132,7 +140,12 @@ def duplicates(df: DataFrame, profile: DataFrame, s: IntegritySettings, counted:
         columns=F.array(*map(F.lit, df.columns)),
         rows=F.col("keys"),
         recommendation="Check joins and loads for repeated input.",
-        evidence={"duplicate_count": F.lit(repeats), "duplicate_ratio": F.bround(ratio, 4), "total_rows": F.lit(rows)},
+        evidence={
+            "duplicate_count": F.lit(repeats),
+            "duplicate_ratio": F.bround(ratio, 4),
+            "total_rows": F.lit(rows),
+            "rows_are": F.lit("hashes" if numbered is None else "numbers"),
+        },
         anomaly_strength=ratio,
         impact=ratio,
     )

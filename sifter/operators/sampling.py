@@ -1,4 +1,4 @@
-"""Samples of exactly n rows, drawn row by row."""
+"""Samples of exactly n rows, drawn row by row: by place where the rows of files have one, else by value."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sifter.operators.identity import place_sample
 from sifter.operators.profile import row_key
 
 #: Equal rows that one task draws for, and bytes of a chosen key.
@@ -15,16 +16,26 @@ BROADCAST_BYTES = 32 << 20
 
 
 def row_sample(df: DataFrame, rows: int, seed: int = 42, n: int | None = None) -> DataFrame:
-    """Exactly `rows` rows of df (all, if there are no more), each row being as likely as any other.
+    """Exactly `rows` rows of df (all, if there are no more), each row being as likely as any other, the same for any partitioning.
 
-    The k-th of equal rows draws the hash of (seed, row, k), so that equal rows are drawn one by one and the sample is the same
-    for any partitioning and any order. Rows are counted by a 128-bit key, pre-aggregated; draws above a cut that all but
-    surely leaves a few more than `rows` go at once, wherever they are; the few too many go last, so that no task sees more
-    than about `rows` draws. Equal rows beyond COPIES draw in tasks of their own. n: the number of rows, if it is known.
+    Rows that a file's reader numbers are drawn by their places, in one narrow pass; others by their values. n: the number
+    of rows, if it is known.
     """
     n = df.count() if n is None else n
     if n <= rows:
         return df
+    by_place = place_sample(df, rows, seed, n)
+    return value_sample(df, rows, seed, n) if by_place is None else by_place
+
+
+def value_sample(df: DataFrame, rows: int, seed: int, n: int) -> DataFrame:
+    """`rows` of the n rows of df, more than `rows`, drawn by value, for sources whose rows have no places.
+
+    The k-th of equal rows draws the hash of (seed, row, k), so that equal rows are drawn one by one and the sample is the same
+    for any partitioning and any order. Rows are counted by a 128-bit key, pre-aggregated; draws above a cut that all but
+    surely leaves a few more than `rows` go at once, wherever they are; the few too many go last, so that no task sees more
+    than about `rows` draws. Equal rows beyond COPIES draw in tasks of their own.
+    """
     spark, keys = df.sparkSession, row_key(df)
     counts = df.select(keys[0].alias("k0"), keys[1].alias("k1")).groupBy("k0", "k1").agg(F.count("*").alias("copies"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -9,6 +9,7 @@ from sifter.config import IntegritySettings, RelationshipSettings
 from sifter.functions import stats
 from sifter.functions.scalars import value_type
 from sifter.operators import graph, integrity, moments, relationship
+from sifter.operators.identity import duplicate_places
 from sifter.operators.profile import clean, duplicate_rows, profile, profile_table
 from sifter.operators.sampling import row_sample as sample_rows
 
@@ -694,7 +695,21 @@ def dense(spark, d):
     return graph.density(n, e).withColumn("density", F.round("density", 6))
 
 
-@query("row_sample", "SELECT l_returnflag, l_linestatus, 5000 AS rows, true AS even FROM lineitem GROUP BY ALL")
+_NUMBERED = "SELECT row_number() OVER () - 1 AS row, {} FROM {}"
+
+
+@query(
+    "duplicate_places",
+    f"WITH n AS MATERIALIZED ({_NUMBERED.format('user_id, event_type', 'events')}), f AS (SELECT row, min(row) OVER (PARTITION BY "
+    f"user_id, event_type) AS first FROM n) SELECT row, first FROM f WHERE row <> first",
+)
+def dup_places(spark, d):
+    """The number of every row of events that repeats an earlier one in two columns, and of the first of its kind."""
+    return duplicate_places(read(spark, d, "events").select("user_id", "event_type"))
+
+
+@query("row_sample", "SELECT l_returnflag, l_linestatus, CAST(least(5000, (SELECT count(*) FROM lineitem)) AS INT) AS rows, true AS even FROM "
+    "lineitem GROUP BY ALL")
 def sampled(spark, d):
     """5,000 rows of the two columns of fewest values: every pair of values is drawn, and as often as its share says, to 0.03."""
     li = read(spark, d, "lineitem").select("l_returnflag", "l_linestatus")
