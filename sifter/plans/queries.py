@@ -10,7 +10,7 @@ from sifter.engine import Engine
 from sifter.functions.scalars import jaccard, severity_rank, severity_weight
 from sifter.operators import findings as found
 from sifter.operators import similarity
-from sifter.plans import compare, detect, layers  # noqa: F401  (layers registers its queries)
+from sifter.plans import compare, detect, layers, lineage, ruleplans  # noqa: F401  (the last three register their queries)
 from sifter.plans.detect import SQL, Q, labelled, prices, query, read
 from sifter.plans.reasoning import reason
 from sifter.streaming.incremental import merge_counts, profiled, windowed_counts
@@ -167,8 +167,8 @@ def metrics(spark, d):
     return spark.createDataFrame([(k, float(v)) for k, v in sorted(m.items())], "name string, value double")
 
 
-@query("provenance")
-def lineage(spark, d):
+@query("reasoning_lineage")
+def reasoning_lineage(spark, d):
     return spark.createDataFrame(reason(example_findings(spark, d).drop("k")).lineage(), "parent string, child string, layer string")
 
 
