@@ -112,10 +112,10 @@ def _vocabulary() -> dict[str, list[str]]:
 
 VOCABULARY = _vocabulary()
 _PLACES = {
-    "words": ["k % {n}", "k // 3 % {n}", "k * 7 % {n}"],
-    "kinds": ["k % {n}", "k // 2 % {n}"],
+    "words": ["k % {n}", "k // {n} % {n}", "k * 7 % {n}"],
+    "kinds": ["k % {n}", "k // {n} % {n}"],
     "columns": ["k // 4 % {n}"],
-    "concepts": ["k % {n}", "k // 5 % {n}"],
+    "concepts": ["k % {n}", "k // {n} % {n}"],
 }
 
 
