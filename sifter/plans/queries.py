@@ -10,7 +10,7 @@ from sifter.engine import Engine
 from sifter.functions.scalars import jaccard, severity_rank, severity_weight
 from sifter.operators import findings as found
 from sifter.operators import similarity
-from sifter.plans import compare, detect, layers, lineage, ruleplans  # noqa: F401  (the last three register their queries)
+from sifter.plans import compare, detect, evidence as evidence_plans, layers, lineage, ruleplans  # noqa: F401  (the last four register their queries)
 from sifter.plans.detect import SQL, Q, labelled, prices, query, read
 from sifter.plans.reasoning import reason
 from sifter.streaming.incremental import merge_counts, profiled, windowed_counts
