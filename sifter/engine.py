@@ -127,7 +127,9 @@ class Integrity(Module):
         except Exception:
             kept = [guarded(domain, lambda x=x: frozen(x)) for domain, x in made.items()]
             out = frozen(reduce(DataFrame.unionByName, (x for x in kept if x is not None), found.none(spark)))
-        return out.unionByName(frozen(integrity.health_finding(out, tuple(failed))))
+        bad = p.metadata.get("malformed_rows", 0)
+        lines = frozen(integrity.malformed_rows(spark, bad, p.metadata["original_rows"], s, p.metadata["malformed_example"])) if bad else found.none(spark)
+        return out.unionByName(frozen(integrity.health_finding(out, tuple(failed)))).unionByName(lines)
 
 
 @register

@@ -100,6 +100,27 @@ def missing_values(df: DataFrame, profile: DataFrame, s: IntegritySettings) -> D
     )
 
 
+def malformed_rows(spark: SparkSession, corrupt: int, rows: int, s: IntegritySettings, example: str = "") -> DataFrame:
+    """A finding if lines of a delimited source did not fit its header, by their share of all."""
+    if not corrupt:
+        return none(spark)
+    ratio = F.lit(corrupt / max(rows, 1))
+    return finding(
+        spark.range(1),
+        MODULE,
+        "malformed_rows",
+        title=_text("%d malformed lines", F.lit(corrupt)),
+        description=_text("%d of %d lines have other fields than the header, and were read only in part", F.lit(corrupt), F.lit(rows)),
+        severity=F.coalesce(severity_by_ratio(ratio, s.duplicates), F.lit("low")),
+        confidence=F.lit(1.0),
+        columns=F.array().cast("array<string>"),
+        recommendation="Look at separators and quotes where the source is written.",
+        evidence={"malformed_count": F.lit(corrupt), "malformed_ratio": F.bround(ratio, 6), "total_rows": F.lit(rows), "example": F.lit(example)},
+        anomaly_strength=ratio,
+        impact=ratio,
+    )
+
+
 def duplicate_row_counts(df: DataFrame, s: IntegritySettings) -> DataFrame:
     """(rows, duplicates, ratio, severity)."""
     ratio = _ratio(F.col("duplicates"), F.col("rows"))

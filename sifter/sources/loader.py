@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from pathlib import Path, PurePosixPath
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sifter.operators.profile import clean
 from sifter.operators.sampling import row_sample
@@ -26,6 +29,11 @@ POSTGRES = ("postgresql://", "postgres://", "postgresql+psycopg2://")
 NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_$]*(\.[A-Za-z_][A-Za-z0-9_$]*)?$")
 
 
+#: The column that holds a line which does not fit the others, while such lines are counted.
+CORRUPT = "sifter corrupt line"
+log = logging.getLogger(__name__)
+
+
 class LoadError(Exception):
     """A source that can't be read."""
 
@@ -71,12 +79,7 @@ def read(spark: SparkSession, source: str, *, table_name: str | None = None, que
     kind = source_type(source)
     try:
         if kind in ("csv", "tsv"):
-            reader = spark.read.options(
-                **(
-                    {"header": True, "inferSchema": True, "mode": "PERMISSIVE"} | ({"sep": "\t"} if kind == "tsv" else {}) | options
-                ),
-            )
-            return reader.csv(source)
+            return spark.read.options(**_delimited(kind, options)).csv(source)
         if kind == "postgresql":
             return _jdbc(spark, jdbc_options(source, table_name, query), dict(options))
         if kind == "excel":
@@ -150,9 +153,50 @@ def _excel(spark: SparkSession, source: str, **options) -> DataFrame:
     return spark.createDataFrame(pd.read_excel(source, engine="openpyxl", **options))
 
 
+def _delimited(kind: str, options: dict) -> dict:
+    return {"header": True, "inferSchema": True, "mode": "PERMISSIVE"} | ({"sep": "\t"} if kind == "tsv" else {}) | options
+
+
+def with_corrupt(spark: SparkSession, source: str, **options) -> DataFrame | None:
+    """A CSV or TSV source with CORRUPT, the whole line where it has more or fewer fields than the header, or a value that is not of
+    its column's type; null elsewhere. None for other sources, and where the caller chose a mode or a schema of their own."""
+    kind = source_type(source)
+    if kind not in ("csv", "tsv") or {"mode", "schema", "columnNameOfCorruptRecord"} & options.keys():
+        return None
+    said = _delimited(kind, options)
+    schema = spark.read.options(**said).csv(source).schema
+    held = said | {"columnNameOfCorruptRecord": CORRUPT, "inferSchema": False, "columnPruning": False}
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])).options(**held).csv(source)
+
+
+def malformed(spark: SparkSession, source: str, **options) -> DataFrame:
+    """(file, lines, corrupt, example, digest): for each file of a CSV or TSV source its lines but for the header, those that do not fit, one
+    of them, and a digest of all fields in any order. No rows for other sources."""
+    df = with_corrupt(spark, source, **options)
+    if df is None:
+        return spark.createDataFrame([], "file string, lines long, corrupt long, example string, digest long")
+    # The digest asks for every field: a reader that leaves columns out doesn't count fields.
+    every = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
+    whole = df.select(F.col("_metadata.file_path").alias("file"), F.col(f"`{CORRUPT}`").alias("line"), every.alias("h"))
+    return whole.groupBy("file").agg(F.count("*").alias("lines"), F.count("line").alias("corrupt"), F.min("line").alias("example"), F.bit_xor("h").alias("digest"))
+
+
 def load(spark: SparkSession, source: str, max_rows: int, seed: int = 42, **options) -> tuple[DataFrame, dict]:
-    """(data, metadata): NaN as null, and exactly max_rows rows if the source has more, drawn row by row, the same ones every time."""
+    """(data, metadata): NaN as null, and exactly max_rows rows if the source has more, drawn row by row, the same ones every time.
+
+    Lines of a CSV or TSV file that do not fit are counted in the same pass as the rows, logged, and named in the metadata
+    (malformed_rows); what they hold stays in the data as far as it can be read.
+    """
+    try:
+        counted = malformed(spark, source, **options).agg(F.sum("lines"), F.sum("corrupt"), F.min("example"), F.bit_xor("digest")).first()
+    except LoadError:
+        raise
+    except Exception as problem:
+        raise LoadError(f"{redacted(source)}: {problem}") from problem
     df = clean(read(spark, source, **options))
-    n = df.count()
-    sampled = n > max_rows
-    return (row_sample(df, max_rows, seed, n) if sampled else df), {"original_rows": n, "sampled": sampled, "source": redacted(source)}
+    n = df.count() if counted[0] is None else counted[0]
+    meta = {"original_rows": n, "sampled": n > max_rows, "source": redacted(source), "malformed_rows": counted[1] or 0}
+    if counted[1]:
+        meta["malformed_example"] = counted[2][:200]
+        log.warning("%s: %d of %d lines do not fit the header; one is %r", redacted(source), counted[1], n, counted[2][:200])
+    return (row_sample(df, max_rows, seed, n) if meta["sampled"] else df), meta
