@@ -1,4 +1,4 @@
-"""Statistics of a column or pair as DataFrame plans; the normality test and Kendall's tau work on bounded samples."""
+"""Statistics of a column or pair as DataFrame plans; the normality test works on a bounded sample."""
 
 from __future__ import annotations
 
@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sifter.operators.moments import pearson, spearman
+from sifter.operators.joins import spread_join
 from sifter.operators.ranks import double, quantiles
 from sifter.operators.sampling import row_sample
+from sifter.sources.shared import durable
 
 def z_scores(df: DataFrame, column: str) -> DataFrame:
     """df with z: distance from the mean in sample deviations; null below two values, 0 for a constant column."""
@@ -197,6 +199,53 @@ def sign_sum(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> int:
     return total
 
 
+def sign_sums(joint: DataFrame, task_rows: int, most: int) -> DataFrame:
+    """(pair, s): for each pair, sign_sum() of its counts x, y, w, in groups of at most task_rows rows or (2 most + 1)^2 cells.
+
+    A larger group's x and y are each cut at quantiles into up to `most` intervals and single values. Pairs of rows are then of three
+    kinds: apart in both cuts (settled by the counts of cells), in one interval of x, or apart in x's cuts and in one interval of
+    y. The latter two are groups of their own, about 1 / most as large, and are cut again until they fit.
+    """
+    todo, done = joint.select("pair", F.lit(0).cast("long").alias("g"), F.col("x").cast("double"), F.col("y").cast("double"), "w"), []
+    shares = [k / most for k in range(1, most)]
+    # An even number is an interval between cuts, an odd one the value of a cut: its rows are tied.
+    at = lambda c, v: F.size(F.filter(c, lambda k: k <= F.col(v))) + F.size(F.filter(c, lambda k: k < F.col(v)))
+    named = lambda kind, block: F.xxhash64("g", F.lit(kind), block)
+
+    def signs(key, pdf):
+        return pd.DataFrame(
+            {"pair": [key[0]], "s": [float(sign_sum(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy(np.int64)))]},
+        )
+
+    while True:
+        size = durable(todo.groupBy("pair", "g").agg(F.count("*").alias("m")), "sizes")
+        large = size.where(F.col("m") > task_rows)
+        if large.isEmpty():
+            done.append(todo)
+            break
+        done.append(todo.join(large, ["pair", "g"], "left_anti"))
+        cut = todo.join(large.select("pair", "g"), ["pair", "g"], "left_semi").groupBy("pair", "g").agg(
+            F.count("*").alias("m"),
+            F.percentile_approx("x", shares).alias("cx"),
+            F.percentile_approx("y", shares).alias("cy"),
+        )
+        step = F.greatest(F.lit(1), F.floor(F.lit(most) / F.least(F.lit(most), F.ceil(F.col("m") / task_rows))).cast("int"))
+        some = lambda c: F.array_distinct(F.filter(c, lambda _, k: (k + 1) % step == 0))  # noqa: B023, E731
+        cut = durable(cut.withColumns({"cx": some("cx"), "cy": some("cy")}), "cuts")
+        placed = spread_join(todo, cut, ["pair", "g"], "m")
+        placed = durable(placed.select("pair", "g", "x", "y", "w", at("cx", "x").alias("bx"), at("cy", "y").alias("by")), "placed")
+        cells = placed.groupBy("pair", "g", "bx", "by").agg(F.sum("w").alias("w"))
+        done.append(cells.select("pair", named(0, F.lit(0)).alias("g"), F.col("bx").cast("double").alias("x"), F.col("by").cast("double").alias("y"), "w"))
+        inner = placed.where("bx % 2 = 0").select("pair", named(1, F.col("bx")).alias("g"), "x", "y", "w")
+        outer = placed.where("by % 2 = 0").groupBy("pair", "g", "bx", "by", "y").agg(F.sum("w").alias("w"))
+        outer = outer.select("pair", named(2, F.col("by")).alias("g"), F.col("bx").cast("double").alias("x"), "y", "w")
+        todo = durable(inner.unionByName(outer), "todo")
+    every = done[0]
+    for more in done[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("pair", "g").applyInPandas(signs, "pair int, s double").groupBy("pair").agg(F.sum("s").alias("s"))
+
+
 def kendall(
     df: DataFrame,
     columns: list[str],
@@ -207,9 +256,7 @@ def kendall(
 ) -> DataFrame:
     """(a, b, n, r): tau-b of each pair of columns over all rows that have both; over a sample of `rows` rows only if asked.
 
-    Rows are counted by (x, y). x and y are each cut at quantiles into intervals and single values. Pairs of rows are then
-    of three kinds: apart in both cuts (settled by the counts of cells), in one interval of x (a task for each), or
-    apart in x's cuts and in one interval of y (a task for each).
+    Rows are counted by (x, y); sign_sums() settles pairs of rows, in tasks of about task_rows counts whatever the table's size.
     """
     spark = df.sparkSession
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
@@ -225,41 +272,8 @@ def kendall(
         ),
     )
     joint = held.select(F.inline(F.array_compact(cells))).groupBy("pair", "x", "y").agg(F.count("*").alias("w"))
-    shares = [k / most for k in range(1, most)]
-    found = joint.groupBy("pair").agg(
-        F.count("*").alias("m"),
-        F.percentile_approx("x", shares).alias("x"),
-        F.percentile_approx("y", shares).alias("y"),
-    ).collect()
-    cuts = []
-    for f in found:
-        step = most // min(most, math.ceil(f.m / task_rows))
-        cuts.append((f.pair, sorted(set(f.x[step - 1 :: step])), sorted(set(f.y[step - 1 :: step]))))
-    cut = F.broadcast(spark.createDataFrame(cuts, "pair int, cx array<double>, cy array<double>"))
-    # An even number is an interval between cuts, an odd one the value of a cut: its rows are tied.
-    at = lambda c, v: F.size(F.filter(c, lambda k: k <= F.col(v))) + F.size(F.filter(c, lambda k: k < F.col(v)))
-    placed = joint.join(cut, "pair").select("pair", "x", "y", "w", at("cx", "x").alias("bx"), at("cy", "y").alias("by"))
-    part = lambda d, kind, block, x, y: d.select(
-        "pair",
-        F.lit(kind).alias("kind"),
-        block.cast("int").alias("block"),
-        F.col(x).cast("double").alias("x"),
-        F.col(y).cast("double").alias("y"),
-        "w",
-    )
-    both = part(placed.groupBy("pair", "bx", "by").agg(F.sum("w").alias("w")), 0, F.lit(0), "bx", "by")
-    inner = part(placed.where("bx % 2 = 0"), 1, F.col("bx"), "x", "y")
-    outer = part(placed.where("by % 2 = 0").groupBy("pair", "bx", "by", "y").agg(F.sum("w").alias("w")), 2, F.col("by"), "bx", "y")
-
-    def signs(key, pdf):
-        return pd.DataFrame(
-            {"pair": [key[0]], "s": [float(sign_sum(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy(np.int64)))]},
-        )
-
-    s = both.union(inner).union(outer).groupBy("pair", "kind", "block").applyInPandas(
-        signs,
-        "pair int, s double",
-    ).groupBy("pair").agg(F.sum("s").alias("s"))
+    joint = durable(joint, "joint")
+    s = sign_sums(joint, task_rows, most)
     two = lambda c: F.sum(F.col(c).cast("double") * (F.col(c) - 1) / 2)
     tied = [
         joint.groupBy("pair", v).agg(F.sum("w").alias("t")).groupBy("pair").agg(F.sum("t").alias(f"n{v}"), two("t").alias(f"t{v}"))

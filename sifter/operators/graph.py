@@ -8,6 +8,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sifter.operators.joins import spread_join
 from sifter.sources.shared import durable
 
 
@@ -15,7 +16,7 @@ def components(edges: DataFrame, vertices: DataFrame | None = None, max_rounds:
     """(vertex, component) by least label propagation with shortcuts; edges: src, dst. Lone vertices name themselves.
 
     Each round takes the least label of the neighbours, then that label's own, and is written to the shared folder, so that a
-    lost executor costs one round at most.
+    lost executor costs one round at most. The edges of a hub stay where they are.
     """
     held = lambda df: durable(df, "components")
     both = edges.select("src", "dst").union(
@@ -24,9 +25,12 @@ def components(edges: DataFrame, vertices: DataFrame | None = None, max_rounds:
     points = both.select(F.col("src").alias("vertex"))
     if vertices is not None:
         points = points.union(vertices.select("vertex"))
-    both, label = held(both), held(points.distinct().withColumn("component", F.col("vertex")))
+    both = held(both)
+    degree = held(both.groupBy(F.col("dst").alias("vertex")).agg(F.count("*").alias("n")))
+    label = held(points.distinct().withColumn("component", F.col("vertex")))
     for _ in range(max_rounds):
-        near = both.join(label, both.dst == label.vertex).groupBy("src").agg(F.min("component").alias("near"))
+        known = held(label.join(degree, "vertex"))
+        near = spread_join(both.withColumnRenamed("dst", "vertex"), known, "vertex", "n").groupBy("src").agg(F.min("component").alias("near"))
         step = label.join(near, label.vertex == near.src, "left").select(
             "vertex",
             F.col("component").alias("old"),

@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sifter.operators.joins import spread_join
 from sifter.operators.ranks import average_ranks, double, quantiles
 from sifter.operators.sampling import row_sample
+from sifter.sources.shared import durable
 
 #: Columns up to which pairs are expressions of one aggregation; beyond it, Gram sums come from Arrow batches.
 WIDE = 24
@@ -156,14 +158,16 @@ def _spearman_local(df: DataFrame, columns: list[str], min_rows: int) -> DataFra
 
 
 def _spearman_full(df: DataFrame, columns: list[str], distinct: dict[str, int], min_rows: int) -> DataFrame:
-    """Spearman's r of columns without nulls: a table of ranks for each, joined to the rows; broadcast if it is known to be small."""
+    """Spearman's r of columns without nulls: a table of ranks for each, joined to the rows; broadcast if it is known to be small,
+    else so that the rows of a frequent value stay where they are."""
     cells = F.array(*(F.struct(F.lit(k).alias("k"), double(c).alias("v")) for k, c in enumerate(columns)))
     counts = df.select(F.inline(cells)).groupBy("k", "v").agg(F.count("*").alias("w"))
     ranks = average_ranks(counts, "k", "v", "w")
+    ranks = ranks if max(distinct.values()) <= RANKS_SENT else durable(ranks, "ranks")
     ranked = df.select(*(double(c).alias(f"v{k}") for k, c in enumerate(columns)))
     for k, c in enumerate(columns):
-        own = ranks.where(F.col("k") == k).select(F.col("v").alias(f"v{k}"), F.col("rank").alias(f"r{k}"))
-        ranked = ranked.join(F.broadcast(own) if distinct[c] <= RANKS_SENT else own, f"v{k}")
+        own = ranks.where(F.col("k") == k).select(F.col("v").alias(f"v{k}"), F.col("rank").alias(f"r{k}"), "w")
+        ranked = ranked.join(F.broadcast(own.drop("w")), f"v{k}") if distinct[c] <= RANKS_SENT else spread_join(ranked, own, f"v{k}", "w")
     return pearson(ranked.select(*(F.col(f"r{k}").alias(c) for k, c in enumerate(columns))), columns, min_rows)
 
 
@@ -173,10 +177,11 @@ def _spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]], min_rows: int)
     both = lambda a, b: double(a).isNotNull() & double(b).isNotNull()
     cell = lambda k, a, b: F.struct(F.lit(k).alias("pair"), double(a).alias("x"), double(b).alias("y"))
     cells = F.array(*(F.when(both(a, b), cell(k, a, b)) for k, (a, b) in enumerate(pairs)))
-    joint = df.select(F.inline(F.array_compact(cells))).groupBy("pair", "x", "y").agg(F.count("*").alias("w"))
+    joint = durable(df.select(F.inline(F.array_compact(cells))).groupBy("pair", "x", "y").agg(F.count("*").alias("w")), "joint")
     for v in ("x", "y"):
-        held = joint.groupBy("pair", v).agg(F.sum("w").alias("t"))
-        joint = joint.join(average_ranks(held, "pair", v, "t").select("pair", v, F.col("rank").alias(f"r{v}")), ["pair", v])
+        held = joint.groupBy("pair", v).agg(F.sum("w").alias("t"), F.count("*").alias("rows"))
+        ranks = durable(average_ranks(held, "pair", v, "t").select("pair", v, F.col("rank").alias(f"r{v}"), "rows"), "ranks")
+        joint = spread_join(joint, ranks, ["pair", v], "rows")
     w, x, y = F.col("w").cast("double"), F.col("rx"), F.col("ry")
     parts = {"n": F.col("w"), "sx": w * x, "sy": w * y, "sxx": w * x * x, "syy": w * y * y, "sxy": w * x * y}
     s = joint.groupBy("pair").agg(*(F.sum(e).alias(k) for k, e in parts.items()))
