@@ -17,8 +17,9 @@ TOP_SHARE = {2: 0.20, 3: 0.18, 4: 0.16}
 DUP_SHARE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Largest share of characters in lines that equal an earlier line, and of those in such lines or any n-gram of DUP_SHARE.
 LINE_SHARE, COVER_SHARE = 0.30, 0.20
-#: Repeats from which a share counts: one sentence said twice is a tenth of a short text, but no repetition.
-REPEATS = 2
+#: A share counts from so many repeats on, or if one repeat is a stretch of so many words: a short sentence said twice is a tenth of a
+#: short text, but no repetition; a passage said twice is.
+REPEATS, PASSAGE = 2, 20
 MIN_WORDS, MAX_REPEAT, BASE = 50, 50, np.uint64(0x9E3779B97F4A7C15)
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 _LOW = bytes(range(0x80, 0xC0))
@@ -38,16 +39,18 @@ def _covered(n: int, start: np.ndarray, total: int) -> np.ndarray:
     return np.cumsum(edge)[:total] > 0
 
 
-def _stretches(at: np.ndarray, source: np.ndarray) -> int:
-    """How many repeats the repeated n-grams at those places make up: runs of places whose first occurrences run along with them."""
+def _repeated(at: np.ndarray, source: np.ndarray, n: int) -> bool:
+    """Whether the repeated n-grams at those places are REPEATS stretches or more, or one of PASSAGE words: a stretch is a run of places
+    whose first occurrences run along with them."""
     by = np.argsort(at)
     at, source = at[by], source[by]
-    return 1 + int(((np.diff(at) != 1) | (np.diff(source) != 1)).sum())
+    ends = np.flatnonzero(np.r_[(np.diff(at) != 1) | (np.diff(source) != 1), True])
+    return len(ends) >= REPEATS or int(np.diff(np.r_[-1, ends]).max()) + n - 1 >= PASSAGE
 
 
 def repetition(words: list[bytes], chars: np.ndarray) -> tuple[int, dict[int, float], np.ndarray]:
-    """Words in 3-word windows found twice or more; by n, the share of characters inside repeated n-grams if these are REPEATS
-    repeats or more, else 0; and which words lie in n-grams of DUP_SHARE that occurred before.
+    """Words in 3-word windows found twice or more; by n, the share of characters inside repeated n-grams if these
+    are REPEATS repeats or a passage, else 0; and which words lie in n-grams of DUP_SHARE that occurred before.
 
     One rolling polynomial hash grows from n to n + 1 words, so each length costs a multiply-add and a sort.
     """
@@ -76,7 +79,7 @@ def repetition(words: list[bytes], chars: np.ndarray) -> tuple[int, dict[int, fl
             again = order[~new]
             covered = _covered(n, again, n_words)
             inside |= covered
-            many = _stretches(again, np.repeat(order[first], size)[~new]) >= REPEATS
+            many = _repeated(again, np.repeat(order[first], size)[~new], n)
             share[n] = float(chars[covered].sum()) / total if many else 0.0
     return repeat, share, inside
 
@@ -85,20 +88,20 @@ def measure(text: bytes | None) -> tuple:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, repeat_load, dup_line_share, cover_share).
 
     repeat_load: the largest share of repeated n-grams over its limit. cover_share: characters of words in n-grams that occurred before
-    or in lines that equal an earlier one, each word once. Shares of fewer than REPEATS repeats are 0.
+    or in lines that equal an earlier one, each word once. Shares of fewer than REPEATS repeats, none a passage, are 0.
     """
     text = text or b""
     words = byte_words(text)
     chars = np.array([len(w) if w.isascii() else len(w.translate(None, _LOW)) for w in words], np.int64)
     seen: set[bytes] = set()
-    lines, dup_lines, dup_chars, at, again = 0, 0, 0, 0, []
+    lines, dup_lines, dup_chars, longest, at, again = 0, 0, 0, 0, 0, []
     for line in text.split(b"\n"):
         n = len(byte_words(line))
         if not n:
             continue
         lines += len(line)
         if line in seen:
-            dup_lines, dup_chars = dup_lines + 1, dup_chars + len(line)
+            dup_lines, dup_chars, longest = dup_lines + 1, dup_chars + len(line), max(longest, n)
             again.append((at, at + n))
         seen.add(line)
         at += n
@@ -107,9 +110,10 @@ def measure(text: bytes | None) -> tuple:
         inside[a:b] = True
     limit = TOP_SHARE | DUP_SHARE
     load = max((share[n] / limit[n] for n in share), default=0.0)
-    many = dup_lines >= REPEATS or any(share.get(n, 0.0) for n in DUP_SHARE)
+    by_line = dup_lines >= REPEATS or longest >= PASSAGE
+    many = by_line or any(share.get(n, 0.0) for n in DUP_SHARE)
     cover = float(chars[inside].sum()) / max(1, int(chars.sum())) if many else 0.0
-    line_share = dup_chars / max(1, lines) if dup_lines >= REPEATS else 0.0
+    line_share = dup_chars / max(1, lines) if by_line else 0.0
     return len(words), int(chars.sum()), len(SYMBOLS.findall(text)), dup_lines, repeat, load, line_share, cover
 
 
@@ -125,7 +129,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Base: fewer than 50 words, or over half of the words in repeated 3-word windows. Then the share of characters inside
     the most frequent n-gram (n from 2 to 4), inside n-grams seen before (5 to 10), in repeated lines, and in any of the latter two
-    is held against TOP_SHARE, DUP_SHARE, LINE_SHARE and COVER_SHARE. A single repeat counts for none of them. Null and blank
+    is held against TOP_SHARE, DUP_SHARE, LINE_SHARE and COVER_SHARE. A single repeat of less than PASSAGE words counts for none of them. Null and blank
     texts have zero counts and fail the base; repeated rows and null ids are rows like any other.
     """
     names = [

@@ -507,20 +507,25 @@ def rules_by_force(text):
                 first.setdefault(g, k)
             cover = {k + j for k, _ in again for j in range(n)}
             inside |= cover
-            repeats = sum(k == 0 or (again[k][0] - again[k - 1][0], again[k][1] - again[k - 1][1]) != (1, 1) for k in range(len(again)))
-            if repeats >= rules.REPEATS:
+            runs = []
+            for k in range(len(again)):
+                if k == 0 or (again[k][0] - again[k - 1][0], again[k][1] - again[k - 1][1]) != (1, 1):
+                    runs.append(n - 1)
+                runs[-1] += 1
+            if len(runs) >= rules.REPEATS or max(runs, default=0) >= rules.PASSAGE:
                 many = True
                 load = None if load is None else max(load, sum(chars[j] for j in cover) / total / limit)
-    at, seen, dup, dup_chars = 0, set(), 0, 0
+    at, seen, dup, dup_chars, long = 0, set(), 0, 0, False
     for line in own:
         n = len(line.split())
         if line in seen:
-            dup, dup_chars = dup + 1, dup_chars + len(line)
+            dup, dup_chars, long = dup + 1, dup_chars + len(line), long or n >= rules.PASSAGE
             inside |= set(range(at, at + n))
         seen.add(line)
         at += n
-    line_share = dup_chars / max(1, sum(map(len, own))) if dup >= rules.REPEATS else 0.0
-    cover = sum(chars[j] for j in inside) / total if many or dup >= rules.REPEATS else 0.0
+    by_line = long or dup >= rules.REPEATS
+    line_share = dup_chars / max(1, sum(map(len, own))) if by_line else 0.0
+    cover = sum(chars[j] for j in inside) / total if many or by_line else 0.0
     failed = len(ws) < 50 or 100 * len(in_repeat) > 50 * len(ws)
     kept = None if load is None else not failed and load <= 1 and line_share <= 0.30 and cover <= 0.20
     return len(ws), sum(chars), sum(text.count(c) for c in "#*$%&|<>"), dup, len(in_repeat), load, line_share, cover, failed, kept
@@ -566,6 +571,21 @@ def test_verdicts_against_brute_force():
     assert all(seen[k] for k in ("base", "kept", "load", "cover")), seen
 
 
+@pytest.mark.parametrize(("total", "passage", "kept"), [(1000, 240, False), (1000, 100, False), (1000, 40, True), (300, 72, False), (200, 90, False), (120, 19, True), (80, 8, True), (90, 25, False)])
+def test_a_passage_said_twice(total, passage, kept):
+    """The second of two equal passages takes a share of the text: over a tenth to a fifth it goes, however few repeats there are; shorter
+    stretches than PASSAGE need another one beside them. As one line, and within lines."""
+    rng = random.Random(total + passage)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    own, rest = words(passage), words(total - 2 * passage)
+    half = len(rest) // 2
+    for gap in (" ", "\n"):
+        text = gap.join([" ".join(own), " ".join(rest[:half]), " ".join(own), " ".join(rest[half:])])
+        got = rules.measure(text.encode())
+        assert_rules((*got, *rules.verdict(got)), text)
+        assert rules.verdict(got)[1] == kept
+
+
 def test_a_single_repeat_is_no_repetition():
     """One sentence said twice stays in a short text; said three times, or with others, it goes. Stretches alone decide, too."""
     rng = random.Random(8)
