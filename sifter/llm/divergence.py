@@ -23,8 +23,8 @@ LEAST_DOCS, TOP_TERMS = 10, 10
 SCALE = 1_000_000_000
 #: Terms, and their bytes, of one automaton (about 100 MB); a larger vocabulary is counted part by part.
 PART_TERMS, PART_BYTES = 200_000, 4 << 20
-#: Counts that a task holds before it hands them on.
-HELD = 300_000
+#: Counts of documents, and occurrences, that a task holds before it hands on their sums.
+HELD, OCCURRENCES = 300_000, 2_000_000
 #: Sources of a language that meet in one tile; postings of a piece of a language's terms; pairs of postings that are worked on at once.
 TILE, PIECE, STEP = 128, 50_000, 1 << 18
 _BYTES = bytes(range(0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x80))
@@ -44,26 +44,33 @@ def _told(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> Dat
     return docs.select(name(lang_col).alias("lang"), name(source_col).alias("source"), name(text_col).cast("binary").alias("text"))
 
 
-def _batch(keys: list[str], held: dict[tuple, Counter], names: list | None = None) -> pa.RecordBatch:
-    """Counts of each key as rows; names: what the counted numbers stand for."""
-    got = [(*key, names[term] if names is not None else term, n) for key, own in held.items() for term, n in own.items()]
-    columns = list(zip(*got, strict=True)) or [[] for _ in range(len(keys) + 2)]
-    kinds = [*[pa.string()] * len(keys), pa.string(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*keys, "term", "n"])
+def _text(words: list[bytes]) -> pa.Array:
+    """Terms as strings; bytes that are no UTF-8 as replacement characters."""
+    try:
+        return pa.array(words, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([w.decode(errors="replace") for w in words], pa.string())
+
+
+def _batch(held: dict[str, Counter]) -> pa.RecordBatch:
+    """Counts of each language's terms as rows."""
+    langs = pa.array(list(held), pa.string()).take(pa.array(np.repeat(np.arange(len(held)), [len(own) for own in held.values()])))
+    terms = _text([term for own in held.values() for term in own])
+    return pa.RecordBatch.from_arrays([langs, terms, pa.array([n for own in held.values() for n in own.values()], pa.int64())], ["lang", "term", "n"])
 
 
 def document_frequencies(told: DataFrame) -> DataFrame:
     """(lang, term, n): documents of the language that have the term, exact. Tasks sum their own documents before they send."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, Counter] = {}
+        held: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in rows([batch]):
-                held.setdefault((lang,), Counter()).update({x.decode(errors="replace") for x in plain(text).split()})
+                held.setdefault(lang, Counter()).update(set(plain(text).split()))
                 if sum(map(len, held.values())) > HELD:
-                    yield _batch(["lang"], held)
+                    yield _batch(held)
                     held = {}
-        yield _batch(["lang"], held)
+        yield _batch(held)
 
     counted = told.select("lang", "text").mapInArrow(run, "lang string, term string, n long")
     return counted.groupBy("lang", "term").agg(F.sum("n").alias("n"))
@@ -97,19 +104,30 @@ def recount(told: DataFrame, part: list[tuple[str, list[str]]]) -> DataFrame:
         terms, kept = sent.value
         if not terms:
             return
-        find, held = _automaton(name, terms).iter, {}
+        find, named = _automaton(name, terms).iter, pa.array(terms, pa.string())
+        inside: dict[str, np.ndarray] = {}  # by language, which of the terms it keeps
+        groups: dict[tuple[str, str], int] = {}
+        found: list[np.ndarray] = []  # of each document its group and the terms' numbers, 32 bits each
 
-        def told_counts() -> pa.RecordBatch:
-            return _batch(["lang", "source"], {g: {k: n for k, n in own.items() if g[0] in kept[k]} for g, own in held.items()}, terms)
+        def summed() -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+            lang, source = (pa.array([g[k] for g in groups], pa.string()).take(pa.array(code >> 32)) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([lang, source, named.take(pa.array(code & 0xFFFFFFFF)), pa.array(n, pa.int64())], ["lang", "source", "term", "n"])
 
+        size = 0
         for batch in batches:
             for lang, source, text in rows([batch]):
-                spaced = b" " + plain(text) + b" "
-                held.setdefault((lang, source), Counter()).update(map(itemgetter(1), find(spaced.decode(errors="replace"))))
-                if sum(map(len, held.values())) > HELD:
-                    yield told_counts()
-                    held = {}
-        yield told_counts()
+                if lang not in inside:
+                    inside[lang] = np.fromiter((lang in langs for langs in kept), bool, len(kept))
+                spaced = (b" " + plain(text) + b" ").decode(errors="replace")
+                at = np.fromiter(map(itemgetter(1), find(spaced)), np.int64)
+                at = at[inside[lang][at]]
+                found.append(at | groups.setdefault((lang, source), len(groups)) << 32)
+                size += len(at)
+                if size > OCCURRENCES or len(found) > OCCURRENCES:
+                    yield summed()
+                    groups, found, size = {}, [], 0
+        yield summed()
 
     return told.mapInArrow(run, "lang string, source string, term string, n long")
 

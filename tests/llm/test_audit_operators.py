@@ -77,6 +77,7 @@ def audit(rows: list[tuple], least: int, top: int) -> set[tuple]:
 def test_divergence(docs, rows, least, tile, part_terms, held, monkeypatch):
     """Whole, and with tiles of two sources, parts of seven terms and counts handed on at once; and where no term is kept."""
     monkeypatch.setattr(divergence, "HELD", held)
+    monkeypatch.setattr(divergence, "OCCURRENCES", 10 * held)
     monkeypatch.setattr(divergence, "STEP", 50 if tile == 2 else divergence.STEP)
     got = divergence.source_divergence(docs, least_docs=least, tile=tile, part_terms=part_terms)
     assert {(r.lang, r.source, r.part, r.item, r.value, r["rank"]) for r in got.collect()} == audit(rows, least, 10)
