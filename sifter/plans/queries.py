@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.config import CompressionSettings, Settings
+from sifter.config import CompressionSettings, EngineSettings, Settings
 from sifter.engine import Engine
 from sifter.functions.scalars import jaccard, severity_rank, severity_weight
 from sifter.operators import findings as found
@@ -16,6 +16,9 @@ from sifter.plans.reasoning import reason
 from sifter.streaming.incremental import merge_counts, profiled, windowed_counts
 
 
+FULL = Settings(engine=EngineSettings(profile="full"))
+
+
 def example_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A finding for each nation, region, segment and status: enough of a graph, made from the tables alone."""
     rows = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r"))
@@ -174,12 +177,13 @@ def reasoning_lineage(spark, d):
 
 @query("investigate_labelled")
 def investigate(spark, d):
-    return Engine(spark, Settings()).investigate_dataframe(labelled(spark, d), name="labelled").reasoning.queue_table(spark)
+    """Without row budgets but that of nearest neighbours."""
+    return Engine(spark, FULL).investigate_dataframe(labelled(spark, d), name="labelled").reasoning.queue_table(spark)
 
 
 @query("investigate_prices")
 def investigate_prices(spark, d):
-    return Engine(spark, Settings()).investigate_dataframe(prices(spark, d), name="prices").reasoning.queue_table(spark)
+    return Engine(spark, FULL).investigate_dataframe(prices(spark, d), name="prices").reasoning.queue_table(spark)
 
 
 @query(
