@@ -10,6 +10,7 @@ from sifter.engine import Engine
 from sifter.functions.scalars import jaccard, severity_rank, severity_weight
 from sifter.operators import findings as found
 from sifter.operators import similarity
+from sifter.operators.sketches import estimates, merge, sketch
 from sifter.plans import compare, detect, evidence as evidence_plans, layers, lineage, ruleplans  # noqa: F401  (the last four register their queries)
 from sifter.plans.detect import SQL, Q, labelled, prices, query, read
 from sifter.plans.reasoning import reason
@@ -199,6 +200,20 @@ def batchwise(spark, d):
     return profiled(merge_counts(merge_counts(None, e.where("event_id % 2 = 0")), e.where("event_id % 2 <> 0")))
 
 
+_EVENTS = ("event_id", "ts", "user_id", "event_type", "value", "props")
+
+
+@query(
+    "sketch_counts",
+    " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS rows, count(*) - count({c}) AS nulls FROM events" for c in _EVENTS),
+)
+def sketch_counts(spark, d):
+    """What is exact in the merged sketches of two halves; their estimates are held against exact values by tests."""
+    e = read(spark, d, "events").select(*_EVENTS)
+    halves = sketch(e.where("event_id % 2 = 0")).union(sketch(e.where("event_id % 2 <> 0")))
+    return estimates(merge(halves)).select("name", "rows", "nulls")
+
+
 @query(
     "windowed_events",
     "SELECT date_trunc('day', ts) AS start, event_type AS key, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP "
