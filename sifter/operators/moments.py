@@ -33,16 +33,26 @@ def bounded(r: Column) -> Column:
 def pearson(df: DataFrame, columns: list[str], min_rows: int = 30) -> DataFrame:
     """(a, b, n, r) of each pair of columns over the rows that have both; r is null below min_rows or for a constant side.
 
-    One aggregation, with partial sums: covariances and deviations of each pair, divided by try_divide, as corr() fails on a
-    constant column in ANSI mode. Wide tables sum Gram matrices of Arrow batches instead.
+    Columns without nulls give sums of products about their means, a pass after the one that finds these. Other pairs have
+    covariances and deviations in the same pass, divided by try_divide, as corr() fails on a constant column in ANSI mode. Wide
+    tables sum Gram matrices of Arrow batches instead.
     """
     pairs = list(combinations(columns, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, n bigint, r double")
     if len(columns) > WIDE:
         return _gram(df, columns, min_rows)
-    cells = []
+    kinds = {"n": F.count, "m": F.avg, "l": F.min, "h": F.max}
+    seen = df.agg(F.count("*").alias("rows"), *(f(double(c)).alias(f"{p}{k}") for k, c in enumerate(columns) for p, f in kinds.items())).first()
+    at = [k for k in range(len(columns)) if seen.rows and seen[f"n{k}"] == seen.rows and math.isfinite(seen[f"m{k}"])]
+    mean = {columns[k]: seen[f"m{k}"] for k in at}
+    flat = {columns[k] for k in at if seen[f"l{k}"] == seen[f"h{k}"]}
+    cells, found = _products(mean, [p for p in pairs if p[0] in mean and p[1] in mean])
+    n = F.lit(seen.rows).cast("bigint")
+    out = [(a, b, n, F.lit(None).cast("double") if {a, b} & flat else r) for (a, b), r in found(n).items()]
     for k, (a, b) in enumerate(pairs):
+        if a in mean and b in mean:
+            continue
         both = double(a).isNotNull() & double(b).isNotNull()
         x, y = F.when(both, double(a)), F.when(both, double(b))
         cells += [
@@ -51,23 +61,26 @@ def pearson(df: DataFrame, columns: list[str], min_rows: int = 30) -> DataFrame:
             F.stddev_pop(x).alias(f"x{k}"),
             F.stddev_pop(y).alias(f"y{k}"),
         ]
-    one = df.agg(*cells)
-    r = lambda k: bounded(F.try_divide(F.col(f"c{k}"), F.col(f"x{k}") * F.col(f"y{k}")))
-    return one.select(
-        F.inline(
-            F.array(
-                *(
-                    F.struct(
-                        F.lit(a).alias("a"),
-                        F.lit(b).alias("b"),
-                        F.col(f"n{k}").alias("n"),
-                        F.when(F.col(f"n{k}") >= min_rows, r(k)).alias("r"),
-                    )
-                    for k, (a, b) in enumerate(pairs)
-                ),
-            ),
-        ),
-    )
+        out.append((a, b, F.col(f"n{k}"), bounded(F.try_divide(F.col(f"c{k}"), F.col(f"x{k}") * F.col(f"y{k}")))))
+    return df.agg(*cells).select(_rows_of_pairs(sorted(out, key=lambda x: pairs.index(x[:2])), min_rows))
+
+
+def _rows_of_pairs(found: list[tuple[str, str, Column, Column]], min_rows: int) -> Column:
+    """(a, b, n, r) rows of one row of sums."""
+    cell = lambda a, b, n, r: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), n.alias("n"), F.when(n >= min_rows, r).alias("r"))
+    return F.inline(F.array(*(cell(*x) for x in found)))
+
+
+def _products(mean: dict[str, float], pairs: list[tuple[str, str]]):
+    """(cells, found): sums of products of columns without nulls about their means, and r of each pair by these and n."""
+    needed = list(dict.fromkeys(c for p in pairs for c in p))
+    of = {c: f"{k}" for k, c in enumerate(needed)}
+    less = {c: double(c) - F.lit(mean[c]) for c in needed}
+    cells = [F.sum(less[c]).alias(f"s{of[c]}") for c in needed]
+    cells += [F.sum(less[a] * less[b]).alias(f"p{of[a]}_{of[b]}") for a, b in [*((c, c) for c in needed), *pairs]]
+    spread = lambda n, a, b: F.col(f"p{of[a]}_{of[b]}") - F.col(f"s{of[a]}") * F.col(f"s{of[b]}") / n
+    size = lambda n, c: F.sqrt(F.greatest(F.lit(0.0), spread(n, c, c)))
+    return cells, lambda n: {(a, b): bounded(F.try_divide(spread(n, a, b), size(n, a) * size(n, b))) for a, b in pairs}
 
 
 def _gram(df: DataFrame, columns: list[str], min_rows: int) -> DataFrame:
@@ -117,18 +130,14 @@ def spearman(df: DataFrame, columns: list[str], min_rows: int = 30) -> DataFrame
     pairs = list(combinations(columns, 2))
     if not pairs:
         return spark.createDataFrame([], "a string, b string, n bigint, r double")
-    cells = (
-        x
-        for k, c in enumerate(columns)
-        for x in (F.count_if(double(c).isNull()).alias(f"n{k}"), F.approx_count_distinct(double(c)).alias(f"d{k}"))
-    )
+    cells = (F.count_if(double(c).isNull()).alias(f"n{k}") for k, c in enumerate(columns))
     seen = df.agg(F.count("*").alias("rows"), *cells).first()
     if seen.rows * len(columns) <= TASK_CELLS:
         return _spearman_local(df, columns, min_rows)
-    full = {c: seen[f"d{k}"] for k, c in enumerate(columns) if not seen[f"n{k}"]}
+    full = [c for k, c in enumerate(columns) if not seen[f"n{k}"]]
     one = [p for p in pairs if p[0] in full and p[1] in full]
     other = [p for p in pairs if p not in set(one)]
-    found = [_spearman_full(df, [c for c in columns if c in full], full, min_rows)] if one else []
+    found = [_spearman_full(df, full, seen.rows, min_rows)] if one else []
     found += [_spearman_pairs(df, other, min_rows)] if other else []
     return reduce(DataFrame.union, found)
 
@@ -157,18 +166,27 @@ def _spearman_local(df: DataFrame, columns: list[str], min_rows: int) -> DataFra
     return names.join(made, ["i", "j"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), "r")
 
 
-def _spearman_full(df: DataFrame, columns: list[str], distinct: dict[str, int], min_rows: int) -> DataFrame:
-    """Spearman's r of columns without nulls: a table of ranks for each, joined to the rows; broadcast if it is known to be small,
-    else so that the rows of a frequent value stay where they are."""
+def _spearman_full(df: DataFrame, columns: list[str], rows: int, min_rows: int) -> DataFrame:
+    """Spearman's r of columns without nulls: a table of ranks for each, joined to the rows; broadcast if it is small, else so that
+    the rows of a frequent value stay where they are.
+
+    The rows are read twice: counts of values and ranks are written, as each column's join reads them. The mean of the ranks is
+    known, so products about it are summed, and squares come from the ranks alone.
+    """
     cells = F.array(*(F.struct(F.lit(k).alias("k"), double(c).alias("v")) for k, c in enumerate(columns)))
-    counts = df.select(F.inline(cells)).groupBy("k", "v").agg(F.count("*").alias("w"))
-    ranks = average_ranks(counts, "k", "v", "w")
-    ranks = ranks if max(distinct.values()) <= RANKS_SENT else durable(ranks, "ranks")
+    counts = durable(df.select(F.inline(cells)).groupBy("k", "v").agg(F.count("*").alias("w")), "counts")
+    off = F.col("rank") - (rows + 1) / 2
+    ranks = durable(average_ranks(counts, "k", "v", "w").select("k", "v", "w", off.alias("rank")), "ranks")
+    held = {r.k: r for r in ranks.groupBy("k").agg(F.count("*").alias("distinct"), F.sum(F.col("w") * F.col("rank") * F.col("rank")).alias("squares")).collect()}
     ranked = df.select(*(double(c).alias(f"v{k}") for k, c in enumerate(columns)))
-    for k, c in enumerate(columns):
+    for k in sorted(held, key=lambda k: held[k].distinct):  # broadcasts first: they move no row
         own = ranks.where(F.col("k") == k).select(F.col("v").alias(f"v{k}"), F.col("rank").alias(f"r{k}"), "w")
-        ranked = ranked.join(F.broadcast(own.drop("w")), f"v{k}") if distinct[c] <= RANKS_SENT else spread_join(ranked, own, f"v{k}", "w")
-    return pearson(ranked.select(*(F.col(f"r{k}").alias(c) for k, c in enumerate(columns))), columns, min_rows)
+        ranked = ranked.join(F.broadcast(own.drop("w")), f"v{k}") if held[k].distinct <= RANKS_SENT else spread_join(ranked, own, f"v{k}", "w")
+    pairs = list(combinations(range(len(columns)), 2))
+    sums = ranked.agg(*(F.sum(F.col(f"r{i}") * F.col(f"r{j}")).alias(f"p{i}_{j}") for i, j in pairs))
+    size = lambda k: F.lit(math.sqrt(held[k].squares))
+    r = lambda i, j: bounded(F.try_divide(F.col(f"p{i}_{j}"), size(i) * size(j)))
+    return sums.select(_rows_of_pairs([(columns[i], columns[j], F.lit(rows).cast("bigint"), r(i, j)) for i, j in pairs], min_rows))
 
 
 def _spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]], min_rows: int) -> DataFrame:

@@ -73,3 +73,22 @@ def test_components_around_a_hub(spark):
     chain = spark.range(50_000, 50_020).selectExpr("id as src", "id + 1 as dst")
     got = components(star.union(chain).union(spark.createDataFrame([(29_999, 40_000)], "src long, dst long")))
     assert {r.component: r["count"] for r in got.groupBy("component").count().collect()} == {0: 30_001, 50_000: 21}
+
+
+def test_a_large_table_is_read_three_times_for_its_ranks(spark, skewed, monkeypatch):
+    """Nulls, counts and products: a pass each, however many columns are ranked, and however many pieces the ranks are cut into."""
+    monkeypatch.setattr(moments, "TASK_CELLS", 0)
+    monkeypatch.setattr(moments.average_ranks, "__defaults__", (100,))
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    a, b, c = skewed
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(a, b, c, b - c, strict=True)], "a double, b double, c double, d double")
+    got = {(r.a, r.b): r.r for r in moments.spearman(df.mapInArrow(passed, df.schema), list("abcd")).collect()}
+    monkeypatch.undo()
+    want = {(r.a, r.b): r.r for r in moments.spearman(df, list("abcd")).collect()}
+    assert got == pytest.approx(want, abs=1e-9) and read.value <= 3 * len(a)
