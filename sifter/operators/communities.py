@@ -19,7 +19,7 @@ def _level(edges: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     """(both, vertices, total): edges in both directions but for loops; vertex, degree (a loop counts twice), n (edges but for loops)."""
     edges = durable(edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").alias("weight")), "edges")
     plain = edges.where("src <> dst")
-    both = durable(plain.unionByName(plain.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "both")
+    both = plain.unionByName(plain.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))  # the written edges, read twice
     loop = edges.where("src = dst").select(F.col("src").alias("vertex"), (2 * F.col("weight")).alias("w"), F.lit(0).alias("n"))
     ends = both.select(F.col("src").alias("vertex"), F.col("weight").alias("w"), F.lit(1).alias("n")).unionByName(loop)
     vertices = durable(ends.groupBy("vertex").agg(F.sum("w").alias("degree"), F.sum("n").alias("n")), "vertices")
@@ -29,14 +29,15 @@ def _level(edges: DataFrame) -> tuple[DataFrame, DataFrame, float]:
 def _moved(both: DataFrame, held: DataFrame, total: float, resolution: float, turn: int, seed: int) -> DataFrame:
     """held (vertex, degree, n, community) after the vertices whose turn it is took their best neighbouring community.
 
-    Half of the vertices, by a hash of vertex and turn, may move at once, so that two neighbours seldom trade places.
+    Half of the vertices, by a hash of vertex and turn, may move at once, so that two neighbours seldom trade places; only their
+    edges are shuffled, and a community's load comes with the vertices that it holds.
     """
+    may_move = lambda v: F.pmod(F.xxhash64(v, F.lit(turn + seed)), F.lit(2)) == 0
     load = held.groupBy("community").agg(F.sum("degree").alias("load"))
     at = durable(held.join(load, "community"), "at")  # AQE splits a large community here and below
-    near = spread_join(both, at.select(F.col("vertex").alias("dst"), "community", "n"), "dst", "n")
-    ties = near.groupBy(F.col("src").alias("vertex"), "community").agg(F.sum("weight").alias("tie")).join(load, "community")
-    own = at.select("vertex", "degree", F.col("community").alias("own"), F.col("load").alias("own_load"))
-    turns = own.where(F.pmod(F.xxhash64("vertex", F.lit(turn + seed)), F.lit(2)) == 0)
+    near = spread_join(both.where(may_move("src")), at.select(F.col("vertex").alias("dst"), "community", "load", "n"), "dst", "n")
+    ties = near.groupBy(F.col("src").alias("vertex"), "community").agg(F.sum("weight").alias("tie"), F.first("load").alias("load"))
+    turns = at.where(may_move("vertex")).select("vertex", "degree", F.col("community").alias("own"), F.col("load").alias("own_load"))
     share = F.lit(resolution) * F.col("degree") / (2 * total)
     each = ties.join(turns, "vertex").withColumn("same", F.col("community") == F.col("own"))
     gain = F.col("tie") - share * (F.col("load") - F.when(F.col("same"), F.col("degree")).otherwise(0.0))
@@ -105,11 +106,11 @@ def communities(
     """
     if algorithm not in ("louvain", "greedy_modularity"):
         raise ValueError(f"communities: unknown algorithm {algorithm}")
-    real = edges.select("src", "dst", "weight").where("src is not null and dst is not null and weight > 0")
+    real = durable(edges.select("src", "dst", "weight").where("src is not null and dst is not null and weight > 0"), "real")
     points = real.select(F.col("src").alias("vertex")).union(real.select("dst"))
     points = (points if vertices is None else points.union(vertices.select("vertex").where("vertex is not null"))).distinct()
     mapping = durable(points.withColumn("community", F.col("vertex")), "mapping")
-    level, score = durable(real, "real"), None
+    level, score = real, None
     local = louvain if algorithm == "louvain" else greedy_modularity
     for _ in range(LEVELS):
         if level.isEmpty():

@@ -57,3 +57,21 @@ def test_no_edges(spark):
     assert groups(communities(none, spark.createDataFrame([(3,), (4,)], "vertex long")).collect()) == [[3], [4]]
     with pytest.raises(ValueError, match="unknown"):
         communities(none, algorithm="other")
+
+
+def test_edges_are_made_once_and_half_of_them_are_shuffled_a_round(spark, planted, monkeypatch):
+    from sifter.operators import communities as module
+
+    made, sent = spark.sparkContext.accumulator(0), []
+
+    def passed(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    join = module.spread_join
+    monkeypatch.setattr(module, "spread_join", lambda big, unique, key, *rest: (sent.append(big.count()) if key == "dst" and "load" in unique.columns else None) or join(big, unique, key, *rest))
+    df = spark.createDataFrame(planted, SCHEMA)
+    got = groups(communities(df.mapInArrow(passed, df.schema), finish=300).collect())
+    assert made.value == len(planted) and sent and sent[0] < 1.3 * len(planted)
+    assert got == groups(communities(df, finish=300).collect())
