@@ -34,20 +34,24 @@ def value_key(column: Column, kind: T.DataType) -> Column:
     return F.sha2(F.to_json(F.struct(column.alias("v"))), 256)
 
 
-def value_counts(df: DataFrame) -> DataFrame:
-    """(column, ordinal, value, n): how often each value of each column occurs; null is a value.
-
-    One unpivot and one aggregation with partial sums, whatever the number of columns: a frequent value costs each
-    task one row.
-    """
+def value_cells(df: DataFrame) -> DataFrame:
+    """(ordinal, value): a row for each value of each column; null is a value."""
     cells = F.array(
         *(
             F.struct(F.lit(k).alias("ordinal"), value_key(F.col(f"`{f.name}`"), f.dataType).alias("value"))
             for k, f in enumerate(df.schema)
         ),
     )
-    long = df.select(F.inline(cells))
-    return long.groupBy("ordinal", "value").agg(F.count("*").alias("n"))
+    return df.select(F.inline(cells))
+
+
+def value_counts(df: DataFrame) -> DataFrame:
+    """(column, ordinal, value, n): how often each value of each column occurs; null is a value.
+
+    One unpivot and one aggregation with partial sums, whatever the number of columns: a frequent value costs each
+    task one row.
+    """
+    return value_cells(df).groupBy("ordinal", "value").agg(F.count("*").alias("n"))
 
 
 def profile_table(df: DataFrame) -> DataFrame:

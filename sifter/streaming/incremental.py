@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifter.operators.profile import value_counts
+from sifter.operators.profile import value_cells, value_counts
 
 
 def merge_counts(before: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Value counts of all rows so far: (ordinal, value, n) are sums, so batches merge exactly."""
-    now = value_counts(batch)
-    return now if before is None else before.unionByName(now).groupBy("ordinal", "value").agg(F.sum("n").alias("n"))
+    """Value counts of all rows so far: (ordinal, value, n) are sums, so batches merge exactly.
+
+    The batch's values join the sums uncounted, so that a task holds one table of values, not one for each batch and one of all.
+    """
+    if before is None:
+        return value_counts(batch)
+    now = value_cells(batch).withColumn("n", F.lit(1).cast("long"))
+    return before.unionByName(now).groupBy("ordinal", "value").agg(F.sum("n").alias("n"))
 
 
 def profiled(counts: DataFrame) -> DataFrame:

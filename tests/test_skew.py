@@ -92,3 +92,16 @@ def test_a_large_table_is_read_three_times_for_its_ranks(spark, skewed, monkeypa
     monkeypatch.undo()
     want = {(r.a, r.b): r.r for r in moments.spearman(df, list("abcd")).collect()}
     assert got == pytest.approx(want, abs=1e-9) and read.value <= 3 * len(a)
+
+
+def test_a_batch_is_counted_where_it_is_merged(spark):
+    """One table of values in a task: the batch is not counted on its own before; sums are those of all rows, nulls too."""
+    from sifter.operators.profile import value_counts
+    from sifter.streaming.incremental import merge_counts
+
+    df = spark.range(2_000).selectExpr("id", "id % 7 AS k", "CASE WHEN id % 5 > 0 THEN 'x' || id % 3 END AS t")
+    known = spark.createDataFrame(value_counts(df.where("id < 1500")).collect(), "ordinal int, value string, n long")
+    merged = merge_counts(known, df.where("id >= 1500"))
+    assert merged._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    key = lambda x: sorted(map(str, x.select("ordinal", "value", "n").collect()))
+    assert key(merged) == key(value_counts(df))
