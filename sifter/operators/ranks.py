@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sifter.sources.shared import durable
+
 #: Distinct values that one task ranks, or holds to read a quantile off.
 TASK_VALUES = 1 << 18
 
@@ -18,27 +22,37 @@ def double(name: str) -> Column:
 def average_ranks(counts: DataFrame, key: str, value: str, copies: str, most: int = TASK_VALUES) -> DataFrame:
     """counts with rank: for each key, the mean rank of a value of which there are `copies`.
 
-    Up to `most` distinct values of a key are one window. With more, each key's values are cut at approximate quantiles into
-    intervals of about `most`; the intervals' totals (one row each) say where each one's ranks begin.
+    Up to `most` distinct values of a key are one window. With more, values are range partitioned by key and value into pieces of
+    about `most` and summed up piece by piece; the totals of pieces and keys (one row each) say where ranks begin. A value's
+    piece is found by the partitioner, so that work doesn't grow with the number of pieces.
     """
-    spark = counts.sparkSession
-    size = counts.groupBy(key).agg(F.count("*").alias("m")).agg(F.max("m")).first()[0] or 0
+    size, rows = counts.groupBy(key).agg(F.count("*").alias("m")).agg(F.coalesce(F.max("m"), F.lit(0)), F.sum("m")).first()
     half = (F.col(copies) - 1) / 2.0
     if size <= most:
         upto = F.sum(copies).over(Window.partitionBy(key).orderBy(value))
         return counts.withColumn("rank", upto - half)
-    pieces = math.ceil(size / most)
-    shares = [k / pieces for k in range(1, pieces)]
-    found = counts.groupBy(key).agg(F.percentile_approx(value, shares, 20 * pieces).alias("cuts"))
-    rows = [(r[0], sorted(set(r.cuts))) for r in found.collect()]  # pieces - 1 numbers for each key
-    kind = counts.schema[key].dataType.simpleString()
-    cuts = F.broadcast(spark.createDataFrame(rows, f"{key} {kind}, cuts array<double>"))
-    placed = counts.join(cuts, key).withColumn("piece", F.size(F.filter("cuts", lambda c: c <= F.col(value)))).drop("cuts")
-    totals = placed.groupBy(key, "piece").agg(F.sum(copies).alias("total"))
-    before = F.sum("total").over(Window.partitionBy(key).orderBy("piece")) - F.col("total")
-    start = F.broadcast(totals.select(key, "piece", before.alias("before")))
-    upto = F.sum(copies).over(Window.partitionBy(key, "piece").orderBy(value))
-    return placed.join(start, [key, "piece"]).withColumn("rank", F.col("before") + upto - half).drop("piece", "before")
+    ordered = counts.repartitionByRange(math.ceil(rows / most), key, value).withColumn("piece", F.spark_partition_id())
+    ordered = ordered.sortWithinPartitions(key, value)
+    ordered = durable(ordered.mapInArrow(_running(copies), ordered.select("*", F.lit(0).cast("long").alias("upto")).schema), "ordered")
+    earlier = lambda by: F.sum("total").over(Window.orderBy(by)) - F.col("total")
+    # A row for each piece, and one for each key.
+    pieces = ordered.groupBy("piece").agg(F.sum(copies).alias("total")).select("piece", earlier("piece").alias("before"))
+    starts = ordered.groupBy(key).agg(F.sum(copies).alias("total")).select(key, earlier(key).alias("start"))
+    placed = ordered.join(F.broadcast(pieces), "piece").join(F.broadcast(starts), key)
+    return placed.withColumn("rank", F.col("before") + F.col("upto") - F.col("start") - half).select(*counts.columns, "rank")
+
+
+def _running(copies: str):
+    """Batches of a partition with upto, the sum of copies so far."""
+
+    def run(batches):
+        upto = 0
+        for batch in batches:
+            here = upto + np.cumsum(batch.column(copies).to_numpy(zero_copy_only=False))
+            upto = int(here[-1]) if len(here) else upto
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(here, pa.int64())], [*batch.schema.names, "upto"])
+
+    return run
 
 
 def quantiles(df: DataFrame, column: str, shares: list[float], most: int = TASK_VALUES) -> list[float | None]:

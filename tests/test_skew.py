@@ -105,3 +105,19 @@ def test_a_batch_is_counted_where_it_is_merged(spark):
     assert merged._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
     key = lambda x: sorted(map(str, x.select("ordinal", "value", "n").collect()))
     assert key(merged) == key(value_counts(df))
+
+
+def test_a_value_finds_its_piece_without_a_look_at_all_cuts(spark):
+    """Ranks of many pieces: no row runs through a list of cuts; several keys of other sizes, ties and a frequent value."""
+    import pandas as pd
+
+    from sifter.operators.ranks import average_ranks
+
+    rng = np.random.default_rng(5)
+    x = {0: rng.integers(-900, 900, 4000) / 8, 1: np.r_[np.zeros(3000), rng.normal(size=300)], 2: np.array([3.0, 3.0])}
+    rows = [(k, float(v)) for k, vs in x.items() for v in vs]
+    counts = spark.createDataFrame(rows, "k int, v double").groupBy("k", "v").agg(F.count("*").alias("w"))
+    got = average_ranks(counts, "k", "v", "w", 100)
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {(k, v): r for k, vs in x.items() for v, r in zip(vs, pd.Series(vs).rank(), strict=True)}
+    assert {(r.k, r.v): r["rank"] for r in got.collect()} == want
