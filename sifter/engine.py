@@ -37,6 +37,8 @@ class Module:
 
     def __init__(self, settings: Settings):
         self.settings = settings
+        #: Parts of the last run that failed and have no findings in it.
+        self.failed: list[str] = []
 
     def skip_reason(self, df: DataFrame, p: DatasetProfile) -> str | None:
         return None
@@ -108,12 +110,15 @@ class Integrity(Module):
             integrity.duplicates: {"counted": (p.row_count, p.duplicate_rows)},
         }
         made, failed = {}, []
+        self.failed = failed
 
         def guarded(domain, run):
-            """A domain's failure costs that domain alone."""
+            """A domain's failure costs that domain alone, or with fail_fast ends the run."""
             try:
                 return run()
             except Exception as problem:
+                if self.settings.engine.fail_fast:
+                    raise
                 log.warning("%s failed: %s", domain, problem)
                 failed.append(domain)
                 return None
@@ -125,6 +130,8 @@ class Integrity(Module):
         try:  # one action for all domains; if it fails, one for each, to tell which
             out = frozen(reduce(DataFrame.unionByName, made.values(), found.none(spark)))
         except Exception:
+            if self.settings.engine.fail_fast:
+                raise
             kept = [guarded(domain, lambda x=x: frozen(x)) for domain, x in made.items()]
             out = frozen(reduce(DataFrame.unionByName, (x for x in kept if x is not None), found.none(spark)))
         bad = p.metadata.get("malformed_rows", 0)
@@ -170,6 +177,8 @@ class Relationship(Module):
 
 @dataclass
 class Execution:
+    """status: success, partial (parts named in the message failed), failed or skipped."""
+
     module: str
     status: str
     seconds: float
@@ -232,7 +241,7 @@ class Engine:
                 log.warning("no module named %s; known: %s", n, ", ".join(sorted(REGISTRY)))
         return [REGISTRY[n](self.settings) for n in names if n in REGISTRY and n not in self.settings.engine.disabled_modules]
 
-    def _run(self, module: Module, df: DataFrame, p: DatasetProfile, fail_fast: bool) -> tuple[DataFrame, Execution]:
+    def _run(self, module: Module, df: DataFrame, p: DatasetProfile) -> tuple[DataFrame, Execution]:
         began, none = time.monotonic(), found.none(self.spark)
         why = module.skip_reason(df, p)
         if why:
@@ -247,18 +256,19 @@ class Engine:
                     self.settings.engine.max_findings,
                 ).unionByName(health),
             )
-            return kept, Execution(module.name, "success", time.monotonic() - began, len(kept.collect()))
+            status, said = ("partial", f"failed: {', '.join(module.failed)}") if module.failed else ("success", "")
+            return kept, Execution(module.name, status, time.monotonic() - began, len(kept.collect()), said)
         except Exception as problem:
-            if fail_fast:
+            if self.settings.engine.fail_fast:
                 raise
             log.warning("%s failed: %s", module.name, problem)
             return none, Execution(module.name, "failed", time.monotonic() - began, 0, str(problem)[:500])
 
-    def _investigate(self, df: DataFrame, p: DatasetProfile, modules: list[str] | None, fail_fast: bool) -> Result:
+    def _investigate(self, df: DataFrame, p: DatasetProfile, modules: list[str] | None) -> Result:
         began, timings, runs = time.monotonic(), {}, []
         out = found.none(self.spark)
         for module in self.active(modules):
-            made, run = self._run(module, df, p, fail_fast)
+            made, run = self._run(module, df, p)
             out, timings[module.name] = out.unionByName(made), run.seconds
             runs.append(run)
         out = frozen(out)
@@ -270,9 +280,9 @@ class Engine:
     def investigate(self, source: str, *, modules: list[str] | None = None, **options) -> Result:
         df, meta = load(self.spark, source, self.settings.engine.max_rows, **options)
         p = profile(df, name_of(source), meta.pop("source"), source_type(source), **meta)
-        return self._investigate(df, p, modules, self.settings.engine.fail_fast)
+        return self._investigate(df, p, modules)
 
     def investigate_dataframe(self, df: DataFrame, *, name: str = "dataframe", modules: list[str] | None = None, **metadata) -> Result:
-        """A DataFrame in memory of Spark: no row cap, no fail_fast."""
+        """A DataFrame of Spark: no row cap. With fail_fast a failure is raised; else what failed is told by the result's executions alone."""
         df = clean(df)
-        return self._investigate(df, profile(df, name, **metadata), modules, False)
+        return self._investigate(df, profile(df, name, **metadata), modules)

@@ -17,7 +17,8 @@ from sifter.plans.reasoning import reason
 from sifter.streaming.incremental import merge_counts, profiled, windowed_counts
 
 
-FULL = Settings(engine=EngineSettings(profile="full"))
+#: A query's rows don't say what failed, so that a failure must be raised.
+FULL = Settings(engine=EngineSettings(profile="full", fail_fast=True))
 
 
 def example_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

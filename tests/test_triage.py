@@ -385,6 +385,36 @@ def test_failures_are_isolated(spark):
         del REGISTRY["broken"]
 
 
+def test_a_failure_is_no_result(spark, monkeypatch):
+    """The investigate queries raise what fails in a module or in one of its domains; without fail_fast the executions name it."""
+
+    def broken(*a, **k):
+        raise RuntimeError("no")
+
+    def late(df, table, s):
+        return integrity.constant_features(df, table, s).withColumn("title", F.raise_error(F.lit("no")).cast("string"))
+
+    df = spark.range(50).select("id", F.lit(1.5).alias("c"))
+    monkeypatch.setattr(queries, "prices", lambda *_: df.withColumn("b", F.col("id") * 2))
+    monkeypatch.setattr(queries, "labelled", lambda *_: df)
+    with monkeypatch.context() as m:
+        m.setattr(relationship, "correlated_pairs", broken)
+        with pytest.raises(RuntimeError, match="no"):
+            queries.queries()["investigate_prices"](spark, DATA)
+    for detector in (broken, late):
+        with monkeypatch.context() as m:
+            m.setitem(integrity.DETECTORS, "constant_features", [detector])
+            with pytest.raises(Exception, match="no"):
+                queries.queries()["investigate_labelled"](spark, DATA)
+    r = Engine(spark).investigate_dataframe(df, modules=["integrity"])
+    assert [(e.status, e.message) for e in r.executions] == [("success", "")]
+    with monkeypatch.context() as m:
+        m.setitem(integrity.DETECTORS, "constant_features", [broken])
+        r = Engine(spark).investigate_dataframe(df, modules=["integrity"])
+    assert [(e.status, e.message) for e in r.executions] == [("partial", "failed: constant_features")]
+    assert "structural_health_score" in categories(r.findings)
+
+
 def test_loader_and_cli(spark, tmp_path, capsys):
     path = tmp_path / "some.csv"
     path.write_text("a,b,c\n" + "".join(f"{i},{2 * i},{'x' if i % 3 else ''}\n" for i in range(60)))
