@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sifter.operators.graph import greedy_modularity, louvain
@@ -13,6 +15,8 @@ from sifter.sources.shared import durable
 ROUNDS, LEVELS, LEAST = 10, 30, 1e-6
 #: Edges of a merged graph that the driver finishes; such a graph was made from as many communities as it takes.
 FINISH = 50_000
+#: Vertices, at most, whose communities, loads and degrees are held as arrays by the driver and by each Python worker (22 bytes a vertex).
+HELD = 10_000_000
 
 
 def _level(edges: DataFrame) -> tuple[DataFrame, DataFrame, float]:
@@ -26,18 +30,21 @@ def _level(edges: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     return both, vertices, edges.agg(F.sum("weight")).first()[0] or 0.0
 
 
+def _may_move(vertex: Column, turn: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64(vertex, F.lit(turn + seed)), F.lit(2)) == 0
+
+
 def _moved(both: DataFrame, held: DataFrame, total: float, resolution: float, turn: int, seed: int) -> DataFrame:
     """held (vertex, degree, n, community) after the vertices whose turn it is took their best neighbouring community.
 
     Half of the vertices, by a hash of vertex and turn, may move at once, so that two neighbours seldom trade places; only their
     edges are shuffled, and a community's load comes with the vertices that it holds.
     """
-    may_move = lambda v: F.pmod(F.xxhash64(v, F.lit(turn + seed)), F.lit(2)) == 0
     load = held.groupBy("community").agg(F.sum("degree").alias("load"))
     at = durable(held.join(load, "community"), "at")  # AQE splits a large community here and below
-    near = spread_join(both.where(may_move("src")), at.select(F.col("vertex").alias("dst"), "community", "load", "n"), "dst", "n")
+    near = spread_join(both.where(_may_move(F.col("src"), turn, seed)), at.select(F.col("vertex").alias("dst"), "community", "load", "n"), "dst", "n")
     ties = near.groupBy(F.col("src").alias("vertex"), "community").agg(F.sum("weight").alias("tie"), F.first("load").alias("load"))
-    turns = at.where(may_move("vertex")).select("vertex", "degree", F.col("community").alias("own"), F.col("load").alias("own_load"))
+    turns = at.where(_may_move(F.col("vertex"), turn, seed)).select("vertex", "degree", F.col("community").alias("own"), F.col("load").alias("own_load"))
     share = F.lit(resolution) * F.col("degree") / (2 * total)
     each = ties.join(turns, "vertex").withColumn("same", F.col("community") == F.col("own"))
     gain = F.col("tie") - share * (F.col("load") - F.when(F.col("same"), F.col("degree")).otherwise(0.0))
@@ -95,6 +102,7 @@ def communities(
     resolution: float = 1.0,
     seed: int = 42,
     finish: int = FINISH,
+    held: int = 0,
 ) -> DataFrame:
     """(vertex, community), communities named by their least vertex. edges: src, dst, weight; vertices (vertex): lone ones name themselves.
 
@@ -102,14 +110,18 @@ def communities(
     vertices, until modularity no longer rises (after Blondel et al. 2008, in parallel). greedy_modularity: rounds in which
     communities that are each other's best merge are merged (after Clauset, Newman and Moore 2004, in parallel). A merged graph
     of up to `finish` edges is finished by the driver, one vertex at a time. The same for any partitioning. Edges with a null
-    end, or of weight 0 or less, count for nothing; an empty table gives no rows.
+    end, or of weight 0 or less, count for nothing; an empty table gives no rows. held: up to so many vertices, Louvain's rounds
+    shuffle nothing, as their communities lie in arrays; the result is the same.
     """
     if algorithm not in ("louvain", "greedy_modularity"):
         raise ValueError(f"communities: unknown algorithm {algorithm}")
     real = durable(edges.select("src", "dst", "weight").where("src is not null and dst is not null and weight > 0"), "real")
-    points = real.select(F.col("src").alias("vertex")).union(real.select("dst"))
-    points = (points if vertices is None else points.union(vertices.select("vertex").where("vertex is not null"))).distinct()
-    mapping = durable(points.withColumn("community", F.col("vertex")), "mapping")
+    points = real.select(F.col("src").alias("vertex"), F.lit(1).alias("n")).union(real.select("dst", F.lit(1)))
+    points = points if vertices is None else points.union(vertices.select("vertex", F.lit(0)).where("vertex is not null"))
+    points = durable(points.groupBy("vertex").agg(F.sum("n").alias("n")), "points")
+    if algorithm == "louvain" and held and real.count() > finish and points.count() <= held:
+        return _held(real, points, resolution, seed, finish)
+    mapping = points.select("vertex", F.col("vertex").alias("community"))
     level, score = real, None
     local = louvain if algorithm == "louvain" else greedy_modularity
     for _ in range(LEVELS):
@@ -169,3 +181,132 @@ def _greedy_step(both: DataFrame, nodes: DataFrame, total: float, resolution: fl
     joined = mutual.select(F.col("dst").alias("vertex"), F.col("src").alias("to"))
     step = durable(nodes.join(joined, "vertex", "left").select("vertex", F.coalesce("to", "vertex").alias("community"), "n"), "step")
     return None if step.where("vertex <> community").isEmpty() else step
+
+
+def _numbered(points: DataFrame, seed: int) -> DataFrame:
+    """points (vertex, n) with k, a vertex's place in their order from 0, and turns, a bit for each round in which it may move."""
+    spread = points.repartitionByRange("vertex").sortWithinPartitions("vertex").withColumn("at", F.monotonically_increasing_id())
+    at = durable(spread, "at")
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = {r.part: r.n for r in at.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    starts = np.cumsum([0, *(sizes.get(p, 0) for p in range(max(sizes)))]).tolist()
+    k = F.element_at(F.array(*map(F.lit, starts)), part.cast("int") + 1) + row
+    turns = sum((_may_move(F.col("vertex"), t, seed).cast("int") * (1 << t) for t in range(ROUNDS)), F.lit(0))
+    return durable(at.select("vertex", "n", k.cast("int").alias("k"), turns.alias("turns")), "numbers")
+
+
+def _array(rows: DataFrame, size: int, kind: str) -> np.ndarray:
+    """The second column at the places that the first one names, 0 elsewhere."""
+    got, out = rows.toArrow(), np.zeros(size, kind)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return out
+
+
+def _choices(home, load, degree, turns, turn: int, total: float, resolution: float):
+    """For rows (src, near: dst and weight of each edge): (src, to) of the vertices that may move and gain by it, as in _moved()."""
+
+    def choose(batches):
+        at, loads, degrees, may = home.value, load.value, degree.value, turns.value
+        for batch in batches:
+            batch = batch.filter(pa.array(may[batch.column(0).to_numpy()] >> turn & 1 == 1))
+            if not batch.num_rows:
+                continue
+            src, lists = batch.column(0).to_numpy(), batch.column(1)
+            edges = lists.flatten()
+            row = np.repeat(np.arange(len(src)), np.diff(lists.offsets.to_numpy()))
+            key = row * len(at) + at[edges.field(0).to_numpy()]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            tie = np.add.reduceat(edges.field(1).to_numpy()[order], first)
+            row, near = np.divmod(key[first], len(at))
+            own, mine = at[src], degrees[src]
+            share, same = resolution * mine / (2 * total), near == own[row]
+            gain = tie - share[row] * (loads[near] - np.where(same, mine[row], 0.0))
+            best = np.maximum.reduceat(gain, np.flatnonzero(np.diff(row, prepend=-1)))
+            top = np.flatnonzero(gain == best[row])
+            to = near[top[np.unique(row[top], return_index=True)[1]]]  # of equal gains the least community
+            kept = -share * (loads[own] - mine)
+            kept[row[same]] = gain[same]
+            better = best > kept + 1e-12
+            yield pa.RecordBatch.from_arrays([pa.array(src[better], pa.int32()), pa.array(to[better], pa.int32())], names=["src", "to"])
+
+    return choose
+
+
+def _between(home):
+    """For edges (src, dst, weight): the same between communities."""
+
+    def merge(batches):
+        at = home.value
+        for batch in batches:
+            a, b = at[batch.column(0).to_numpy()], at[batch.column(1).to_numpy()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), batch.column(2)], names=["src", "dst", "weight"])
+
+    return merge
+
+
+def _held(real: DataFrame, points: DataFrame, resolution: float, seed: int, finish: int) -> DataFrame:
+    """communities() by Louvain's rounds with vertices numbered: edges are shuffled once a level, by vertex, and a round is a narrow
+    pass over them that gives the driver the moves."""
+    spark = real.sparkSession
+    send = spark.sparkContext.broadcast
+    numbers = _numbered(points, seed)
+    size = points.count()
+    a = spread_join(real, numbers.select(F.col("vertex").alias("src"), F.col("k").alias("a"), "n"), "src", "n")
+    b = spread_join(a, numbers.select(F.col("vertex").alias("dst"), F.col("k").alias("b"), "n"), "dst", "n")
+    summed = F.sum(F.col("weight").cast("double")).alias("weight")
+    level = durable(b.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(summed), "level")
+    ends = level.select("src", "weight").union(level.select("dst", "weight"))  # a loop counts twice
+    degree = _array(ends.groupBy("src").agg(F.sum("weight").alias("w")), size, "float64")
+    turns, total = send(_array(numbers.select("k", "turns"), size, "int16")), float(degree.sum()) / 2
+    found, score = np.arange(size, dtype="int32"), None
+    for k in range(LEVELS):
+        if k and level.count() <= finish:
+            rows = [(r.src, r.dst, r.weight) for r in level.collect()]
+            home = np.arange(size, dtype="int32")
+            for group in louvain(sorted({x for a, b, _ in rows for x in (a, b)}), rows, resolution):
+                home[group] = group[0]
+            found = home[found]
+            break
+        plain = level.where("src <> dst")
+        both = plain.unionByName(plain.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+        near = durable(both.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dst", "weight"))).alias("near")), "near")
+        home, load, quiet, any_moved = np.arange(size, dtype="int32"), degree, 0, False
+        degrees = send(degree)
+        for turn in range(ROUNDS):
+            sent = send(home), send(load)
+            moves = near.mapInArrow(_choices(*sent, degrees, turns, turn, total, resolution), "src int, to int").toArrow()
+            for x in sent:
+                x.destroy()
+            home = home.copy()
+            home[moves.column(0).to_numpy()] = moves.column(1).to_numpy()
+            load = np.bincount(home, degree, size)
+            any_moved, quiet = any_moved or moves.num_rows > 0, 0 if moves.num_rows else quiet + 1
+            if quiet == 2:
+                break
+        degrees.destroy()
+        if not any_moved:
+            break
+        at = send(home)
+        merged = durable(level.mapInArrow(_between(at), "src int, dst int, weight double").groupBy("src", "dst").agg(summed), "merged")
+        at.destroy()
+        inside = merged.where("src = dst").agg(F.sum("weight")).first()[0] or 0.0
+        now = inside / total - resolution * float(load @ load) / (4 * total * total)
+        if score is not None and now <= score + LEAST:
+            break
+        found, level, degree, score = home[found], merged, load, now
+    turns.destroy()
+    _, least, group = np.unique(found, return_index=True, return_inverse=True)
+    up = send(least[group].astype("int32"))
+    sizes = send(np.bincount(up.value, minlength=size))
+
+    def named(batches):
+        for batch in batches:
+            k = batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(up.value[k]), pa.array(sizes.value[k])], names=["vertex", "k", "up", "size"])
+
+    kind = dict(numbers.dtypes)["vertex"]
+    out = durable(numbers.select("vertex", "k").mapInArrow(named, f"vertex {kind}, k int, up int, size bigint"), "named")
+    names = out.where("k = up").select("up", F.col("vertex").alias("community"), "size")
+    return spread_join(out.select("vertex", "up"), names, "up", "size").select("vertex", "community")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sifter.functions.scalars import WEIGHTS, severity_rank, severity_weight
-from sifter.operators.communities import communities
+from sifter.operators.communities import HELD, communities
 from sifter.plans import tables
 from sifter.plans.detect import query, read
 
@@ -143,4 +143,4 @@ def trade_communities(spark, d):
     lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
     sold = lines.join(read(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").where("l_suppkey is not null and o_custkey is not null")
     edges = sold.groupBy(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
-    return communities(edges)
+    return communities(edges, held=HELD)

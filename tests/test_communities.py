@@ -75,3 +75,22 @@ def test_edges_are_made_once_and_half_of_them_are_shuffled_a_round(spark, plante
     got = groups(communities(df.mapInArrow(passed, df.schema), finish=300).collect())
     assert made.value == len(planted) and sent and sent[0] < 1.3 * len(planted)
     assert got == groups(communities(df, finish=300).collect())
+
+
+def test_held_vertices_are_not_shuffled_in_rounds(spark, planted, monkeypatch):
+    """The same communities as by joins, with names for vertices, loops and lone ones, and levels in rounds alone or finished by the driver."""
+    from sifter.operators import communities as module
+
+    rows = [*planted, (5, 5, 2.0), (9, 9, 1.0), (400, 400, 3.0)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("concat('v', src) as src", "concat('v', dst) as dst", "weight")
+    lone = spark.createDataFrame([("v7",), ("w",), (None,)], "vertex string")
+    want = {finish: groups(communities(df, lone, finish=finish).collect()) for finish in (0, 300)}
+
+    def moved(*_):
+        raise AssertionError("a round of joins")
+
+    monkeypatch.setattr(module, "_moved", moved)
+    for finish, groups_by_joins in want.items():
+        assert groups(communities(df.repartition(5), lone, finish=finish, held=1000).collect()) == groups_by_joins
+        with pytest.raises(AssertionError, match="joins"):  # more vertices than may be held
+            communities(df, lone, finish=finish, held=100)
